@@ -56,11 +56,13 @@ def cosine(a, b, a_norm=None, b_norm=None, decimals: int | None = SCORE_DECIMALS
     return F.round(raw, decimals) if decimals is not None else raw
 
 
-def l2_normalize(v) -> Column:
-    """x / sqrt(max(sum(x^2), 1e-12)) element-wise; keeps FLOAT elements."""
+def l2_normalize(v, as_float: bool = True) -> Column:
+    """x / sqrt(max(sum(x^2), 1e-12)) element-wise; FLOAT elements unless
+    ``as_float`` is False (then DOUBLE, for exact downstream scores)."""
     v = _c(v)
     denom = F.sqrt(F.greatest(sq_norm(v), F.lit(L2_EPS)))
-    return F.transform(v, lambda x: (x.cast("double") / denom).cast("float"))
+    t = "float" if as_float else "double"
+    return F.transform(v, lambda x: (x.cast("double") / denom).cast(t))
 
 
 def masked_mean(token_vectors, mask) -> Column:

@@ -47,3 +47,104 @@ SQL: dict[str, str] = {}
 SQL["search_topk"] = with_(FILES, INDEX, "q AS (SELECT embedding FROM embeddings WHERE vec_id = 0)") + f"""
 SELECT idx.file_id, idx.path, idx.name, idx.extension, {cos('idx.embedding', 'q.embedding')} AS score
 FROM idx, q ORDER BY score DESC, idx.file_id LIMIT 5"""
+
+WORDS = r"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}]+')"
+
+
+def words(t: str) -> str:
+    return WORDS.format(t=t)
+
+
+def bucket(tok: str, n: str) -> str:
+    return f"(('0x' || substr(md5({tok}), 1, 7))::BIGINT % {n})"
+
+
+SQL["index_vectors"] = with_(FILES, INDEX) + """
+SELECT file_id, path, name, extension, last_modified,
+       CAST(coalesce(len(embedding), 0) AS BIGINT) AS dim,
+       round(coalesce(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 0.0), 6) AS norm
+FROM idx"""
+
+SQL["cosine_scores"] = with_(FILES, INDEX, "q AS (SELECT embedding FROM embeddings WHERE vec_id = 0)") + f"""
+SELECT idx.file_id, {cos('idx.embedding', 'q.embedding')} AS score FROM idx, q"""
+
+_BATCH = with_(FILES, INDEX, "q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings)") + f""",
+s AS (SELECT q.query_id, idx.file_id, idx.path, idx.name, idx.extension, {cos('idx.embedding', 'q.qv')} AS score
+      FROM idx, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rank FROM s {{where}})
+SELECT query_id, rank, file_id, path, name, extension, score FROM r WHERE rank <= 5"""
+SQL["search_batch"] = _BATCH.replace("{where}", "")
+SQL["search_threshold"] = _BATCH.replace("{where}", "WHERE score >= 0.3")
+
+SQL["cosine_pairs"] = f"""
+SELECT a.vec_id AS id_a, b.vec_id AS id_b, {cos('a.embedding', 'b.embedding')} AS score
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+WHERE {cos('a.embedding', 'b.embedding')} >= 0.3"""
+
+SQL["l2_normalize"] = """
+WITH u AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos,
+                  greatest(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 1e-12) AS ss
+           FROM embeddings)
+SELECT vec_id AS file_id, pos, round(x::DOUBLE / sqrt(ss), 6) AS value FROM u"""
+
+SQL["centroids"] = """
+WITH u AS (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings)
+SELECT CAST(label AS BIGINT) AS label, pos, round(avg(x::DOUBLE), 6) AS value FROM u GROUP BY label, pos"""
+
+SQL["vector_health"] = """
+WITH d AS (SELECT len(embedding) AS d FROM embeddings WHERE len(embedding) > 0
+           GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+v AS (SELECT vec_id, embedding, CAST(coalesce(len(embedding), 0) AS BIGINT) AS dim,
+             sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)
+SELECT vec_id AS file_id, dim, round(n, 6) AS norm,
+       CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) = 0 THEN 'empty'
+            WHEN dim <> (SELECT d FROM d) THEN 'bad_dim'
+            WHEN len(list_filter(embedding, lambda x: isnan(x))) > 0 THEN 'nan'
+            WHEN abs(n - 1.0) > 1e-2 THEN 'not_unit' ELSE 'ok' END AS status
+FROM v"""
+
+_VOCAB = f"""vocab AS (
+  SELECT tok, cnt, CAST(row_number() OVER (ORDER BY cnt DESC, tok) + 3 AS BIGINT) AS token_id
+  FROM (SELECT tok, count(*) AS cnt FROM (SELECT unnest({words('text')}) AS tok FROM documents) GROUP BY tok)
+)"""
+
+SQL["vocab_build"] = with_(_VOCAB) + "SELECT tok, cnt, token_id FROM vocab"
+
+SQL["encode_fixed"] = with_(_VOCAB) + f""",
+w AS (SELECT doc_id, unnest(ws) AS tok, unnest(range(len(ws))) AS pos
+      FROM (SELECT doc_id, {words('text')} AS ws FROM documents)),
+t AS (SELECT w.doc_id, w.pos // 254 AS win, w.pos, v.token_id FROM w JOIN vocab v USING (tok)),
+g AS (SELECT doc_id, win, list(token_id ORDER BY pos) AS ids FROM t GROUP BY doc_id, win
+      UNION ALL
+      SELECT doc_id, 0, []::BIGINT[] FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM t)),
+f AS (SELECT doc_id, win, [1] || ids || [2] AS ids FROM g)
+SELECT doc_id, CAST(win AS BIGINT) AS "window", CAST(least(len(ids), 256) AS BIGINT) AS n_real,
+       array_to_string(list_concat(ids[1:256], list_transform(range(greatest(256 - len(ids), 0)), lambda x: 0)), ' ') AS ids
+FROM f"""
+
+
+def _sparse(table: str, id_col: str, alias: str, n: str = "384") -> str:
+    return f"""{alias}_tf AS (
+  SELECT {id_col} AS id, {bucket('tok', n)} AS bucket, count(*) AS tf
+  FROM (SELECT {id_col}, unnest({words('text')}) AS tok FROM {table}) GROUP BY ALL),
+{alias} AS (SELECT id, bucket, tf / sqrt(sum(tf * tf) OVER (PARTITION BY id)) AS weight FROM {alias}_tf)"""
+
+
+SQL["hashed_embed"] = with_(_sparse("documents", "doc_id", "dw")) + \
+    "SELECT id AS doc_id, bucket, round(weight, 6) AS weight FROM dw"
+
+SQL["text_search"] = with_(_sparse("documents", "doc_id", "dw"), _sparse("benchmark", "item_id", "qw")) + """,
+s AS (SELECT q.id AS query_id, d.id AS doc_id, round(sum(q.weight * d.weight), 6) AS score
+      FROM qw q JOIN dw d USING (bucket) GROUP BY q.id, d.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 5"""
+
+SQL["masked_mean_pool"] = f"""
+WITH n AS (SELECT count(*) AS n FROM embeddings),
+t AS (SELECT doc_id, {bucket('tok', '(SELECT n FROM n)')} AS tid
+      FROM (SELECT doc_id, unnest({words('text')}) AS tok FROM documents)),
+c AS (SELECT doc_id, tid, count(*) AS c FROM t GROUP BY ALL),
+nr AS (SELECT doc_id, sum(c) AS n_real FROM c GROUP BY ALL),
+e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings),
+s AS (SELECT c.doc_id, e.pos, sum(c.c * e.x::DOUBLE) AS s FROM c JOIN e ON c.tid = e.vec_id GROUP BY ALL)
+SELECT s.doc_id, s.pos, round(s.s / greatest(nr.n_real, 1), 6) AS value FROM s JOIN nr USING (doc_id)"""

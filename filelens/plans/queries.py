@@ -28,3 +28,109 @@ def _query_vector(spark, sf_dir, vec_id=QUERY_VEC_ID):
 @register("search_topk")
 def q_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_topk(_index(spark, sf_dir), _query_vector(spark, sf_dir), K)
+
+
+def _docs(spark, sf_dir) -> DataFrame:
+    return tables.read(spark, sf_dir, "documents")
+
+
+def _all_vector_queries(spark, sf_dir) -> DataFrame:
+    """Every stored vector is a query (batch kNN over the whole table)."""
+    return tables.vectors(spark, sf_dir).select(F.col("file_id").alias("query_id"), "embedding")
+
+
+@register("index_vectors")
+def q_index_vectors(spark, sf_dir):
+    from filelens.functions import vectors as V
+    idx = _index(spark, sf_dir)
+    return idx.select("file_id", "path", "name", "extension", "last_modified",
+                      V.vector_dim("embedding").alias("dim"),
+                      F.round(F.coalesce(V.norm("embedding"), F.lit(0.0)), 6).alias("norm"))
+
+
+@register("cosine_scores")
+def q_cosine_scores(spark, sf_dir):
+    return search.cosine_scores(_index(spark, sf_dir), _query_vector(spark, sf_dir)).select("file_id", "score")
+
+
+@register("search_batch")
+def q_search_batch(spark, sf_dir):
+    return search.search_batch(_index(spark, sf_dir), _all_vector_queries(spark, sf_dir), K)
+
+
+@register("search_threshold")
+def q_search_threshold(spark, sf_dir):
+    return search.search_batch(_index(spark, sf_dir), _all_vector_queries(spark, sf_dir), K,
+                               threshold=SCORE_THRESHOLD)
+
+
+@register("cosine_pairs")
+def q_cosine_pairs(spark, sf_dir):
+    return search.cosine_pairs(tables.vectors(spark, sf_dir), SCORE_THRESHOLD)
+
+
+@register("l2_normalize")
+def q_l2_normalize(spark, sf_dir):
+    from filelens.functions import vectors as V
+    v = tables.vectors(spark, sf_dir)
+    return v.select("file_id", F.posexplode(V.l2_normalize("embedding", as_float=False)).alias("pos", "value")) \
+        .select("file_id", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
+
+
+@register("centroids")
+def q_centroids(spark, sf_dir):
+    from filelens.operators import embed
+    c = embed.centroids(tables.vectors(spark, sf_dir), "label")
+    return c.select(F.col("label").cast("bigint").alias("label"), "pos", F.round("value", 6).alias("value"))
+
+
+@register("vector_health")
+def q_vector_health(spark, sf_dir):
+    from filelens.operators import embed
+    from filelens.schema import EMBEDDING_DIM
+    from filelens.operators.dense import infer_dim
+    v = tables.vectors(spark, sf_dir)
+    return embed.vector_health(v, infer_dim(v, "embedding"))
+
+
+@register("vocab_build")
+def q_vocab_build(spark, sf_dir):
+    from filelens.operators import embed
+    return embed.vocab_build(_docs(spark, sf_dir))
+
+
+@register("encode_fixed")
+def q_encode_fixed(spark, sf_dir):
+    from filelens.operators import embed
+    docs = _docs(spark, sf_dir)
+    enc = embed.encode_windows(docs, embed.vocab_build(docs))
+    return enc.select("doc_id", "window",
+                      F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_real"),
+                      F.array_join("input_ids", " ").alias("ids"))
+
+
+@register("hashed_embed")
+def q_hashed_embed(spark, sf_dir):
+    from filelens.operators import embed
+    t = embed.hashed_terms(_docs(spark, sf_dir))
+    return t.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+
+
+@register("text_search")
+def q_text_search(spark, sf_dir):
+    from filelens.operators import embed
+    from filelens.operators.dense import dense_search
+    docs = embed.hashed_embed(_docs(spark, sf_dir))
+    qs = embed.hashed_embed(tables.read(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"),
+                            id_col="query_id")
+    return dense_search(docs, qs, K, id_col="doc_id", vec_col="embedding",
+                        qid_col="query_id", qvec_col="embedding")
+
+
+@register("masked_mean_pool")
+def q_masked_mean_pool(spark, sf_dir):
+    from filelens.operators import embed
+    emb = tables.read(spark, sf_dir, "embeddings")
+    n = emb.count()
+    p = embed.masked_mean_pool(_docs(spark, sf_dir), emb, n)
+    return p.select("doc_id", "pos", F.round("value", 6).alias("value"))
