@@ -62,7 +62,9 @@ def l2_normalize(v, as_float: bool = True) -> Column:
     v = _c(v)
     denom = F.sqrt(F.greatest(sq_norm(v), F.lit(L2_EPS)))
     t = "float" if as_float else "double"
-    return F.transform(v, lambda x: (x.cast("double") / denom).cast(t))
+    # The divisor enters as an array argument so it is computed once per row;
+    # referenced inside the lambda it would be re-aggregated per element.
+    return F.zip_with(v, F.array_repeat(denom, F.size(v)), lambda x, d: (x.cast("double") / d).cast(t))
 
 
 def masked_mean(token_vectors, mask) -> Column:
@@ -76,7 +78,8 @@ def masked_mean(token_vectors, mask) -> Column:
     zero = F.array_repeat(F.lit(0.0).cast("double"), width)
     summed = F.aggregate(kept, zero, lambda acc, s: F.zip_with(
         acc, s["v"], lambda x, y: x + F.coalesce(y.cast("double"), F.lit(0.0))))
-    return F.when(tv.isNull(), F.lit(None)).otherwise(F.transform(summed, lambda x: x / n))
+    divided = F.zip_with(summed, F.array_repeat(n, width), lambda x, d: x / d)
+    return F.when(tv.isNull(), F.lit(None)).otherwise(divided)
 
 
 def vector_dim(v) -> Column:

@@ -52,9 +52,9 @@ def encode_windows(docs: DataFrame, vocab: DataFrame, n: int = MAX_SEQ_LEN,
                    F.transform("toks", lambda s: s["tid"]),
                    F.array(F.lit(X.SEP_ID).cast("bigint")))
     fixed = X.fixed_length(ids, n)
-    mask_len = F.least(F.size(ids), F.lit(n))
-    mask = F.transform(F.sequence(F.lit(1), F.lit(n)),
-                       lambda i: F.when(i <= mask_len, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
+    allw = allw.withColumn("_len", F.least(F.size("toks") + 2, F.lit(n)))
+    mask = F.concat(F.array_repeat(F.lit(1).cast("bigint"), F.col("_len")),
+                    F.array_repeat(F.lit(0).cast("bigint"), F.lit(n) - F.col("_len")))
     return allw.select(id_col, "window", fixed.alias("input_ids"), mask.alias("attention_mask"))
 
 
@@ -70,22 +70,38 @@ def hashed_terms(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_i
         .select(id_col, "bucket", "weight")
 
 
+def scatter_dense(entries, divisor, dim: int):
+    """Dense array<double> of ``dim`` from sorted distinct (bucket, tf)
+    entries, each value divided by ``divisor``: every entry contributes the
+    zero gap before it and its value, so the work is O(dim) per row."""
+    es = F.col(entries)
+    nrm = F.col(divisor)
+
+    def piece(e, j):
+        prev_end = F.when(j == 0, F.lit(0)).otherwise(F.get(es, j - 1)["bucket"] + 1)
+        gap = F.array_repeat(F.lit(0.0).cast("double"), (e["bucket"] - prev_end).cast("int"))
+        return F.concat(gap, F.array((e["tf"] / nrm).cast("double")))
+
+    last_end = F.coalesce(F.try_element_at(es, F.lit(-1))["bucket"] + 1, F.lit(0))
+    tail = F.array_repeat(F.lit(0.0).cast("double"), (F.lit(dim) - last_end).cast("int"))
+    return F.concat(F.flatten(F.transform(es, piece)), tail)
+
+
 def hashed_embed(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """Dense unit vectors (id, embedding array<double> of ``dim``) from the
     hashed-term weights. Each document's entries (at most ``dim``) are
-    gathered in one bounded group; texts with no word get the zero vector."""
-    tf = (docs.select(id_col, F.explode(X.words(text_col)).alias("tok"))
-          .select(id_col, X.hash_bucket("tok", dim).alias("bucket"))
-          .groupBy(id_col, "bucket").agg(F.count(F.lit(1)).alias("tf")))
-    per_doc = tf.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "tf"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(dim - 1).cast("bigint")),
-                        lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("double"))
-    vec = per_doc.select(id_col, dense.alias("tfv"))
-    vec = vec.select(id_col, V.l2_normalize("tfv", as_float=False).alias("embedding"))
+    gathered in one bounded group; texts with no word get the zero vector
+    (``explode_outer`` keeps them, so no join back to the documents)."""
+    toks = docs.select(id_col, F.explode_outer(X.words(text_col)).alias("tok"))
+    tf = (toks.select(id_col, "tok", X.hash_bucket("tok", dim).alias("bucket"))
+          .groupBy(id_col, "bucket").agg(F.count("tok").alias("tf")))
+    per_doc = tf.groupBy(id_col).agg(
+        F.array_sort(F.collect_list(F.when(F.col("tf") > 0, F.struct("bucket", "tf")))).alias("es"),
+        F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("nrm"))
     zero = F.array_repeat(F.lit(0.0).cast("double"), dim)
-    return docs.select(id_col).join(vec, id_col, "left") \
-        .select(id_col, F.coalesce("embedding", zero).alias("embedding"))
+    return per_doc.select(id_col, F.when(F.size("es") == 0, zero)
+                          .otherwise(scatter_dense("es", "nrm", dim)).alias("embedding"))
 
 
 def masked_mean_pool(docs: DataFrame, token_table: DataFrame, n_tokens: int,
