@@ -148,3 +148,140 @@ nr AS (SELECT doc_id, sum(c) AS n_real FROM c GROUP BY ALL),
 e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings),
 s AS (SELECT c.doc_id, e.pos, sum(c.c * e.x::DOUBLE) AS s FROM c JOIN e ON c.tid = e.vec_id GROUP BY ALL)
 SELECT s.doc_id, s.pos, round(s.s / greatest(nr.n_real, 1), 6) AS value FROM s JOIN nr USING (doc_id)"""
+
+SCAN = """scan AS (SELECT * FROM files WHERE extension IN ('.txt', '.pdf', '.png', '.jpg', '.jpeg'))"""
+
+CHANGES = """changes AS (
+  SELECT s.file_id, s.path, s.name, s.extension, s.last_modified, s.text,
+         o.last_modified AS stored_last_modified,
+         CASE WHEN o.path IS NULL THEN 'insert'
+              WHEN s.last_modified > coalesce(o.last_modified, 0) THEN 'update' ELSE 'skip' END AS action
+  FROM scan s LEFT JOIN old o USING (path)
+)"""
+
+DELTA = """delta AS (
+  SELECT c.*, e.embedding,
+         CASE WHEN c.text IS NULL OR length(c.text) = 0 THEN 'no_text'
+              WHEN e.embedding IS NULL OR len(e.embedding) = 0 THEN 'embed_failed'
+              ELSE c.action END AS status
+  FROM changes c LEFT JOIN embeddings e ON c.file_id = e.vec_id
+  WHERE c.action IN ('insert', 'update')
+)"""
+
+SQL["ext_allowlist"] = with_(FILES, SCAN) + "SELECT file_id, path, extension FROM scan"
+
+SQL["change_detect"] = with_(FILES, OLD, SCAN, CHANGES) + \
+    "SELECT file_id, path, extension, last_modified, stored_last_modified, action FROM changes"
+
+SQL["index_upsert"] = with_(FILES, OLD, SCAN, CHANGES, DELTA) + """
+SELECT o.file_id, o.path, o.name, o.extension, o.last_modified, 'stored' AS origin,
+       CAST(coalesce(len(e.embedding), 0) AS BIGINT) AS dim
+FROM old o LEFT JOIN embeddings e ON o.file_id = e.vec_id
+WHERE o.path NOT IN (SELECT path FROM delta WHERE status IN ('insert', 'update'))
+UNION ALL
+SELECT file_id, path, name, extension, last_modified, status, CAST(len(embedding) AS BIGINT)
+FROM delta WHERE status IN ('insert', 'update')"""
+
+SQL["run_counters"] = with_(FILES, OLD, SCAN, CHANGES, DELTA) + """
+SELECT (SELECT count(*) FROM files) AS discovered,
+       (SELECT count(*) FROM changes) AS eligible,
+       (SELECT count(*) FROM changes WHERE action = 'skip') AS skipped,
+       (SELECT count(*) FROM delta) AS changed,
+       (SELECT count(*) FROM delta WHERE status = 'no_text') AS no_text,
+       (SELECT count(*) FROM delta WHERE status = 'embed_failed') AS embed_failed,
+       (SELECT count(*) FROM delta WHERE status = 'insert') AS inserted,
+       (SELECT count(*) FROM delta WHERE status = 'update') AS updated,
+       (SELECT count(*) FROM delta WHERE status IN ('insert', 'update')) AS indexed"""
+
+SQL["lookup_paths"] = with_(FILES, OLD) + """
+SELECT f.path, CAST(coalesce(a.n, 0) AS BIGINT) AS n_stored, coalesce(a.n, 0) > 0 AS "exists",
+       a.fid AS stored_file_id, a.lm AS stored_last_modified
+FROM files f LEFT JOIN (SELECT path, count(*) AS n, min(file_id) AS fid, max(last_modified) AS lm
+                        FROM old GROUP BY path) a USING (path)"""
+
+SQL["orphan_vectors"] = with_(FILES) + """
+SELECT vec_id AS file_id, CAST(coalesce(len(embedding), 0) AS BIGINT) AS dim
+FROM embeddings WHERE vec_id NOT IN (SELECT file_id FROM files)"""
+
+SQL["vanished_files"] = with_(FILES, OLD, SCAN) + \
+    "SELECT file_id, path FROM old WHERE path NOT IN (SELECT path FROM scan)"
+
+SQL["cascade_delete"] = with_(FILES, OLD, SCAN) + """,
+gone AS (SELECT file_id FROM old WHERE path NOT IN (SELECT path FROM scan)),
+vl AS (SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT file_id FROM old)
+       AND vec_id NOT IN (SELECT file_id FROM gone))
+SELECT o.file_id, o.path, o.file_id IN (SELECT vec_id FROM vl) AS has_vector
+FROM old o WHERE o.file_id NOT IN (SELECT file_id FROM gone)"""
+
+_META = """meta_{n} AS (
+  SELECT 'model_name' AS key, 'all-MiniLM-L6-v2-ONNX' AS value
+  UNION ALL SELECT 'max_seq_len', '256'
+  UNION ALL SELECT 'schema_version', '1'
+  UNION ALL SELECT 'embedding_dim', (SELECT CAST(len(embedding) AS VARCHAR) FROM {src} WHERE len(embedding) > 0
+                                     GROUP BY len(embedding) ORDER BY count(*) DESC LIMIT 1)
+  UNION ALL SELECT 'n_files', (SELECT CAST(count(*) AS VARCHAR) FROM {src})
+  UNION ALL SELECT 'n_vectors', (SELECT CAST(count(embedding) AS VARCHAR) FROM {src})
+)"""
+
+SQL["metadata_upsert"] = with_(FILES, INDEX, _META.format(n="new", src="idx")) + """,
+meta_old AS (SELECT 'model_name' AS key, 'all-MiniLM-L6-v2-ONNX' AS value
+             UNION ALL SELECT 'embedding_dim', '384' UNION ALL SELECT 'max_seq_len', '256')
+SELECT key, value FROM meta_old WHERE key NOT IN (SELECT key FROM meta_new)
+UNION ALL SELECT key, value FROM meta_new"""
+
+SQL["model_reindex"] = with_(FILES, OLD, """sidx AS (
+  SELECT o.file_id, o.path, e.embedding FROM old o LEFT JOIN embeddings e ON o.file_id = e.vec_id)""",
+                             _META.format(n="st", src="sidx")) + """,
+run AS (SELECT 'model_name' AS key, 'all-MiniLM-L6-v2-ONNX' AS run_value
+        UNION ALL SELECT 'embedding_dim', '384' UNION ALL SELECT 'max_seq_len', '256'),
+d AS (SELECT count(*) FILTER (WHERE m.value <> r.run_value) AS n_diff FROM meta_st m JOIN run r USING (key)),
+r AS (SELECT file_id, path,
+             CASE WHEN (SELECT n_diff FROM d) > 0 THEN 'model_changed'
+                  WHEN embedding IS NULL THEN 'missing_vector'
+                  WHEN CAST(len(embedding) AS VARCHAR) <> '384' THEN 'bad_dim' END AS reason
+      FROM sidx)
+SELECT file_id, path, reason FROM r WHERE reason IS NOT NULL"""
+
+SQL["hash_change"] = with_(FILES, SCAN) + """,
+st AS (SELECT path, sha256(CASE WHEN file_id % 3 = 2 THEN text || ' ' ELSE text END) AS h
+       FROM files WHERE file_id % 5 <> 0)
+SELECT s.file_id, s.path,
+       CASE WHEN st.path IS NULL THEN 'insert' WHEN st.h IS NULL OR st.h <> sha256(s.text) THEN 'update'
+            ELSE 'skip' END AS action
+FROM scan s LEFT JOIN st USING (path)"""
+
+SQL["latest_per_key"] = """
+SELECT user_id, event_id, floor(epoch_us(ts) / 1000000)::BIGINT AS mtime, value
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id ASC) AS rn FROM events)
+WHERE rn = 1"""
+
+SQL["mtime_seconds"] = "SELECT event_id, floor(epoch_us(ts) / 1000000)::BIGINT AS mtime FROM events"
+
+SQL["list_recent"] = with_(FILES) + """
+SELECT file_id, path, name, extension, last_modified FROM files
+ORDER BY last_modified DESC NULLS LAST, path LIMIT 200"""
+
+SQL["list_filter"] = with_(FILES) + """,
+recent AS (SELECT file_id, path, name, extension, last_modified FROM files
+           ORDER BY last_modified DESC NULLS LAST, path LIMIT 200)
+SELECT * FROM recent WHERE contains(name || ' ' || path, '.txt /corpus/src1')"""
+
+SQL["index_stats"] = with_(FILES, INDEX) + """
+SELECT extension, count(*) AS n_files, count(embedding) AS n_vectors,
+       CAST(min(CASE WHEN len(embedding) > 0 THEN len(embedding) END) AS BIGINT) AS min_dim,
+       CAST(max(coalesce(len(embedding), 0)) AS BIGINT) AS max_dim,
+       round(min(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS min_norm,
+       round(max(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS max_norm
+FROM idx GROUP BY extension"""
+
+SQL["file_tags"] = with_(FILES) + """,
+tags AS (SELECT doc_id AS file_id, 'labeled' AS tag FROM labels
+         UNION ALL SELECT doc_id, 'quality' FROM labels WHERE quality = 1
+         UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1),
+pf AS (SELECT file_id, array_to_string(list_sort(list_distinct(list(tag))), ',') AS tags FROM tags GROUP BY file_id)
+SELECT f.file_id, f.path, coalesce(pf.tags, '') AS tags FROM files f LEFT JOIN pf USING (file_id)"""
+
+SQL["file_features"] = with_(FILES) + """
+SELECT file_id, CAST(strlen(text) AS BIGINT) AS size_bytes, trim(split_part(text, chr(10), 1)) AS title,
+       sha256(text) AS content_hash
+FROM files"""

@@ -134,3 +134,167 @@ def q_masked_mean_pool(spark, sf_dir):
     n = emb.count()
     p = embed.masked_mean_pool(_docs(spark, sf_dir), emb, n)
     return p.select("doc_id", "pos", F.round("value", 6).alias("value"))
+
+
+# --------------------------------------------------------------------------
+# index maintenance
+# --------------------------------------------------------------------------
+LIST_NEEDLE = ".txt /corpus/src1"
+
+
+def _stored_with_vectors(spark, sf_dir):
+    return search.index_vectors(tables.stored_index(spark, sf_dir), tables.vectors(spark, sf_dir))
+
+
+def _changes(spark, sf_dir):
+    from filelens.operators import index
+    scan = index.ext_allowlist(tables.files(spark, sf_dir, with_text=True))
+    return index.change_detect(scan, tables.stored_index(spark, sf_dir))
+
+
+def _delta(spark, sf_dir):
+    from filelens.operators import index
+    return index.embed_delta(_changes(spark, sf_dir), tables.vectors(spark, sf_dir))
+
+
+@register("ext_allowlist")
+def q_ext_allowlist(spark, sf_dir):
+    from filelens.operators import index
+    return index.ext_allowlist(tables.files(spark, sf_dir)).select("file_id", "path", "extension")
+
+
+@register("change_detect")
+def q_change_detect(spark, sf_dir):
+    return _changes(spark, sf_dir).select("file_id", "path", "extension", "last_modified",
+                                          "stored_last_modified", "action")
+
+
+@register("index_upsert")
+def q_index_upsert(spark, sf_dir):
+    from filelens.operators import index
+    from filelens.functions import vectors as V
+    up = index.index_upsert(_stored_with_vectors(spark, sf_dir), _delta(spark, sf_dir))
+    return up.select("file_id", "path", "name", "extension", "last_modified", "origin",
+                     V.vector_dim("embedding").alias("dim"))
+
+
+@register("run_counters")
+def q_run_counters(spark, sf_dir):
+    from filelens.operators import index
+    return index.run_counters(tables.files(spark, sf_dir), _delta(spark, sf_dir), _changes(spark, sf_dir))
+
+
+@register("lookup_paths")
+def q_lookup_paths(spark, sf_dir):
+    from filelens.operators import index
+    return index.lookup_paths(tables.files(spark, sf_dir), tables.stored_index(spark, sf_dir))
+
+
+@register("orphan_vectors")
+def q_orphan_vectors(spark, sf_dir):
+    from filelens.operators import index
+    from filelens.functions import vectors as V
+    o = index.orphan_vectors(tables.vectors(spark, sf_dir), tables.files(spark, sf_dir))
+    return o.select("file_id", V.vector_dim("embedding").alias("dim"))
+
+
+@register("vanished_files")
+def q_vanished_files(spark, sf_dir):
+    from filelens.operators import index
+    scan = index.ext_allowlist(tables.files(spark, sf_dir))
+    return index.vanished_files(tables.stored_index(spark, sf_dir), scan).select("file_id", "path")
+
+
+@register("cascade_delete")
+def q_cascade_delete(spark, sf_dir):
+    from filelens.operators import index
+    scan = index.ext_allowlist(tables.files(spark, sf_dir))
+    stored = tables.stored_index(spark, sf_dir)
+    gone = index.vanished_files(stored, scan)
+    vec_in_store = tables.vectors(spark, sf_dir).join(stored.select("file_id"), "file_id", "left_semi")
+    files_left, vecs_left = index.cascade_delete(stored, vec_in_store, gone)
+    return files_left.select("file_id", "path").join(vecs_left.select("file_id", F.lit(True).alias("has_vector")),
+                                                     "file_id", "left") \
+        .select("file_id", "path", F.coalesce("has_vector", F.lit(False)).alias("has_vector"))
+
+
+def _stored_meta(spark, sf_dir):
+    from filelens.operators import index
+    return index.metadata_rows(_stored_with_vectors(spark, sf_dir))
+
+
+@register("metadata_upsert")
+def q_metadata_upsert(spark, sf_dir):
+    from filelens.operators import index
+    from filelens.schema import METADATA_DEFAULTS
+    new = index.metadata_rows(_index(spark, sf_dir))
+    old = spark.createDataFrame(METADATA_DEFAULTS, "key string, value string")
+    return index.metadata_upsert(old, new)
+
+
+@register("model_reindex")
+def q_model_reindex(spark, sf_dir):
+    from filelens.operators import index
+    from filelens.schema import EMBEDDING_DIM, MAX_SEQ_LEN, MODEL_NAME
+    run = {"model_name": MODEL_NAME, "embedding_dim": str(EMBEDDING_DIM), "max_seq_len": str(MAX_SEQ_LEN)}
+    return index.model_reindex(_stored_with_vectors(spark, sf_dir), _stored_meta(spark, sf_dir), run)
+
+
+@register("hash_change")
+def q_hash_change(spark, sf_dir):
+    from filelens.operators import index
+    from filelens.functions import text as X
+    scan = index.ext_allowlist(tables.files(spark, sf_dir, with_text=True)) \
+        .withColumn("content_hash", X.content_hash("text"))
+    # stored hashes: files with doc_id % 3 = 2 were edited after indexing
+    stored = tables.stored_index(spark, sf_dir, with_text=True).withColumn(
+        "content_hash", X.content_hash(F.when(F.col("file_id") % 3 == 2, F.concat("text", F.lit(" ")))
+                                       .otherwise(F.col("text"))))
+    return index.hash_change(scan, stored)
+
+
+@register("latest_per_key")
+def q_latest_per_key(spark, sf_dir):
+    from filelens.operators import index
+    ev = tables.read(spark, sf_dir, "events").select(
+        "user_id", "event_id", F.unix_timestamp("ts").alias("mtime"), F.col("ts"), "value")
+    r = index.latest_per_key(ev, "user_id", "ts", "event_id")
+    return r.select("user_id", "event_id", "mtime", "value")
+
+
+@register("mtime_seconds")
+def q_mtime_seconds(spark, sf_dir):
+    return tables.read(spark, sf_dir, "events").select("event_id", F.unix_timestamp("ts").alias("mtime"))
+
+
+# --------------------------------------------------------------------------
+# browse
+# --------------------------------------------------------------------------
+@register("list_recent")
+def q_list_recent(spark, sf_dir):
+    from filelens.operators import browse
+    return browse.list_recent(tables.files(spark, sf_dir))
+
+
+@register("list_filter")
+def q_list_filter(spark, sf_dir):
+    from filelens.operators import browse
+    return browse.list_filter(tables.files(spark, sf_dir), LIST_NEEDLE)
+
+
+@register("index_stats")
+def q_index_stats(spark, sf_dir):
+    from filelens.operators import browse
+    return browse.index_stats(_index(spark, sf_dir))
+
+
+@register("file_tags")
+def q_file_tags(spark, sf_dir):
+    from filelens.operators import browse
+    return browse.file_tags(tables.files(spark, sf_dir), browse.label_tags(tables.read(spark, sf_dir, "labels")))
+
+
+@register("file_features")
+def q_file_features(spark, sf_dir):
+    from filelens.operators import browse
+    return browse.file_features(tables.files(spark, sf_dir, with_text=True))
