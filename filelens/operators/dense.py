@@ -79,11 +79,56 @@ def _topk_rows(qidx: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) ->
     return order[rank < k]
 
 
-def _kernel(bc, k: int, threshold, id_col: str, vec_col: str, payload: list[str], dim: int):
+def _first_per_run(keys: list[np.ndarray]) -> np.ndarray:
+    """Positions (in the given row order) where any of ``keys`` changes."""
+    n = len(keys[0])
+    if n == 0:
+        return np.zeros(0, dtype=np.int64)
+    change = np.zeros(n, dtype=bool)
+    change[0] = True
+    for k in keys:
+        change[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(change)
+
+
+def _merge(best: pa.Table, k, id_col: str, group_col: str | None) -> pa.Table:
+    """Keep, per query, the k best rows (or k best groups by their best row)."""
+    q = best.column("_q").to_numpy()
+    s = best.column("score").to_numpy()
+    ids = best.column(id_col).to_numpy()
+    if group_col is not None:
+        g = best.column(group_col).to_numpy()
+        order = np.lexsort((ids, -s, g, q))
+        keep = order[_first_per_run([q[order], g[order]])]
+        best = best.take(pa.array(keep))
+        if k is None:
+            return best
+        q, s, g = q[keep], s[keep], g[keep]
+        return best.take(pa.array(_topk_rows(q, s, g, k)))
+    if k is None:
+        return best
+    return best.take(pa.array(_topk_rows(q, s, ids, k)))
+
+
+def _select(s: np.ndarray, k, threshold) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) pairs that can still be in a query's top k of this batch."""
+    n = s.shape[0]
+    if k is not None and n > k:
+        kth = np.partition(s, n - k, axis=0)[n - k]
+        keep = s >= kth[None, :]
+    else:
+        keep = np.ones_like(s, dtype=bool)
+    if threshold is not None:
+        keep &= np.isfinite(s)
+    return np.nonzero(keep)
+
+
+def _kernel(bc, k, threshold, id_col: str, vec_col: str, payload: list[str], dim: int,
+            group_col: str | None = None):
     def run(batches):
         qids, qmat, qnorm = bc.value
         nq = len(qids)
-        best = None  # pa.Table: _q (int32 index), score, id, payload...
+        best = None  # pa.Table: id, payload..., _q (query index), score
         for rb in batches:
             n = rb.num_rows
             if n == 0 or nq == 0:
@@ -92,24 +137,29 @@ def _kernel(bc, k: int, threshold, id_col: str, vec_col: str, payload: list[str]
             s = cosine_matrix(mat, valid, qmat, qnorm)  # n x nq
             if threshold is not None:
                 s = np.where(s >= threshold, s, -np.inf)
-            if k is not None and n > k:
-                kth = np.partition(s, n - k, axis=0)[n - k]
-                keep = s >= kth[None, :]
+            if group_col is None:
+                rows, qs = _select(s, k, threshold)
             else:
-                keep = np.ones_like(s, dtype=bool)
-            if threshold is not None:
-                keep &= np.isfinite(s)
-            rows, qs = np.nonzero(keep)
+                # best row per group (score desc, id asc), then groups compete
+                ids = rb.column(id_col).to_numpy()
+                g = rb.column(group_col).to_numpy()
+                order = np.lexsort((ids, g))
+                so, go = s[order], g[order]
+                starts = _first_per_run([go])
+                gm = np.maximum.reduceat(so, starts, axis=0)
+                seglen = np.diff(np.r_[starts, n])
+                is_max = so == np.repeat(gm, seglen, axis=0)
+                pos = np.where(is_max, np.arange(n)[:, None], n)
+                first = np.minimum.reduceat(pos, starts, axis=0)
+                grows, qs = _select(gm, k, threshold)
+                rows = order[first[grows, qs]]
             if len(rows) == 0:
                 continue
             cand = rb.select([id_col] + payload).take(pa.array(rows))
             cand = pa.Table.from_batches([cand]).append_column("_q", pa.array(qs.astype(np.int32))) \
                 .append_column("score", pa.array(s[rows, qs]))
             best = cand if best is None else pa.concat_tables([best, cand])
-            if k is not None:
-                ids = best.column(id_col).to_numpy()
-                pos = _topk_rows(best.column("_q").to_numpy(), best.column("score").to_numpy(), ids, k)
-                best = best.take(pa.array(pos))
+            best = _merge(best, k, id_col, group_col)
         if best is None or best.num_rows == 0:
             return
         qcol = pa.array(qids[best.column("_q").to_numpy()])
@@ -150,9 +200,12 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int | None = 5, *,
                  id_col: str = "file_id", vec_col: str = "embedding",
                  qid_col: str = "query_id", qvec_col: str = "embedding",
                  payload: list[str] | None = None, threshold: float | None = None,
-                 dim: int | None = None, block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+                 dim: int | None = None, block_bytes: int = DEFAULT_BLOCK_BYTES,
+                 group_col: str | None = None) -> DataFrame:
     """Top-k corpus rows per query by cosine (k=None or k<0: no cut).
 
+    With ``group_col`` (a payload column) the unit ranked is the group,
+    represented by its best row (score desc, id asc): top-k groups per query.
     Returns query_id, rank, <id_col>, <payload...>, score."""
     payload = list(payload or [])
     if k is not None and k < 0:
@@ -172,14 +225,20 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int | None = 5, *,
     parts = []
     for ids, qmat, qnorm in _query_blocks(queries, qid_col, qvec_col, dim, block_bytes):
         bc = spark.sparkContext.broadcast((ids, qmat, qnorm))
-        parts.append(src.mapInArrow(_kernel(bc, k, threshold, id_col, vec_col, payload, dim), out_schema))
+        parts.append(src.mapInArrow(_kernel(bc, k, threshold, id_col, vec_col, payload, dim, group_col),
+                                    out_schema))
     if not parts:
         res = spark.createDataFrame([], out_schema)
     else:
         res = parts[0]
         for p in parts[1:]:
             res = res.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
+    if group_col is not None:
+        wg = Window.partitionBy("query_id", group_col).orderBy(F.desc("score"), F.asc(id_col))
+        res = res.withColumn("_g", F.row_number().over(wg)).where(F.col("_g") == 1).drop("_g")
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(group_col))
+    else:
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
     res = res.withColumn("rank", F.row_number().over(w).cast("bigint"))
     if k is not None:
         res = res.where(F.col("rank") <= k)

@@ -285,3 +285,50 @@ SQL["file_features"] = with_(FILES) + """
 SELECT file_id, CAST(strlen(text) AS BIGINT) AS size_bytes, trim(split_part(text, chr(10), 1)) AS title,
        sha256(text) AS content_hash
 FROM files"""
+
+_BM25 = f"""w AS (SELECT doc_id AS doc, unnest({words('text')}) AS tok FROM documents),
+post AS (SELECT tok, doc, count(*) AS tf FROM w GROUP BY ALL),
+dl AS (SELECT doc, sum(tf) AS dl FROM post GROUP BY doc),
+st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
+dfq AS (SELECT tok, count(*) AS df FROM post GROUP BY tok),
+qw AS (SELECT DISTINCT query_id, tok FROM (SELECT item_id AS query_id, unnest({words('text')}) AS tok FROM benchmark)),
+qi AS (SELECT qw.query_id, qw.tok, ln(1 + (st.n_docs - dfq.df + 0.5) / (dfq.df + 0.5)) AS idf, st.avgdl
+       FROM qw JOIN dfq USING (tok) CROSS JOIN st),
+bs AS (SELECT qi.query_id, p.doc AS doc_id,
+              round(sum(qi.idf * p.tf * CAST(2.2 AS DOUBLE) /
+                        (p.tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl.dl / qi.avgdl))), 6) AS score
+       FROM qi JOIN post p USING (tok) JOIN dl ON p.doc = dl.doc GROUP BY ALL),
+bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bs)"""
+
+SQL["bm25_topk"] = with_(_BM25) + "SELECT query_id, rank, doc_id, score FROM bm WHERE rank <= 5"
+
+SQL["hybrid_topk"] = with_(_BM25, _sparse("documents", "doc_id", "dw"), _sparse("benchmark", "item_id", "qw2")) + """,
+ss AS (SELECT q.id AS query_id, d.id AS doc_id, round(sum(q.weight * d.weight), 6) AS score
+       FROM qw2 q JOIN dw d USING (bucket) GROUP BY q.id, d.id),
+sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ss),
+a AS (SELECT query_id, doc_id, rank AS ra FROM sem WHERE rank <= 50),
+b AS (SELECT query_id, doc_id, rank AS rb FROM bm WHERE rank <= 50),
+f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id,
+             round(coalesce(1e0 / (60 + ra), 0.0) + coalesce(1e0 / (60 + rb), 0.0), 6) AS score
+      FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)
+SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 5"""
+
+_CHUNKS = """ch AS (
+  SELECT doc_id, i AS chunk_no, i * 800 AS start, substring(text, CAST(i * 800 + 1 AS INTEGER), 1000) AS chunk
+  FROM (SELECT doc_id, text, unnest(range(CAST(greatest(ceil((length(text) - 200) / 800.0), 1) AS BIGINT))) AS i
+        FROM documents))"""
+
+SQL["chunk_docs"] = with_(_CHUNKS) + """
+SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(start AS BIGINT) AS start,
+       CAST(length(chunk) AS BIGINT) AS n_chars, sha256(chunk) AS chunk_hash FROM ch"""
+
+SQL["chunk_search"] = with_(_CHUNKS, """chunks AS (SELECT doc_id * 1048576 + chunk_no AS chunk_id, chunk AS text FROM ch)""",
+                            _sparse("chunks", "chunk_id", "cw"), _sparse("benchmark", "item_id", "qw")) + """,
+s AS (SELECT q.id AS query_id, c.id AS chunk_id, round(sum(q.weight * c.weight), 6) AS score
+      FROM qw q JOIN cw c USING (bucket) GROUP BY q.id, c.id),
+b AS (SELECT query_id, chunk_id, chunk_id // 1048576 AS doc_id, chunk_id % 1048576 AS chunk_no, score,
+             row_number() OVER (PARTITION BY query_id, chunk_id // 1048576 ORDER BY score DESC, chunk_id) AS rn
+      FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b WHERE rn = 1)
+SELECT query_id, rank, chunk_id, doc_id, chunk_no, score FROM r WHERE rank <= 5"""

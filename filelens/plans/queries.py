@@ -298,3 +298,55 @@ def q_file_tags(spark, sf_dir):
 def q_file_features(spark, sf_dir):
     from filelens.operators import browse
     return browse.file_features(tables.files(spark, sf_dir, with_text=True))
+
+
+# --------------------------------------------------------------------------
+# keyword, hybrid, chunks
+# --------------------------------------------------------------------------
+FUSION_DEPTH = 50
+
+
+def _bench_queries(spark, sf_dir):
+    return tables.read(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+
+
+@register("bm25_topk")
+def q_bm25_topk(spark, sf_dir):
+    from filelens.operators import lexical
+    return lexical.bm25_topk(_docs(spark, sf_dir), _bench_queries(spark, sf_dir), K)
+
+
+def _semantic(spark, sf_dir, k):
+    from filelens.operators import embed
+    from filelens.operators.dense import dense_search
+    docs = embed.hashed_embed(_docs(spark, sf_dir))
+    qs = embed.hashed_embed(_bench_queries(spark, sf_dir), id_col="query_id")
+    return dense_search(docs, qs, k, id_col="doc_id", qid_col="query_id")
+
+
+@register("hybrid_topk")
+def q_hybrid_topk(spark, sf_dir):
+    from filelens.operators import lexical
+    sem = _semantic(spark, sf_dir, FUSION_DEPTH)
+    kw = lexical.bm25_topk(_docs(spark, sf_dir), _bench_queries(spark, sf_dir), FUSION_DEPTH)
+    return lexical.rrf_fuse(sem, kw, K)
+
+
+@register("chunk_docs")
+def q_chunk_docs(spark, sf_dir):
+    from filelens.operators import chunks
+    c = chunks.chunk_docs(_docs(spark, sf_dir))
+    return c.select("doc_id", "chunk_no", "start", F.length("chunk").cast("bigint").alias("n_chars"),
+                    F.sha2("chunk", 256).alias("chunk_hash"))
+
+
+@register("chunk_search")
+def q_chunk_search(spark, sf_dir):
+    from filelens.operators import chunks, embed
+    c = chunks.chunk_docs(_docs(spark, sf_dir))
+    cv = embed.hashed_embed(c, id_col="chunk_id", text_col="chunk")
+    cv = cv.select("chunk_id", "embedding",
+                   (F.col("chunk_id") / chunks.CHUNK_ID_SPAN).cast("bigint").alias("doc_id"),
+                   (F.col("chunk_id") % chunks.CHUNK_ID_SPAN).alias("chunk_no"))
+    qs = embed.hashed_embed(_bench_queries(spark, sf_dir), id_col="query_id")
+    return chunks.chunk_search(cv, qs, K)
