@@ -332,3 +332,41 @@ b AS (SELECT query_id, chunk_id, chunk_id // 1048576 AS doc_id, chunk_id % 10485
       FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b WHERE rn = 1)
 SELECT query_id, rank, chunk_id, doc_id, chunk_no, score FROM r WHERE rank <= 5"""
+
+# LSH: planes from md5('band-bit-dim'), 64 bands x 8 bits over the vector width.
+_LSH = """pl AS (
+  SELECT b AS band, t AS bit, d AS dim,
+         ('0x' || substr(md5(CAST(b AS VARCHAR) || '-' || CAST(t AS VARCHAR) || '-' || CAST(d AS VARCHAR)), 1, 8))::BIGINT
+           / 2147483648.0 - 1.0 AS p
+  FROM range(64) r1(b), range(8) r2(t),
+       range((SELECT len(embedding) FROM embeddings GROUP BY 1 ORDER BY count(*) DESC LIMIT 1)) r3(d)),
+ev AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS dim FROM embeddings),
+pr AS (SELECT ev.id, pl.band, pl.bit, sum(ev.x * pl.p) AS s FROM ev JOIN pl USING (dim) GROUP BY ALL),
+bk AS (SELECT id, band, sum(CASE WHEN s > 0 THEN (1 << bit) ELSE 0 END) AS key FROM pr GROUP BY ALL)"""
+
+SQL["lsh_candidates"] = with_(_LSH) + """
+SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM bk a JOIN bk b ON a.band = b.band AND a.key = b.key AND a.id < b.id"""
+
+_ANN = _LSH + f""",
+cand AS (SELECT DISTINCT q.id AS query_id, c.id AS file_id FROM bk q JOIN bk c ON q.band = c.band AND q.key = c.key
+         WHERE c.id IN (SELECT doc_id FROM documents)),
+sc AS (SELECT cand.query_id, cand.file_id, {cos('e.embedding', 'q.embedding')} AS score
+       FROM cand JOIN embeddings e ON e.vec_id = cand.file_id JOIN embeddings q ON q.vec_id = cand.query_id),
+ann AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rank FROM sc)"""
+
+SQL["ann_topk"] = with_(_ANN) + "SELECT query_id, rank, file_id, score FROM ann WHERE rank <= 5"
+
+SQL["ann_recall"] = with_(_ANN) + f""",
+ex0 AS (SELECT q.vec_id AS query_id, e.vec_id AS file_id, {cos('e.embedding', 'q.embedding')} AS score
+        FROM embeddings e, embeddings q WHERE e.vec_id IN (SELECT doc_id FROM documents)),
+ex AS (SELECT query_id, file_id FROM
+       (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rank FROM ex0)
+       WHERE rank <= 5)
+SELECT ex.query_id, round(sum(CASE WHEN a.file_id IS NULL THEN 0 ELSE 1 END) / 5.0, 6) AS recall
+FROM ex LEFT JOIN (SELECT query_id, file_id FROM ann WHERE rank <= 5) a USING (query_id, file_id)
+GROUP BY ex.query_id"""
+
+SQL["exact_dups"] = """
+WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents),
+g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS n_copies FROM h GROUP BY h HAVING count(*) > 1)
+SELECT h.doc_id, g.keep_id, g.n_copies, h.h AS content_hash FROM h JOIN g USING (h) WHERE h.doc_id <> g.keep_id"""

@@ -350,3 +350,43 @@ def q_chunk_search(spark, sf_dir):
                    (F.col("chunk_id") % chunks.CHUNK_ID_SPAN).alias("chunk_no"))
     qs = embed.hashed_embed(_bench_queries(spark, sf_dir), id_col="query_id")
     return chunks.chunk_search(cv, qs, K)
+
+
+# --------------------------------------------------------------------------
+# approximate search and duplicates
+# --------------------------------------------------------------------------
+LSH_BANDS, LSH_BITS = 64, 8
+
+
+def _dim(spark, sf_dir):
+    from filelens.operators.dense import infer_dim
+    return infer_dim(tables.vectors(spark, sf_dir), "embedding")
+
+
+@register("lsh_candidates")
+def q_lsh_candidates(spark, sf_dir):
+    from filelens.operators import ann
+    return ann.lsh_candidates(tables.vectors(spark, sf_dir), _dim(spark, sf_dir), LSH_BANDS, LSH_BITS)
+
+
+@register("ann_topk")
+def q_ann_topk(spark, sf_dir):
+    from filelens.operators import ann
+    return ann.ann_topk(_index(spark, sf_dir).where(F.col("embedding").isNotNull()),
+                        _all_vector_queries(spark, sf_dir), K, _dim(spark, sf_dir), LSH_BANDS, LSH_BITS)
+
+
+@register("ann_recall")
+def q_ann_recall(spark, sf_dir):
+    from filelens.operators import ann
+    idx = _index(spark, sf_dir).where(F.col("embedding").isNotNull())
+    qs = _all_vector_queries(spark, sf_dir)
+    approx = ann.ann_topk(idx, qs, K, _dim(spark, sf_dir), LSH_BANDS, LSH_BITS)
+    exact = search.search_batch(idx, qs, K)
+    return ann.ann_recall(approx, exact, K)
+
+
+@register("exact_dups")
+def q_exact_dups(spark, sf_dir):
+    from filelens.operators import ann
+    return ann.exact_dups(_docs(spark, sf_dir))
