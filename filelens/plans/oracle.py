@@ -370,3 +370,42 @@ SQL["exact_dups"] = """
 WITH h AS (SELECT doc_id, sha256(text) AS h FROM documents),
 g AS (SELECT h, min(doc_id) AS keep_id, count(*) AS n_copies FROM h GROUP BY h HAVING count(*) > 1)
 SELECT h.doc_id, g.keep_id, g.n_copies, h.h AS content_hash FROM h JOIN g USING (h) WHERE h.doc_id <> g.keep_id"""
+
+SQL["scan_inventory"] = """
+SELECT doc_id, source, lang, '.txt' AS extension, CAST(strlen(text) + 1 AS BIGINT) AS size_bytes FROM documents"""
+
+SQL["extract_text"] = """
+SELECT doc_id, 'ok' AS status, CAST(length(text) + 1 AS BIGINT) AS n_chars, sha256(text || chr(10)) AS content_hash
+FROM documents"""
+
+SQL["extract_dispatch"] = with_(FILES) + """
+SELECT file_id, extension,
+       CASE WHEN extension = '.txt' THEN (CASE WHEN length(text) = 0 THEN 'no_text' ELSE 'ok' END)
+            WHEN extension IN ('.pdf', '.png', '.jpg', '.jpeg') THEN 'no_extractor'
+            ELSE 'unsupported' END AS status,
+       CASE WHEN extension = '.txt' THEN CAST(length(text) AS BIGINT) END AS n_chars
+FROM files"""
+
+SQL["path_parts"] = r"""
+WITH n AS (SELECT page_id, split_part(regexp_replace(url, '[?#].*$', ''), '/', -1) AS name FROM pages)
+SELECT page_id, name, regexp_extract(name, '^.+(\.[^.]*)$', 1) AS extension FROM n"""
+
+SQL["path_normalize"] = r"""
+WITH r AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS p FROM pages),
+s AS (SELECT page_id, p, starts_with(p, '/') AS abs,
+             list_filter(string_split(p, '/'), lambda x: x <> '' AND x <> '.') AS parts FROM r),
+t AS (SELECT page_id, p, abs,
+             list_reduce(parts, lambda acc, x:
+                 CASE WHEN x <> '..' THEN list_append(acc, x)
+                      WHEN len(acc) > 0 AND acc[-1] <> '..' THEN acc[1:len(acc) - 1]
+                      WHEN abs THEN acc
+                      ELSE list_append(acc, x) END, []::VARCHAR[]) AS st FROM s)
+SELECT page_id, CASE WHEN abs THEN '/' || array_to_string(st, '/')
+                     WHEN array_to_string(st, '/') = '' THEN '.' ELSE array_to_string(st, '/') END AS path
+FROM t"""
+
+SQL["stream_latest"] = SQL["latest_per_key"]
+
+SQL["stream_index"] = """
+SELECT doc_id, '.txt' AS extension, CAST(strlen(text) + 1 AS BIGINT) AS size_bytes, CAST(384 AS BIGINT) AS dim
+FROM documents"""

@@ -390,3 +390,94 @@ def q_ann_recall(spark, sf_dir):
 def q_exact_dups(spark, sf_dir):
     from filelens.operators import ann
     return ann.exact_dups(_docs(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# file sources (over a file tree Spark writes from the documents table)
+# --------------------------------------------------------------------------
+_CORPUS_TREES: dict[tuple[str, str], str] = {}
+
+
+def corpus_tree(spark, sf_dir) -> str:
+    """The documents table as a file tree in the shared scratch folder
+    (written once per session and scale factor)."""
+    from filelens.session import scratch_path
+    from filelens.sources.files import write_corpus
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CORPUS_TREES:
+        root = scratch_path(spark, "corpus")
+        write_corpus(_docs(spark, sf_dir), root)
+        _CORPUS_TREES[key] = root
+    return _CORPUS_TREES[key]
+
+
+def _tree_ids(df):
+    return df.select(
+        F.regexp_extract("path", r"/name=doc_([0-9]+)/", 1).cast("bigint").alias("doc_id"),
+        F.regexp_extract("path", r"/source=([^/]+)/", 1).alias("source"),
+        F.regexp_extract("path", r"/lang=([^/]+)/", 1).alias("lang"), *df.columns)
+
+
+@register("scan_inventory")
+def q_scan_inventory(spark, sf_dir):
+    from filelens.sources.files import inventory
+    inv = _tree_ids(inventory(spark, corpus_tree(spark, sf_dir)))
+    return inv.select("doc_id", "source", "lang", "extension", "size_bytes")
+
+
+@register("extract_text")
+def q_extract_text(spark, sf_dir):
+    from filelens.sources.files import extract, read_content, with_path_parts
+    c = with_path_parts(read_content(spark, corpus_tree(spark, sf_dir)))
+    ex = _tree_ids(extract(c))
+    return ex.select("doc_id", "status", F.length("text").cast("bigint").alias("n_chars"),
+                     F.sha2("text", 256).alias("content_hash"))
+
+
+@register("extract_dispatch")
+def q_extract_dispatch(spark, sf_dir):
+    from filelens.sources.files import extract
+    f = tables.files(spark, sf_dir, with_text=True).withColumn("content", F.col("text").cast("binary")).drop("text")
+    ex = extract(f)
+    return ex.select("file_id", "extension", "status", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@register("path_parts")
+def q_path_parts(spark, sf_dir):
+    from filelens.functions import paths as P
+    pages = tables.read(spark, sf_dir, "pages")
+    name = P.url_path_name("url")
+    return pages.select("page_id", name.alias("name"), P.extension(name).alias("extension"))
+
+
+@register("path_normalize")
+def q_path_normalize(spark, sf_dir):
+    from filelens.functions import paths as P
+    pages = tables.read(spark, sf_dir, "pages")
+    raw = F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1)
+    return pages.select("page_id", P.normalize_path(raw).alias("path"))
+
+
+# --------------------------------------------------------------------------
+# streams
+# --------------------------------------------------------------------------
+@register("stream_latest")
+def q_stream_latest(spark, sf_dir):
+    from filelens.sources import store
+    from filelens.streaming.jobs import stream_latest
+    ev_schema = tables.read(spark, sf_dir, "events").schema
+    root = stream_latest(spark, sf_dir, "events.parquet", ev_schema, "user_id", "ts", "event_id")
+    st = store.read_current(spark, root)
+    return st.select("user_id", "event_id", F.unix_timestamp("ts").alias("mtime"), "value")
+
+
+@register("stream_index")
+def q_stream_index(spark, sf_dir):
+    from filelens.functions import vectors as V
+    from filelens.operators import embed
+    from filelens.sources import store
+    from filelens.streaming.jobs import stream_index
+    root = stream_index(spark, corpus_tree(spark, sf_dir),
+                        lambda df: embed.hashed_embed(df, id_col="file_id"))
+    st = _tree_ids(store.read_current(spark, root))
+    return st.select("doc_id", "extension", "size_bytes", V.vector_dim("embedding").alias("dim"))
