@@ -8,6 +8,7 @@ state is stored and any engine can rebuild the same planes.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filelens.functions import vectors as V
-from filelens.operators.common import maybe_broadcast
+from filelens.operators.common import maybe_broadcast, spread
 from filelens.operators.dense import dense_matrix
 
 DEFAULT_BANDS = 64
@@ -62,49 +63,181 @@ def band_keys(vecs: DataFrame, dim: int, bands: int = DEFAULT_BANDS, bits: int =
                 pa.array(keys.reshape(-1))], schema=pa.schema([("id", pa.int64()), ("band", pa.int32()),
                                                                ("key", pa.int64())]))
 
-    return vecs.select(id_col, vec_col).mapInArrow(run, schema)
+    return spread(vecs.select(id_col, vec_col)).mapInArrow(run, schema)
 
 
-def lsh_candidates(vecs: DataFrame, dim: int, bands: int = DEFAULT_BANDS, bits: int = DEFAULT_BITS,
-                   id_col: str = "file_id", vec_col: str = "embedding") -> DataFrame:
-    """Candidate pairs (id_a < id_b) that share a key in at least one band.
+def _keys_np(mat: np.ndarray, valid: np.ndarray, P: np.ndarray, bands: int, bits: int) -> np.ndarray:
+    """n x bands int64 band keys; rows that are not valid get -1 (match nothing)."""
+    weights = (1 << np.arange(bits)).astype(np.int64)
+    keys = ((mat @ P.T) > 0).reshape(len(mat), bands, bits).astype(np.int64) @ weights
+    keys[~valid] = -1
+    return keys
 
-    An equi-join on (band, key); every bucket's pairs are emitted, so the
-    output is the candidate set itself. Buckets of near copies grow
-    quadratically -- see :func:`exact_dups` for those."""
-    k = band_keys(vecs, dim, bands, bits, id_col, vec_col)
-    a = k.select(F.col("id").alias("id_a"), "band", "key")
-    b = k.select(F.col("id").alias("id_b"), "band", "key")
-    return a.join(b, ["band", "key"]).where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b").distinct()
+
+def _match_pairs(rkeys: np.ndarray, qkeys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, query) index pairs sharing a key in any band, found by
+    sorted search per band (no n x q comparison matrix)."""
+    n, bands = rkeys.shape
+    nq = qkeys.shape[0]
+    codes = []
+    for b in range(bands):
+        qk = qkeys[:, b]
+        order = np.argsort(qk, kind="stable")
+        sk = qk[order]
+        rk = rkeys[:, b]
+        lo = np.searchsorted(sk, rk, "left")
+        hi = np.searchsorted(sk, rk, "right")
+        cnt = np.where(rk >= 0, hi - lo, 0)
+        tot = int(cnt.sum())
+        if tot == 0:
+            continue
+        rows = np.repeat(np.arange(n, dtype=np.int64), cnt)
+        offs = np.arange(tot) - np.repeat(np.cumsum(cnt) - cnt, cnt)
+        qs = order[np.repeat(lo, cnt) + offs]
+        codes.append(rows * nq + qs)
+    if not codes:
+        e = np.zeros(0, dtype=np.int64)
+        return e, e
+    u = np.unique(np.concatenate(codes))
+    return u // nq, u % nq
+
+
+def _ann_kernel(bc, k: int, id_col: str, vec_col: str, dim: int, bands: int, bits: int):
+    from filelens.operators.dense import _merge, round_half_up
+
+    def run(batches):
+        qids, qmat, qnorm, qkeys, P = bc.value
+        best = None
+        for rb in batches:
+            if rb.num_rows == 0 or len(qids) == 0:
+                continue
+            mat, valid = dense_matrix(rb.column(vec_col), dim)
+            rkeys = _keys_np(mat, valid, P, bands, bits)
+            rows, qs = _match_pairs(rkeys, qkeys)
+            if len(rows) == 0:
+                continue
+            norms = np.sqrt(np.einsum("ij,ij->i", mat, mat))
+            dots = np.einsum("ij,ij->i", mat[rows], qmat[qs])
+            den = norms[rows] * qnorm[qs]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                sc = np.where(den > 0, dots / np.where(den > 0, den, 1.0), 0.0)
+            sc = round_half_up(np.nan_to_num(sc, nan=0.0, posinf=0.0, neginf=0.0))
+            cand = pa.Table.from_batches([rb.select([id_col]).take(pa.array(rows))]) \
+                .append_column("_q", pa.array(qs.astype(np.int32))).append_column("score", pa.array(sc))
+            best = cand if best is None else pa.concat_tables([best, cand])
+            best = _merge(best, k, id_col, None)
+        if best is None or best.num_rows == 0:
+            return
+        out = best.drop_columns(["_q"]).append_column("query_id", pa.array(qids[best.column("_q").to_numpy()]))
+        yield from out.to_batches()
+    return run
 
 
 def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, dim: int | None = None,
              bands: int = DEFAULT_BANDS, bits: int = DEFAULT_BITS, *, id_col: str = "file_id",
              vec_col: str = "embedding", qid_col: str = "query_id", qvec_col: str = "embedding") -> DataFrame:
-    """Top-k per query among LSH candidates, re-ranked by exact cosine.
+    """Top-k per query among LSH candidates (rows sharing a band key with the
+    query), ranked by exact cosine.
 
-    Query keys (a bounded batch) join corpus keys on (band, key); the query
-    side is broadcast when its counted size allows, so the corpus keys are
-    not shuffled. Distinct (query, row) candidates get their exact score
-    from a join with the two vector tables; W1 cuts to k. Not exact: see
+    The query batch -- vectors and band keys, in byte-bounded blocks -- is
+    broadcast; each corpus batch computes its own band keys, finds matching
+    queries by sorted search and scores only those pairs, keeping a running
+    top-k per query. The corpus is scanned once and never shuffled; only
+    k rows per query and task reach the final window. Not exact: see
     :func:`ann_recall`."""
-    from filelens.operators.dense import infer_dim
+    from filelens.operators.dense import DEFAULT_BLOCK_BYTES, _query_blocks, infer_dim
     if dim is None:
         dim = infer_dim(queries, qvec_col)
-    ck = band_keys(corpus, dim, bands, bits, id_col, vec_col)
-    qk = band_keys(queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("qv")), dim, bands, bits,
-                   "qid", "qv")
-    qk = maybe_broadcast(qk.select(F.col("id").alias("query_id"), "band", "key"))
-    cand = ck.join(qk, ["band", "key"]).select("query_id", F.col("id").alias(id_col)).distinct()
-    qv = queries.select(F.col(qid_col).alias("query_id"), F.col(qvec_col).alias("qv"))
-    cv = corpus.select(id_col, vec_col)
-    scored = cand.join(qv, "query_id").join(cv, id_col) \
-        .select("query_id", id_col, V.cosine(vec_col, "qv").alias("score"))
+    P = planes(bands, bits, dim)
+    spark = corpus.sparkSession
+    src = spread(corpus.select(id_col, vec_col))
+    schema = T.StructType([src.schema[id_col], T.StructField("score", T.DoubleType()),
+                           T.StructField("query_id", T.LongType())])
+    parts = []
+    for ids, qmat, qnorm in _query_blocks(queries, qid_col, qvec_col, dim, DEFAULT_BLOCK_BYTES):
+        qkeys = _keys_np(qmat, qnorm > 0, P, bands, bits)
+        bc = spark.sparkContext.broadcast((ids, qmat, qnorm, qkeys, P))
+        parts.append(src.mapInArrow(_ann_kernel(bc, k, id_col, vec_col, dim, bands, bits), schema))
+    if not parts:
+        return spark.createDataFrame([], schema).select("query_id", F.lit(0).cast("bigint").alias("rank"),
+                                                         id_col, "score")
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
-    return (scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+    return (res.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
             .select("query_id", "rank", id_col, "score"))
 
 
+_PAIRS = T.StructType([T.StructField("id_a", T.LongType()), T.StructField("id_b", T.LongType()),
+                       T.StructField("score", T.DoubleType())])
+
+
+def lsh_pairs(vecs: DataFrame, dim: int, threshold: float, bands: int = DEFAULT_BANDS,
+              bits: int = DEFAULT_BITS, id_col: str = "file_id", vec_col: str = "embedding",
+              max_group_rows: int = 4096) -> DataFrame:
+    """Approximate similarity self-join: pairs (id_a < id_b) that share a key
+    in at least one band and whose exact cosine is >= ``threshold``.
+
+    Rows are grouped by (band, key). A bucket larger than ``max_group_rows``
+    (e.g. near copies, or one source holding a third of the rows) is salted:
+    its rows are hashed into s blocks and each unordered block pair is its
+    own group, so no group exceeds two blocks. Inside a group one matrix
+    product scores the pairs and only those over the threshold are emitted;
+    a pair found in several bands is kept once."""
+    from filelens.operators.dense import cosine_matrix
+    k = band_keys(vecs, dim, bands, bits, id_col, vec_col)
+    rows = k.join(vecs.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), "id")
+    sizes = k.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
+    hot = sizes.where(F.col("n") > max_group_rows) \
+        .select("band", "key", F.ceil(F.col("n") / F.lit(float(max_group_rows))).cast("int").alias("s"))
+    rows = rows.join(maybe_broadcast(hot), ["band", "key"], "left").withColumn("s", F.coalesce("s", F.lit(1)))
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("s")).cast("int"))
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    rows = rows.withColumn("lo", F.least("blk", "x")).withColumn("hi", F.greatest("blk", "x")).drop("x")
+    # many buckets share a group: about max_group_rows rows of a band per group
+    n = vecs.count()
+    parts = max(1, math.ceil(n / max_group_rows))
+    rows = rows.withColumn("kp", F.pmod(F.col("key"), F.lit(parts)))
+
+    def score(tbl: pa.Table) -> pa.Table:
+        blk = tbl.column("blk").to_numpy()
+        key = tbl.column("key").to_numpy()
+        lo = int(tbl.column("lo")[0].as_py())
+        hi = int(tbl.column("hi")[0].as_py())
+        ids = tbl.column("id").to_numpy()
+        mat, valid = dense_matrix(tbl.column("v"), dim)
+        norms = np.sqrt(np.einsum("ij,ij->i", mat, mat))
+        norms[~valid] = 0.0
+        order = np.argsort(key, kind="stable")
+        bounds = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True])
+        out_a, out_b, out_s = [], [], []
+        for i in range(len(bounds) - 1):
+            seg = order[bounds[i]:bounds[i + 1]]
+            left = seg[blk[seg] == lo]
+            right = seg[blk[seg] == hi]
+            if len(left) == 0 or len(right) == 0:
+                continue
+            s = cosine_matrix(mat[left], valid[left], mat[right], norms[right])
+            m = s >= threshold
+            li, ri = ids[left], ids[right]
+            if lo == hi:
+                m &= li[:, None] < ri[None, :]
+            r, c = np.nonzero(m)
+            a, b = li[r], ri[c]
+            out_a.append(np.minimum(a, b))
+            out_b.append(np.maximum(a, b))
+            out_s.append(s[r, c])
+        if not out_a:
+            return pa.table({"id_a": pa.array([], pa.int64()), "id_b": pa.array([], pa.int64()),
+                             "score": pa.array([], pa.float64())})
+        return pa.table({"id_a": np.concatenate(out_a), "id_b": np.concatenate(out_b),
+                         "score": np.concatenate(out_s)})
+
+    pairs = rows.groupBy("band", "kp", "lo", "hi").applyInArrow(score, _PAIRS)
+    return pairs.groupBy("id_a", "id_b").agg(F.max("score").alias("score"))
+
+
 def ann_recall(approx: DataFrame, exact: DataFrame, k: int, id_col: str = "file_id") -> DataFrame:
     """Per query: share of the exact top-k ids the approximate list found."""
     e = exact.where(F.col("rank") <= k).select("query_id", id_col)

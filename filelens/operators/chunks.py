@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filelens.operators.common import spread
 from filelens.operators.dense import dense_search
 
 # Fixed chunk geometry: 1000 characters, a new chunk every 800 (200 overlap).
@@ -20,7 +21,7 @@ def chunk_docs(docs: DataFrame, size: int = CHUNK_SIZE, step: int = CHUNK_STEP,
     chunk i starts at i*step, n = max(ceil((len - (size-step)) / step), 1).
     Narrow (explode inside each scan task): no shuffle."""
     n = F.greatest(F.ceil((F.length(text_col) - (size - step)) / F.lit(float(step))), F.lit(1)).cast("int")
-    ex = docs.select(id_col, text_col, F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    ex = spread(docs, id_col).select(id_col, text_col, F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
     return ex.select(id_col, F.col("chunk_no").cast("bigint").alias("chunk_no"),
                      (F.col("chunk_no") * step).cast("bigint").alias("start"),
                      F.substring(F.col(text_col), F.col("chunk_no") * step + 1, size).alias("chunk"),

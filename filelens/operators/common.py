@@ -45,3 +45,14 @@ def global_rank(df: DataFrame, order_cols: list, name: str = "rank") -> DataFram
     out = numbered.join(F.broadcast(offsets), "_pid")
     return out.withColumn(name, (F.col("_off") + F.col("_loc") + 1).cast("bigint")) \
         .drop("_mid", "_pid", "_loc", "_off")
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread CPU-heavy per-row work (regex, hashing, matrix products) over
+    all task slots when the scan yields fewer partitions than the cluster's
+    parallelism -- e.g. a file written as one row group. At scale a scan has
+    far more splits than slots and this is a no-op (no extra shuffle)."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, key) if key else df.repartition(slots)

@@ -213,8 +213,9 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int | None = 5, *,
     spark = corpus.sparkSession
     if dim is None:
         dim = infer_dim(queries, qvec_col)
+    from filelens.operators.common import spread
     cols = [id_col] + payload + [vec_col]
-    src = corpus.select(*cols)
+    src = spread(corpus.select(*cols))
     fields = {f.name: f for f in src.schema.fields}
     out_schema = T.StructType([fields[id_col]] + [fields[p] for p in payload] + [
         T.StructField("score", T.DoubleType(), True),

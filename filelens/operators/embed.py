@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 
 from filelens.functions import text as X
 from filelens.functions import vectors as V
-from filelens.operators.common import global_rank, maybe_broadcast
+from filelens.operators.common import global_rank, maybe_broadcast, spread
 from filelens.schema import EMBEDDING_DIM, MAX_SEQ_LEN
 
 
 def word_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, pos, tok): every word of every text, positions from 0."""
-    return docs.select(id_col, F.posexplode(X.words(text_col)).alias("pos", "tok"))
+    return spread(docs, id_col).select(id_col, F.posexplode(X.words(text_col)).alias("pos", "tok"))
 
 
 def vocab_build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Vocabulary of the corpus: (tok, cnt, token_id). Ids follow the order
     (count desc, token asc) and start after the reserved ids (pad, cls,
     sep, unk). Counting is partial-then-final; the ranking is a range sort."""
-    counts = (docs.select(F.explode(X.words(text_col)).alias("tok"))
+    counts = (spread(docs, id_col).select(F.explode(X.words(text_col)).alias("tok"))
               .groupBy("tok").agg(F.count(F.lit(1)).alias("cnt")))
     ranked = global_rank(counts, [F.desc("cnt"), F.asc("tok")], "r")
     return ranked.select("tok", "cnt", (F.col("r") + X.FIRST_WORD_ID - 1).cast("bigint").alias("token_id"))
@@ -62,7 +62,7 @@ def hashed_terms(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_i
                  text_col: str = "text") -> DataFrame:
     """Sparse hashed-term vectors of whole texts: (id, bucket, weight) with
     weight = tf / ||tf||2 (feature hashing of md5 buckets)."""
-    tf = (docs.select(id_col, F.explode(X.words(text_col)).alias("tok"))
+    tf = (spread(docs, id_col).select(id_col, F.explode(X.words(text_col)).alias("tok"))
           .select(id_col, X.hash_bucket("tok", dim).alias("bucket"))
           .groupBy(id_col, "bucket").agg(F.count(F.lit(1)).alias("tf")))
     nrm = Window.partitionBy(id_col)
@@ -93,7 +93,7 @@ def hashed_embed(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_i
     hashed-term weights. Each document's entries (at most ``dim``) are
     gathered in one bounded group; texts with no word get the zero vector
     (``explode_outer`` keeps them, so no join back to the documents)."""
-    toks = docs.select(id_col, F.explode_outer(X.words(text_col)).alias("tok"))
+    toks = spread(docs, id_col).select(id_col, F.explode_outer(X.words(text_col)).alias("tok"))
     tf = (toks.select(id_col, "tok", X.hash_bucket("tok", dim).alias("bucket"))
           .groupBy(id_col, "bucket").agg(F.count("tok").alias("tf")))
     per_doc = tf.groupBy(id_col).agg(
@@ -119,7 +119,7 @@ def masked_mean_pool(docs: DataFrame, token_table: DataFrame, n_tokens: int,
     Tokens are first counted per (document, token id), so the token-vector
     join sees each distinct token once per document; the lookup table is
     broadcast only when its counted size allows."""
-    toks = (docs.select(id_col, F.explode(X.words(text_col)).alias("tok"))
+    toks = (spread(docs, id_col).select(id_col, F.explode(X.words(text_col)).alias("tok"))
             .select(id_col, X.hash_bucket("tok", n_tokens).alias("tid")))
     counts = toks.groupBy(id_col, "tid").agg(F.count(F.lit(1)).alias("c"))
     n_real = counts.groupBy(id_col).agg(F.sum("c").alias("n_real"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filelens.functions import text as X
-from filelens.operators.common import maybe_broadcast
+from filelens.operators.common import maybe_broadcast, spread
 
 # Fixed BM25 parameters and the reciprocal-rank-fusion constant.
 BM25_K1 = 1.2
@@ -19,7 +19,7 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Words are counted partially inside the scan task of their document, so a
     hot word is pre-aggregated per task before the (tok, doc) shuffle."""
-    w = docs.select(F.col(id_col).alias("doc"), F.explode(X.words(text_col)).alias("tok"))
+    w = spread(docs, id_col).select(F.col(id_col).alias("doc"), F.explode(X.words(text_col)).alias("tok"))
     return w.groupBy("tok", "doc").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -29,21 +29,29 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str =
     """Top-k documents per query by BM25 over the distinct query words.
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); doc length = word count.
-    Plan: postings -> df per word (partial/final count) -> query words joined
-    to the postings on the word. The query side is broadcast when its
-    counted size allows, so the large postings side is never shuffled on a
-    (possibly hot) word; per-(query, doc) sums are then cut to k per query
-    with a WindowGroupLimit (partial top-k before the final exchange)."""
-    post = postings(docs, id_col, text_col)
-    dl = post.groupBy("doc").agg(F.sum("tf").alias("dl"))
-    stats = dl.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+
+    Plan: the query batch's words (counted, then broadcast when the count is
+    under the limit) filter the document words *before* the postings
+    shuffle, so only words some query asks for are counted per (word, doc);
+    document length rides along in each row (no join back). df comes from
+    those filtered postings; N and avgdl from one aggregate over the texts.
+    Per-(query, doc) sums are cut to k per query by a row_number window
+    (Spark plans a partial WindowGroupLimit before its exchange)."""
+    qw = queries.select(F.col(qid_col).alias("query_id"),
+                        F.explode(F.array_distinct(X.words(text_col))).alias("tok"))
+    n_qw = qw.count()
+    qtok = maybe_broadcast(qw.select("tok").distinct(), rows=n_qw)
+    dw = spread(docs, id_col).select(F.col(id_col).alias("doc"), X.words(text_col).alias("ws"))
+    dw = dw.select("doc", "ws", F.size("ws").alias("dl"))
+    stats = dw.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    post = (dw.select("doc", "dl", F.explode("ws").alias("tok"))
+            .join(qtok, "tok", "left_semi")
+            .groupBy("tok", "doc", "dl").agg(F.count(F.lit(1)).alias("tf")))
     df_ = post.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    qw = queries.select(F.col(qid_col).alias("query_id"), F.explode(F.array_distinct(X.words(text_col))).alias("tok"))
-    qw = qw.join(df_, "tok")  # words no document has add nothing
-    qw = _with_stats(qw, stats)
-    qw = qw.withColumn("idf", F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    qb = maybe_broadcast(qw.select("query_id", "tok", "idf", "avgdl"))
-    hits = post.join(qb, "tok").join(dl, "doc")
+    qi = _with_stats(qw.join(df_, "tok"), stats)
+    qi = qi.select("query_id", "tok", "avgdl",
+                   F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    hits = post.join(maybe_broadcast(qi, rows=n_qw), "tok")
     norm = F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
     contrib = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
     scores = hits.groupBy("query_id", "doc").agg(F.round(F.sum(contrib), 6).alias("score"))

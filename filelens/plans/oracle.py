@@ -344,8 +344,11 @@ ev AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, unnest(range(len(emb
 pr AS (SELECT ev.id, pl.band, pl.bit, sum(ev.x * pl.p) AS s FROM ev JOIN pl USING (dim) GROUP BY ALL),
 bk AS (SELECT id, band, sum(CASE WHEN s > 0 THEN (1 << bit) ELSE 0 END) AS key FROM pr GROUP BY ALL)"""
 
-SQL["lsh_candidates"] = with_(_LSH) + """
-SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM bk a JOIN bk b ON a.band = b.band AND a.key = b.key AND a.id < b.id"""
+SQL["lsh_candidates"] = with_(_LSH) + f""",
+c AS (SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM bk a JOIN bk b ON a.band = b.band AND a.key = b.key AND a.id < b.id),
+s AS (SELECT c.id_a, c.id_b, {cos('ea.embedding', 'eb.embedding')} AS score
+      FROM c JOIN embeddings ea ON ea.vec_id = c.id_a JOIN embeddings eb ON eb.vec_id = c.id_b)
+SELECT id_a, id_b, score FROM s WHERE score >= 0.3"""
 
 _ANN = _LSH + f""",
 cand AS (SELECT DISTINCT q.id AS query_id, c.id AS file_id FROM bk q JOIN bk c ON q.band = c.band AND q.key = c.key

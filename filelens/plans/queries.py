@@ -366,7 +366,7 @@ def _dim(spark, sf_dir):
 @register("lsh_candidates")
 def q_lsh_candidates(spark, sf_dir):
     from filelens.operators import ann
-    return ann.lsh_candidates(tables.vectors(spark, sf_dir), _dim(spark, sf_dir), LSH_BANDS, LSH_BITS)
+    return ann.lsh_pairs(tables.vectors(spark, sf_dir), _dim(spark, sf_dir), SCORE_THRESHOLD, LSH_BANDS, LSH_BITS)
 
 
 @register("ann_topk")
