@@ -1,0 +1,103 @@
+"""Plug-in points for a real tokenizer and embedding model.
+
+Both run inside Spark tasks as iterator pandas UDFs: the model or tokenizer
+file is loaded once per Python worker and reused for every Arrow batch of
+that task (no process per text). The default pipeline needs neither: it
+uses the vocabulary job and the hashed-term embedder.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from filelens.schema import L2_EPS, MAX_SEQ_LEN
+
+ENCODING = T.StructType([
+    T.StructField("input_ids", T.ArrayType(T.LongType())),
+    T.StructField("attention_mask", T.ArrayType(T.LongType())),
+])
+
+
+def tokenizer_udf(tokenizer_json: str, max_len: int = MAX_SEQ_LEN):
+    """text -> struct(input_ids, attention_mask), both exactly ``max_len``
+    (truncate, pad with 0; mask 0 on pads). ``tokenizer_json`` is a file in
+    the ``tokenizers`` format, readable from every executor. A text that
+    fails to encode gives NULL."""
+
+    @F.pandas_udf(ENCODING)
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(tokenizer_json)
+        tok.enable_truncation(max_len)
+        tok.enable_padding(length=max_len, pad_id=0)
+        for texts in batches:
+            ids, masks = [], []
+            for t in texts:
+                if t is None:
+                    ids.append(None)
+                    masks.append(None)
+                    continue
+                e = tok.encode(t)
+                ids.append(list(e.ids))
+                masks.append(list(e.attention_mask))
+            yield pd.DataFrame({"input_ids": ids, "attention_mask": masks})
+
+    return encode
+
+
+def masked_mean_np(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """[b, seq, h] token outputs -> [b, h]: mean over mask != 0 (divisor 1
+    when a row has no unmasked token), then L2 normalised."""
+    m = (mask != 0).astype(np.float32)[..., None]
+    s = (hidden * m).sum(axis=1)
+    n = np.maximum(m.sum(axis=1), 1.0)
+    v = s / n
+    return v / np.sqrt(np.maximum((v * v).sum(axis=1, keepdims=True), L2_EPS))
+
+
+def onnx_embedder_udf(model_path: str, tokenizer_json: str, max_len: int = MAX_SEQ_LEN,
+                      intra_threads: int = 1):
+    """text -> array<float> unit vector with an ONNX sentence model.
+
+    Inputs are matched by substring of their names (ids / mask / type);
+    output 0 is read: rank 3 [b, seq, h] is mask-mean pooled, rank 2 [b, h]
+    is taken as pooled. Any failure gives NULL for that batch's rows."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import onnxruntime as ort
+        from tokenizers import Tokenizer
+
+        opts = ort.SessionOptions()
+        opts.intra_op_num_threads = intra_threads
+        sess = ort.InferenceSession(model_path, opts)
+        tok = Tokenizer.from_file(tokenizer_json)
+        tok.enable_truncation(max_len)
+        tok.enable_padding(length=max_len, pad_id=0)
+        names = [i.name for i in sess.get_inputs()]
+        for texts in batches:
+            try:
+                enc = tok.encode_batch([t or "" for t in texts])
+                ids = np.array([e.ids for e in enc], dtype=np.int64)
+                mask = np.array([e.attention_mask for e in enc], dtype=np.int64)
+                feed = {}
+                for n in names:
+                    if "ids" in n:
+                        feed[n] = ids
+                    elif "mask" in n:
+                        feed[n] = mask
+                    elif "type" in n:
+                        feed[n] = np.zeros_like(ids)
+                out = sess.run(None, feed)[0]
+                pooled = masked_mean_np(out, mask) if out.ndim == 3 else masked_mean_np(out[:, None, :], mask[:, :1])
+                yield pd.Series([v.astype(np.float32).tolist() for v in pooled])
+            except Exception:  # noqa: BLE001 -- a failed batch is NULL, never a failed job
+                yield pd.Series([None] * len(texts))
+
+    return embed

