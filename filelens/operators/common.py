@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filelens.session import checkpoint_dir
+from filelens.session import checkpoint_dir, scratch_path
 
 # Largest row count of a side we are willing to broadcast after counting it.
 BROADCAST_MAX_ROWS = 2_000_000
@@ -18,6 +18,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a Parquet table under the shared checkpoint folder
+    and read it back: an intermediate that several branches of a plan read
+    is computed once (columnar, compressed, pruned on read), and the lineage
+    is cut, so a lost executor re-reads the table instead of recomputing it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` only when its counted size is under ``max_rows``;
     otherwise leave the join to a shuffle join (AQE splits skewed parts)."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filelens.functions import text as X
-from filelens.operators.common import maybe_broadcast, spread
+from filelens.operators.common import materialized, maybe_broadcast, spread
 
 # Fixed BM25 parameters and the reciprocal-rank-fusion constant.
 BM25_K1 = 1.2
@@ -33,20 +33,26 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str =
     Plan: the query batch's words (counted, then broadcast when the count is
     under the limit) filter the document words *before* the postings
     shuffle, so only words some query asks for are counted per (word, doc);
-    document length rides along in each row (no join back). df comes from
-    those filtered postings; N and avgdl from one aggregate over the texts.
+    document length rides along in each row (no join back). The texts are
+    split into words once: N and avgdl come from per-document marker rows of
+    the same written postings table that gives df and the hits.
     Per-(query, doc) sums are cut to k per query by a row_number window
     (Spark plans a partial WindowGroupLimit before its exchange)."""
     qw = queries.select(F.col(qid_col).alias("query_id"),
                         F.explode(F.array_distinct(X.words(text_col))).alias("tok"))
     n_qw = qw.count()
-    qtok = maybe_broadcast(qw.select("tok").distinct(), rows=n_qw)
+    qtok = maybe_broadcast(qw.select("tok").distinct().withColumn("_hit", F.lit(True)), rows=n_qw)
+    # one pass over the texts: every document also emits one NULL marker word
+    # that carries its length, so corpus statistics and postings come out of
+    # the same aggregate, which is written once and read by every branch
     dw = spread(docs, id_col).select(F.col(id_col).alias("doc"), X.words(text_col).alias("ws"))
-    dw = dw.select("doc", "ws", F.size("ws").alias("dl"))
-    stats = dw.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    post = (dw.select("doc", "dl", F.explode("ws").alias("tok"))
-            .join(qtok, "tok", "left_semi")
-            .groupBy("tok", "doc", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    ex = dw.select("doc", F.size("ws").alias("dl"),
+                   F.explode(F.concat(F.array(F.lit(None).cast("string")), "ws")).alias("tok"))
+    kept = ex.join(qtok, "tok", "left").where(F.col("_hit") | F.col("tok").isNull())
+    agg = materialized(kept.groupBy("tok", "doc", "dl").agg(F.count(F.lit(1)).alias("tf")), "bm25-postings")
+    stats = (agg.where(F.col("tok").isNull())
+             .agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
+    post = agg.where(F.col("tok").isNotNull())
     df_ = post.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     qi = _with_stats(qw.join(df_, "tok"), stats)
     qi = qi.select("query_id", "tok", "avgdl",
