@@ -3,6 +3,8 @@ fixed-length encodings."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ def hash_bucket(token, n_buckets: int) -> Column:
     return (h % F.lit(n_buckets)).cast("bigint")
 
 
+def hash_bucket_py(token: str, n_buckets: int) -> int:
+    """The same bucket as :func:`hash_bucket`, for code inside Arrow batches."""
+    return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:7], 16) % n_buckets
+
+
 def content_hash(text) -> Column:
     return F.sha2(_c(text), 256)
 

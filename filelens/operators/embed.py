@@ -3,8 +3,12 @@ hashed-term embeddings, masked mean pooling, centroids, vector health."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filelens.functions import text as X
 from filelens.functions import vectors as V
@@ -70,38 +74,52 @@ def hashed_terms(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_i
         .select(id_col, "bucket", "weight")
 
 
-def scatter_dense(entries, divisor, dim: int):
-    """Dense array<double> of ``dim`` from sorted distinct (bucket, tf)
-    entries, each value divided by ``divisor``: every entry contributes the
-    zero gap before it and its value, so the work is O(dim) per row."""
-    es = F.col(entries)
-    nrm = F.col(divisor)
-
-    def piece(e, j):
-        prev_end = F.when(j == 0, F.lit(0)).otherwise(F.get(es, j - 1)["bucket"] + 1)
-        gap = F.array_repeat(F.lit(0.0).cast("double"), (e["bucket"] - prev_end).cast("int"))
-        return F.concat(gap, F.array((e["tf"] / nrm).cast("double")))
-
-    last_end = F.coalesce(F.try_element_at(es, F.lit(-1))["bucket"] + 1, F.lit(0))
-    tail = F.array_repeat(F.lit(0.0).cast("double"), (F.lit(dim) - last_end).cast("int"))
-    return F.concat(F.flatten(F.transform(es, piece)), tail)
+# Distinct words whose bucket a task keeps cached (a cache only: the
+# bucket is recomputed after a reset, so results do not depend on it).
+BUCKET_CACHE_WORDS = 1_000_000
 
 
 def hashed_embed(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """Dense unit vectors (id, embedding array<double> of ``dim``) from the
-    hashed-term weights. Each document's entries (at most ``dim``) are
-    gathered in one bounded group; texts with no word get the zero vector
-    (``explode_outer`` keeps them, so no join back to the documents)."""
-    toks = spread(docs, id_col).select(id_col, F.explode_outer(X.words(text_col)).alias("tok"))
-    tf = (toks.select(id_col, "tok", X.hash_bucket("tok", dim).alias("bucket"))
-          .groupBy(id_col, "bucket").agg(F.count("tok").alias("tf")))
-    per_doc = tf.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.when(F.col("tf") > 0, F.struct("bucket", "tf")))).alias("es"),
-        F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("nrm"))
-    zero = F.array_repeat(F.lit(0.0).cast("double"), dim)
-    return per_doc.select(id_col, F.when(F.size("es") == 0, zero)
-                          .otherwise(scatter_dense("es", "nrm", dim)).alias("embedding"))
+    """Dense unit vectors (id, embedding array<double> of ``dim``): term
+    counts of the md5 buckets of every word of the whole text, divided by
+    their L2 norm; a text with no word gets the zero vector.
+
+    Embedding a text is a per-row map, so the plan has no shuffle: the JVM
+    splits words (same expression as everywhere else), and inside each
+    Arrow batch the distinct words are dictionary-encoded, each distinct
+    word is hashed once (cached per task), and one ``bincount`` over
+    (row, bucket) gives the counts of the whole batch. The sparse
+    (id, bucket, weight) form of the same vectors is :func:`hashed_terms`."""
+    src = spread(docs, id_col).select(F.col(id_col).alias("_id"), X.words(text_col).alias("_ws"))
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType),
+                           T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        cache: dict[str, int] = {}
+        for rb in batches:
+            n = rb.num_rows
+            ws = rb.column(1)
+            lens = pc.fill_null(pc.list_value_length(ws), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            enc = pc.dictionary_encode(pc.list_flatten(ws))
+            if len(cache) > BUCKET_CACHE_WORDS:
+                cache.clear()
+            words = enc.dictionary.to_pylist()
+            bk = np.empty(len(words), dtype=np.int64)
+            for i, w in enumerate(words):
+                b = cache.get(w)
+                if b is None:
+                    b = cache[w] = X.hash_bucket_py(w, dim)
+                bk[i] = b
+            idx = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+            tf = np.bincount(rows * dim + bk[idx], minlength=n * dim).reshape(n, dim).astype(np.float64)
+            nrm = np.sqrt((tf * tf).sum(axis=1))[:, None]
+            vec = np.divide(tf, nrm, out=np.zeros_like(tf), where=nrm > 0)
+            emb = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(vec.ravel()))
+            yield pa.RecordBatch.from_arrays([rb.column(0), emb], [id_col, "embedding"])
+
+    return src.mapInArrow(run, schema)
 
 
 def masked_mean_pool(docs: DataFrame, token_table: DataFrame, n_tokens: int,

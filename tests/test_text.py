@@ -58,6 +58,20 @@ def test_hashed_embed_unit_and_empty(spark):
     assert sum(x * x for x in out[2]) == pytest.approx(1.0)
 
 
+def test_hashed_embed_equals_sparse_terms(spark):
+    """The Arrow-batched dense vectors and the JVM sparse (bucket, weight)
+    rows are two forms of the same vectors."""
+    texts = ["the cat sat on the mat", "", None, "a b c a b a", "Über straße 42 ÜBER", "x " * 5000]
+    docs = _docs(spark, texts)
+    dense = {r.doc_id: r.embedding for r in embed.hashed_embed(docs, dim=8).collect()}
+    sparse = {}
+    for r in embed.hashed_terms(docs, dim=8).collect():
+        sparse.setdefault(r.doc_id, [0.0] * 8)[r.bucket] = r.weight
+    assert set(dense) == set(range(len(texts)))
+    for i in range(len(texts)):
+        assert dense[i] == pytest.approx(sparse.get(i, [0.0] * 8), abs=1e-15)
+
+
 def test_chunks_cover_whole_text(spark):
     texts = ["x" * n for n in (0, 1, 1000, 1001, 1800, 5000)]
     c = chunks.chunk_docs(_docs(spark, texts)).collect()
