@@ -145,7 +145,7 @@ def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, dim: int | None
     top-k per query. The corpus is scanned once and never shuffled; only
     k rows per query and task reach the final window. Not exact: see
     :func:`ann_recall`."""
-    from filelens.operators.dense import DEFAULT_BLOCK_BYTES, _query_blocks, infer_dim
+    from filelens.operators.dense import DEFAULT_BLOCK_BYTES, blockwise, infer_dim
     if dim is None:
         dim = infer_dim(queries, qvec_col)
     P = planes(bands, bits, dim)
@@ -153,20 +153,18 @@ def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, dim: int | None
     src = spread(corpus.select(id_col, vec_col))
     schema = T.StructType([src.schema[id_col], T.StructField("score", T.DoubleType()),
                            T.StructField("query_id", T.LongType())])
-    parts = []
-    for ids, qmat, qnorm in _query_blocks(queries, qid_col, qvec_col, dim, DEFAULT_BLOCK_BYTES):
+
+    def per_block(ids, qmat, qnorm):
         qkeys = _keys_np(qmat, qnorm > 0, P, bands, bits)
         bc = spark.sparkContext.broadcast((ids, qmat, qnorm, qkeys, P))
-        parts.append(src.mapInArrow(_ann_kernel(bc, k, id_col, vec_col, dim, bands, bits), schema))
-    if not parts:
-        return spark.createDataFrame([], schema).select("query_id", F.lit(0).cast("bigint").alias("rank"),
-                                                         id_col, "score")
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
-    return (res.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
-            .select("query_id", "rank", id_col, "score"))
+        res = src.mapInArrow(_ann_kernel(bc, k, id_col, vec_col, dim, bands, bits), schema)
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
+        return (res.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+                .select("query_id", "rank", id_col, "score")), bc
+
+    empty = spark.createDataFrame([], schema).select("query_id", F.lit(0).cast("bigint").alias("rank"),
+                                                     id_col, "score")
+    return blockwise(queries, qid_col, qvec_col, dim, DEFAULT_BLOCK_BYTES, per_block, empty)
 
 
 _PAIRS = T.StructType([T.StructField("id_a", T.LongType()), T.StructField("id_b", T.LongType()),

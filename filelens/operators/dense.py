@@ -18,6 +18,7 @@ only materialised for kept candidates, so no join back to the corpus.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -172,13 +173,24 @@ def _kernel(bc, k, threshold, id_col: str, vec_col: str, payload: list[str], dim
 def _query_blocks(queries: DataFrame, qid_col: str, qvec_col: str, dim: int, block_bytes: int):
     """Yield bounded blocks of (ids, matrix, norms) from the query DataFrame.
 
-    The row count decides the number of blocks; rows are assigned to blocks
-    by a hash of their id, each block is collected on its own."""
+    The row count decides the number of blocks. With one block the queries
+    are collected as they are; with several, they are written once to the
+    shared scratch folder partitioned by a hash of their id, so each block
+    is read alone (partition pruning) instead of filtering the whole query
+    set once per block."""
     n = queries.count()
     n_blocks = max(1, math.ceil(n * dim * 8 / block_bytes))
     q = queries.select(F.col(qid_col).cast("bigint").alias("qid"), F.col(qvec_col).alias("qvec"))
-    for b in range(n_blocks):
-        part = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b)
+    if n_blocks == 1:
+        reads = [q]
+    else:
+        from filelens.session import scratch_path
+        path = scratch_path(queries.sparkSession, "query-blocks")
+        q.withColumn("blk", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).cast("int")) \
+            .write.mode("errorifexists").partitionBy("blk").parquet(path)
+        stored = queries.sparkSession.read.parquet(path)
+        reads = (stored.where(F.col("blk") == b).select("qid", "qvec") for b in range(n_blocks))
+    for part in reads:
         tbl = part.toArrow()
         if tbl.num_rows == 0:
             continue
@@ -189,6 +201,33 @@ def _query_blocks(queries: DataFrame, qid_col: str, qvec_col: str, dim: int, blo
         yield ids, qmat, qnorm
 
 
+def blockwise(queries: DataFrame, qid_col: str, qvec_col: str, dim: int, block_bytes: int,
+              per_block, empty: DataFrame) -> DataFrame:
+    """Union over bounded query blocks of ``per_block(ids, qmat, qnorm)`` ->
+    (finished result for the queries of that block, its broadcast). Every
+    query lives in exactly one block, so the union needs no further ranking.
+
+    One block: its lazy plan. Several: each block runs as its own job --
+    broadcast, corpus scan, per-query cut -- appending to a results table
+    in the shared scratch folder, and its broadcast is released before the
+    next; the plan never grows with the number of blocks."""
+    blocks = _query_blocks(queries, qid_col, qvec_col, dim, block_bytes)
+    first = next(blocks, None)
+    if first is None:
+        return empty
+    second = next(blocks, None)
+    if second is None:
+        return per_block(*first)[0]
+    from filelens.session import scratch_path
+    spark = queries.sparkSession
+    path = scratch_path(spark, "block-results")
+    for blk in itertools.chain([first, second], blocks):
+        df, bc = per_block(*blk)
+        df.write.mode("append").parquet(path)
+        bc.unpersist()
+    return spark.read.parquet(path)
+
+
 def infer_dim(corpus: DataFrame, vec_col: str) -> int:
     """Most common vector length of the corpus (one aggregate job)."""
     row = (corpus.select(F.size(vec_col).alias("d")).where(F.col("d") > 0)
@@ -223,24 +262,21 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int | None = 5, *,
     if k == 0:
         empty = spark.createDataFrame([], out_schema)
         return empty.select("query_id", F.lit(0).cast("bigint").alias("rank"), id_col, *payload, "score")
-    parts = []
-    for ids, qmat, qnorm in _query_blocks(queries, qid_col, qvec_col, dim, block_bytes):
+
+    def per_block(ids, qmat, qnorm):
         bc = spark.sparkContext.broadcast((ids, qmat, qnorm))
-        parts.append(src.mapInArrow(_kernel(bc, k, threshold, id_col, vec_col, payload, dim, group_col),
-                                    out_schema))
-    if not parts:
-        res = spark.createDataFrame([], out_schema)
-    else:
-        res = parts[0]
-        for p in parts[1:]:
-            res = res.unionByName(p)
-    if group_col is not None:
-        wg = Window.partitionBy("query_id", group_col).orderBy(F.desc("score"), F.asc(id_col))
-        res = res.withColumn("_g", F.row_number().over(wg)).where(F.col("_g") == 1).drop("_g")
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(group_col))
-    else:
-        w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
-    res = res.withColumn("rank", F.row_number().over(w).cast("bigint"))
-    if k is not None:
-        res = res.where(F.col("rank") <= k)
-    return res.select("query_id", "rank", id_col, *payload, "score")
+        res = src.mapInArrow(_kernel(bc, k, threshold, id_col, vec_col, payload, dim, group_col), out_schema)
+        if group_col is not None:
+            wg = Window.partitionBy("query_id", group_col).orderBy(F.desc("score"), F.asc(id_col))
+            res = res.withColumn("_g", F.row_number().over(wg)).where(F.col("_g") == 1).drop("_g")
+            w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(group_col))
+        else:
+            w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
+        res = res.withColumn("rank", F.row_number().over(w).cast("bigint"))
+        if k is not None:
+            res = res.where(F.col("rank") <= k)
+        return res.select("query_id", "rank", id_col, *payload, "score"), bc
+
+    empty = spark.createDataFrame([], out_schema).select(
+        "query_id", F.lit(0).cast("bigint").alias("rank"), id_col, *payload, "score")
+    return blockwise(queries, qid_col, qvec_col, dim, block_bytes, per_block, empty)
