@@ -88,26 +88,15 @@ def run_counters(all_files: DataFrame, delta: DataFrame, changes: DataFrame) ->
                    F.count_if(F.col("status") == "embed_failed").alias("embed_failed"),
                    F.count_if(F.col("status") == "insert").alias("inserted"),
                    F.count_if(F.col("status") == "update").alias("updated"))
-    # three one-row aggregates side by side
-    out = _one_row_join(disc, ch, de)
+    # three one-row aggregates side by side, each a scalar subquery (a
+    # struct of its counts), evaluated once: no join of any kind
+    aggs = [disc, ch, de]
+    row = all_files.sparkSession.range(1).select(
+        *[a.select(F.struct(*a.columns)).scalar().alias(f"_a{i}") for i, a in enumerate(aggs)])
+    out = row.select(*[F.col(f"_a{i}.{c}").alias(c) for i, a in enumerate(aggs) for c in a.columns])
     return out.withColumn("indexed", F.col("inserted") + F.col("updated"))
 
 
-def _one_row_join(*dfs: DataFrame) -> DataFrame:
-    """Join single-row aggregates on a constant key (each side has one row)."""
-    out = None
-    for d in dfs:
-        d = d.withColumn("_one", F.lit(1))
-        out = d if out is None else out.join(F.broadcast(d), "_one")
-    return out.drop("_one")
-
-
-def _attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row (broadcast
-    equi-join on a constant key)."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
-
-
 def lookup_paths(paths: DataFrame, stored: DataFrame) -> DataFrame:
     """Bulk point lookup: for each asked path, whether it is stored, how many
     rows carry it (COUNT per key) and its id and mtime."""
@@ -166,11 +155,12 @@ def model_reindex(index_vectors: DataFrame, stored_meta: DataFrame, run_meta: di
     is missing or of the wrong dimension."""
     spark = index_vectors.sparkSession
     run = spark.createDataFrame(list(run_meta.items()), "key string, run_value string")
-    diff = (stored_meta.join(F.broadcast(run), "key", "inner")
-            .agg(F.count_if(F.col("value") != F.col("run_value")).alias("n_diff")))
+    # one number for the whole run: a scalar subquery, evaluated once
+    n_diff = (stored_meta.join(F.broadcast(run), "key", "inner")
+              .agg(F.count_if(F.col("value") != F.col("run_value"))).scalar())
     dim = str(run_meta.get("embedding_dim", ""))
-    j = _attach_one_row(index_vectors, diff)
-    reason = (F.when(F.col("n_diff") > 0, "model_changed")
+    j = index_vectors
+    reason = (F.when(n_diff > 0, "model_changed")
               .when(F.col("embedding").isNull(), "missing_vector")
               .when(V.vector_dim("embedding").cast("string") != F.lit(dim), "bad_dim"))
     return j.select("file_id", "path", reason.alias("reason")).where(F.col("reason").isNotNull())

@@ -54,9 +54,10 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str =
              .agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
     post = agg.where(F.col("tok").isNotNull())
     df_ = post.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    qi = _with_stats(qw.join(df_, "tok"), stats)
-    qi = qi.select("query_id", "tok", "avgdl",
-                   F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    st = stats.select(F.struct("n_docs", "avgdl")).scalar()  # one row, evaluated once
+    qi = qw.join(df_, "tok").select(
+        "query_id", "tok", st["avgdl"].alias("avgdl"),
+        F.log(1.0 + (st["n_docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     hits = post.join(maybe_broadcast(qi, rows=n_qw), "tok")
     norm = F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
     contrib = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
@@ -68,11 +69,6 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str =
     return ranked.select("query_id", "rank", F.col("doc").alias(id_col), "score")
 
 
-def _with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """Attach the one-row corpus statistics (broadcast on a constant key)."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one").drop("_one")
-
-
 def rrf_fuse(a: DataFrame, b: DataFrame, k: int = 5, id_col: str = "doc_id", c: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (query_id, rank, id):
     score = sum over lists of 1 / (c + rank); a document missing from a list
