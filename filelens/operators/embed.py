@@ -16,11 +16,6 @@ from filelens.operators.common import global_rank, maybe_broadcast, spread
 from filelens.schema import EMBEDDING_DIM, MAX_SEQ_LEN
 
 
-def word_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pos, tok): every word of every text, positions from 0."""
-    return spread(docs, id_col).select(id_col, F.posexplode(X.words(text_col)).alias("pos", "tok"))
-
-
 def vocab_build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Vocabulary of the corpus: (tok, cnt, token_id). Ids follow the order
     (count desc, token asc) and start after the reserved ids (pad, cls,
@@ -40,18 +35,15 @@ def encode_windows(docs: DataFrame, vocab: DataFrame, n: int = MAX_SEQ_LEN,
     gives ceil(w/(n-2)) windows (an empty text gives one window of [CLS][SEP]).
     Output: id, window, input_ids, attention_mask (both length n)."""
     per = n - 2
-    w = word_rows(docs, id_col, text_col)
+    # posexplode_outer: a text without a word keeps one row (pos NULL), so it
+    # still gets its window 0 without a second pass over the texts
+    w = spread(docs, id_col).select(id_col, F.posexplode_outer(X.words(text_col)).alias("pos", "tok"))
     vb = maybe_broadcast(vocab.select("tok", "token_id"))
     ided = w.join(vb, "tok", "left").select(
         id_col, "pos", F.coalesce("token_id", F.lit(X.UNK_ID)).cast("bigint").alias("tid"))
-    ided = ided.withColumn("window", (F.col("pos") / per).cast("bigint"))
-    grouped = ided.groupBy(id_col, "window").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "tid"))).alias("toks"))
-    # texts without a single word still get one window
-    empty = docs.select(id_col).join(ided.select(id_col).distinct(), id_col, "left_anti") \
-        .select(id_col, F.lit(0).cast("bigint").alias("window"),
-                F.array().cast("array<struct<pos:int,tid:bigint>>").alias("toks"))
-    allw = grouped.unionByName(empty)
+    ided = ided.withColumn("window", F.coalesce((F.col("pos") / per).cast("bigint"), F.lit(0).cast("bigint")))
+    allw = ided.groupBy(id_col, "window").agg(
+        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "tid")))).alias("toks"))
     ids = F.concat(F.array(F.lit(X.CLS_ID).cast("bigint")),
                    F.transform("toks", lambda s: s["tid"]),
                    F.array(F.lit(X.SEP_ID).cast("bigint")))
