@@ -33,7 +33,7 @@ def plane_value(band: int, bit: int, d: int) -> float:
 def planes(bands: int, bits: int, dim: int) -> np.ndarray:
     """(bands*bits) x dim matrix; row band*bits + bit."""
     return np.array([[plane_value(b, t, d) for d in range(dim)]
-                     for b in range(bands) for t in range(bits)], dtype=np.float64)
+                     for b in range(bands) for t in range(bits)], dtype=np.float64).reshape(bands * bits, dim)
 
 
 def band_keys(vecs: DataFrame, dim: int, bands: int = DEFAULT_BANDS, bits: int = DEFAULT_BITS,
