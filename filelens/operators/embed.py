@@ -114,6 +114,12 @@ def hashed_embed(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_i
     return src.mapInArrow(run, schema)
 
 
+# Token-vector tables up to this size are broadcast to the pooling map.
+POOL_TABLE_MAX_BYTES = 256 * 1024 * 1024
+# (document, token) pairs weighed per NumPy step inside one Arrow batch.
+POOL_CHUNK_PAIRS = 65536
+
+
 def masked_mean_pool(docs: DataFrame, token_table: DataFrame, n_tokens: int,
                      id_col: str = "doc_id", text_col: str = "text",
                      tok_id_col: str = "vec_id", tok_vec_col: str = "embedding") -> DataFrame:
@@ -122,13 +128,89 @@ def masked_mean_pool(docs: DataFrame, token_table: DataFrame, n_tokens: int,
     Every word of a text is a real (mask 1) token whose vector is the row of
     ``token_table`` with id = md5 bucket of the word mod ``n_tokens``; pad
     positions carry mask 0 and do not count. The mean divides by the number
-    of real tokens (1 when there are none). Result: (id, pos, value), one
-    row per vector element -- the layout Spark aggregates without ever
-    holding a document's tokens together.
+    of real tokens (1 when there are none); a word whose id has no table row
+    counts in the divisor and adds nothing. Result: (id, pos, value), one
+    row per vector element, for the documents with at least one token found
+    in the table.
+
+    Pooling is per-row work. When the table is small enough to broadcast
+    (checked: rows x dimension x 8 bytes, one vector length, unique ids) it
+    runs as an Arrow-batched map with no shuffle: per batch, the (document,
+    token) pairs are counted once and the weighted token vectors are summed
+    per document by a sort-and-reduce. Otherwise the same result comes from
+    a shuffle plan (:func:`_masked_mean_pool_joined`)."""
+    tb = token_table.select(F.col(tok_id_col).cast("bigint").alias("tid"), F.col(tok_vec_col).alias("tv"))
+    st = tb.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tid").alias("nd"),
+                F.count_if(F.col("tv").isNull()).alias("n_null"),
+                F.min(F.size("tv")).alias("dmin"), F.max(F.size("tv")).alias("dmax")).first()
+    dim = st["dmax"] or 0
+    fits = (st["n"] == st["nd"] and st["n_null"] == 0 and st["dmin"] == dim and dim > 0
+            and max(st["n"], n_tokens) * dim * 8 <= POOL_TABLE_MAX_BYTES)
+    if not fits:
+        return _masked_mean_pool_joined(docs, token_table, n_tokens, id_col, text_col, tok_id_col, tok_vec_col)
+    tbl = tb.where((F.col("tid") >= 0) & (F.col("tid") < n_tokens)).toArrow()
+    mat = np.zeros((n_tokens, dim), dtype=np.float64)
+    present = np.zeros(n_tokens, dtype=bool)
+    if tbl.num_rows:
+        tids = tbl.column("tid").to_numpy()
+        mat[tids] = tbl.column("tv").combine_chunks().flatten().to_numpy(
+            zero_copy_only=False).astype(np.float64).reshape(len(tids), dim)
+        present[tids] = True
+    bc = docs.sparkSession.sparkContext.broadcast((mat, present))
+    src = spread(docs, id_col).select(F.col(id_col).alias("_id"), X.words(text_col).alias("_ws"))
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType),
+                           T.StructField("_v", T.ArrayType(T.DoubleType()))])
 
-    Tokens are first counted per (document, token id), so the token-vector
-    join sees each distinct token once per document; the lookup table is
-    broadcast only when its counted size allows."""
+    def run(batches):
+        m, pres = bc.value
+        cache: dict[str, int] = {}
+        for rb in batches:
+            n = rb.num_rows
+            ws = rb.column(1)
+            lens = pc.fill_null(pc.list_value_length(ws), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            enc = pc.dictionary_encode(pc.list_flatten(ws))
+            if len(cache) > BUCKET_CACHE_WORDS:
+                cache.clear()
+            words = enc.dictionary.to_pylist()
+            tmap = np.empty(len(words), dtype=np.int64)
+            for i, w in enumerate(words):
+                t = cache.get(w)
+                if t is None:
+                    t = cache[w] = X.hash_bucket_py(w, n_tokens)
+                tmap[i] = t
+            tid = tmap[enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+            rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+            keys, cnt = np.unique(rows * n_tokens + tid, return_counts=True)  # sorted by row
+            ur, ut = keys // n_tokens, keys % n_tokens
+            hit = pres[ut]
+            ur, ut, cnt = ur[hit], ut[hit], cnt[hit]
+            sums = np.zeros((n, m.shape[1]), dtype=np.float64)
+            for lo in range(0, len(ur), POOL_CHUNK_PAIRS):
+                r = ur[lo:lo + POOL_CHUNK_PAIRS]
+                contrib = cnt[lo:lo + POOL_CHUNK_PAIRS, None].astype(np.float64) * m[ut[lo:lo + POOL_CHUNK_PAIRS]]
+                starts = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
+                sums[r[starts]] += np.add.reduceat(contrib, starts, axis=0)
+            keep = np.zeros(n, dtype=bool)
+            keep[ur] = True
+            vec = sums / np.maximum(lens, 1)[:, None].astype(np.float64)
+            sel = np.flatnonzero(keep)
+            if len(sel) == 0:
+                continue
+            d = m.shape[1]
+            emb = pa.ListArray.from_arrays(pa.array(np.arange(len(sel) + 1, dtype=np.int32) * d),
+                                           pa.array(vec[sel].ravel()))
+            yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(sel)), emb], [id_col, "_v"])
+
+    pooled = src.mapInArrow(run, schema)
+    return pooled.select(id_col, F.posexplode("_v").alias("pos", "value")) \
+        .select(id_col, F.col("pos").cast("bigint").alias("pos"), "value")
+
+
+def _masked_mean_pool_joined(docs: DataFrame, token_table: DataFrame, n_tokens: int,
+                             id_col: str, text_col: str, tok_id_col: str, tok_vec_col: str) -> DataFrame:
+    """Shuffle form of :func:`masked_mean_pool` for token tables too large to
+    broadcast: tokens are counted per (document, token id), so the
+    token-vector join sees each distinct token once per document."""
     toks = (spread(docs, id_col).select(id_col, F.explode(X.words(text_col)).alias("tok"))
             .select(id_col, X.hash_bucket("tok", n_tokens).alias("tid")))
     counts = toks.groupBy(id_col, "tid").agg(F.count(F.lit(1)).alias("c"))

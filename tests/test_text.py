@@ -114,3 +114,24 @@ def test_masked_mean_np():
     v = masked_mean_np(h, np.array([[1, 1, 0]]))
     assert np.allclose(v, [[2 ** -0.5, 2 ** -0.5]])
     assert np.allclose(masked_mean_np(h, np.array([[0, 0, 0]])), 0.0)
+
+
+def test_masked_mean_pool_map_equals_shuffle_form(spark, monkeypatch):
+    texts = ["the cat sat on the mat", "", None, "cat cat cat", "one two three four five six seven"]
+    docs = _docs(spark, texts)
+    # token ids 0..6 exist except 4: words hashing to 4 count in the divisor only
+    table = spark.createDataFrame([(i, [float(i), float(-i), 0.5]) for i in range(7) if i != 4],
+                                  "vec_id long, embedding array<float>")
+
+    def rows(df):
+        return sorted((r.doc_id, r.pos, round(r.value, 9)) for r in df.collect())
+
+    mapped = rows(embed.masked_mean_pool(docs, table, 7))
+    monkeypatch.setattr(embed, "POOL_TABLE_MAX_BYTES", 0)
+    joined = rows(embed.masked_mean_pool(docs, table, 7))
+    assert mapped == joined
+    assert {d for d, _, _ in mapped} <= {0, 3, 4}
+    # a repeated word: the mean of three copies of one token vector is that vector
+    t = X.hash_bucket_py("cat", 7)
+    if t != 4:
+        assert [v for d, _, v in mapped if d == 3] == pytest.approx([float(t), float(-t), 0.5])
