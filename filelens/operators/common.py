@@ -7,8 +7,32 @@ from pyspark.sql import functions as F
 
 from filelens.session import checkpoint_dir, scratch_path
 
-# Largest row count of a side we are willing to broadcast after counting it.
+# Largest side we are willing to broadcast after counting it: a row bound
+# and a byte bound (rows x estimated row width).
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+# Width assumed for a variable-length value when the caller gives none.
+_VAR_BYTES = {"string": 64, "binary": 64}
+_ARRAY_BYTES = 1024
+
+
+def row_bytes(schema) -> int:
+    """Conservative width of one row: fixed-size types by their size,
+    strings 64 bytes, arrays/maps/structs of unknown length 1 KiB."""
+    total = 0
+    for f in schema.fields:
+        t = f.dataType.typeName()
+        if t in ("byte", "boolean"):
+            total += 1
+        elif t in ("short",):
+            total += 2
+        elif t in ("integer", "float", "date"):
+            total += 4
+        elif t in ("long", "double", "timestamp", "timestamp_ntz", "decimal"):
+            total += 8
+        else:
+            total += _VAR_BYTES.get(t, _ARRAY_BYTES)
+    return total + 8
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -28,11 +52,15 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when its counted size is under ``max_rows``;
-    otherwise leave the join to a shuffle join (AQE splits skewed parts)."""
+def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, rows: int | None = None,
+                    width: int | None = None, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when its counted rows are under ``max_rows`` and
+    rows x ``width`` (bytes per row; estimated from the schema when not
+    given) under ``max_bytes``; otherwise leave the join to a shuffle join
+    (AQE splits skewed parts)."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= max_rows else df
+    w = row_bytes(df.schema) if width is None else width
+    return F.broadcast(df) if n <= max_rows and n * w <= max_bytes else df
 
 
 def global_rank(df: DataFrame, order_cols: list, name: str = "rank") -> DataFrame:

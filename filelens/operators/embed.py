@@ -215,7 +215,9 @@ def _masked_mean_pool_joined(docs: DataFrame, token_table: DataFrame, n_tokens:
             .select(id_col, X.hash_bucket("tok", n_tokens).alias("tid")))
     counts = toks.groupBy(id_col, "tid").agg(F.count(F.lit(1)).alias("c"))
     n_real = counts.groupBy(id_col).agg(F.sum("c").alias("n_real"))
-    table = maybe_broadcast(token_table.select(F.col(tok_id_col).alias("tid"), F.col(tok_vec_col).alias("tv")))
+    table = token_table.select(F.col(tok_id_col).alias("tid"), F.col(tok_vec_col).alias("tv"))
+    dim = table.agg(F.max(F.size("tv"))).first()[0] or 0
+    table = maybe_broadcast(table, width=16 + 8 * max(dim, 1))
     elems = counts.join(table, "tid").select(id_col, "c", F.posexplode("tv").alias("pos", "x"))
     sums = elems.groupBy(id_col, "pos").agg(F.sum(F.col("c") * F.col("x").cast("double")).alias("s"))
     return sums.join(n_real, id_col).select(
