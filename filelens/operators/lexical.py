@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filelens.functions import text as X
 from filelens.operators.common import materialized, maybe_broadcast, spread
@@ -23,24 +27,180 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return w.groupBy("tok", "doc").agg(F.count(F.lit(1)).alias("tf"))
 
 
+# Budget of the broadcast (query-vocabulary x queries) idf matrix of the
+# BM25 scoring map, and the (entries x queries) scratch per NumPy step.
+BM25_MATRIX_MAX_BYTES = 128 * 1024 * 1024
+BM25_STEP_BYTES = 32 * 1024 * 1024
+
+
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "doc_id",
               qid_col: str = "query_id", text_col: str = "text",
               k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """Top-k documents per query by BM25 over the distinct query words.
 
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); doc length = word count.
-
-    Plan: the query batch's words (counted, then broadcast when the count is
-    under the limit) filter the document words *before* the postings
-    shuffle, so only words some query asks for are counted per (word, doc);
-    document length rides along in each row (no join back). The texts are
-    split into words once: N and avgdl come from per-document marker rows of
-    the same written postings table that gives df and the hits.
-    Per-(query, doc) sums are cut to k per query by a row_number window
-    (Spark plans a partial WindowGroupLimit before its exchange)."""
-    qw = queries.select(F.col(qid_col).alias("query_id"),
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); doc length = word count;
+    a document scores for a query when it holds at least one of its words;
+    ties by id. ``k`` < 0: no cut.
+
+    Plan (query vocabulary x queries within :data:`BM25_MATRIX_MAX_BYTES`):
+
+    1. One pass over the texts, an Arrow map: each document becomes its
+       length plus the counts of the query words it holds (term ids, tfs);
+       written once to the shared scratch folder.
+    2. N, avgdl and df (per query word) are small aggregates of that table.
+    3. A second map scores each batch of documents against every query at
+       once: sparse (document x term) BM25 weights times the broadcast
+       (term x query) idf matrix, keeping a running top-k per query.
+    4. A row_number window per query cuts the per-task lists to k.
+
+    Nothing is joined: a word in most queries and most documents costs one
+    multiply per document, where a postings join would emit a row for every
+    (document, query) pair that shares it. Beyond the budget the join plan
+    (:func:`_bm25_joined`) gives the same result."""
+    if k is not None and k < 0:
+        k = None
+    qw = queries.select(F.col(qid_col).cast("bigint").alias("query_id"),
                         F.explode(F.array_distinct(X.words(text_col))).alias("tok"))
-    n_qw = qw.count()
+    st = qw.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tok").alias("nt"),
+                F.count_distinct("query_id").alias("nq")).first()
+    if k == 0 or st["n"] == 0:
+        return _bm25_joined(docs, qw, st["n"], k, id_col, text_col, k1, b)
+    if st["nt"] * st["nq"] * 8 > BM25_MATRIX_MAX_BYTES:
+        return _bm25_joined(docs, qw, st["n"], k, id_col, text_col, k1, b)
+    return _bm25_mapped(docs, qw, k, id_col, text_col, k1, b)
+
+
+def _bm25_mapped(docs: DataFrame, qw: DataFrame, k, id_col: str, text_col: str,
+                 k1: float, b: float) -> DataFrame:
+    from filelens.operators.dense import _merge, round_half_up
+    spark = docs.sparkSession
+    pairs = qw.toArrow()  # bounded by the matrix budget checked by the caller
+    toks = pairs.column("tok").to_pylist()
+    qids_all = pairs.column("query_id").to_numpy()
+    vocab = {t: i for i, t in enumerate(sorted(set(toks)))}
+    qids = np.unique(qids_all)
+    qpos = {q: i for i, q in enumerate(qids)}
+    ind = np.zeros((len(vocab), len(qids)), dtype=np.float64)
+    ind[[vocab[t] for t in toks], [qpos[q] for q in qids_all]] = 1.0
+    bv = spark.sparkContext.broadcast(vocab)
+    nt = len(vocab)
+
+    # pass 1: per document its length and the counts of the query words in it
+    src = spread(docs, id_col).select(F.col(id_col).alias("_id"), X.words(text_col).alias("_ws"))
+    p1 = T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("dl", T.LongType()),
+                       T.StructField("terms", T.ArrayType(T.IntegerType())),
+                       T.StructField("tfs", T.ArrayType(T.IntegerType()))])
+
+    def count_terms(batches):
+        voc = bv.value
+        for rb in batches:
+            ws = rb.column(1)
+            have = pc.is_valid(ws)
+            if not pc.all(have).as_py():  # a NULL text is not a document
+                rb = rb.filter(have)
+                ws = rb.column(1)
+            n = rb.num_rows
+            if n == 0:
+                continue
+            lens = pc.list_value_length(ws).to_numpy(zero_copy_only=False).astype(np.int64)
+            enc = pc.dictionary_encode(pc.list_flatten(ws))
+            tmap = np.array([voc.get(w, -1) for w in enc.dictionary.to_pylist()], dtype=np.int64)
+            term = tmap[enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(tmap) else \
+                np.zeros(0, dtype=np.int64)
+            row = np.repeat(np.arange(n, dtype=np.int64), lens)
+            hit = term >= 0
+            keys, tf = np.unique(row[hit] * nt + term[hit], return_counts=True)  # sorted by row
+            r = keys // nt
+            per_row = np.bincount(r, minlength=n)
+            offs = np.r_[0, np.cumsum(per_row)].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                rb.column(0), pa.array(lens),
+                pa.ListArray.from_arrays(pa.array(offs), pa.array((keys % nt).astype(np.int32))),
+                pa.ListArray.from_arrays(pa.array(offs), pa.array(tf.astype(np.int32)))],
+                ["doc", "dl", "terms", "tfs"])
+
+    tf_rows = materialized(src.mapInArrow(count_terms, p1), "bm25-terms")
+
+    # corpus statistics: one row, and one df per query word (bounded by the vocabulary)
+    s = tf_rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    n_docs, avgdl = int(s["n"]), float(s["avgdl"] or 0.0)
+    dfs = tf_rows.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()
+    df_arr = np.zeros(nt, dtype=np.float64)
+    df_arr[dfs.column("t").to_numpy()] = dfs.column("count").to_numpy()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        idf = np.log(1.0 + (n_docs - df_arr + 0.5) / (df_arr + 0.5))
+    idf[df_arr == 0] = 0.0  # no document holds the word: it never contributes
+    wq = ind * idf[:, None]
+    bw = spark.sparkContext.broadcast((wq, qids))
+    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType),
+                        T.StructField("score", T.DoubleType()), T.StructField("query_id", T.LongType())])
+    step = max(1, BM25_STEP_BYTES // (8 * max(1, len(qids))))
+
+    def score(batches):
+        w, qid = bw.value
+        nq = len(qid)
+        best = None
+        for rb in batches:
+            n = rb.num_rows
+            terms, tfs = rb.column("terms"), rb.column("tfs")
+            lens = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+            if n == 0 or lens.sum() == 0:
+                continue
+            t = pc.list_flatten(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+            tf = pc.list_flatten(tfs).to_numpy(zero_copy_only=False).astype(np.float64)
+            row = np.repeat(np.arange(n, dtype=np.int64), lens)
+            dl = rb.column("dl").to_numpy(zero_copy_only=False).astype(np.float64)
+            wt = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+            sc = np.zeros((n, nq), dtype=np.float64)
+            hits = np.zeros((n, nq), dtype=bool)
+            for lo in range(0, len(t), step):
+                r = row[lo:lo + step]
+                contrib = wt[lo:lo + step, None] * w[t[lo:lo + step]]
+                starts = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
+                sc[r[starts]] += np.add.reduceat(contrib, starts, axis=0)
+                hits[r[starts]] |= np.logical_or.reduceat(w[t[lo:lo + step]] > 0, starts, axis=0)
+            sc = np.where(hits, round_half_up(sc), -np.inf)
+            rows_, qs = _candidates(sc, k)
+            if len(rows_) == 0:
+                continue
+            cand = pa.table({id_col: rb.column("doc").take(pa.array(rows_)),
+                             "_q": pa.array(qs.astype(np.int32)), "score": pa.array(sc[rows_, qs])})
+            best = cand if best is None else pa.concat_tables([best, cand])
+            best = _merge(best, k, id_col, None)
+        if best is None or best.num_rows == 0:
+            return
+        tbl = best.drop_columns(["_q"]).append_column("query_id", pa.array(qid[best.column("_q").to_numpy()]))
+        yield from tbl.select([id_col, "score", "query_id"]).to_batches()
+
+    res = tf_rows.mapInArrow(score, out)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
+    ranked = res.withColumn("rank", F.row_number().over(w).cast("bigint"))
+    if k is not None:
+        ranked = ranked.where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", id_col, "score")
+
+
+def _candidates(sc: np.ndarray, k) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) pairs of scored (finite) entries that can still be in a
+    query's top k of this batch."""
+    keep = np.isfinite(sc)
+    n = sc.shape[0]
+    if k is not None and n > k:
+        kth = np.partition(sc, n - k, axis=0)[n - k]
+        keep &= sc >= kth[None, :]
+    return np.nonzero(keep)
+
+
+def _bm25_joined(docs: DataFrame, qw: DataFrame, n_qw: int, k, id_col: str, text_col: str,
+                 k1: float, b: float) -> DataFrame:
+    """BM25 as joins, for query batches whose vocabulary x queries matrix is
+    over budget. The query words (broadcast when their count allows) filter
+    the document words before the postings shuffle; document length rides
+    along in each row. The texts are split once: N and avgdl come from
+    per-document marker rows of the same written postings table that gives
+    df and the hits. Per-(query, doc) sums are cut to k per query by a
+    row_number window (Spark plans a partial WindowGroupLimit before its
+    exchange)."""
     qtok = maybe_broadcast(qw.select("tok").distinct().withColumn("_hit", F.lit(True)), rows=n_qw)
     # one pass over the texts: every document also emits one NULL marker word
     # that carries its length, so corpus statistics and postings come out of
@@ -64,7 +224,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str =
     scores = hits.groupBy("query_id", "doc").agg(F.round(F.sum(contrib), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc"))
     ranked = scores.withColumn("rank", F.row_number().over(w).cast("bigint"))
-    if k is not None and k >= 0:
+    if k is not None:
         ranked = ranked.where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("doc").alias(id_col), "score")
 

@@ -104,3 +104,18 @@ def test_lsh_pairs_hot_bucket_salted(spark, vecs):
     plain = {(r.id_a, r.id_b) for r in ann.lsh_pairs(vecs, 6, 0.5, 1, 0).collect()}
     salted = {(r.id_a, r.id_b) for r in ann.lsh_pairs(vecs, 6, 0.5, 1, 0, max_group_rows=4).collect()}
     assert salted == plain
+
+
+@pytest.mark.parametrize("k", [2, -1])
+def test_bm25_map_equals_join_form(spark, monkeypatch, k):
+    texts = TEXTS + [None, "cat"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    qs = spark.createDataFrame(list(enumerate(QUERIES + [""])), "query_id long, text string")
+
+    def rows(df):
+        return sorted((r.query_id, r.rank, r.doc_id, r.score) for r in df.collect())
+
+    mapped = rows(lexical.bm25_topk(docs, qs, k))
+    monkeypatch.setattr(lexical, "BM25_MATRIX_MAX_BYTES", 0)
+    joined = rows(lexical.bm25_topk(docs, qs, k))
+    assert mapped == joined and mapped
