@@ -173,25 +173,28 @@ def _kernel(bc, k, threshold, id_col: str, vec_col: str, payload: list[str], dim
 def _query_blocks(queries: DataFrame, qid_col: str, qvec_col: str, dim: int, block_bytes: int):
     """Yield bounded blocks of (ids, matrix, norms) from the query DataFrame.
 
-    The row count decides the number of blocks. With one block the queries
-    are collected as they are; with several, they are written once to the
-    shared scratch folder partitioned by a hash of their id, so each block
-    is read alone (partition pruning) instead of filtering the whole query
-    set once per block."""
-    n = queries.count()
-    n_blocks = max(1, math.ceil(n * dim * 8 / block_bytes))
+    A block holds at most ``block_bytes`` of float64 query matrix. The first
+    block is one bounded collect; when the queries do not fit, they are
+    counted and written once to the shared scratch folder partitioned by a
+    hash of their id (hash blocks vary a little around the target size), so
+    each block is read alone (partition pruning) instead of filtering the
+    whole query set once per block."""
     q = queries.select(F.col(qid_col).cast("bigint").alias("qid"), F.col(qvec_col).alias("qvec"))
-    if n_blocks == 1:
-        reads = [q]
+    max_rows = max(1, block_bytes // (max(dim, 1) * 8))
+    # one bounded collect: when it holds every query, it is the only block
+    head = q.limit(max_rows + 1).toArrow()
+    if head.num_rows <= max_rows:
+        reads = [head]
     else:
         from filelens.session import scratch_path
+        n = queries.count()
+        n_blocks = max(2, math.ceil(n * 5 / (4 * max_rows)))  # blocks average 80% of the budget
         path = scratch_path(queries.sparkSession, "query-blocks")
         q.withColumn("blk", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).cast("int")) \
             .write.mode("errorifexists").partitionBy("blk").parquet(path)
         stored = queries.sparkSession.read.parquet(path)
-        reads = (stored.where(F.col("blk") == b).select("qid", "qvec") for b in range(n_blocks))
-    for part in reads:
-        tbl = part.toArrow()
+        reads = (stored.where(F.col("blk") == b).select("qid", "qvec").toArrow() for b in range(n_blocks))
+    for tbl in reads:
         if tbl.num_rows == 0:
             continue
         ids = tbl.column("qid").to_numpy()

@@ -124,7 +124,7 @@ def q_text_search(spark, sf_dir):
     qs = embed.hashed_embed(tables.read(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"),
                             id_col="query_id")
     return dense_search(docs, qs, K, id_col="doc_id", vec_col="embedding",
-                        qid_col="query_id", qvec_col="embedding")
+                        qid_col="query_id", qvec_col="embedding", dim=embed.EMBEDDING_DIM)
 
 
 @register("masked_mean_pool")
@@ -321,7 +321,7 @@ def _semantic(spark, sf_dir, k):
     from filelens.operators.dense import dense_search
     docs = embed.hashed_embed(_docs(spark, sf_dir))
     qs = embed.hashed_embed(_bench_queries(spark, sf_dir), id_col="query_id")
-    return dense_search(docs, qs, k, id_col="doc_id", qid_col="query_id")
+    return dense_search(docs, qs, k, id_col="doc_id", qid_col="query_id", dim=embed.EMBEDDING_DIM)
 
 
 @register("hybrid_topk")
@@ -349,7 +349,7 @@ def q_chunk_search(spark, sf_dir):
                    (F.col("chunk_id") / chunks.CHUNK_ID_SPAN).cast("bigint").alias("doc_id"),
                    (F.col("chunk_id") % chunks.CHUNK_ID_SPAN).alias("chunk_no"))
     qs = embed.hashed_embed(_bench_queries(spark, sf_dir), id_col="query_id")
-    return chunks.chunk_search(cv, qs, K)
+    return chunks.chunk_search(cv, qs, K, dim=embed.EMBEDDING_DIM)
 
 
 # --------------------------------------------------------------------------
