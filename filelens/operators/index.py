@@ -66,6 +66,38 @@ def embed_delta(changes: DataFrame, vecs: DataFrame) -> DataFrame:
     return d.withColumn("status", status)
 
 
+# Actionable messages for rows a run could not index (fixed wording).
+QUARANTINE_REASONS = {
+    "no_text": "no text was extracted: register an extractor for this extension or check the file",
+    "embed_failed": "the embedder returned no vector: re-run embedding for this file",
+}
+
+
+def quarantine(delta: DataFrame) -> DataFrame:
+    """Rows of a run that were not indexed, with the reason and the number
+    of attempts so far: (file_id, path, extension, last_modified, action,
+    status, reason, attempts). They stay out of the index; a retry job reads
+    them (:func:`retry_quarantined`)."""
+    ok = F.col("status").isin("insert", "update", "skip")
+    reason = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in QUARANTINE_REASONS.items() for x in kv]),
+                                     F.col("status")),
+                        F.concat(F.lit("not indexed: "), F.col("status")))
+    return delta.where(~ok).select("file_id", "path", "extension", "last_modified", "action", "status",
+                                   reason.alias("reason"), F.lit(1).alias("attempts"))
+
+
+def retry_quarantined(quarantined: DataFrame, changes: DataFrame, vecs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Retry once: rows quarantined on their first attempt go through the
+    embed step again (``vecs`` as in :func:`embed_delta`). Returns (recovered
+    delta rows, ready for :func:`index_upsert`; rows still failing, now with
+    attempts = 2, which are not retried again)."""
+    first = quarantined.where(F.col("attempts") == 1).select("file_id")
+    again = embed_delta(changes.join(first, "file_id", "left_semi"), vecs)
+    recovered = again.where(F.col("status").isin("insert", "update"))
+    still = quarantine(again).withColumn("attempts", F.lit(2))
+    return recovered, still
+
+
 def index_upsert(stored: DataFrame, delta: DataFrame) -> DataFrame:
     """Insert-or-replace by path: stored rows not in the delta, plus the
     delta rows (the delta carries the stored id for updates)."""

@@ -40,6 +40,15 @@ def read_current(spark: SparkSession, root: str, schema=None) -> DataFrame | Non
     return spark.read.parquet(f"{root.rstrip('/')}/v={v}")
 
 
+def ensure_table(spark: SparkSession, root: str, schema) -> bool:
+    """Create the table when absent: an empty version 0 with the declared
+    schema, so readers always find a typed table. A no-op once any version
+    is committed (idempotent). Returns True when created."""
+    if current_version(spark, root) is not None:
+        return False
+    return commit(spark.createDataFrame([], schema), root, 0)
+
+
 def commit(df: DataFrame, root: str, version: int, keep: int = 3) -> bool:
     """Write ``df`` as ``version``; a no-op when it is already committed
     (replayed micro-batch). Returns True when written."""

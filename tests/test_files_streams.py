@@ -74,6 +74,16 @@ def test_versioned_store_idempotent(spark):
     assert store.read_current(spark, root).first()["v"] == "b"
 
 
+def test_ensure_table_idempotent(spark):
+    from filelens.schema import INDEX_SCHEMA
+    root = tempfile.mkdtemp(prefix="filelens-store-") + "/index"
+    assert store.ensure_table(spark, root, INDEX_SCHEMA)
+    t = store.read_current(spark, root)
+    assert t.count() == 0 and [f.name for f in t.schema.fields] == [f.name for f in INDEX_SCHEMA.fields]
+    assert not store.ensure_table(spark, root, INDEX_SCHEMA)  # already there: no-op
+    assert store.versions(spark, root) == [0]
+
+
 def test_stream_latest_strictly_newer(spark):
     from filelens.streaming.jobs import stream_latest
     src = tempfile.mkdtemp(prefix="filelens-src-")

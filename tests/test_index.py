@@ -58,3 +58,23 @@ def test_cascade_and_orphans(spark):
     f2, v2 = index.cascade_delete(files, vecs, spark.createDataFrame([(2,)], "file_id long"))
     assert sorted(r.file_id for r in f2.collect()) == [1]
     assert sorted(r.file_id for r in v2.collect()) == [1, 3]
+
+
+def test_quarantine_and_retry_once(spark):
+    ch = spark.createDataFrame([(1, "/a", "a", ".txt", 5, "", "insert"), (2, "/b", "b", ".txt", 5, "t", "insert"),
+                                (3, "/c", "c", ".txt", 5, "t", "update"), (4, "/d", "d", ".txt", 5, "t", "insert")],
+                               "file_id long, path string, name string, extension string, last_modified long, "
+                               "text string, action string")
+    first = spark.createDataFrame([(4, [1.0])], "file_id long, embedding array<float>")
+    q = {r.file_id: (r.status, r.attempts, r.reason) for r in index.quarantine(index.embed_delta(ch, first)).collect()}
+    assert set(q) == {1, 2, 3} and all(a == 1 for _, a, _ in q.values())
+    assert q[1][0] == "no_text" and q[1][2] == index.QUARANTINE_REASONS["no_text"]
+    assert q[2][2] == index.QUARANTINE_REASONS["embed_failed"]
+    # the embedder now answers for 2 only: 2 recovers, 1 and 3 fail again
+    second = spark.createDataFrame([(2, [0.5]), (4, [1.0])], "file_id long, embedding array<float>")
+    rec, still = index.retry_quarantined(index.quarantine(index.embed_delta(ch, first)), ch, second)
+    assert [(r.file_id, r.status) for r in rec.collect()] == [(2, "insert")]
+    assert sorted((r.file_id, r.attempts) for r in still.collect()) == [(1, 2), (3, 2)]
+    # attempts == 2: never retried again
+    rec2, still2 = index.retry_quarantined(still, ch, second)
+    assert rec2.count() == 0 and still2.count() == 0
