@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filelens.operators.common import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, row_bytes
 from filelens.operators.index import latest_per_key
 from filelens.session import scratch_path
 from filelens.sources import store
@@ -22,11 +23,28 @@ BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, co
 
 def upsert_newer(state: DataFrame | None, batch: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     """State after a batch: per key the stored row unless the batch has a
-    strictly newer one (older or equal arrivals are dropped)."""
+    strictly newer one (older or equal arrivals are dropped).
+
+    Only keys that occur in the batch can change. When the batch's keys fit
+    the broadcast bounds, the rest of the state passes through a map-side
+    anti-join untouched and only the touched keys are merged, so a trigger
+    shuffles the size of the batch, not of the state. Otherwise one
+    aggregate over state and batch settles every key."""
     b = latest_per_key(batch, key, ts, tie)
     if state is None:
         return b
     s = state.select(*b.columns)
+    keys = b.select(F.col(key).alias("_k"))
+    n_keys = keys.count()
+    if n_keys <= BROADCAST_MAX_ROWS and n_keys * row_bytes(keys.schema) <= BROADCAST_MAX_BYTES:
+        kb = F.broadcast(keys)
+        hit = s[key].eqNullSafe(kb["_k"])
+        untouched = s.join(kb, hit, "left_anti")
+        return untouched.unionByName(_merge_newer(s.join(kb, hit, "left_semi"), b, key, ts, tie))
+    return _merge_newer(s, b, key, ts, tie)
+
+
+def _merge_newer(s: DataFrame, b: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     st = s.withColumn("_from_state", F.lit(1))
     nb = b.withColumn("_from_state", F.lit(0))
     both = st.unionByName(nb)
@@ -51,9 +69,11 @@ def stream_latest(spark: SparkSession, source_dir: str, glob: str, schema, key:
     src = r.load(source_dir)
 
     def each(batch: DataFrame, batch_id: int):
+        batch = batch.persist()  # read twice (keys, rows); recomputed from the files if lost
         cur = store.read_current(batch.sparkSession, state_root)
         new = upsert_newer(cur, batch, key, ts, tie)
         store.commit(new, state_root, batch_id + 1)
+        batch.unpersist()
 
     q = (src.writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())

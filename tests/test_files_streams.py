@@ -105,3 +105,20 @@ def test_stream_latest_strictly_newer(spark):
     st = {r.k: (r.id, r.v) for r in store.read_current(spark, root).collect()}
     assert st == {1: (3, "c"), 2: (7, "newer"), 3: (6, "new")}
     assert store.versions(spark, root)[-1] == 3
+
+
+def test_upsert_newer_touched_keys_equals_full_merge(spark, monkeypatch):
+    from filelens.streaming import jobs
+    sch = "k long, id long, ts long, v string"
+    state = spark.createDataFrame([(1, 1, 10, "s1"), (2, 2, 5, "s2"), (3, 3, 7, "s3"), (None, 4, 1, "sn")], sch)
+    batch = spark.createDataFrame([(1, 9, 10, "equal"), (2, 8, 6, "newer"), (2, 7, 6, "newer-lower-id"),
+                                   (4, 6, 1, "new"), (None, 5, 2, "null-newer"), (3, 10, 6, "older")], sch)
+
+    def rows(df):
+        return sorted((r.k if r.k is not None else -1, r.id, r.ts, r.v) for r in df.collect())
+
+    touched = rows(jobs.upsert_newer(state, batch, "k", "ts", "id"))
+    monkeypatch.setattr(jobs, "BROADCAST_MAX_ROWS", -1)
+    full = rows(jobs.upsert_newer(state, batch, "k", "ts", "id"))
+    assert touched == full == [(-1, 5, 2, "null-newer"), (1, 1, 10, "s1"), (2, 7, 6, "newer-lower-id"),
+                               (3, 3, 7, "s3"), (4, 6, 1, "new")]
