@@ -137,6 +137,9 @@ def write_corpus(docs: DataFrame, root: str, id_col: str = "doc_id") -> None:
     """Materialise a text table as a file tree: one file per document under
     source=/lang=/name=doc_<id>/ (Spark's partitioned text writer; each file
     holds the text and a final newline)."""
+    # an explicit partition count: AQE would coalesce this small shuffle into
+    # one task that then creates every file of the tree alone
+    n = 4 * docs.sparkSession.sparkContext.defaultParallelism
     (docs.select("source", "lang", F.concat(F.lit("doc_"), F.col(id_col).cast("string")).alias("name"), "text")
-         .repartition("source", "lang", "name")
+         .repartition(n, "source", "lang", "name")
          .write.mode("errorifexists").partitionBy("source", "lang", "name").text(root))
