@@ -18,15 +18,6 @@ BM25_B = 0.75
 RRF_K = 60
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Inverted index rows (tok, doc, tf) plus document length per doc.
-
-    Words are counted partially inside the scan task of their document, so a
-    hot word is pre-aggregated per task before the (tok, doc) shuffle."""
-    w = spread(docs, id_col).select(F.col(id_col).alias("doc"), F.explode(X.words(text_col)).alias("tok"))
-    return w.groupBy("tok", "doc").agg(F.count(F.lit(1)).alias("tf"))
-
-
 # Budget of the broadcast (query-vocabulary x queries) idf matrix of the
 # BM25 scoring map, and the (entries x queries) scratch per NumPy step.
 BM25_MATRIX_MAX_BYTES = 128 * 1024 * 1024

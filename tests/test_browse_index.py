@@ -27,7 +27,7 @@ def test_list_recent_order_nulls_last_and_limit(idx):
 
 
 def test_list_filter_after_limit_and_across_blank(idx):
-    # the filter sees only the 3 most recent rows: a.txt under /x (id 4) is
+    # the filter sees only the 2 most recent rows: a.txt under /x (id 4) is
     # among them, the older /r/a.txt (id 1) is not
     assert [r.file_id for r in browse.list_filter(idx, "a.txt", 2).collect()] == [4]
     assert [r.file_id for r in browse.list_filter(idx, "a.txt", 200).collect()] == [4, 1]
