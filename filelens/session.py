@@ -9,13 +9,17 @@ from pyspark.sql import SparkSession
 
 # Fixed session settings. Timestamps are compared in UTC (epoch-second rules),
 # AQE re-plans joins and coalesces partitions at runtime, and skewed join
-# partitions are split instead of landing in one task.
+# partitions are split instead of landing in one task. On a cluster the
+# launcher's session is used as it is; these are the settings to give it.
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Arrow batches handed to Python are bounded in bytes as well as rows, so
+    # a batch of large file bodies cannot exhaust a Python worker
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
