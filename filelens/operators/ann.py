@@ -37,16 +37,22 @@ def planes(bands: int, bits: int, dim: int) -> np.ndarray:
 
 
 def band_keys(vecs: DataFrame, dim: int, bands: int = DEFAULT_BANDS, bits: int = DEFAULT_BITS,
-              id_col: str = "file_id", vec_col: str = "embedding") -> DataFrame:
+              id_col: str = "file_id", vec_col: str = "embedding", with_vectors: bool = False) -> DataFrame:
     """(id, band, key): key packs the sign bits of one band (bit t has
     weight 2^t, set when the projection is > 0). One matrix product per
-    Arrow batch; vectors that are NULL or of another length get no keys."""
+    Arrow batch; vectors that are NULL or of another length get no keys.
+    With ``with_vectors`` each row also carries its vector ``v``, so a
+    consumer needs no join back to the vectors."""
     P = planes(bands, bits, dim)
     weights = (1 << np.arange(bits)).astype(np.int64)
     sc = vecs.sparkSession.sparkContext
     bc = sc.broadcast(P)
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("band", T.IntegerType()),
-                           T.StructField("key", T.LongType())])
+    src = spread(vecs.select(id_col, vec_col))
+    fields = [T.StructField("id", T.LongType()), T.StructField("band", T.IntegerType()),
+              T.StructField("key", T.LongType())]
+    if with_vectors:
+        fields.append(T.StructField("v", src.schema[vec_col].dataType))
+    schema = T.StructType(fields)
 
     def run(batches):
         Pm = bc.value
@@ -54,16 +60,20 @@ def band_keys(vecs: DataFrame, dim: int, bands: int = DEFAULT_BANDS, bits: int =
             if rb.num_rows == 0:
                 continue
             mat, valid = dense_matrix(rb.column(vec_col), dim)
-            ids = rb.column(id_col).to_numpy()[valid]
-            proj = (mat[valid] @ Pm.T) > 0  # n x (bands*bits)
+            pos = np.flatnonzero(valid)
+            ids = rb.column(id_col).to_numpy()[pos]
+            proj = (mat[pos] @ Pm.T) > 0  # n x (bands*bits)
             keys = proj.reshape(len(ids), bands, bits).astype(np.int64) @ weights  # n x bands
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(ids, bands)),
-                pa.array(np.tile(np.arange(bands, dtype=np.int32), len(ids))),
-                pa.array(keys.reshape(-1))], schema=pa.schema([("id", pa.int64()), ("band", pa.int32()),
-                                                               ("key", pa.int64())]))
+            cols = [pa.array(np.repeat(ids, bands)).cast(pa.int64()),
+                    pa.array(np.tile(np.arange(bands, dtype=np.int32), len(ids))),
+                    pa.array(keys.reshape(-1).astype(np.int64))]
+            names = ["id", "band", "key"]
+            if with_vectors:
+                cols.append(rb.column(vec_col).take(pa.array(np.repeat(pos, bands))))
+                names.append("v")
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    return spread(vecs.select(id_col, vec_col)).mapInArrow(run, schema)
+    return src.mapInArrow(run, schema)
 
 
 def _keys_np(mat: np.ndarray, valid: np.ndarray, P: np.ndarray, bands: int, bits: int) -> np.ndarray:
@@ -184,9 +194,12 @@ def lsh_pairs(vecs: DataFrame, dim: int, threshold: float, bands: int = DEFAULT_
     product scores the pairs and only those over the threshold are emitted;
     a pair found in several bands is kept once."""
     from filelens.operators.dense import cosine_matrix
-    k = band_keys(vecs, dim, bands, bits, id_col, vec_col)
-    rows = k.join(vecs.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), "id")
-    sizes = k.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
+    # bucket sizes from the keys alone; the rows to score carry their vector
+    # (the keys are recomputed there: one matrix product per batch, cheaper
+    # than shuffling keys and vectors to join them back)
+    sizes = band_keys(vecs, dim, bands, bits, id_col, vec_col).groupBy("band", "key") \
+        .agg(F.count(F.lit(1)).alias("n"))
+    rows = band_keys(vecs, dim, bands, bits, id_col, vec_col, with_vectors=True)
     hot = sizes.where(F.col("n") > max_group_rows) \
         .select("band", "key", F.ceil(F.col("n") / F.lit(float(max_group_rows))).cast("int").alias("s"))
     rows = rows.join(maybe_broadcast(hot), ["band", "key"], "left").withColumn("s", F.coalesce("s", F.lit(1)))
