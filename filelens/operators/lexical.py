@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filelens.functions import text as X
-from filelens.operators.common import materialized, maybe_broadcast, spread
+from filelens.operators.common import (BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, materialized, maybe_broadcast,
+                                       row_bytes, spread)
 
 # Fixed BM25 parameters and the reciprocal-rank-fusion constant.
 BM25_K1 = 1.2
@@ -56,7 +57,10 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str =
                 F.count_distinct("query_id").alias("nq")).first()
     if k == 0 or st["n"] == 0:
         return _bm25_joined(docs, qw, st["n"], k, id_col, text_col, k1, b)
-    if st["nt"] * st["nq"] * 8 > BM25_MATRIX_MAX_BYTES:
+    # the (query, word) pairs come to the driver and the vocabulary and the
+    # idf matrix are broadcast: all three are bounded before choosing the map
+    if (st["nt"] * st["nq"] * 8 > BM25_MATRIX_MAX_BYTES or st["n"] > BROADCAST_MAX_ROWS
+            or st["n"] * row_bytes(qw.schema) > BROADCAST_MAX_BYTES):
         return _bm25_joined(docs, qw, st["n"], k, id_col, text_col, k1, b)
     return _bm25_mapped(docs, qw, k, id_col, text_col, k1, b)
 
