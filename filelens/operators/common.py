@@ -85,12 +85,61 @@ def global_rank(df: DataFrame, order_cols: list, name: str = "rank") -> DataFram
         .drop("_mid", "_pid", "_loc", "_off")
 
 
+# Logical operators that keep their child's partitioning.
+_NARROW = {"Project", "Filter", "Generate", "MapInArrow", "MapInPandas", "SubqueryAlias",
+           "SerializeFromObject", "DeserializeToObject", "MapPartitions"}
+
+
+def _first_exchange(df: DataFrame):
+    """(name, partitions) of the first operator below the narrow top of the
+    optimized plan that decides the partitioning (partitions None unless it
+    is an explicit repartition)."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.getClass().getSimpleName() in _NARROW and node.children().size() == 1:
+        node = node.children().apply(0)
+    name = node.getClass().getSimpleName()
+    if name in ("Repartition", "RepartitionByExpression"):
+        try:
+            return name, int(node.numPartitions())
+        except Exception:  # noqa: BLE001 -- no explicit count
+            return name, None
+    return name, None
+
+
+def _input_bytes(df: DataFrame) -> int:
+    """Sum of the size estimates of the plan's leaf relations (what the job
+    reads); unlike a join's own estimate this is not a product of sides."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Spread CPU-heavy per-row work (regex, hashing, matrix products) over
-    all task slots when the scan yields fewer partitions than the cluster's
-    parallelism -- e.g. a file written as one row group. At scale a scan has
-    far more splits than slots and this is a no-op (no extra shuffle)."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
+    all task slots when the input is small next to the cluster -- e.g. a file
+    written as one row group, or a join output that AQE coalesces into a
+    few partitions. At scale the input is many times the slots' worth of
+    advisory partitions and this is a no-op (no extra shuffle).
+
+    The decision reads the plan only: asking an adaptive plan's RDD for its
+    partition count would run its shuffles on the spot."""
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan().getClass().getSimpleName()
+    if plan != "AdaptiveSparkPlanExec":  # no exchange: the scan's splits decide
+        if df.rdd.getNumPartitions() >= slots:
+            return df
+    else:
+        name, n = _first_exchange(df)
+        if n is not None and n >= slots:
+            return df  # already repartitioned over the slots
+        advisory = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+        limit = slots * _bytes(advisory)
+        if _input_bytes(df) >= limit:
+            return df
     return df.repartition(slots, key) if key else df.repartition(slots)
+
+
+def _bytes(v: str) -> int:
+    v = v.strip().lower().rstrip("b")
+    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    return int(float(v[:-1]) * mult[v[-1]]) if v and v[-1] in mult else int(v)
