@@ -71,6 +71,29 @@ def hashed_terms(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_i
 BUCKET_CACHE_WORDS = 1_000_000
 
 
+def hashed_matrix(ws: pa.Array, dim: int, cache: dict) -> np.ndarray:
+    """n x dim unit rows of hashed-term counts for an Arrow list<string>
+    column of words (NULL or empty lists give zero rows). Distinct words are
+    hashed once (``cache`` is kept per task and reset when large)."""
+    n = len(ws)
+    lens = pc.fill_null(pc.list_value_length(ws), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    enc = pc.dictionary_encode(pc.list_flatten(ws))
+    if len(cache) > BUCKET_CACHE_WORDS:
+        cache.clear()
+    words = enc.dictionary.to_pylist()
+    bk = np.empty(len(words), dtype=np.int64)
+    for i, w in enumerate(words):
+        b = cache.get(w)
+        if b is None:
+            b = cache[w] = X.hash_bucket_py(w, dim)
+        bk[i] = b
+    idx = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+    tf = np.bincount(rows * dim + bk[idx], minlength=n * dim).reshape(n, dim).astype(np.float64)
+    nrm = np.sqrt((tf * tf).sum(axis=1))[:, None]
+    return np.divide(tf, nrm, out=np.zeros_like(tf), where=nrm > 0)
+
+
 def hashed_embed(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """Dense unit vectors (id, embedding array<double> of ``dim``): term
@@ -91,23 +114,7 @@ def hashed_embed(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_i
         cache: dict[str, int] = {}
         for rb in batches:
             n = rb.num_rows
-            ws = rb.column(1)
-            lens = pc.fill_null(pc.list_value_length(ws), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            enc = pc.dictionary_encode(pc.list_flatten(ws))
-            if len(cache) > BUCKET_CACHE_WORDS:
-                cache.clear()
-            words = enc.dictionary.to_pylist()
-            bk = np.empty(len(words), dtype=np.int64)
-            for i, w in enumerate(words):
-                b = cache.get(w)
-                if b is None:
-                    b = cache[w] = X.hash_bucket_py(w, dim)
-                bk[i] = b
-            idx = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-            tf = np.bincount(rows * dim + bk[idx], minlength=n * dim).reshape(n, dim).astype(np.float64)
-            nrm = np.sqrt((tf * tf).sum(axis=1))[:, None]
-            vec = np.divide(tf, nrm, out=np.zeros_like(tf), where=nrm > 0)
+            vec = hashed_matrix(rb.column(1), dim, cache)
             emb = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(vec.ravel()))
             yield pa.RecordBatch.from_arrays([rb.column(0), emb], [id_col, "embedding"])
 

@@ -65,11 +65,10 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str =
     return _bm25_mapped(docs, qw, k, id_col, text_col, k1, b)
 
 
-def _bm25_mapped(docs: DataFrame, qw: DataFrame, k, id_col: str, text_col: str,
-                 k1: float, b: float) -> DataFrame:
-    from filelens.operators.dense import _merge, round_half_up
-    spark = docs.sparkSession
-    pairs = qw.toArrow()  # bounded by the matrix budget checked by the caller
+def _query_vocab(qw: DataFrame):
+    """(vocabulary word -> term id, sorted query ids, term x query 0/1
+    matrix) from the (query_id, tok) pairs; bounded by the caller's check."""
+    pairs = qw.toArrow()
     toks = pairs.column("tok").to_pylist()
     qids_all = pairs.column("query_id").to_numpy()
     vocab = {t: i for i, t in enumerate(sorted(set(toks)))}
@@ -77,14 +76,41 @@ def _bm25_mapped(docs: DataFrame, qw: DataFrame, k, id_col: str, text_col: str,
     qpos = {q: i for i, q in enumerate(qids)}
     ind = np.zeros((len(vocab), len(qids)), dtype=np.float64)
     ind[[vocab[t] for t in toks], [qpos[q] for q in qids_all]] = 1.0
+    return vocab, qids, ind
+
+
+def _term_counts(ws: pa.Array, voc: dict, nt: int):
+    """Per row of an Arrow list<string> column of words: length and the
+    sorted (term id, tf) lists of the vocabulary words it holds (NULL rows:
+    length 0, no terms)."""
+    n = len(ws)
+    lens = pc.fill_null(pc.list_value_length(ws), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    enc = pc.dictionary_encode(pc.list_flatten(ws))
+    tmap = np.array([voc.get(w, -1) for w in enc.dictionary.to_pylist()], dtype=np.int64)
+    term = tmap[enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(tmap) else \
+        np.zeros(0, dtype=np.int64)
+    row = np.repeat(np.arange(n, dtype=np.int64), lens)
+    hit = term >= 0
+    keys, tf = np.unique(row[hit] * nt + term[hit], return_counts=True)  # sorted by row
+    offs = pa.array(np.r_[0, np.cumsum(np.bincount(keys // nt, minlength=n))].astype(np.int32))
+    return (pa.array(lens), pa.ListArray.from_arrays(offs, pa.array((keys % nt).astype(np.int32))),
+            pa.ListArray.from_arrays(offs, pa.array(tf.astype(np.int32))))
+
+
+_TERM_FIELDS = [T.StructField("dl", T.LongType()), T.StructField("terms", T.ArrayType(T.IntegerType())),
+                T.StructField("tfs", T.ArrayType(T.IntegerType()))]
+
+
+def _bm25_mapped(docs: DataFrame, qw: DataFrame, k, id_col: str, text_col: str,
+                 k1: float, b: float) -> DataFrame:
+    spark = docs.sparkSession
+    vocab, qids, ind = _query_vocab(qw)  # bounded by the budget checked by the caller
     bv = spark.sparkContext.broadcast(vocab)
     nt = len(vocab)
 
     # pass 1: per document its length and the counts of the query words in it
     src = spread(docs, id_col).select(F.col(id_col).alias("_id"), X.words(text_col).alias("_ws"))
-    p1 = T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("dl", T.LongType()),
-                       T.StructField("terms", T.ArrayType(T.IntegerType())),
-                       T.StructField("tfs", T.ArrayType(T.IntegerType()))])
+    p1 = T.StructType([T.StructField("doc", docs.schema[id_col].dataType)] + _TERM_FIELDS)
 
     def count_terms(batches):
         voc = bv.value
@@ -94,28 +120,22 @@ def _bm25_mapped(docs: DataFrame, qw: DataFrame, k, id_col: str, text_col: str,
             if not pc.all(have).as_py():  # a NULL text is not a document
                 rb = rb.filter(have)
                 ws = rb.column(1)
-            n = rb.num_rows
-            if n == 0:
+            if rb.num_rows == 0:
                 continue
-            lens = pc.list_value_length(ws).to_numpy(zero_copy_only=False).astype(np.int64)
-            enc = pc.dictionary_encode(pc.list_flatten(ws))
-            tmap = np.array([voc.get(w, -1) for w in enc.dictionary.to_pylist()], dtype=np.int64)
-            term = tmap[enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(tmap) else \
-                np.zeros(0, dtype=np.int64)
-            row = np.repeat(np.arange(n, dtype=np.int64), lens)
-            hit = term >= 0
-            keys, tf = np.unique(row[hit] * nt + term[hit], return_counts=True)  # sorted by row
-            r = keys // nt
-            per_row = np.bincount(r, minlength=n)
-            offs = np.r_[0, np.cumsum(per_row)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                rb.column(0), pa.array(lens),
-                pa.ListArray.from_arrays(pa.array(offs), pa.array((keys % nt).astype(np.int32))),
-                pa.ListArray.from_arrays(pa.array(offs), pa.array(tf.astype(np.int32)))],
-                ["doc", "dl", "terms", "tfs"])
+            yield pa.RecordBatch.from_arrays([rb.column(0), *_term_counts(ws, voc, nt)],
+                                             ["doc", "dl", "terms", "tfs"])
 
     tf_rows = materialized(src.mapInArrow(count_terms, p1), "bm25-terms")
+    return _bm25_rank(tf_rows, qids, ind, k, id_col, docs.schema[id_col].dataType, k1, b)
+
 
+def _bm25_rank(tf_rows: DataFrame, qids: np.ndarray, ind: np.ndarray, k, id_col: str, id_type,
+               k1: float, b: float) -> DataFrame:
+    """Top-k per query from a written (doc, dl, terms, tfs) table of the
+    documents: corpus statistics, then one scoring map, then the cut."""
+    from filelens.operators.dense import _merge, round_half_up
+    spark = tf_rows.sparkSession
+    nt = ind.shape[0]
     # corpus statistics: one row, and one df per query word (bounded by the vocabulary)
     s = tf_rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n_docs, avgdl = int(s["n"]), float(s["avgdl"] or 0.0)
@@ -127,10 +147,9 @@ def _bm25_mapped(docs: DataFrame, qw: DataFrame, k, id_col: str, text_col: str,
     idf[df_arr == 0] = 0.0  # no document holds the word: it never contributes
     wq = ind * idf[:, None]
     bw = spark.sparkContext.broadcast((wq, qids))
-    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType),
+    out = T.StructType([T.StructField(id_col, id_type),
                         T.StructField("score", T.DoubleType()), T.StructField("query_id", T.LongType())])
     step = max(1, BM25_STEP_BYTES // (8 * max(1, len(qids))))
-
     def score(batches):
         w, qid = bw.value
         nq = len(qid)
@@ -224,6 +243,66 @@ def _bm25_joined(docs: DataFrame, qw: DataFrame, n_qw: int, k, id_col: str, text
     return ranked.select("query_id", "rank", F.col("doc").alias(id_col), "score")
 
 
+def hybrid_topk(docs: DataFrame, queries: DataFrame, k: int = 5, depth: int = 50, *,
+                id_col: str = "doc_id", qid_col: str = "query_id", text_col: str = "text",
+                dim: int | None = None, c: int = RRF_K,
+                k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """Hybrid keyword + semantic rank: reciprocal rank fusion (constant
+    ``c``) of the top-``depth`` BM25 list and the top-``depth`` cosine list
+    over hashed-term vectors, cut to k per query.
+
+    Both rankers need the words of every text, so one Arrow map splits each
+    document once and writes its length, query-term counts and hashed
+    vector to one table; BM25 reads the term columns and the dense kernel
+    the vector column (Parquet prunes the rest). Beyond the BM25 budget the
+    two rankers run on their own."""
+    from filelens.operators import embed
+    from filelens.operators.dense import dense_search
+    dim = dim or embed.EMBEDDING_DIM
+    qs = embed.hashed_embed(queries.select(F.col(qid_col).alias("query_id"), F.col(text_col).alias("text")),
+                            dim=dim, id_col="query_id")
+    qw = queries.select(F.col(qid_col).cast("bigint").alias("query_id"),
+                        F.explode(F.array_distinct(X.words(text_col))).alias("tok"))
+    st = qw.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tok").alias("nt"),
+                F.count_distinct("query_id").alias("nq")).first()
+    if (st["n"] == 0 or st["nt"] * st["nq"] * 8 > BM25_MATRIX_MAX_BYTES or st["n"] > BROADCAST_MAX_ROWS
+            or st["n"] * row_bytes(qw.schema) > BROADCAST_MAX_BYTES):
+        sem = dense_search(embed.hashed_embed(docs, dim=dim, id_col=id_col, text_col=text_col), qs, depth,
+                           id_col=id_col, qid_col="query_id", dim=dim)
+        kw = bm25_topk(docs, queries, depth, id_col=id_col, qid_col=qid_col, text_col=text_col, k1=k1, b=b)
+        return rrf_fuse(sem, kw, k, id_col, c)
+
+    spark = docs.sparkSession
+    vocab, qids, ind = _query_vocab(qw)
+    bv = spark.sparkContext.broadcast(vocab)
+    nt = len(vocab)
+    src = spread(docs, id_col).select(F.col(id_col).alias("_id"), X.words(text_col).alias("_ws"))
+    id_type = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("doc", id_type), T.StructField("is_doc", T.BooleanType())] + _TERM_FIELDS
+                          + [T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+
+    def both(batches):
+        voc = bv.value
+        cache: dict[str, int] = {}
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
+                continue
+            ws = rb.column(1)
+            vec = embed.hashed_matrix(ws, dim, cache)
+            emb = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(vec.ravel()))
+            # a NULL text still gets its (zero) vector but is not a BM25 document
+            yield pa.RecordBatch.from_arrays([rb.column(0), pc.is_valid(ws), *_term_counts(ws, voc, nt), emb],
+                                             ["doc", "is_doc", "dl", "terms", "tfs", "embedding"])
+
+    table = materialized(src.mapInArrow(both, schema), "hybrid-terms")
+    kw = _bm25_rank(table.where(F.col("is_doc")).select("doc", "dl", "terms", "tfs"), qids, ind, depth,
+                    id_col, id_type, k1, b)
+    sem = dense_search(table.select(F.col("doc").alias(id_col), "embedding"), qs, depth,
+                       id_col=id_col, qid_col="query_id", dim=dim)
+    return rrf_fuse(sem, kw, k, id_col, c)
+
+
 def rrf_fuse(a: DataFrame, b: DataFrame, k: int = 5, id_col: str = "doc_id", c: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (query_id, rank, id):
     score = sum over lists of 1 / (c + rank); a document missing from a list

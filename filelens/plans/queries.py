@@ -316,20 +316,10 @@ def q_bm25_topk(spark, sf_dir):
     return lexical.bm25_topk(_docs(spark, sf_dir), _bench_queries(spark, sf_dir), K)
 
 
-def _semantic(spark, sf_dir, k):
-    from filelens.operators import embed
-    from filelens.operators.dense import dense_search
-    docs = embed.hashed_embed(_docs(spark, sf_dir))
-    qs = embed.hashed_embed(_bench_queries(spark, sf_dir), id_col="query_id")
-    return dense_search(docs, qs, k, id_col="doc_id", qid_col="query_id", dim=embed.EMBEDDING_DIM)
-
-
 @register("hybrid_topk")
 def q_hybrid_topk(spark, sf_dir):
     from filelens.operators import lexical
-    sem = _semantic(spark, sf_dir, FUSION_DEPTH)
-    kw = lexical.bm25_topk(_docs(spark, sf_dir), _bench_queries(spark, sf_dir), FUSION_DEPTH)
-    return lexical.rrf_fuse(sem, kw, K)
+    return lexical.hybrid_topk(_docs(spark, sf_dir), _bench_queries(spark, sf_dir), K, FUSION_DEPTH)
 
 
 @register("chunk_docs")

@@ -119,3 +119,17 @@ def test_bm25_map_equals_join_form(spark, monkeypatch, k):
     monkeypatch.setattr(lexical, "BM25_MATRIX_MAX_BYTES", 0)
     joined = rows(lexical.bm25_topk(docs, qs, k))
     assert mapped == joined and mapped
+
+
+def test_hybrid_shared_pass_equals_separate_rankers(spark, monkeypatch):
+    texts = TEXTS + [None, "cat dog mat sat", "über cat"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    qs = spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, text string")
+
+    def rows(df):
+        return sorted((r.query_id, r.rank, r.doc_id, r.score) for r in df.collect())
+
+    shared = rows(lexical.hybrid_topk(docs, qs, 3, 5, dim=16))
+    monkeypatch.setattr(lexical, "BM25_MATRIX_MAX_BYTES", 0)
+    separate = rows(lexical.hybrid_topk(docs, qs, 3, 5, dim=16))
+    assert shared == separate and shared
