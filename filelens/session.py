@@ -52,13 +52,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (the cluster names a shared, fault
-    tolerant folder there). Only when it is unset -- local tests -- a fresh
-    scratch folder is created and registered.
+    tolerant folder there). Only when it is unset on a local master (tests)
+    a fresh scratch folder is created and registered; on a cluster an unset
+    setting is an error, never a folder on the driver's disk.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            # executors cannot see a folder on the driver's disk
+            raise RuntimeError("set spark.checkpoint.dir to a shared, fault-tolerant folder "
+                               "(checkpoints and intermediate tables are written there)")
         d = tempfile.mkdtemp(prefix="filelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext
