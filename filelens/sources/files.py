@@ -56,12 +56,16 @@ def read_content(spark: SparkSession, root: str, wanted: DataFrame | None = None
                  glob: str | None = None, max_bytes: int = MAX_CONTENT_BYTES) -> DataFrame:
     """(path, content, size_bytes, last_modified) for files below ``root``;
     restricted to the paths of ``wanted`` (a semi-join) when given. Files
-    over ``max_bytes`` keep a NULL content (the length filter is evaluated
-    before the body is materialised)."""
-    df = _reader(spark, glob).load(root)
-    df = df.select(P.strip_uri("path").alias("path"), F.col("length").cast("bigint").alias("size_bytes"),
-                   F.unix_timestamp("modificationTime").cast("bigint").alias("last_modified"),
-                   F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
+    over ``max_bytes`` keep a NULL content and are never read."""
+    src = _reader(spark, glob).load(root)
+    meta = [P.strip_uri("path").alias("path"), F.col("length").cast("bigint").alias("size_bytes"),
+            F.unix_timestamp("modificationTime").cast("bigint").alias("last_modified")]
+    # the length filter is pushed into the binaryFile reader, so a body is
+    # read only for files under the limit; larger files are listed without
+    # their body (reading one over the source's own maximum would fail the job)
+    small = src.where(F.col("length") <= max_bytes).select(*meta, "content")
+    large = src.where(F.col("length") > max_bytes).select(*meta, F.lit(None).cast("binary").alias("content"))
+    df = small.unionByName(large)
     if wanted is not None:
         df = df.join(wanted.select("path"), "path", "left_semi")
     return df

@@ -55,6 +55,16 @@ def test_extract_never_fails(spark, tree):
     assert out["b.TXT"][0] == "unsupported"
 
 
+def test_large_files_not_read(spark, tree):
+    c = S.read_content(spark, tree, max_bytes=8)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = c._jdf.queryExecution().explainString(mode)
+    assert "LessThanOrEqual(length,8)" in plan  # the body read is filtered in the reader
+    out = {r.name: (r.status, r.size_bytes) for r in S.extract(S.with_path_parts(c)).collect()}
+    assert out["a.txt"] == ("too_large", 11)
+    assert out["doc.pdf"][0] == "no_extractor" and out["doc.pdf"][1] == 8
+
+
 def test_plugged_extractor(spark, tree):
     S.register_extractor([".pdf"], lambda s: s.map(lambda b: "pdf:" + str(len(b))))
     try:
