@@ -7,10 +7,11 @@ extraction and embedding, so unchanged files cost one join and nothing else.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filelens.functions import vectors as V
+from filelens.operators.common import checkpointed
 from filelens.schema import ALLOWED_EXTENSIONS, METADATA_DEFAULTS, SCHEMA_VERSION
 
 
@@ -98,6 +99,43 @@ def retry_quarantined(quarantined: DataFrame, changes: DataFrame, vecs: DataFram
     return recovered, still
 
 
+def _path_hash(c, salt: int):
+    return F.xxhash64(c) if salt == 0 else F.xxhash64(c, F.lit(salt))
+
+
+def path_ids(new: DataFrame, existing: DataFrame | None, key: str = "path", id_col: str = "file_id",
+             hash_fn=_path_hash, max_rounds: int = 16) -> DataFrame:
+    """(key, id) for the distinct keys of ``new``: a key already in
+    ``existing`` keeps its stored id (stable on update); a new key gets
+    ``hash_fn(key, 0)`` (xxhash64 of the path), and when that id is held by
+    another key -- a stored one, or another new key (the smallest key keeps
+    it) -- it is rehashed with salt 1, 2, ... until no id is shared. A
+    collision is rare (64-bit ids), so this is one check per batch."""
+    n = new.select(key).distinct()
+    if existing is not None:
+        ex = existing.select(key, id_col)
+        kept = n.join(ex, key, "inner")
+        fresh = n.join(ex.select(key), key, "left_anti")
+    else:
+        ex, kept, fresh = None, None, n
+    fresh = fresh.withColumn(id_col, hash_fn(F.col(key), 0))
+    for salt in range(1, max_rounds + 1):
+        w = Window.partitionBy(id_col).orderBy(key)
+        clash = fresh.withColumn("_r", F.row_number().over(w)).where(F.col("_r") > 1).select(key)
+        if ex is not None:
+            held = ex.select(F.col(id_col), F.col(key).alias("_other"))
+            clash = clash.unionByName(fresh.join(held, id_col).where(F.col("_other") != F.col(key)).select(key))
+        if clash.isEmpty():
+            break
+        fresh = (fresh.join(clash.withColumn("_c", F.lit(True)), key, "left")
+                 .withColumn(id_col, F.when(F.col("_c"), hash_fn(F.col(key), salt)).otherwise(F.col(id_col)))
+                 .drop("_c"))
+        fresh = checkpointed(fresh)  # cut the lineage of a rehash round (rare)
+    else:
+        raise RuntimeError("path ids still collide after %d rehashes" % max_rounds)
+    return fresh if kept is None else kept.select(key, id_col).unionByName(fresh)
+
+
 def index_upsert(stored: DataFrame, delta: DataFrame) -> DataFrame:
     """Insert-or-replace by path: stored rows not in the delta, plus the
     delta rows (the delta carries the stored id for updates)."""

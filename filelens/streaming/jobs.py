@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filelens.operators.common import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, row_bytes
-from filelens.operators.index import latest_per_key
+from filelens.operators.index import latest_per_key, path_ids
 from filelens.session import scratch_path
 from filelens.sources import store
 
@@ -106,12 +106,13 @@ def stream_index(spark: SparkSession, root: str, embed_fn, index_root: str | Non
         b = with_path_parts(batch.select(P.strip_uri("path").alias("path"),
                                          F.unix_timestamp("modificationTime").cast("bigint").alias("last_modified"),
                                          F.col("length").cast("bigint").alias("size_bytes"), "content"))
-        b = b.withColumn("file_id", F.xxhash64("path"))
+        cur = store.read_current(batch.sparkSession, index_root)
+        # ids: stored paths keep theirs; new paths get a collision-checked hash
+        b = b.join(path_ids(b, cur), "path")
         ex = extract(b).where(F.col("status").isin("ok", "repaired"))
         vec = embed_fn(ex.select("file_id", "text"))
         rows = ex.select("file_id", "path", "name", "extension", "last_modified", "size_bytes") \
             .join(vec, "file_id")
-        cur = store.read_current(batch.sparkSession, index_root)
         new = upsert_newer(cur, rows, "path", "last_modified", "file_id")
         store.commit(new, index_root, batch_id + 1)
 

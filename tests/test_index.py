@@ -78,3 +78,16 @@ def test_quarantine_and_retry_once(spark):
     # attempts == 2: never retried again
     rec2, still2 = index.retry_quarantined(still, ch, second)
     assert rec2.count() == 0 and still2.count() == 0
+
+
+def test_path_ids_resolve_collisions(spark):
+    # a 4-value hash forces collisions between new paths and with stored ones
+    tiny = lambda c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(4))
+    stored = spark.createDataFrame([("/s1", 0), ("/s2", 1)], "path string, file_id long")
+    new = spark.createDataFrame([("/s1",), ("/n1",), ("/n2",), ("/n1",)], "path string")
+    ids = {r.path: r.file_id for r in index.path_ids(new, stored, hash_fn=tiny).collect()}
+    assert set(ids) == {"/s1", "/n1", "/n2"}
+    assert ids["/s1"] == 0  # a stored path keeps its id
+    assert len(set(ids.values()) | {1}) == 4  # unique among themselves and not the stored /s2's id
+    plain = {r.path: r.file_id for r in index.path_ids(new, None).collect()}
+    assert plain["/n1"] == spark.range(1).select(F.xxhash64(F.lit("/n1"))).first()[0]
