@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from filelens.functions import text as X
 from filelens.functions import vectors as V
-from filelens.operators.common import global_rank, maybe_broadcast, spread
+from filelens.operators.common import (BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, global_rank, maybe_broadcast,
+                                       row_bytes, spread)
 from filelens.schema import EMBEDDING_DIM, MAX_SEQ_LEN
 
 
@@ -30,6 +31,70 @@ def encode_windows(docs: DataFrame, vocab: DataFrame, n: int = MAX_SEQ_LEN,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode whole texts into fixed-length windows.
 
+    Each window holds up to n-2 consecutive words as [CLS] ids [SEP], padded
+    with 0 to exactly n; the mask is 1 on real tokens. A text of w words
+    gives ceil(w/(n-2)) windows (an empty or NULL text gives one window of
+    [CLS][SEP]); a word outside the vocabulary is [UNK].
+    Output: id, window, input_ids, attention_mask (both length n).
+
+    Encoding is per-row work: when the vocabulary passes the broadcast check
+    it is an Arrow-batched map with no shuffle (words looked up once per
+    distinct word, ids scattered into the window matrix by NumPy);
+    otherwise a join and a (document, window) aggregate give the same rows
+    (:func:`_encode_windows_joined`)."""
+    v = vocab.select("tok", "token_id")
+    nv = v.count()
+    if nv > BROADCAST_MAX_ROWS or nv * row_bytes(v.schema) > BROADCAST_MAX_BYTES:
+        return _encode_windows_joined(docs, vocab, n, id_col, text_col)
+    vt = v.toArrow()
+    bv = docs.sparkSession.sparkContext.broadcast(
+        dict(zip(vt.column("tok").to_pylist(), vt.column("token_id").to_pylist())))
+    per = n - 2
+    src = spread(docs, id_col).select(F.col(id_col).alias("_id"), X.words(text_col).alias("_ws"))
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType),
+                           T.StructField("window", T.LongType()),
+                           T.StructField("input_ids", T.ArrayType(T.LongType())),
+                           T.StructField("attention_mask", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        voc = bv.value
+        for rb in batches:
+            rows = rb.num_rows
+            if rows == 0:
+                continue
+            ws = rb.column(1)
+            lens = pc.fill_null(pc.list_value_length(ws), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            enc = pc.dictionary_encode(pc.list_flatten(ws))
+            tmap = np.array([voc.get(w, X.UNK_ID) for w in enc.dictionary.to_pylist()], dtype=np.int64)
+            tid = tmap[enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(tmap) else \
+                np.zeros(0, dtype=np.int64)
+            n_win = np.maximum((lens + per - 1) // per, 1)
+            win_off = np.r_[0, np.cumsum(n_win)[:-1]]
+            n_all = int(n_win.sum())
+            row = np.repeat(np.arange(rows, dtype=np.int64), lens)
+            pos = np.arange(len(tid), dtype=np.int64) - np.repeat(np.r_[0, np.cumsum(lens)[:-1]], lens)
+            w = win_off[row] + pos // per
+            ids = np.zeros((n_all, n), dtype=np.int64)
+            ids[:, 0] = X.CLS_ID
+            ids[w, 1 + pos % per] = tid
+            cnt = np.bincount(w, minlength=n_all)
+            ids[np.arange(n_all), cnt + 1] = X.SEP_ID
+            mask = (np.arange(n)[None, :] < (cnt + 2)[:, None]).astype(np.int64)
+            offs = pa.array(np.arange(n_all + 1, dtype=np.int32) * n)
+            yield pa.RecordBatch.from_arrays([
+                rb.column(0).take(pa.array(np.repeat(np.arange(rows), n_win))),
+                pa.array(np.arange(n_all, dtype=np.int64) - np.repeat(win_off, n_win)),
+                pa.ListArray.from_arrays(offs, pa.array(ids.ravel())),
+                pa.ListArray.from_arrays(offs, pa.array(mask.ravel()))],
+                [id_col, "window", "input_ids", "attention_mask"])
+
+    return src.mapInArrow(run, schema)
+
+
+def _encode_windows_joined(docs: DataFrame, vocab: DataFrame, n: int = MAX_SEQ_LEN,
+                           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encode whole texts into fixed-length windows.
+
     Each window holds up to n-2 consecutive words as [CLS] ids [SEP], padded
     with 0 to exactly n; the mask is 1 on real tokens. A text of w words
     gives ceil(w/(n-2)) windows (an empty text gives one window of [CLS][SEP]).

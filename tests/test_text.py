@@ -135,3 +135,20 @@ def test_masked_mean_pool_map_equals_shuffle_form(spark, monkeypatch):
     t = X.hash_bucket_py("cat", 7)
     if t != 4:
         assert [v for d, _, v in mapped if d == 3] == pytest.approx([float(t), float(-t), 0.5])
+
+
+def test_encode_windows_map_equals_join_form(spark, monkeypatch):
+    texts = ["", None, "a b c", " ".join(f"w{i % 7}" for i in range(254)), " ".join(f"w{i % 9}" for i in range(600)),
+             "unknown words here"]
+    docs = _docs(spark, texts)
+    vocab = embed.vocab_build(_docs(spark, ["a b c w1 w2 w3 w4 w5 w6 w0 w7 w8"]))
+
+    def rows(df):
+        return sorted((r.doc_id, r.window, tuple(r.input_ids), tuple(r.attention_mask)) for r in df.collect())
+
+    mapped = rows(embed.encode_windows(docs, vocab))
+    monkeypatch.setattr(embed, "BROADCAST_MAX_ROWS", -1)
+    joined = rows(embed.encode_windows(docs, vocab))
+    assert mapped == joined
+    assert [w for d, w, _, _ in mapped if d == 4] == [0, 1, 2]
+    assert all(ids[1] == X.UNK_ID for d, _, ids, _ in mapped if d == 5)
