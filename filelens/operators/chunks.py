@@ -29,11 +29,13 @@ def chunk_docs(docs: DataFrame, size: int = CHUNK_SIZE, step: int = CHUNK_STEP,
 
 
 def chunk_search(chunk_vecs: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "doc_id",
-                 qid_col: str = "query_id", dim: int | None = None) -> DataFrame:
+                 qid_col: str = "query_id", dim: int | None = None, vec_col: str = "embedding",
+                 vectorize=None) -> DataFrame:
     """Top-k files per query, each represented by its best chunk (score desc,
     then lowest chunk number). ``chunk_vecs`` has chunk_id, doc id, chunk_no
-    and embedding. The dense kernel keeps per task the k best *files* by
+    and embedding (or, with ``vectorize``, the column it turns into vectors
+    inside the task). The dense kernel keeps per task the k best *files* by
     their best chunk, so the result is exact without emitting all chunks."""
-    return dense_search(chunk_vecs, queries, k, id_col="chunk_id", vec_col="embedding",
+    return dense_search(chunk_vecs, queries, k, id_col="chunk_id", vec_col=vec_col, vectorize=vectorize,
                         qid_col=qid_col, qvec_col="embedding", payload=[id_col, "chunk_no"],
                         group_col=id_col, dim=dim)

@@ -125,7 +125,7 @@ def _select(s: np.ndarray, k, threshold) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _kernel(bc, k, threshold, id_col: str, vec_col: str, payload: list[str], dim: int,
-            group_col: str | None = None):
+            group_col: str | None = None, vectorize=None):
     def run(batches):
         qids, qmat, qnorm = bc.value
         nq = len(qids)
@@ -134,7 +134,10 @@ def _kernel(bc, k, threshold, id_col: str, vec_col: str, payload: list[str], dim
             n = rb.num_rows
             if n == 0 or nq == 0:
                 continue
-            mat, valid = dense_matrix(rb.column(vec_col), dim)
+            if vectorize is None:
+                mat, valid = dense_matrix(rb.column(vec_col), dim)
+            else:
+                mat, valid = vectorize(rb.column(vec_col))
             s = cosine_matrix(mat, valid, qmat, qnorm)  # n x nq
             if threshold is not None:
                 s = np.where(s >= threshold, s, -np.inf)
@@ -243,9 +246,14 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int | None = 5, *,
                  qid_col: str = "query_id", qvec_col: str = "embedding",
                  payload: list[str] | None = None, threshold: float | None = None,
                  dim: int | None = None, block_bytes: int = DEFAULT_BLOCK_BYTES,
-                 group_col: str | None = None) -> DataFrame:
+                 group_col: str | None = None, vectorize=None) -> DataFrame:
     """Top-k corpus rows per query by cosine (k=None or k<0: no cut).
 
+    ``vectorize`` (optional) turns the Arrow column ``vec_col`` of a batch
+    into (n x dim matrix, valid mask) inside the scoring task -- e.g. hashed
+    vectors from word lists -- so corpus vectors are never materialised as
+    rows between two Python stages.
+
     With ``group_col`` (a payload column) the unit ranked is the group,
     represented by its best row (score desc, id asc): top-k groups per query.
     Returns query_id, rank, <id_col>, <payload...>, score."""
@@ -268,7 +276,8 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int | None = 5, *,
 
     def per_block(ids, qmat, qnorm):
         bc = spark.sparkContext.broadcast((ids, qmat, qnorm))
-        res = src.mapInArrow(_kernel(bc, k, threshold, id_col, vec_col, payload, dim, group_col), out_schema)
+        res = src.mapInArrow(_kernel(bc, k, threshold, id_col, vec_col, payload, dim, group_col, vectorize),
+                             out_schema)
         if group_col is not None:
             wg = Window.partitionBy("query_id", group_col).orderBy(F.desc("score"), F.asc(id_col))
             res = res.withColumn("_g", F.row_number().over(wg)).where(F.col("_g") == 1).drop("_g")

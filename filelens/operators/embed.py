@@ -159,6 +159,19 @@ def hashed_matrix(ws: pa.Array, dim: int, cache: dict) -> np.ndarray:
     return np.divide(tf, nrm, out=np.zeros_like(tf), where=nrm > 0)
 
 
+def hashed_vectorizer(dim: int = EMBEDDING_DIM):
+    """In-task vectorizer for :func:`filelens.operators.dense.dense_search`:
+    an Arrow list<string> column of words -> (hashed unit vectors, valid).
+    The word cache lives in the function, so each task builds its own."""
+    cache: dict[str, int] = {}
+
+    def vectorize(ws: pa.Array):
+        m = hashed_matrix(ws, dim, cache)
+        return m, np.ones(len(m), dtype=bool)
+
+    return vectorize
+
+
 def hashed_embed(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """Dense unit vectors (id, embedding array<double> of ``dim``): term

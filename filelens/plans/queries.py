@@ -118,13 +118,16 @@ def q_hashed_embed(spark, sf_dir):
 
 @register("text_search")
 def q_text_search(spark, sf_dir):
+    from filelens.functions import text as X
     from filelens.operators import embed
+    from filelens.operators.common import spread
     from filelens.operators.dense import dense_search
-    docs = embed.hashed_embed(_docs(spark, sf_dir))
+    # documents are vectorized inside the scoring tasks (no vector rows)
+    docs = spread(_docs(spark, sf_dir), "doc_id").select("doc_id", X.words("text").alias("ws"))
     qs = embed.hashed_embed(tables.read(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"),
                             id_col="query_id")
-    return dense_search(docs, qs, K, id_col="doc_id", vec_col="embedding",
-                        qid_col="query_id", qvec_col="embedding", dim=embed.EMBEDDING_DIM)
+    return dense_search(docs, qs, K, id_col="doc_id", vec_col="ws", qid_col="query_id", qvec_col="embedding",
+                        dim=embed.EMBEDDING_DIM, vectorize=embed.hashed_vectorizer(embed.EMBEDDING_DIM))
 
 
 @register("masked_mean_pool")
@@ -332,14 +335,14 @@ def q_chunk_docs(spark, sf_dir):
 
 @register("chunk_search")
 def q_chunk_search(spark, sf_dir):
+    from filelens.functions import text as X
     from filelens.operators import chunks, embed
     c = chunks.chunk_docs(_docs(spark, sf_dir))
-    cv = embed.hashed_embed(c, id_col="chunk_id", text_col="chunk")
-    cv = cv.select("chunk_id", "embedding",
-                   (F.col("chunk_id") / chunks.CHUNK_ID_SPAN).cast("bigint").alias("doc_id"),
-                   (F.col("chunk_id") % chunks.CHUNK_ID_SPAN).alias("chunk_no"))
+    # chunks are vectorized inside the scoring tasks (no vector rows)
+    cw = c.select("chunk_id", "doc_id", "chunk_no", X.words("chunk").alias("ws"))
     qs = embed.hashed_embed(_bench_queries(spark, sf_dir), id_col="query_id")
-    return chunks.chunk_search(cv, qs, K, dim=embed.EMBEDDING_DIM)
+    return chunks.chunk_search(cw, qs, K, dim=embed.EMBEDDING_DIM, vec_col="ws",
+                               vectorize=embed.hashed_vectorizer(embed.EMBEDDING_DIM))
 
 
 # --------------------------------------------------------------------------
