@@ -122,13 +122,24 @@ def _encode_windows_joined(docs: DataFrame, vocab: DataFrame, n: int = MAX_SEQ_L
 def hashed_terms(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """Sparse hashed-term vectors of whole texts: (id, bucket, weight) with
-    weight = tf / ||tf||2 (feature hashing of md5 buckets)."""
-    tf = (spread(docs, id_col).select(id_col, F.explode(X.words(text_col)).alias("tok"))
-          .select(id_col, X.hash_bucket("tok", dim).alias("bucket"))
-          .groupBy(id_col, "bucket").agg(F.count(F.lit(1)).alias("tf")))
-    nrm = Window.partitionBy(id_col)
-    return tf.withColumn("weight", F.col("tf") / F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(nrm))) \
-        .select(id_col, "bucket", "weight")
+    weight = tf / ||tf||2 (feature hashing of md5 buckets), one row per
+    non-zero bucket. The same per-row map as :func:`hashed_embed` (no
+    shuffle), emitting only the non-zero entries."""
+    src = spread(docs, id_col).select(F.col(id_col).alias("_id"), X.words(text_col).alias("_ws"))
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType),
+                           T.StructField("bucket", T.LongType()), T.StructField("weight", T.DoubleType())])
+
+    def run(batches):
+        cache: dict[str, int] = {}
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            vec = hashed_matrix(rb.column(1), dim, cache)
+            r, c = np.nonzero(vec)
+            yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(r)), pa.array(c.astype(np.int64)),
+                                              pa.array(vec[r, c])], [id_col, "bucket", "weight"])
+
+    return src.mapInArrow(run, schema)
 
 
 # Distinct words whose bucket a task keeps cached (a cache only: the

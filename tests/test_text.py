@@ -58,18 +58,26 @@ def test_hashed_embed_unit_and_empty(spark):
     assert sum(x * x for x in out[2]) == pytest.approx(1.0)
 
 
-def test_hashed_embed_equals_sparse_terms(spark):
-    """The Arrow-batched dense vectors and the JVM sparse (bucket, weight)
-    rows are two forms of the same vectors."""
+def test_hashed_embed_and_terms_match_brute_force(spark):
+    """Dense and sparse hashed vectors against a plain Python restatement
+    (lower-case, runs of letters/digits, md5 bucket, tf / ||tf||)."""
+    import hashlib
+    import math
+    import re
     texts = ["the cat sat on the mat", "", None, "a b c a b a", "Über straße 42 ÜBER", "x " * 5000]
     docs = _docs(spark, texts)
     dense = {r.doc_id: r.embedding for r in embed.hashed_embed(docs, dim=8).collect()}
     sparse = {}
     for r in embed.hashed_terms(docs, dim=8).collect():
         sparse.setdefault(r.doc_id, [0.0] * 8)[r.bucket] = r.weight
-    assert set(dense) == set(range(len(texts)))
-    for i in range(len(texts)):
-        assert dense[i] == pytest.approx(sparse.get(i, [0.0] * 8), abs=1e-15)
+    for i, t in enumerate(texts):
+        tf = [0] * 8
+        for w in re.findall(r"[^\W_]+", (t or "").lower()):
+            tf[int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % 8] += 1
+        nrm = math.sqrt(sum(x * x for x in tf))
+        want = [x / nrm if nrm else 0.0 for x in tf]
+        assert dense[i] == pytest.approx(want, abs=1e-15)
+        assert sparse.get(i, [0.0] * 8) == pytest.approx(want, abs=1e-15)
 
 
 def test_chunks_cover_whole_text(spark):
