@@ -279,6 +279,9 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int | None = 5, *,
         res = src.mapInArrow(_kernel(bc, k, threshold, id_col, vec_col, payload, dim, group_col, vectorize),
                              out_schema)
         if group_col is not None:
+            # at most k rows per query and task: one exchange by query serves
+            # both windows (best row per group, then top k groups)
+            res = res.repartition("query_id")
             wg = Window.partitionBy("query_id", group_col).orderBy(F.desc("score"), F.asc(id_col))
             res = res.withColumn("_g", F.row_number().over(wg)).where(F.col("_g") == 1).drop("_g")
             w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(group_col))
