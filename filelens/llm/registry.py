@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from filelens.tables import read
 
-from . import quality_mcd
+from . import concat_pack, quality_mcd, source_mix
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -28,3 +28,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_mcd.judge(read(spark, sf_dir, "documents"))
     return judged.select("doc_id", *[F.col("stats")[s].alias(s) for s in quality_mcd.STATS],
                          "base_failed", "kept", "mcd_distance")
+
+
+@_query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return concat_pack.pack(read(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mix.mix(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")

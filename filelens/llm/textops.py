@@ -103,8 +103,17 @@ def rows_of(starts: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.searchsorted(offs, starts, "right") - 1
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every span's bytes; spans are ordered and disjoint."""
+def byte_values(b: np.ndarray) -> np.ndarray:
+    return _TABLE[b]
+
+
+def code_point_values(c: np.ndarray) -> np.ndarray:
+    return mix64(c.astype(_U) + _U(1))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values=byte_values) -> np.ndarray:
+    """64-bit hash of every span's bytes (or other units, each mapped to a
+    random word by ``values``); spans are ordered and disjoint."""
     out = np.zeros(len(starts), _U)
     i = 0
     while i < len(starts):
@@ -113,7 +122,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         base, stop = int(starts[i]), int(ends[j - 1])
         up, down = _power_tables(stop - base + 1)
         sums = np.zeros(stop - base + 1, _U)
-        np.cumsum(_TABLE[buf[base:stop]] * up[:stop - base], out=sums[1:])
+        np.cumsum(values(buf[base:stop]) * up[:stop - base], out=sums[1:])
         s, e = starts[i:j] - base, ends[i:j] - base
         out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(_U)
         i = j
