@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from filelens.tables import read
 
-from . import concat_pack, quality_mcd, source_mix
+from . import concat_pack, quality_mcd, source_mix, url_alias
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +23,12 @@ def _query(fn):
     return fn
 
 
+@_query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_alias.judge(read(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @_query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_mcd.judge(read(spark, sf_dir, "documents"))
