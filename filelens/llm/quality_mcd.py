@@ -185,7 +185,7 @@ def fit(vectors: DataFrame, support: float = SUPPORT, steps: int = STEPS, min_gr
     model = materialized(start, "mcd-model")
     for _ in range(steps):
         near = flat.join(model, "g").select("g", *x, _distance(x, "centre", "inverse").alias("d"))
-        limit = near.groupBy("g").agg(F.percentile_approx("d", support, 1000).alias("limit"))
+        limit = materialized(near.groupBy("g").agg(F.percentile_approx("d", support, 1000).alias("limit")), "mcd-limit")
         model = materialized(_moments(near.join(limit, "g").where("d <= limit")), "mcd-model")
     return model
 
@@ -194,7 +194,8 @@ def score(rows: DataFrame, s: str, model: DataFrame, cutoff: float = CUTOFF) ->
     """Adds ``mcd_distance`` (null where base rules fail) and ``mcd_kept``,
     from the finest level of the model that has the row's group."""
     lang, source = (F.col(c) for c in ("lang", "source"))
-    names = [_group_name(lang, source), _group_name(lang), _group_name()]
+    # every row with statistics is of the corpus
+    names = [_group_name(lang, source), _group_name(lang), F.when(col(s).isNotNull(), _group_name())]
     out = rows
     for k, name in enumerate(names):
         part = model.select(F.col("g").alias(f"_g{k}"), F.struct("centre", "inverse").alias(f"_p{k}"))
