@@ -2,7 +2,7 @@
 
 Every round each node joins its neighbour of least random priority (one
 aggregate with map-side minima, so a node with many edges is no hot task),
-chains of such choices are shortened by pointer jumping, and the edges are
+chains of such choices are halved by a pointer jump, and the edges are
 contracted to the chosen representatives. Random priorities shrink the graph
 by a constant factor a round whatever its shape; rounds end when no edge is
 left. Each round's tables are written to the shared folder; the driver only
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from filelens.operators.common import materialized
 
-JUMPS = 2
-
 
 def _least(node, seed: int):
     """Sort key of a node in one round: random priority, then the node."""
@@ -34,11 +32,10 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         pick = both.groupBy("u").agg(F.min(_least(F.col("v"), seed)).alias("m"))
-        parent = materialized(pick.select(
-            F.col("u").alias("node"), F.least(F.col("m"), _least(F.col("u"), seed))["v"].alias("root")), "cc-parents")
-        for _ in range(JUMPS):
-            up = parent.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            parent = materialized(parent.join(up, "root").select("node", F.col("up").alias("root")), "cc-parents")
+        parent = pick.select(
+            F.col("u").alias("node"), F.least(F.col("m"), _least(F.col("u"), seed))["v"].alias("root"))
+        up = parent.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        parent = materialized(parent.join(up, "root").select("node", F.col("up").alias("root")), "cc-parents")
         maps.append(parent)
         pu = parent.select(F.col("node").alias("u"), F.col("root").alias("ru"))
         pv = parent.select(F.col("node").alias("v"), F.col("root").alias("rv"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from filelens.tables import read
 
-from . import concat_pack, quality_mcd, source_mix, url_alias
+from . import bagminhash, concat_pack, quality_mcd, source_mix, url_alias
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +29,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@_query
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_mcd.judge(read(spark, sf_dir, "documents"))
