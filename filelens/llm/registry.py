@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from filelens.tables import read
 
-from . import bagminhash, concat_pack, quality_mcd, source_mix, url_alias
+from . import bagminhash, concat_pack, lm_xent, quality_mcd, source_mix, url_alias, va_topk
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -41,11 +41,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept", "mcd_distance")
 
 
+@_query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_xent.score(read(spark, sf_dir, "documents"), good)
+
+
 @_query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return concat_pack.pack(read(spark, sf_dir, "documents"))
 
 
+@_query
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_topk.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @_query
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mix.mix(read(spark, sf_dir, "documents"))
