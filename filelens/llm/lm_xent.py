@@ -6,7 +6,8 @@ pairs to ``2**PAIR_BITS`` pair classes, so that no word is dropped and a
 model's size is fixed whatever the corpus. Both are smoothed alike (a pair
 model with a Dirichlet prior on the unigram model, add-one below). A document's
 score is the mean over its words of target loss minus background loss: the
-lower, the more it is like the target.
+lower, the more it is like the target. Each document is scored by models of
+all the others: its own counts are taken out first.
 
 Counting is a map over all texts with sparse counts per task and one sum;
 the summed counts are a table of fixed size, which is what is broadcast.
@@ -91,13 +92,18 @@ def _dense(table: pa.Table) -> pa.Table:
     return pa.table({"block": [int(at[0]) // _BLOCK], "target": [out[0].tobytes()], "background": [out[1].tobytes()]})
 
 
-def fit(docs: DataFrame, target: DataFrame) -> np.ndarray:
-    """Counts (2 x classes) of the target and the background: ``docs`` (doc_id,
-    text) whose id is in ``target`` (doc_id), and all of ``docs``."""
+def marked(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """(doc_id, text, target) of every row, written: whether its id is in
+    ``target`` (doc_id)."""
     flag = target.select(col("doc_id").alias("_id")).where("_id is not null").distinct().withColumn("_in", F.lit(True))
-    marked = docs.select(col("doc_id"), col("text")).where(col("text").isNotNull()) \
-        .join(flag, F.col("doc_id") == F.col("_id"), "left").select("text", F.coalesce("_in", F.lit(False)).alias("target"))
-    counts = marked.mapInArrow(_count, "class bigint, target bigint, background bigint") \
+    rows = docs.select(col("doc_id"), col("text")).join(flag, F.col("doc_id") == F.col("_id"), "left")
+    return materialized(rows.select("doc_id", "text", F.coalesce("_in", F.lit(False)).alias("target")), "lm-marked")
+
+
+def fit(rows: DataFrame) -> np.ndarray:
+    """Counts (2 x classes) of the target rows and of all rows of ``rows``
+    (text, target)."""
+    counts = rows.select("text", "target").mapInArrow(_count, "class bigint, target bigint, background bigint") \
         .groupBy("class").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
     blocks = materialized(counts.groupBy(F.floor(F.col("class") / _BLOCK).alias("block")).applyInArrow(
         _dense, "block bigint, target binary, background binary"), "lm-counts")
@@ -108,14 +114,21 @@ def fit(docs: DataFrame, target: DataFrame) -> np.ndarray:
     return out
 
 
-def losses(counts: np.ndarray, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """Loss (nats) of every word under the model of one count vector."""
-    words = counts[:_HISTORY]
-    n = words.sum()
-    single = (words[word] + 1.0) / (n + _HISTORY)
-    history = counts[_HISTORY:_PAIRS][before]
+def _own(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Per word, how often its class is in its own text."""
+    _, which, n = np.unique(rows * _SIZE + classes, return_inverse=True, return_counts=True)
+    return n[which]
+
+
+def losses(counts: np.ndarray, word, before, pair, less=(0, 0, 0, 0)) -> np.ndarray:
+    """Loss (nats) of every word under the model of one count vector, from
+    which ``less`` (words, histories, pairs, words of the text) is taken."""
+    words = counts[word] - less[0]
+    n = counts[:_HISTORY].sum() - less[3]
+    single = (words + 1.0) / (n + _HISTORY)
+    history = counts[before + _HISTORY] - less[1]
     # classes can be shared; a pair is never more frequent than its parts
-    both = np.minimum(np.minimum(counts[_PAIRS:][pair], history), words[word])
+    both = np.minimum(np.minimum(counts[pair + _PAIRS] - less[2], history), words)
     return -np.log((both + PRIOR * single) / (history + PRIOR))
 
 
@@ -124,22 +137,24 @@ _LOSSES = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("t
 
 
 def scorer(counts):
-    """A column function from texts to (n_words, target_loss,
-    background_loss) for a broadcast of :func:`fit`'s counts."""
+    """A column function from texts and target flags to (n_words,
+    target_loss, background_loss) for a broadcast of :func:`fit`'s counts."""
     @F.arrow_udf(_LOSSES)
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model = counts.value
-        for texts in batches:
-            n_words, sums = [], [[], []]
+        for texts, flags in batches:
+            n_words, sums = [np.zeros(0, np.int64)], [[np.zeros(0)], [np.zeros(0)]]
+            flags = flags.to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi, buf, offs in X.text_slices(texts):
                 rows, word, before, pair = word_classes(buf, offs)
-                n_words.append(np.bincount(rows, minlength=hi - lo))
-                for k in range(2):
-                    sums[k].append(np.bincount(rows, weights=losses(model[k], word, before, pair), minlength=hi - lo))
-            n = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
-            empty = n == 0
-            mean = [pa.array((np.concatenate(s) if s else np.zeros(0)) / np.maximum(n, 1), pa.float64(), mask=empty)
-                    for s in sums]
+                n = np.bincount(rows, minlength=hi - lo)
+                own = (_own(rows, word), _own(rows, before), _own(rows, pair), n[rows])
+                n_words.append(n)
+                for k, part in enumerate((flags[lo:hi][rows], 1)):
+                    loss = losses(model[k], word, before, pair, [o * part for o in own])
+                    sums[k].append(np.bincount(rows, weights=loss, minlength=hi - lo))
+            n = np.concatenate(n_words)
+            mean = [pa.array(np.concatenate(s) / np.maximum(n, 1), pa.float64(), mask=n == 0) for s in sums]
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), *mean],
                                              ["n_words", "target_loss", "background_loss"])
     return score
@@ -147,7 +162,7 @@ def scorer(counts):
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) per row."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(docs, target))
-    out = docs.select(col("doc_id"), scorer(model)(col("text")).alias("s")).select("doc_id", "s.*")
+    rows = marked(docs, target)
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows))
+    out = rows.select("doc_id", scorer(model)("text", "target").alias("s")).select("doc_id", "s.*")
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
