@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from filelens.tables import read
 
-from . import bagminhash, concat_pack, lm_xent, quality_mcd, source_mix, url_alias, va_topk
+from . import bagminhash, concat_pack, html_mincut, lm_xent, quality_mcd, source_mix, url_alias, va_topk, winnow
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +23,12 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_mincut.extract(read(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @_query
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_alias.judge(read(spark, sf_dir, "pages"))
@@ -34,6 +40,14 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@_query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_deleted_lines")
+
+
+ORACLE["op4_line_dedup"] = winnow.ORACLE
+
+
 @_query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_mcd.judge(read(spark, sf_dir, "documents"))
