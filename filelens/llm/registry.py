@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from filelens.tables import read
 
-from . import bagminhash, concat_pack, html_mincut, lm_xent, quality_mcd, source_mix, url_alias, va_topk, winnow
+from . import (bagminhash, concat_pack, html_mincut, lm_xent, quality_mcd, source_mix, url_alias, va_topk,
+               warc_fixity, winnow)
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -48,6 +49,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op4_line_dedup"] = winnow.ORACLE
 
 
+@_query
+def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_fixity.audit_pages(read(spark, sf_dir, "pages"))
+
+
+ORACLE["op5_warc_fixity"] = warc_fixity.ORACLE
+
+
 @_query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_mcd.judge(read(spark, sf_dir, "documents"))
