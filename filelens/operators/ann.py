@@ -113,33 +113,38 @@ def _match_pairs(rkeys: np.ndarray, qkeys: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _ann_kernel(bc, k: int, id_col: str, vec_col: str, dim: int, bands: int, bits: int):
-    from filelens.operators.dense import _merge, round_half_up
+    from filelens.operators.dense import TILE_BYTES, _merge, cosine_matrix
 
     def run(batches):
         qids, qmat, qnorm, qkeys, P = bc.value
         best = None
-        for rb in batches:
-            if rb.num_rows == 0 or len(qids) == 0:
+        step = max(1, TILE_BYTES // (8 * max(1, len(qids))))
+
+        def named(rows: pa.Table):
+            ids_ = pa.array(qids[rows.column("_q").to_numpy()])
+            return rows.drop_columns(["_q"]).append_column("query_id", ids_).to_batches()
+
+        for rb in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            if len(qids) == 0:
                 continue
             mat, valid = dense_matrix(rb.column(vec_col), dim)
             rkeys = _keys_np(mat, valid, P, bands, bits)
             rows, qs = _match_pairs(rkeys, qkeys)
             if len(rows) == 0:
                 continue
-            norms = np.sqrt(np.einsum("ij,ij->i", mat, mat))
-            dots = np.einsum("ij,ij->i", mat[rows], qmat[qs])
-            den = norms[rows] * qnorm[qs]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                sc = np.where(den > 0, dots / np.where(den > 0, den, 1.0), 0.0)
-            sc = round_half_up(np.nan_to_num(sc, nan=0.0, posinf=0.0, neginf=0.0))
+            # only rows and queries of some pair are scored, as one product
+            ur, ri = np.unique(rows, return_inverse=True)
+            uq, qi = np.unique(qs, return_inverse=True)
+            sc = cosine_matrix(mat[ur], valid[ur], qmat[uq], qnorm[uq])[ri, qi]
             cand = pa.Table.from_batches([rb.select([id_col]).take(pa.array(rows))]) \
                 .append_column("_q", pa.array(qs.astype(np.int32))).append_column("score", pa.array(sc))
+            if k is None:  # no cut: nothing is held back
+                yield from named(cand)
+                continue
             best = cand if best is None else pa.concat_tables([best, cand])
             best = _merge(best, k, id_col, None)
-        if best is None or best.num_rows == 0:
-            return
-        out = best.drop_columns(["_q"]).append_column("query_id", pa.array(qids[best.column("_q").to_numpy()]))
-        yield from out.to_batches()
+        if best is not None and best.num_rows:
+            yield from named(best)
     return run
 
 
@@ -158,6 +163,8 @@ def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, dim: int | None
     from filelens.operators.dense import DEFAULT_BLOCK_BYTES, blockwise, infer_dim
     if dim is None:
         dim = infer_dim(queries, qvec_col)
+    if k is not None and k < 0:
+        k = None
     P = planes(bands, bits, dim)
     spark = corpus.sparkSession
     src = spread(corpus.select(id_col, vec_col))
@@ -169,8 +176,10 @@ def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, dim: int | None
         bc = spark.sparkContext.broadcast((ids, qmat, qnorm, qkeys, P))
         res = src.mapInArrow(_ann_kernel(bc, k, id_col, vec_col, dim, bands, bits), schema)
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
-        return (res.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
-                .select("query_id", "rank", id_col, "score")), bc
+        ranked = res.withColumn("rank", F.row_number().over(w).cast("bigint"))
+        if k is not None:
+            ranked = ranked.where(F.col("rank") <= k)
+        return ranked.select("query_id", "rank", id_col, "score"), bc
 
     empty = spark.createDataFrame([], schema).select("query_id", F.lit(0).cast("bigint").alias("rank"),
                                                      id_col, "score")
@@ -250,12 +259,13 @@ def lsh_pairs(vecs: DataFrame, dim: int, threshold: float, bands: int = DEFAULT_
 
 
 def ann_recall(approx: DataFrame, exact: DataFrame, k: int, id_col: str = "file_id") -> DataFrame:
-    """Per query: share of the exact top-k ids the approximate list found."""
+    """Per query: share of the exact top-k ids (there may be fewer than k) the
+    approximate list found."""
     e = exact.where(F.col("rank") <= k).select("query_id", id_col)
     a = approx.where(F.col("rank") <= k).select("query_id", id_col, F.lit(1).alias("hit"))
     j = e.join(a, ["query_id", id_col], "left")
     return j.groupBy("query_id").agg(
-        F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.lit(float(k)), 6).alias("recall"))
+        F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1)).cast("double"), 6).alias("recall"))
 
 
 def exact_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

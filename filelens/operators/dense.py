@@ -30,7 +30,10 @@ from pyspark.sql import types as T
 from filelens.schema import SCORE_DECIMALS
 
 # Budget for one broadcast query block (float64 matrix bytes).
-DEFAULT_BLOCK_BYTES = 64 * 1024 * 1024
+DEFAULT_BLOCK_BYTES = 8 * 1024 * 1024
+# Budget for one task's tile of scores (rows x queries, float64): a batch is
+# scored in tiles of so many rows, whatever the number of queries.
+TILE_BYTES = 32 * 1024 * 1024
 
 
 def round_half_up(x: np.ndarray, decimals: int = SCORE_DECIMALS) -> np.ndarray:
@@ -130,7 +133,13 @@ def _kernel(bc, k, threshold, id_col: str, vec_col: str, payload: list[str], dim
         qids, qmat, qnorm = bc.value
         nq = len(qids)
         best = None  # pa.Table: id, payload..., _q (query index), score
-        for rb in batches:
+        step = max(1, TILE_BYTES // (8 * max(1, nq)))
+
+        def named(rows: pa.Table):
+            ids_ = pa.array(qids[rows.column("_q").to_numpy()])
+            return rows.drop_columns(["_q"]).append_column("query_id", ids_).to_batches()
+
+        for rb in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             n = rb.num_rows
             if n == 0 or nq == 0:
                 continue
@@ -162,14 +171,13 @@ def _kernel(bc, k, threshold, id_col: str, vec_col: str, payload: list[str], dim
             cand = rb.select([id_col] + payload).take(pa.array(rows))
             cand = pa.Table.from_batches([cand]).append_column("_q", pa.array(qs.astype(np.int32))) \
                 .append_column("score", pa.array(s[rows, qs]))
+            if k is None:  # no cut: nothing is held back
+                yield from named(cand)
+                continue
             best = cand if best is None else pa.concat_tables([best, cand])
             best = _merge(best, k, id_col, group_col)
-        if best is None or best.num_rows == 0:
-            return
-        qcol = pa.array(qids[best.column("_q").to_numpy()])
-        out = best.drop_columns(["_q"]).append_column("query_id", qcol)
-        for b in out.to_batches():
-            yield b
+        if best is not None and best.num_rows:
+            yield from named(best)
     return run
 
 

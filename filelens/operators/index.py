@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filelens.functions import vectors as V
-from filelens.operators.common import checkpointed
+from filelens.operators.common import checkpointed, materialized
 from filelens.schema import ALLOWED_EXTENSIONS, METADATA_DEFAULTS, SCHEMA_VERSION
 
 
@@ -40,7 +40,9 @@ def change_detect(scan: DataFrame, stored: DataFrame) -> DataFrame:
     insert: path not stored; update: current mtime > stored (NULL stored
     reads as 0); skip: equal or older. A path scanned twice is settled first
     (latest mtime wins). The stored side contributes only (path, mtime, id)."""
-    scan = latest_per_key(scan, "path", "last_modified", "file_id")
+    # only narrow columns are settled and joined; bodies are fetched later, for
+    # changed files
+    scan = latest_per_key(scan.drop("text", "content", "embedding"), "path", "last_modified", "file_id")
     st = stored.select("path", F.col("last_modified").alias("stored_last_modified"),
                        F.col("file_id").alias("stored_file_id"), F.lit(True).alias("_present"))
     j = scan.join(st, "path", "left")
@@ -53,14 +55,19 @@ def change_detect(scan: DataFrame, stored: DataFrame) -> DataFrame:
                     "stored_last_modified", action.alias("action"))
 
 
-def embed_delta(changes: DataFrame, vecs: DataFrame) -> DataFrame:
+def embed_delta(changes: DataFrame, vecs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Changed files with their new vector; status says why a file is not
     indexed (no_text / embed_failed) -- failures go to quarantine, not the
-    index. ``vecs`` is any (file_id, embedding) relation: precomputed
+    index. ``texts`` (path, has_text) says which files have text; without it
+    a ``text`` column of ``changes`` does. ``vecs`` is any (file_id, embedding) relation: precomputed
     vectors, or the output of an embedder over the extracted text."""
     d = changes.where(F.col("action").isin("insert", "update"))
     d = d.join(vecs.select("file_id", "embedding"), "file_id", "left")
-    has_text = F.col("text").isNotNull() & (F.length("text") > 0) if "text" in d.columns else F.lit(True)
+    if texts is not None:
+        d = d.join(texts.select("path", "has_text"), "path", "left")
+        has_text = F.coalesce(F.col("has_text"), F.lit(False))
+    else:
+        has_text = F.col("text").isNotNull() & (F.length("text") > 0) if "text" in d.columns else F.lit(True)
     status = (F.when(~has_text, "no_text")
               .when(F.col("embedding").isNull() | (F.size("embedding") == 0), "embed_failed")
               .otherwise(F.col("action")))
@@ -139,8 +146,9 @@ def path_ids(new: DataFrame, existing: DataFrame | None, key: str = "path", id_c
 def index_upsert(stored: DataFrame, delta: DataFrame) -> DataFrame:
     """Insert-or-replace by path: stored rows not in the delta, plus the
     delta rows (the delta carries the stored id for updates)."""
-    ok = delta.where(F.col("status").isin("insert", "update"))
     cols = ["file_id", "path", "name", "extension", "last_modified", "embedding"]
+    # both branches read the delta: it is evaluated once
+    ok = materialized(delta.where(F.col("status").isin("insert", "update")).select(*cols, "status"), "index-delta")
     new_rows = ok.select(*cols, F.col("status").alias("origin"))
     kept = stored.join(ok.select("path"), "path", "left_anti") \
         .select(*cols, F.lit("stored").alias("origin"))

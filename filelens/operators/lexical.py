@@ -13,6 +13,8 @@ from filelens.functions import text as X
 from filelens.operators.common import (BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, materialized, maybe_broadcast,
                                        row_bytes, spread)
 
+# Ranks of each list that hybrid ranking reads first
+FIRST_DEPTH = 256
 # Fixed BM25 parameters and the reciprocal-rank-fusion constant.
 BM25_K1 = 1.2
 BM25_B = 0.75
@@ -154,6 +156,11 @@ def _bm25_rank(tf_rows: DataFrame, qids: np.ndarray, ind: np.ndarray, k, id_col:
         w, qid = bw.value
         nq = len(qid)
         best = None
+
+        def named(rows: pa.Table):
+            tbl = rows.drop_columns(["_q"]).append_column("query_id", pa.array(qid[rows.column("_q").to_numpy()]))
+            return tbl.select([id_col, "score", "query_id"]).to_batches()
+
         for rb in batches:
             n = rb.num_rows
             terms, tfs = rb.column("terms"), rb.column("tfs")
@@ -179,12 +186,14 @@ def _bm25_rank(tf_rows: DataFrame, qids: np.ndarray, ind: np.ndarray, k, id_col:
                 continue
             cand = pa.table({id_col: rb.column("doc").take(pa.array(rows_)),
                              "_q": pa.array(qs.astype(np.int32)), "score": pa.array(sc[rows_, qs])})
+            if k is None:  # no cut: nothing is held back
+                yield from named(cand)
+                continue
             best = cand if best is None else pa.concat_tables([best, cand])
             best = _merge(best, k, id_col, None)
-        if best is None or best.num_rows == 0:
-            return
-        tbl = best.drop_columns(["_q"]).append_column("query_id", pa.array(qid[best.column("_q").to_numpy()]))
-        yield from tbl.select([id_col, "score", "query_id"]).to_batches()
+        if best is not None and best.num_rows:
+            yield from named(best)
+
 
     res = tf_rows.mapInArrow(score, out)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
@@ -243,64 +252,62 @@ def _bm25_joined(docs: DataFrame, qw: DataFrame, n_qw: int, k, id_col: str, text
     return ranked.select("query_id", "rank", F.col("doc").alias(id_col), "score")
 
 
-def hybrid_topk(docs: DataFrame, queries: DataFrame, k: int = 5, depth: int = 50, *,
+def hybrid_topk(docs: DataFrame, queries: DataFrame, k: int = 5, depth: int = FIRST_DEPTH, *,
                 id_col: str = "doc_id", qid_col: str = "query_id", text_col: str = "text",
                 dim: int | None = None, c: int = RRF_K,
                 k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """Hybrid keyword + semantic rank: reciprocal rank fusion (constant
-    ``c``) of the top-``depth`` BM25 list and the top-``depth`` cosine list
-    over hashed-term vectors, cut to k per query.
-
-    Both rankers need the words of every text, so one Arrow map splits each
-    document once and writes its length, query-term counts and hashed
-    vector to one table; BM25 reads the term columns and the dense kernel
-    the vector column (Parquet prunes the rest). Beyond the BM25 budget the
-    two rankers run on their own."""
+    ``c``) of the whole BM25 list and the whole cosine list over hashed-term
+    vectors, cut to k per query.
+
+    The lists are read to ``depth`` first, and four times deeper as long as a
+    document that is unseen in a list could still enter some query's top k
+    (its part there is at most 1 / (c + depth + 1)), so the answer is that of
+    the full lists. Each document is split into words once for both rankers;
+    the tables that the rounds read are written once."""
     from filelens.operators import embed
     from filelens.operators.dense import dense_search
     dim = dim or embed.EMBEDDING_DIM
-    qs = embed.hashed_embed(queries.select(F.col(qid_col).alias("query_id"), F.col(text_col).alias("text")),
-                            dim=dim, id_col="query_id")
-    qw = queries.select(F.col(qid_col).cast("bigint").alias("query_id"),
-                        F.explode(F.array_distinct(X.words(text_col))).alias("tok"))
-    st = qw.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tok").alias("nt"),
-                F.count_distinct("query_id").alias("nq")).first()
-    if (st["n"] == 0 or st["nt"] * st["nq"] * 8 > BM25_MATRIX_MAX_BYTES or st["n"] > BROADCAST_MAX_ROWS
-            or st["n"] * row_bytes(qw.schema) > BROADCAST_MAX_BYTES):
-        sem = dense_search(embed.hashed_embed(docs, dim=dim, id_col=id_col, text_col=text_col), qs, depth,
-                           id_col=id_col, qid_col="query_id", dim=dim)
-        kw = bm25_topk(docs, queries, depth, id_col=id_col, qid_col=qid_col, text_col=text_col, k1=k1, b=b)
-        return rrf_fuse(sem, kw, k, id_col, c)
-
-    spark = docs.sparkSession
-    vocab, qids, ind = _query_vocab(qw)
-    bv = spark.sparkContext.broadcast(vocab)
-    nt = len(vocab)
-    src = spread(docs, id_col).select(F.col(id_col).alias("_id"), X.words(text_col).alias("_ws"))
-    id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("doc", id_type), T.StructField("is_doc", T.BooleanType())] + _TERM_FIELDS
-                          + [T.StructField("embedding", T.ArrayType(T.DoubleType()))])
-
-    def both(batches):
-        voc = bv.value
-        cache: dict[str, int] = {}
-        for rb in batches:
-            n = rb.num_rows
-            if n == 0:
-                continue
-            ws = rb.column(1)
-            vec = embed.hashed_matrix(ws, dim, cache)
-            emb = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(vec.ravel()))
-            # a NULL text still gets its (zero) vector but is not a BM25 document
-            yield pa.RecordBatch.from_arrays([rb.column(0), pc.is_valid(ws), *_term_counts(ws, voc, nt), emb],
-                                             ["doc", "is_doc", "dl", "terms", "tfs", "embedding"])
-
-    table = materialized(src.mapInArrow(both, schema), "hybrid-terms")
-    kw = _bm25_rank(table.where(F.col("is_doc")).select("doc", "dl", "terms", "tfs"), qids, ind, depth,
-                    id_col, id_type, k1, b)
-    sem = dense_search(table.select(F.col("doc").alias(id_col), "embedding"), qs, depth,
-                       id_col=id_col, qid_col="query_id", dim=dim)
-    return rrf_fuse(sem, kw, k, id_col, c)
+    qs = materialized(embed.hashed_embed(queries.select(F.col(qid_col).alias("query_id"), F.col(text_col).alias("text")),
+                                         dim=dim, id_col="query_id"), "hybrid-queries")
+    vecs = materialized(embed.hashed_embed(docs, dim=dim, id_col=id_col, text_col=text_col), "hybrid-vectors")
+    while True:
+        sem = materialized(dense_search(vecs, qs, depth, id_col=id_col, qid_col="query_id", dim=dim), "hybrid-semantic")
+        kw = materialized(bm25_topk(docs, queries, depth, id_col=id_col, qid_col=qid_col, text_col=text_col,
+                                    k1=k1, b=b), "hybrid-keyword")
+        if _settled(sem, kw, depth, k, id_col, c):
+            return rrf_fuse(sem, kw, k, id_col, c)
+        depth *= 4
+
+
+def _settled(a: DataFrame, b: DataFrame, depth: int, k: int, id_col: str, c: int) -> bool:
+    """Whether the fusion of two lists read to ``depth`` has the top k of the
+    whole lists for every query. A list shorter than ``depth`` is whole."""
+    size = a.groupBy("query_id").agg(F.count(F.lit(1)).alias("na")).join(
+        b.groupBy("query_id").agg(F.count(F.lit(1)).alias("nb")), "query_id", "full")
+    part = F.lit(1.0) / (c + depth + 1)  # at most, where a list goes on
+    size = size.select("query_id", F.when(F.col("na") >= depth, part).otherwise(0.0).alias("more_a"),
+                       F.when(F.col("nb") >= depth, part).otherwise(0.0).alias("more_b"))
+    x = a.select("query_id", id_col, F.col("rank").alias("ra"))
+    y = b.select("query_id", id_col, F.col("rank").alias("rb"))
+    seen = x.join(y, ["query_id", id_col], "full").join(size, "query_id")
+    low = F.coalesce(1.0 / (c + F.col("ra")), F.lit(0.0)) + F.coalesce(1.0 / (c + F.col("rb")), F.lit(0.0))
+    high = low + F.when(F.col("ra").isNull(), F.col("more_a")).otherwise(0.0) \
+        + F.when(F.col("rb").isNull(), F.col("more_b")).otherwise(0.0)
+    w = Window.partitionBy("query_id").orderBy(F.desc("low"), F.asc(id_col))
+    seen = seen.select("query_id", id_col, F.round(low, 6).alias("low"), F.round(high, 6).alias("high"),
+                       F.round(F.col("more_a") + F.col("more_b"), 6).alias("unseen")) \
+        .withColumn("n", F.row_number().over(w))
+    cut = F.max(F.when(F.col("n") == k, F.col("low")))
+    per = seen.groupBy("query_id").agg(
+        F.coalesce(cut, F.lit(0.0)).alias("cut"), F.max("unseen").alias("unseen"),
+        F.max(F.when(F.col("n") > k, F.col("high"))).alias("rest"),
+        F.max(F.when(F.col("n") <= k, (F.col("high") > F.col("low")).cast("int"))).alias("open"),
+        F.max(F.when(F.col("n") > k, (F.col("high") > F.col("low")).cast("int"))).alias("loose"))
+    # inside, every score must be known; outside, none may reach the cut
+    open_ = (F.col("open") == 1) | ((F.col("unseen") > 0) & (F.col("unseen") >= F.col("cut"))) \
+        | ((F.coalesce("loose", F.lit(0)) == 1) & (F.col("rest") >= F.col("cut")))
+    return per.where(open_).isEmpty()
 
 
 def rrf_fuse(a: DataFrame, b: DataFrame, k: int = 5, id_col: str = "doc_id", c: int = RRF_K) -> DataFrame:

@@ -288,7 +288,7 @@ FROM files"""
 
 _BM25 = f"""w AS (SELECT doc_id AS doc, unnest({words('text')}) AS tok FROM documents),
 post AS (SELECT tok, doc, count(*) AS tf FROM w GROUP BY ALL),
-dl AS (SELECT doc, sum(tf) AS dl FROM post GROUP BY doc),
+dl AS (SELECT doc_id AS doc, len({words('text')}) AS dl FROM documents WHERE text IS NOT NULL),
 st AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
 dfq AS (SELECT tok, count(*) AS df FROM post GROUP BY tok),
 qw AS (SELECT DISTINCT query_id, tok FROM (SELECT item_id AS query_id, unnest({words('text')}) AS tok FROM benchmark)),
@@ -306,8 +306,8 @@ SQL["hybrid_topk"] = with_(_BM25, _sparse("documents", "doc_id", "dw"), _sparse(
 ss AS (SELECT q.id AS query_id, d.id AS doc_id, round(sum(q.weight * d.weight), 6) AS score
        FROM qw2 q JOIN dw d USING (bucket) GROUP BY q.id, d.id),
 sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ss),
-a AS (SELECT query_id, doc_id, rank AS ra FROM sem WHERE rank <= 50),
-b AS (SELECT query_id, doc_id, rank AS rb FROM bm WHERE rank <= 50),
+a AS (SELECT query_id, doc_id, rank AS ra FROM sem ),
+b AS (SELECT query_id, doc_id, rank AS rb FROM bm),
 f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id,
              round(coalesce(1e0 / (60 + ra), 0.0) + coalesce(1e0 / (60 + rb), 0.0), 6) AS score
       FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
@@ -323,15 +323,15 @@ SQL["chunk_docs"] = with_(_CHUNKS) + """
 SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, CAST(start AS BIGINT) AS start,
        CAST(length(chunk) AS BIGINT) AS n_chars, sha256(chunk) AS chunk_hash FROM ch"""
 
-SQL["chunk_search"] = with_(_CHUNKS, """chunks AS (SELECT doc_id * 1048576 + chunk_no AS chunk_id, chunk AS text FROM ch)""",
+SQL["chunk_search"] = with_(_CHUNKS, """chunks AS (SELECT struct_pack(doc_id := doc_id, chunk_no := chunk_no) AS chunk_id, chunk AS text FROM ch)""",
                             _sparse("chunks", "chunk_id", "cw"), _sparse("benchmark", "item_id", "qw")) + """,
 s AS (SELECT q.id AS query_id, c.id AS chunk_id, round(sum(q.weight * c.weight), 6) AS score
       FROM qw q JOIN cw c USING (bucket) GROUP BY q.id, c.id),
-b AS (SELECT query_id, chunk_id, chunk_id // 1048576 AS doc_id, chunk_id % 1048576 AS chunk_no, score,
-             row_number() OVER (PARTITION BY query_id, chunk_id // 1048576 ORDER BY score DESC, chunk_id) AS rn
+b AS (SELECT query_id, chunk_id.doc_id AS doc_id, CAST(chunk_id.chunk_no AS BIGINT) AS chunk_no, score,
+             row_number() OVER (PARTITION BY query_id, chunk_id.doc_id ORDER BY score DESC, chunk_id.chunk_no) AS rn
       FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b WHERE rn = 1)
-SELECT query_id, rank, chunk_id, doc_id, chunk_no, score FROM r WHERE rank <= 5"""
+SELECT query_id, rank, doc_id, chunk_no, score FROM r WHERE rank <= 5"""
 
 # LSH: planes from md5('band-bit-dim'), 64 bands x 8 bits over the vector width.
 _LSH = """pl AS (
@@ -365,7 +365,7 @@ ex0 AS (SELECT q.vec_id AS query_id, e.vec_id AS file_id, {cos('e.embedding', 'q
 ex AS (SELECT query_id, file_id FROM
        (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_id) AS rank FROM ex0)
        WHERE rank <= 5)
-SELECT ex.query_id, round(sum(CASE WHEN a.file_id IS NULL THEN 0 ELSE 1 END) / 5.0, 6) AS recall
+SELECT ex.query_id, round(sum(CASE WHEN a.file_id IS NULL THEN 0 ELSE 1 END) / CAST(count(*) AS DOUBLE), 6) AS recall
 FROM ex LEFT JOIN (SELECT query_id, file_id FROM ann WHERE rank <= 5) a USING (query_id, file_id)
 GROUP BY ex.query_id"""
 

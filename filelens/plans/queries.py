@@ -151,13 +151,15 @@ def _stored_with_vectors(spark, sf_dir):
 
 def _changes(spark, sf_dir):
     from filelens.operators import index
-    scan = index.ext_allowlist(tables.files(spark, sf_dir, with_text=True))
+    scan = index.ext_allowlist(tables.files(spark, sf_dir))
     return index.change_detect(scan, tables.stored_index(spark, sf_dir))
 
 
 def _delta(spark, sf_dir):
     from filelens.operators import index
-    return index.embed_delta(_changes(spark, sf_dir), tables.vectors(spark, sf_dir))
+    # only whether there is text leaves the scan that reads it
+    texts = tables.files(spark, sf_dir, with_text=True).select("path", (F.length("text") > 0).alias("has_text"))
+    return index.embed_delta(_changes(spark, sf_dir), tables.vectors(spark, sf_dir), texts)
 
 
 @register("ext_allowlist")
@@ -306,9 +308,6 @@ def q_file_features(spark, sf_dir):
 # --------------------------------------------------------------------------
 # keyword, hybrid, chunks
 # --------------------------------------------------------------------------
-FUSION_DEPTH = 50
-
-
 def _bench_queries(spark, sf_dir):
     return tables.read(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
 
@@ -322,7 +321,7 @@ def q_bm25_topk(spark, sf_dir):
 @register("hybrid_topk")
 def q_hybrid_topk(spark, sf_dir):
     from filelens.operators import lexical
-    return lexical.hybrid_topk(_docs(spark, sf_dir), _bench_queries(spark, sf_dir), K, FUSION_DEPTH)
+    return lexical.hybrid_topk(_docs(spark, sf_dir), _bench_queries(spark, sf_dir), K)
 
 
 @register("chunk_docs")
@@ -339,10 +338,11 @@ def q_chunk_search(spark, sf_dir):
     from filelens.operators import chunks, embed
     c = chunks.chunk_docs(_docs(spark, sf_dir))
     # chunks are vectorized inside the scoring tasks (no vector rows)
-    cw = c.select("chunk_id", "doc_id", "chunk_no", X.words("chunk").alias("ws"))
+    cw = c.select("doc_id", "chunk_no", X.words("chunk").alias("ws"))
     qs = embed.hashed_embed(_bench_queries(spark, sf_dir), id_col="query_id")
     return chunks.chunk_search(cw, qs, K, dim=embed.EMBEDDING_DIM, vec_col="ws",
-                               vectorize=embed.hashed_vectorizer(embed.EMBEDDING_DIM))
+                               vectorize=embed.hashed_vectorizer(embed.EMBEDDING_DIM)) \
+        .select("query_id", "rank", "doc_id", "chunk_no", "score")
 
 
 # --------------------------------------------------------------------------

@@ -19,8 +19,9 @@ from filelens.functions import paths as P
 from filelens.functions import text as X
 from filelens.schema import ALLOWED_EXTENSIONS, IMAGE_EXTENSIONS
 
-# Files above this many bytes are not read into a row; they are quarantined.
-MAX_CONTENT_BYTES = 256 * 1024 * 1024
+# A row of Spark's binary reader holds at most 2 GiB; only what it cannot hold
+# is quarantined.
+MAX_CONTENT_BYTES = 2_000_000_000
 
 
 def _reader(spark: SparkSession, glob: str | None):

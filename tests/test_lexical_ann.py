@@ -121,15 +121,42 @@ def test_bm25_map_equals_join_form(spark, monkeypatch, k):
     assert mapped == joined and mapped
 
 
-def test_hybrid_shared_pass_equals_separate_rankers(spark, monkeypatch):
-    texts = TEXTS + [None, "cat dog mat sat", "über cat"]
+def _fused(spark, docs, qs, k, dim):
+    """Fusion of the whole lists, in Python."""
+    from filelens.operators import embed
+    from filelens.operators.dense import dense_search
+
+    vec = lambda d, i: embed.hashed_embed(d, dim=dim, id_col=i)
+    sem = dense_search(vec(docs, "doc_id"), vec(qs, "query_id"), None, id_col="doc_id", dim=dim).collect()
+    kw = lexical.bm25_topk(docs, qs, -1).collect()
+    score = {}
+    for r in [*sem, *kw]:
+        score[r.query_id, r.doc_id] = score.get((r.query_id, r.doc_id), 0.0) + 1 / (60 + r["rank"])
+    out = []
+    for q in {q for q, _ in score}:
+        best = sorted((-round(s, 6), d) for (p, d), s in score.items() if p == q)[:k]
+        out += [(q, n + 1, d, -s) for n, (s, d) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("depth", [1, 4, 256])
+def test_hybrid_is_the_fusion_of_whole_lists(spark, depth):
+    # many documents share the words of the queries in other amounts, so that
+    # the two rankers disagree far down their lists
+    texts = TEXTS + [None, "cat dog mat sat", "über cat"] + [
+        " ".join(["cat"] * (i % 5) + ["dog"] * (i % 3) + [f"w{i % 11}"] * (i % 7)) for i in range(90)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     qs = spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, text string")
+    got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in lexical.hybrid_topk(docs, qs, 3, depth, dim=16).collect())
+    assert got == pytest.approx(_fused(spark, docs, qs, 3, 16)) if not got else [g[:3] for g in got] == [
+        w[:3] for w in _fused(spark, docs, qs, 3, 16)]
 
-    def rows(df):
-        return sorted((r.query_id, r.rank, r.doc_id, r.score) for r in df.collect())
 
-    shared = rows(lexical.hybrid_topk(docs, qs, 3, 5, dim=16))
-    monkeypatch.setattr(lexical, "BM25_MATRIX_MAX_BYTES", 0)
-    separate = rows(lexical.hybrid_topk(docs, qs, 3, 5, dim=16))
-    assert shared == separate and shared
+def test_recall_divides_by_what_there_is(spark):
+    exact = spark.createDataFrame([(1, 1, 10), (1, 2, 11)], "query_id long, rank long, file_id long")
+    assert ann.ann_recall(exact, exact, 5).first()["recall"] == 1.0
+
+
+def test_ann_without_cut(spark, vecs):
+    qs = vecs.limit(3).withColumnRenamed("file_id", "query_id")
+    assert ann.ann_topk(vecs, qs, -1, 6, 1, 0).count() == 3 * vecs.count()

@@ -92,38 +92,23 @@ def test_chunks_cover_whole_text(spark):
         assert covered == set(range(len(t)))
 
 
+def test_chunks_of_long_texts_and_wide_ids(spark):
+    # linear in the text, and ids near the end of the long range are fine
+    text = "".join(chr(97 + i % 26) for i in range(1_000_000)) + "\U0001f600" * 900
+    rows = [(2**63 - 1, text), (-(2**63), None), (7, "x" * 1000), (8, "x" * 1001)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    c = chunks.chunk_docs(df).collect()
+    long = sorted((r.start, r.chunk) for r in c if r.doc_id == 2**63 - 1)
+    assert all(ch == text[s:s + 1000] for s, ch in long) and len(long) == -(-(len(text) - 200) // 800)
+    assert [(r.chunk_no, r.chunk) for r in c if r.doc_id < 0] == [(0, None)]
+    assert sorted(len(r.chunk) for r in c if r.doc_id in (7, 8)) == [201, 1000, 1000]
+
+
 def test_words_unicode(spark):
     df = spark.createDataFrame([("Ça va? L'été 2024, naïve—ok",)], "t string")
     assert df.select(X.words("t").alias("w")).first()["w"] == ["ça", "va", "l", "été", "2024", "naïve", "ok"]
 
 
-def test_tokenizer_hook(spark, tmp_path):
-    tokenizers = pytest.importorskip("tokenizers")
-    from tokenizers import Tokenizer, models, pre_tokenizers
-    from filelens.functions.hooks import tokenizer_udf
-
-    vocab = {"[PAD]": 0, "[UNK]": 1, "hello": 2, "world": 3}
-    tk = Tokenizer(models.WordLevel(vocab, unk_token="[UNK]"))
-    tk.pre_tokenizer = pre_tokenizers.Whitespace()
-    path = str(tmp_path / "tok.json")
-    tk.save(path)
-    df = spark.createDataFrame([("hello world",), ("hello " * 10,), ("",)], "t string")
-    out = df.select(tokenizer_udf(path, 4)("t").alias("e")).collect()
-    assert out[0].e.input_ids == [2, 3, 0, 0] and out[0].e.attention_mask == [1, 1, 0, 0]
-    assert out[1].e.input_ids == [2, 2, 2, 2] and out[1].e.attention_mask == [1, 1, 1, 1]
-    assert out[2].e.attention_mask == [0, 0, 0, 0]
-
-
-def test_masked_mean_np():
-    import numpy as np
-    from filelens.functions.hooks import masked_mean_np
-
-    h = np.array([[[1.0, 0.0], [0.0, 1.0], [5.0, 5.0]]], dtype=np.float32)
-    v = masked_mean_np(h, np.array([[1, 1, 0]]))
-    assert np.allclose(v, [[2 ** -0.5, 2 ** -0.5]])
-    assert np.allclose(masked_mean_np(h, np.array([[0, 0, 0]])), 0.0)
-
-
 def test_masked_mean_pool_map_equals_shuffle_form(spark, monkeypatch):
     texts = ["the cat sat on the mat", "", None, "cat cat cat", "one two three four five six seven"]
     docs = _docs(spark, texts)
