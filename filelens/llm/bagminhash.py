@@ -10,11 +10,13 @@ only made up to a bound that fills every register.
 
 Candidates share a band of registers and are verified on their whole
 multisets. A bucket of similar texts is not expanded into pairs: its members
-are compared with one hub, classes are connected components of the verified
-links, and rounds with other hubs follow. What is then still in one bucket
-but in different classes goes through an exact prefix-filter join (similar
-multisets share one of their rarest elements), so that no link of a bucket is
-lost. Texts of the same words are one node from the start.
+are compared with one hub (the text with most company in all its buckets),
+classes are connected components of the verified links, and a round with
+hubs between classes follows. What is then still in one bucket but in
+different classes is compared exactly, so that no link of a bucket is lost:
+small buckets pair by pair, large ones in blocks of at most ``BLOCK`` by
+``BLOCK`` texts that emit links only. Texts of the same words are one node
+from the start.
 
 Defined cases: null and white-space texts have no shingle and are a class
 each; ties keep the least id (nulls last); repeated rows are copies; other
@@ -41,6 +43,7 @@ WORDS = 5
 THRESHOLD = (4, 5)   # similarity 0.8 as a fraction, for exact comparison
 BANDS, ROWS = 24, 4  # a pair at 0.8 is missed with probability 3e-6
 STAR_ROUNDS = 2
+SMALL, BLOCK = 24, 512  # buckets compared pair by pair; texts in one block otherwise
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -162,13 +165,13 @@ def _packed(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
 
 
 def _sets(batches):
-    """(k, text) -> (k, hashes, counts): packed sorted shingles."""
+    """(k, text, bands) -> (k, bands, hashes, counts): packed sorted shingles."""
     for b in batches:
         for lo, hi, buf, offs in X.text_slices(b.column("text")):
             r, h, c, _, _ = shingles(buf, offs)
             yield pa.RecordBatch.from_arrays(
-                [b.column("k").slice(lo, hi - lo), _packed(r, h, hi - lo), _packed(r, c.astype(np.int64), hi - lo)],
-                ["k", "hashes", "counts"])
+                [b.column("k").slice(lo, hi - lo), b.column("bands").slice(lo, hi - lo), _packed(r, h, hi - lo),
+                 _packed(r, c.astype(np.int64), hi - lo)], ["k", "bands", "hashes", "counts"])
 
 
 def _similar(batches):
@@ -212,52 +215,76 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _star(members: DataFrame, seed: int) -> DataFrame:
-    """Pairs (a, b) between each bucket's hub, its member of least random
-    priority, and one member of each other class in the bucket."""
-    rank = F.struct(F.xxhash64("k", F.lit(seed)).alias("p"), F.col("k"), F.col("weight"))
+    """Pairs (a, b) between each bucket's hub and one member of each other
+    class in the bucket: those with most company, ties at random."""
+    rank = F.struct((-F.col("company")).alias("c"), F.xxhash64("k", F.lit(seed)).alias("p"), F.col("k"), F.col("weight"))
     one = members.groupBy("bucket", "class").agg(F.min(rank).alias("m"))
     hub = one.groupBy("bucket").agg(F.min("m").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return one.join(hub, "bucket").where((F.col("m.k") != F.col("hub.k")) & _near_size(F.col("m.weight"), F.col("hub.weight"))) \
         .select(F.col("hub.k").alias("a"), F.col("m.k").alias("b")).distinct()
 
 
-def _prefix_pairs(left: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidates of an exact similarity join over the nodes ``left`` (k,
-    class, weight): two multisets of at least the threshold share one of the
-    first ``weight - ceil(threshold * weight) + 1`` elements of either, in any
-    common order; the order is by rarity, so that shared passages come last."""
-    words = left.join(sets, "k").select("k", "class", "weight", "hashes", "counts") \
-        .mapInArrow(_elements, "k bigint, class bigint, weight bigint, element bigint")
-    words = materialized(words, "bmh-elements")
-    seen = words.groupBy("element").agg(F.count(F.lit(1)).alias("df"), F.min("class").alias("c0"),
-                                        F.max("class").alias("c1"))
-    num, den = THRESHOLD
-    need = F.col("weight") - F.ceil(F.col("weight") * num / den) + 1
-    ordered = words.join(seen, "element").groupBy("k", "class", "weight").agg(
-        F.sort_array(F.collect_list(F.struct("df", "element", (F.col("c0") != F.col("c1")).alias("mixed")))).alias("all"))
-    head = ordered.select("k", "class", "weight", F.explode(F.slice("all", F.lit(1), need.cast("int"))).alias("e")) \
-        .where("e.mixed").select("k", "class", "weight", F.col("e.element").alias("element"))
-    head = materialized(head, "bmh-prefix")
-    other = head.select("element", *[F.col(c).alias(f"{c}2") for c in ("k", "class", "weight")])
-    return head.join(other, "element").where(
+def _small_pairs(left: DataFrame) -> DataFrame:
+    """All pairs of different classes in buckets of bounded size."""
+    few = left.where(F.col("n") <= SMALL).select("bucket", "k", "class", "weight")
+    other = few.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("k", "class", "weight")])
+    return few.join(other, "bucket").where(
         (F.col("class") < F.col("class2")) & _near_size(F.col("weight"), F.col("weight2"))) \
         .select(F.col("k").alias("a"), F.col("k2").alias("b")).distinct()
 
 
-def _elements(batches):
-    """Each set's elements, one per occurrence (the i-th of a shingle is an
-    element of its own)."""
-    for b in batches:
-        for i in range(b.num_rows):
-            h = np.frombuffer(b.column("hashes")[i].as_buffer(), _U)
-            c = np.frombuffer(b.column("counts")[i].as_buffer(), np.int64)
-            e = np.repeat(h, c)
-            nth = np.arange(len(e)) - np.repeat(np.cumsum(c) - c, c)
-            e = X.mix64(e ^ X.mix64(nth.astype(_U))).view(np.int64)
-            row = pa.array(np.full(len(e), i))
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(n).take(row) for n in ("k", "class", "weight")), pa.array(e)],
-                ["k", "class", "weight", "element"])
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between the probes and the targets of one block of a bucket. A
+    pair is compared in the first band that it shares, and a probe stops at
+    its first link to a class."""
+    num, den = THRESHOLD
+    probe = table.column("probe").to_numpy(zero_copy_only=False).astype(bool)
+    k, cls, weight, major = (table.column(c).to_numpy() for c in ("k", "class", "weight", "major"))
+    bands = np.array(table.column("bands").to_pylist(), np.int64)
+    band = int(np.flatnonzero(bands[0] == table.column("bucket")[0].as_py())[0])
+    sets = [(np.frombuffer(h.as_buffer(), _U), np.frombuffer(c.as_buffer(), np.int64))
+            for h, c in zip(table.column("hashes"), table.column("counts"))]
+    links = []
+    t = np.flatnonzero(~probe)
+    for i in np.flatnonzero(probe):
+        near = np.minimum(weight[t], weight[i]) * den >= np.maximum(weight[t], weight[i]) * num
+        once = (cls[t] == major[t]) | (k[t] > k[i])
+        first = ~(bands[t, :band] == bands[i, :band]).any(axis=1)
+        todo = t[near & once & first & (cls[t] != cls[i])]
+        h, c = sets[i]
+        done = set()
+        for lo in range(0, len(todo), 32):
+            part = [j for j in todo[lo:lo + 32] if cls[j] not in done]
+            if not part:
+                continue
+            them = np.concatenate([sets[j][0] for j in part])
+            theirs = np.concatenate([sets[j][1] for j in part])
+            at = np.minimum(np.searchsorted(h, them), len(h) - 1)
+            both = np.where(h[at] == them, np.minimum(c[at], theirs), 0)
+            over = np.add.reduceat(both, np.cumsum([0] + [len(sets[j][0]) for j in part[:-1]]))
+            for j, o in zip(part, over.tolist()):
+                if den * o >= num * (weight[i] + weight[j] - o):
+                    links.append((k[i], k[j]))
+                    done.add(cls[j])
+    a, b = zip(*links) if links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _large_links(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between classes in large buckets: every member outside the
+    bucket's largest class (a probe) against all members, in blocks."""
+    many = left.where(F.col("n") > SMALL)
+    across = F.ceil(F.col("n") / BLOCK)
+    down = F.ceil((F.col("n") - F.col("most")) / BLOCK)
+    own = F.xxhash64("k")
+    keys = ["bucket", "k", "class", "weight", "major"]
+    target = many.select(*keys, F.lit(False).alias("probe"), F.pmod(own, across).alias("col"),
+                         F.explode(F.sequence(F.lit(0).cast("bigint"), down - 1)).alias("row"))
+    probe = many.where(F.col("class") != F.col("major")).select(
+        *keys, F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0).cast("bigint"), across - 1)).alias("col"),
+        F.pmod(own, down).alias("row"))
+    full = target.unionByName(probe.select(target.columns)).join(sets, "k")
+    return full.groupBy("bucket", "col", "row").applyInArrow(_block_links, "a bigint, b bigint")
 
 
 def _with_class(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -275,19 +302,26 @@ def classify(texts: DataFrame) -> DataFrame:
     reps = materialized(rows.where("weight > 0").groupBy("h1", "h2").agg(F.min("k").alias("rep")), "bmh-reps")
     nodes = texts.select("k", "s.weight", "s.bands").join(reps.select(F.col("rep").alias("k")), "k")
     banded = nodes.select("k", "weight", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    shared = materialized(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bmh-buckets")
     members = materialized(banded.join(shared, "bucket"), "bmh-members")
-    sets = materialized(texts.select("k", "text").join(members.select("k").distinct(), "k", "left_semi")
-                        .mapInArrow(_sets, "k bigint, hashes binary, counts binary"), "bmh-sets")
+    company = materialized(members.groupBy("k").agg(F.sum("size").alias("company")), "bmh-company")
+    members = members.drop("size").join(company, "k")
+    sets = materialized(
+        texts.select("k", "text", "s.bands").join(company.select("k"), "k", "left_semi")
+        .mapInArrow(_sets, "k bigint, bands array<bigint>, hashes binary, counts binary"), "bmh-sets")
     links, now = None, members.withColumn("class", F.col("k"))
     for seed in range(STAR_ROUNDS):
         found = verify(_star(now, seed), sets)
         links = found if links is None else links.unionByName(found)
         now = materialized(_with_class(members, links), "bmh-now")
-    mixed = now.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1")
-    left = now.join(mixed.select("bucket"), "bucket", "left_semi").select("k", "class", "weight").distinct()
-    found = verify(_prefix_pairs(materialized(left, "bmh-left"), sets), sets)
-    known = materialized(components.classes(links.unionByName(found), "a", "b", "class"), "bmh-classes")
+    per = now.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(
+        F.sum("c").alias("n"), F.max(F.struct("c", "class")).alias("m"), F.count(F.lit(1)).alias("classes"))
+    mixed = materialized(per.where("classes > 1").select(
+        "bucket", "n", F.col("m.c").alias("most"), F.col("m.class").alias("major")), "bmh-mixed")
+    left = materialized(now.join(mixed, "bucket"), "bmh-left")
+    links = links.select("a", "b").unionByName(verify(_small_pairs(left), sets).select("a", "b")) \
+        .unionByName(materialized(_large_links(left, sets), "bmh-links"))
+    known = materialized(components.classes(links, "a", "b", "class"), "bmh-classes")
     node = rows.join(reps, ["h1", "h2"], "left").select("k", "doc_id", F.coalesce("rep", "k").alias("rep"))
     return node.join(known, F.col("rep") == F.col("node"), "left") \
         .select("k", "doc_id", F.coalesce("class", "rep").alias("class"))

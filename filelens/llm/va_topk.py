@@ -163,7 +163,8 @@ def _scan_block(b, r: int, k: int):
     q = _ints(b, "qbody", r).reshape(nq, dim).astype(np.float64)
     qid, cand, least = _ints(b, "qids", r), _ints(b, "ids", r), _ints(b, "ids2", r)
     code = np.frombuffer(b.column("codes")[r].as_buffer(), np.uint8).reshape(dim, n)
-    low, high = _ints(b, "lows", r).reshape(dim, -1), _ints(b, "highs", r).reshape(dim, -1)
+    width = len(_ints(b, "lows", r)) // max(1, dim)
+    low, high = (_ints(b, c, r).reshape(dim, width) for c in ("lows", "highs"))
     plus, minus = np.maximum(q, 0), np.minimum(q, 0)
     comp = np.arange(dim)[:, None]
     found: list[tuple] = []
