@@ -94,13 +94,14 @@ def quarantine(delta: DataFrame) -> DataFrame:
                                    reason.alias("reason"), F.lit(1).alias("attempts"))
 
 
-def retry_quarantined(quarantined: DataFrame, changes: DataFrame, vecs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def retry_quarantined(quarantined: DataFrame, changes: DataFrame, vecs: DataFrame,
+                      texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Retry once: rows quarantined on their first attempt go through the
-    embed step again (``vecs`` as in :func:`embed_delta`). Returns (recovered
+    embed step again (``vecs`` and ``texts`` as in :func:`embed_delta`). Returns (recovered
     delta rows, ready for :func:`index_upsert`; rows still failing, now with
     attempts = 2, which are not retried again)."""
     first = quarantined.where(F.col("attempts") == 1).select("file_id")
-    again = embed_delta(changes.join(first, "file_id", "left_semi"), vecs)
+    again = embed_delta(changes.join(first, "file_id", "left_semi"), vecs, texts)
     recovered = again.where(F.col("status").isin("insert", "update"))
     still = quarantine(again).withColumn("attempts", F.lit(2))
     return recovered, still

@@ -91,12 +91,19 @@ SQL["centroids"] = """
 WITH u AS (SELECT label, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings)
 SELECT CAST(label AS BIGINT) AS label, pos, round(avg(x::DOUBLE), 6) AS value FROM u GROUP BY label, pos"""
 
-SQL["vector_health"] = """
-WITH d AS (SELECT len(embedding) AS d FROM embeddings WHERE len(embedding) > 0
-           GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+DAMAGED = """damaged AS (
+  SELECT vec_id, CASE vec_id % 11 WHEN 0 THEN NULL WHEN 1 THEN []::FLOAT[]
+                      WHEN 2 THEN embedding[1:len(embedding) - 1]
+                      WHEN 3 THEN list_transform(embedding, lambda x: CAST(x * 2 AS FLOAT))
+                      WHEN 4 THEN list_concat(['nan'::FLOAT], embedding[2:]) ELSE embedding END AS embedding
+  FROM embeddings)"""
+STORED_DIM = """d AS (SELECT len(embedding) AS d FROM embeddings WHERE len(embedding) > 0
+           AND vec_id IN (SELECT file_id FROM old) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"""
+
+SQL["vector_health"] = with_(FILES, OLD, DAMAGED, STORED_DIM) + """,
 v AS (SELECT vec_id, embedding, CAST(coalesce(len(embedding), 0) AS BIGINT) AS dim,
-             sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)
-SELECT vec_id AS file_id, dim, round(n, 6) AS norm,
+             sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM damaged)
+SELECT vec_id AS file_id, dim, CASE WHEN NOT isnan(n) THEN round(n, 6) END AS norm,
        CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) = 0 THEN 'empty'
             WHEN dim <> (SELECT d FROM d) THEN 'bad_dim'
             WHEN len(list_filter(embedding, lambda x: isnan(x))) > 0 THEN 'nan'
@@ -161,7 +168,7 @@ CHANGES = """changes AS (
 
 DELTA = """delta AS (
   SELECT c.*, e.embedding,
-         CASE WHEN c.text IS NULL OR length(c.text) = 0 THEN 'no_text'
+         CASE WHEN c.text IS NULL OR length(c.text) = 0 OR c.file_id % 13 = 6 THEN 'no_text'
               WHEN e.embedding IS NULL OR len(e.embedding) = 0 THEN 'embed_failed'
               ELSE c.action END AS status
   FROM changes c LEFT JOIN embeddings e ON c.file_id = e.vec_id
@@ -201,7 +208,7 @@ FROM files f LEFT JOIN (SELECT path, count(*) AS n, min(file_id) AS fid, max(las
 
 SQL["orphan_vectors"] = with_(FILES) + """
 SELECT vec_id AS file_id, CAST(coalesce(len(embedding), 0) AS BIGINT) AS dim
-FROM embeddings WHERE vec_id NOT IN (SELECT file_id FROM files)"""
+FROM embeddings WHERE vec_id NOT IN (SELECT file_id FROM files WHERE file_id % 9 <> 4)"""
 
 SQL["vanished_files"] = with_(FILES, OLD, SCAN) + \
     "SELECT file_id, path FROM old WHERE path NOT IN (SELECT path FROM scan)"
@@ -242,6 +249,31 @@ r AS (SELECT file_id, path,
       FROM sidx)
 SELECT file_id, path, reason FROM r WHERE reason IS NOT NULL"""
 
+SQL["model_reindex_partial"] = with_(FILES, OLD, DAMAGED, STORED_DIM) + """,
+r AS (SELECT o.file_id, o.path, CASE WHEN e.embedding IS NULL THEN 'missing_vector'
+                                     WHEN len(e.embedding) <> (SELECT d FROM d) THEN 'bad_dim' END AS reason
+      FROM old o LEFT JOIN damaged e ON o.file_id = e.vec_id)
+SELECT file_id, path, reason FROM r WHERE reason IS NOT NULL"""
+
+SQL["quarantine"] = with_(FILES, OLD, SCAN, CHANGES, DELTA) + """
+SELECT file_id, path, action, status,
+       CASE status WHEN 'no_text' THEN 'no text was extracted: register an extractor for this extension or check the file'
+                   ELSE 'the embedder returned no vector: re-run embedding for this file' END AS reason,
+       CAST(1 AS INTEGER) AS attempts
+FROM delta WHERE status IN ('no_text', 'embed_failed')"""
+
+SQL["retry_quarantined"] = with_(FILES, OLD, SCAN, CHANGES, DELTA) + """,
+again AS (SELECT q.file_id, q.path,
+                 CASE WHEN q.status = 'no_text' THEN 'no_text'
+                      WHEN e.embedding IS NULL OR len(e.embedding) = 0 THEN 'embed_failed' ELSE q.action END AS status
+          FROM delta q LEFT JOIN embeddings e ON q.file_id = e.vec_id * 2 + 1
+          WHERE q.status IN ('no_text', 'embed_failed'))
+SELECT file_id, path, status, CAST(CASE WHEN status IN ('no_text', 'embed_failed') THEN 2 ELSE 1 END AS INTEGER) AS attempts
+FROM again"""
+
+SQL["stable_path_ids"] = with_(FILES, OLD) + """
+SELECT f.path, o.file_id + 1000000 AS stored_id, o.path IS NOT NULL AS kept FROM files f LEFT JOIN old o USING (path)"""
+
 SQL["hash_change"] = with_(FILES, SCAN) + """,
 st AS (SELECT path, sha256(CASE WHEN file_id % 3 = 2 THEN text || ' ' ELSE text END) AS h
        FROM files WHERE file_id % 5 <> 0)
@@ -266,6 +298,11 @@ recent AS (SELECT file_id, path, name, extension, last_modified FROM files
            ORDER BY last_modified DESC NULLS LAST, path LIMIT 200)
 SELECT * FROM recent WHERE contains(name || ' ' || path, '.txt /corpus/src1')"""
 
+SQL["list_counts"] = with_(FILES) + """,
+recent AS (SELECT name, path FROM files ORDER BY last_modified DESC NULLS LAST, path LIMIT 200)
+SELECT 'loaded' AS list, count(*) AS n FROM recent
+UNION ALL SELECT 'shown', count(*) FROM recent WHERE contains(name || ' ' || path, '.txt /corpus/src1')"""
+
 SQL["index_stats"] = with_(FILES, INDEX) + """
 SELECT extension, count(*) AS n_files, count(embedding) AS n_vectors,
        CAST(min(CASE WHEN len(embedding) > 0 THEN len(embedding) END) AS BIGINT) AS min_dim,
@@ -394,7 +431,9 @@ WITH n AS (SELECT page_id, split_part(regexp_replace(url, '[?#].*$', ''), '/', -
 SELECT page_id, name, regexp_extract(name, '^.+(\.[^.]*)$', 1) AS extension FROM n"""
 
 SQL["path_normalize"] = r"""
-WITH r AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS p FROM pages),
+WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS p FROM pages),
+r AS (SELECT page_id, CASE page_id % 4 WHEN 1 THEN '//.' || p || '/./b/../c' WHEN 2 THEN '..' || p || '//../x'
+                           WHEN 3 THEN '/../' || p || '/a/..//b/' ELSE p END AS p FROM u),
 s AS (SELECT page_id, p, starts_with(p, '/') AS abs,
              list_filter(string_split(p, '/'), lambda x: x <> '' AND x <> '.') AS parts FROM r),
 t AS (SELECT page_id, p, abs,

@@ -87,10 +87,9 @@ def q_centroids(spark, sf_dir):
 @register("vector_health")
 def q_vector_health(spark, sf_dir):
     from filelens.operators import embed
-    from filelens.schema import EMBEDDING_DIM
-    from filelens.operators.dense import infer_dim
-    v = tables.vectors(spark, sf_dir)
-    return embed.vector_health(v, infer_dim(v, "embedding"))
+    # the dimension that the stored metadata names, not that of the table checked
+    h = embed.vector_health(tables.damaged_vectors(spark, sf_dir), _stored_dim(spark, sf_dir))
+    return h.withColumn("norm", F.when(~F.isnan("norm"), F.col("norm")))
 
 
 @register("vocab_build")
@@ -157,9 +156,8 @@ def _changes(spark, sf_dir):
 
 def _delta(spark, sf_dir):
     from filelens.operators import index
-    # only whether there is text leaves the scan that reads it
-    texts = tables.files(spark, sf_dir, with_text=True).select("path", (F.length("text") > 0).alias("has_text"))
-    return index.embed_delta(_changes(spark, sf_dir), tables.vectors(spark, sf_dir), texts)
+    return index.embed_delta(_changes(spark, sf_dir), tables.vectors(spark, sf_dir),
+                             tables.scanned_texts(spark, sf_dir))
 
 
 @register("ext_allowlist")
@@ -199,7 +197,9 @@ def q_lookup_paths(spark, sf_dir):
 def q_orphan_vectors(spark, sf_dir):
     from filelens.operators import index
     from filelens.functions import vectors as V
-    o = index.orphan_vectors(tables.vectors(spark, sf_dir), tables.files(spark, sf_dir))
+    # some files have been deleted without their vectors
+    left = tables.files(spark, sf_dir).where(F.col("file_id") % 9 != 4)
+    o = index.orphan_vectors(tables.vectors(spark, sf_dir), left)
     return o.select("file_id", V.vector_dim("embedding").alias("dim"))
 
 
@@ -245,6 +245,51 @@ def q_model_reindex(spark, sf_dir):
     return index.model_reindex(_stored_with_vectors(spark, sf_dir), _stored_meta(spark, sf_dir), run)
 
 
+def _stored_dim(spark, sf_dir) -> int:
+    """Vector dimension in the stored index's metadata (one small row)."""
+    row = _stored_meta(spark, sf_dir).where("key = 'embedding_dim'").first()
+    return int(row["value"] or 0)
+
+
+@register("model_reindex_partial")
+def q_model_reindex_partial(spark, sf_dir):
+    """The run's model is the stored one: only damaged vectors are stale."""
+    from filelens.operators import index
+    from filelens.schema import MAX_SEQ_LEN, MODEL_NAME
+    run = {"model_name": MODEL_NAME, "embedding_dim": str(_stored_dim(spark, sf_dir)), "max_seq_len": str(MAX_SEQ_LEN)}
+    damaged = search.index_vectors(tables.stored_index(spark, sf_dir), tables.damaged_vectors(spark, sf_dir))
+    return index.model_reindex(damaged, _stored_meta(spark, sf_dir), run)
+
+
+@register("quarantine")
+def q_quarantine(spark, sf_dir):
+    from filelens.operators import index
+    return index.quarantine(_delta(spark, sf_dir)).select("file_id", "path", "action", "status", "reason", "attempts")
+
+
+@register("retry_quarantined")
+def q_retry_quarantined(spark, sf_dir):
+    from filelens.operators import index
+    # the second attempt has vectors for other files
+    again = tables.vectors(spark, sf_dir).withColumn("file_id", F.col("file_id") * 2 + 1)
+    done, still = index.retry_quarantined(index.quarantine(_delta(spark, sf_dir)), _changes(spark, sf_dir), again,
+                                          tables.scanned_texts(spark, sf_dir))
+    return done.select("file_id", "path", "status", F.lit(1).alias("attempts")) \
+        .unionByName(still.select("file_id", "path", "status", "attempts"))
+
+
+@register("stable_path_ids")
+def q_stable_path_ids(spark, sf_dir):
+    """Stored paths keep their stored ids, which are not the scanned ones."""
+    from filelens.operators import index
+    stored = tables.stored_index(spark, sf_dir).withColumn("file_id", F.col("file_id") + 1000000)
+    ids = index.path_ids(tables.files(spark, sf_dir), stored)
+    old = stored.select(F.col("path").alias("old_path"), F.col("file_id").alias("old_id"))
+    j = ids.join(old, F.col("path") == F.col("old_path"), "left")
+    return j.select("path", F.when(F.col("old_id").isNotNull(), F.col("file_id")).alias("stored_id"),
+                    F.coalesce(F.col("file_id") == F.col("old_id"), F.lit(False)).alias("kept"))
+
+
 @register("hash_change")
 def q_hash_change(spark, sf_dir):
     from filelens.operators import index
@@ -287,6 +332,16 @@ def q_list_filter(spark, sf_dir):
     return browse.list_filter(tables.files(spark, sf_dir), LIST_NEEDLE)
 
 
+@register("list_counts")
+def q_list_counts(spark, sf_dir):
+    """Rows that the browse view has loaded, and rows that its filter shows."""
+    from filelens.operators import browse
+    f = tables.files(spark, sf_dir)
+    a = browse.list_recent(f).agg(F.count(F.lit(1)).alias("n"))
+    b = browse.list_filter(f, LIST_NEEDLE).agg(F.count(F.lit(1)).alias("n"))
+    return a.select(F.lit("loaded").alias("list"), "n").unionByName(b.select(F.lit("shown").alias("list"), "n"))
+
+
 @register("index_stats")
 def q_index_stats(spark, sf_dir):
     from filelens.operators import browse
@@ -448,7 +503,11 @@ def q_path_normalize(spark, sf_dir):
     from filelens.functions import paths as P
     pages = tables.read(spark, sf_dir, "pages")
     raw = F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1)
-    return pages.select("page_id", P.normalize_path(raw).alias("path"))
+    case = F.col("page_id") % 4  # paths as links write them
+    odd = F.when(case == 1, F.concat(F.lit("//."), raw, F.lit("/./b/../c"))) \
+        .when(case == 2, F.concat(F.lit(".."), raw, F.lit("//../x"))) \
+        .when(case == 3, F.concat(F.lit("/../"), raw, F.lit("/a/..//b/"))).otherwise(raw)
+    return pages.select("page_id", P.normalize_path(odd).alias("path"))
 
 
 # --------------------------------------------------------------------------

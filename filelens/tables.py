@@ -53,3 +53,21 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vectors(file_id, embedding, label)."""
     return read(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("file_id"), "embedding", "label")
+
+
+def damaged_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors with one damage for ids of each of five remainders by 11:
+    missing, empty, one component short, twice as long, not a number."""
+    case, v = F.col("file_id") % 11, F.col("embedding")
+    nan = F.concat(F.array(F.lit(float("nan")).cast("float")), F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))))
+    bad = F.when(case == 1, F.array().cast("array<float>")) \
+        .when(case == 2, F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0)))) \
+        .when(case == 3, F.transform(v, lambda x: x * F.lit(2.0).cast("float"))).when(case == 4, nan).when(case > 4, v)
+    return vectors(spark, sf_dir).withColumn("embedding", bad)
+
+
+def scanned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, has_text) of a scan in which every thirteenth file has lost its
+    text; the texts stay in the scanning tasks."""
+    text = F.when(F.col("file_id") % 13 == 6, F.lit("")).otherwise(F.col("text"))
+    return files(spark, sf_dir, with_text=True).select("path", (F.length(text) > 0).alias("has_text"))
