@@ -10,7 +10,11 @@ lower, the more it is like the target. Each document is scored by models of
 all the others: its own counts are taken out first.
 
 Counting is a map over all texts with sparse counts per task and one sum;
-the summed counts are a table of fixed size, which is what is broadcast.
+the summed counts are a table of fixed size, which is what is broadcast. Only
+the texts of the target meet its ids in a join: a bitmap of fixed size over
+the ids' hashes holds most others back before the shuffle (a full bitmap holds
+back less, and the result is the same). Scoring is a map as well; each text is
+scored as a member of the target and as none, and the narrow result is joined.
 
 Defined cases: a null or white-space text has no words and null losses;
 repeated rows count and score once per row; a document with several labels is
@@ -65,53 +69,78 @@ _SIZE = _PAIRS + (1 << PAIR_BITS)
 
 
 def _count(batches):
-    """(text, target) -> sparse (class, target, background) of the task."""
-    total = np.zeros((2, _SIZE), np.int64)
+    """(text) -> sparse (class, n) of the task."""
+    total = np.zeros(_SIZE, np.int64)
     for b in batches:
-        target = b.column("target").to_numpy(zero_copy_only=False).astype(bool)
-        for lo, hi, buf, offs in X.text_slices(b.column("text")):
-            rows, word, before, pair = word_classes(buf, offs)
-            classes = np.concatenate([word, before + _HISTORY, pair + _PAIRS])
-            wanted = np.tile(target[lo:hi][rows], 3)
-            for k, c in ((0, classes[wanted]), (1, classes)):
-                at, n = np.unique(c, return_counts=True)
-                total[k, at] += n
-    at = np.flatnonzero(total[1])
+        for _, _, buf, offs in X.text_slices(b.column("text")):
+            _, word, before, pair = word_classes(buf, offs)
+            at, n = np.unique(np.concatenate([word, before + _HISTORY, pair + _PAIRS]), return_counts=True)
+            total[at] += n
+    at = np.flatnonzero(total)
     for i in range(0, len(at), 1 << 16):
         part = at[i:i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[0, part]), pa.array(total[1, part])],
-                                         ["class", "target", "background"])
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["class", "n"])
 
 
 def _dense(table: pa.Table) -> pa.Table:
-    """The summed counts of one block of classes as two packed vectors."""
+    """The summed counts of one block of classes as a packed vector."""
     at = table.column("class").to_numpy()
-    out = np.zeros((2, _BLOCK), np.int64)
-    out[0, at % _BLOCK] = table.column("target").to_numpy()
-    out[1, at % _BLOCK] = table.column("background").to_numpy()
-    return pa.table({"block": [int(at[0]) // _BLOCK], "target": [out[0].tobytes()], "background": [out[1].tobytes()]})
+    out = np.zeros(_BLOCK, np.int64)
+    out[at % _BLOCK] = table.column("n").to_numpy()
+    return pa.table({"block": [int(at[0]) // _BLOCK], "n": [out.tobytes()]})
 
 
-def marked(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """(doc_id, text, target) of every row, written: whether its id is in
-    ``target`` (doc_id)."""
-    flag = target.select(col("doc_id").alias("_id")).where("_id is not null").distinct().withColumn("_in", F.lit(True))
-    rows = docs.select(col("doc_id"), col("text")).join(flag, F.col("doc_id") == F.col("_id"), "left")
-    return materialized(rows.select("doc_id", "text", F.coalesce("_in", F.lit(False)).alias("target")), "lm-marked")
-
-
-def fit(rows: DataFrame) -> np.ndarray:
-    """Counts (2 x classes) of the target rows and of all rows of ``rows``
-    (text, target)."""
-    counts = rows.select("text", "target").mapInArrow(_count, "class bigint, target bigint, background bigint") \
-        .groupBy("class").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+def counted(texts: DataFrame) -> np.ndarray:
+    """Counts of all classes in the texts of ``texts`` (text)."""
+    counts = texts.select("text").mapInArrow(_count, "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n"))
     blocks = materialized(counts.groupBy(F.floor(F.col("class") / _BLOCK).alias("block")).applyInArrow(
-        _dense, "block bigint, target binary, background binary"), "lm-counts")
-    out = np.zeros((2, _SIZE), np.int64)
+        _dense, "block bigint, n binary"), "lm-counts")
+    out = np.zeros(-(-_SIZE // _BLOCK) * _BLOCK, np.int64)
     for r in blocks.toLocalIterator():  # a fixed number of blocks of fixed size
-        at = slice(r["block"] * _BLOCK, (r["block"] + 1) * _BLOCK)
-        out[0, at], out[1, at] = np.frombuffer(r["target"], np.int64), np.frombuffer(r["background"], np.int64)
-    return out
+        out[r["block"] * _BLOCK:(r["block"] + 1) * _BLOCK] = np.frombuffer(r["n"], np.int64)
+    return out[:_SIZE]
+
+
+# Bits of the map that holds back texts outside the target
+MAP_BITS = 26
+
+
+def _mark(table: pa.Table) -> pa.Table:
+    """The bits of one block of the map, packed."""
+    at = table.column("bit").to_numpy()
+    bits = np.zeros(_BLOCK, np.uint8)
+    bits[at % _BLOCK] = 1
+    return pa.table({"block": [int(at[0]) // _BLOCK], "bits": [np.packbits(bits).tobytes()]})
+
+
+def held_back(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, ...) whose id may be in ``ids`` (doc_id):
+    all that are, and few others as long as the bitmap is not full."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
+    blocks = ids.select(bit.alias("bit")).distinct().groupBy(F.floor(F.col("bit") / _BLOCK).alias("block")) \
+        .applyInArrow(_mark, "block bigint, bits binary")
+    marks = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+    for r in blocks.toLocalIterator():  # at most the map's own size
+        part = np.frombuffer(r["bits"], np.uint8)
+        marks[r["block"] * len(part):(r["block"] + 1) * len(part)] = part
+    known = docs.sparkSession.sparkContext.broadcast(marks)
+
+    @F.arrow_udf(T.BooleanType())
+    def maybe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            at = b.to_numpy(zero_copy_only=False)
+            yield pa.array((known.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return docs.where(maybe(bit))
+
+
+def fit(docs: DataFrame, ids: DataFrame) -> np.ndarray:
+    """Counts (2 x classes): of the documents whose id is in ``ids`` (distinct
+    doc_id), and of all documents."""
+    texts = docs.select(col("doc_id"), col("text")).where("text is not null")
+    # a merge join at every size: the plan does not depend on the tables
+    target = held_back(texts.where("doc_id is not null"), ids).join(ids.hint("merge"), "doc_id", "left_semi")
+    return np.stack([counted(target), counted(texts)])
 
 
 def _own(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -123,46 +152,53 @@ def _own(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
 def losses(counts: np.ndarray, word, before, pair, less=(0, 0, 0, 0)) -> np.ndarray:
     """Loss (nats) of every word under the model of one count vector, from
     which ``less`` (words, histories, pairs, words of the text) is taken."""
-    words = counts[word] - less[0]
-    n = counts[:_HISTORY].sum() - less[3]
+    words = np.maximum(counts[word] - less[0], 0)
+    n = np.maximum(counts[:_HISTORY].sum() - less[3], 0)
     single = (words + 1.0) / (n + _HISTORY)
-    history = counts[before + _HISTORY] - less[1]
+    history = np.maximum(counts[before + _HISTORY] - less[1], 0)
     # classes can be shared; a pair is never more frequent than its parts
-    both = np.minimum(np.minimum(counts[pair + _PAIRS] - less[2], history), words)
+    both = np.minimum(np.minimum(np.maximum(counts[pair + _PAIRS] - less[2], 0), history), words)
     return -np.log((both + PRIOR * single) / (history + PRIOR))
 
 
-_LOSSES = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("target_loss", T.DoubleType()),
-                        T.StructField("background_loss", T.DoubleType())])
+_LOSSES = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("inside", T.DoubleType()),
+                        T.StructField("outside", T.DoubleType()), T.StructField("background_loss", T.DoubleType())])
 
 
 def scorer(counts):
-    """A column function from texts and target flags to (n_words,
-    target_loss, background_loss) for a broadcast of :func:`fit`'s counts."""
+    """A column function from texts to (n_words, inside, outside,
+    background_loss) for a broadcast of :func:`fit`'s counts: the target loss
+    of a text that is in the target, and of one that is not."""
     @F.arrow_udf(_LOSSES)
-    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        model = counts.value
-        for texts, flags in batches:
-            n_words, sums = [np.zeros(0, np.int64)], [[np.zeros(0)], [np.zeros(0)]]
-            flags = flags.to_numpy(zero_copy_only=False).astype(bool)
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        target, background = counts.value
+        for texts in batches:
+            n_words, sums = [np.zeros(0, np.int64)], [[np.zeros(0)] for _ in range(3)]
             for lo, hi, buf, offs in X.text_slices(texts):
                 rows, word, before, pair = word_classes(buf, offs)
                 n = np.bincount(rows, minlength=hi - lo)
                 own = (_own(rows, word), _own(rows, before), _own(rows, pair), n[rows])
                 n_words.append(n)
-                for k, part in enumerate((flags[lo:hi][rows], 1)):
-                    loss = losses(model[k], word, before, pair, [o * part for o in own])
+                # where the target lacks a text's own words, "inside" is void
+                for k, (model, less) in enumerate(((target, own), (target, (0, 0, 0, 0)), (background, own))):
+                    loss = losses(model, word, before, pair, less)
                     sums[k].append(np.bincount(rows, weights=loss, minlength=hi - lo))
             n = np.concatenate(n_words)
             mean = [pa.array(np.concatenate(s) / np.maximum(n, 1), pa.float64(), mask=n == 0) for s in sums]
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), *mean],
-                                             ["n_words", "target_loss", "background_loss"])
+                                             ["n_words", "inside", "outside", "background_loss"])
     return score
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """(doc_id, n_words, target_loss, background_loss, score) per row."""
-    rows = marked(docs, target)
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows))
-    out = rows.select("doc_id", scorer(model)("text", "target").alias("s")).select("doc_id", "s.*")
-    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    """(doc_id, n_words, target_loss, background_loss, score) per row of
+    ``docs`` (doc_id, text); ``target`` (doc_id) names the target's documents."""
+    ids = target.select(col("doc_id")).where("doc_id is not null").distinct()
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, ids))
+    out = materialized(docs.select(col("doc_id"), scorer(model)(col("text")).alias("s")).select("doc_id", "s.*"),
+                       "lm-scores")
+    flag = ids.select(F.col("doc_id").alias("_id"))
+    loss = F.when(F.col("_id").isNotNull(), F.col("inside")).otherwise(F.col("outside"))
+    return out.join(flag, F.col("doc_id") == F.col("_id"), "left").select(
+        "doc_id", "n_words", loss.alias("target_loss"), "background_loss",
+        (loss - F.col("background_loss")).alias("score"))
