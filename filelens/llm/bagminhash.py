@@ -287,11 +287,14 @@ def _large_links(left: DataFrame, sets: DataFrame) -> DataFrame:
     return full.groupBy("bucket", "col", "row").applyInArrow(_block_links, "a bigint, b bigint")
 
 
-def _with_class(members: DataFrame, links: DataFrame) -> DataFrame:
-    known = materialized(components.classes(links, "a", "b", "class"), "bmh-classes")
-    out = members.drop("class").join(known, members["k"] == known["node"], "left") \
-        .withColumn("class", F.coalesce("class", "k")).drop("node")
-    return out
+def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(k, class) after the classes that ``links`` (a, b) join are one; the
+    components are those of the graph of classes, which shrinks every time."""
+    ends = links.join(nodes.select(F.col("k").alias("a"), F.col("class").alias("u")), "a") \
+        .join(nodes.select(F.col("k").alias("b"), F.col("class").alias("v")), "b").where("u <> v")
+    roots = materialized(components.connected(ends, "u", "v"), "bmh-roots")
+    return materialized(nodes.join(roots, F.col("class") == F.col("node"), "left")
+                        .select("k", F.coalesce("root", "class").alias("class")), "bmh-classes")
 
 
 def classify(texts: DataFrame) -> DataFrame:
@@ -309,21 +312,21 @@ def classify(texts: DataFrame) -> DataFrame:
     sets = materialized(
         texts.select("k", "text", "s.bands").join(company.select("k"), "k", "left_semi")
         .mapInArrow(_sets, "k bigint, bands array<bigint>, hashes binary, counts binary"), "bmh-sets")
-    links, now = None, members.withColumn("class", F.col("k"))
+    classes = company.select("k", F.col("k").alias("class"))
     for seed in range(STAR_ROUNDS):
-        found = verify(_star(now, seed), sets)
-        links = found if links is None else links.unionByName(found)
-        now = materialized(_with_class(members, links), "bmh-now")
+        now = members.join(classes, "k")
+        classes = _merged(classes, verify(_star(now, seed), sets).select("a", "b"))
+    now = materialized(members.join(classes, "k"), "bmh-now")
     per = now.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(
         F.sum("c").alias("n"), F.max(F.struct("c", "class")).alias("m"), F.count(F.lit(1)).alias("classes"))
     mixed = materialized(per.where("classes > 1").select(
         "bucket", "n", F.col("m.c").alias("most"), F.col("m.class").alias("major")), "bmh-mixed")
     left = materialized(now.join(mixed, "bucket"), "bmh-left")
-    links = links.select("a", "b").unionByName(verify(_small_pairs(left), sets).select("a", "b")) \
+    links = verify(_small_pairs(left), sets).select("a", "b") \
         .unionByName(materialized(_large_links(left, sets), "bmh-links"))
-    known = materialized(components.classes(links, "a", "b", "class"), "bmh-classes")
+    classes = _merged(classes, links).withColumnRenamed("k", "node")
     node = rows.join(reps, ["h1", "h2"], "left").select("k", "doc_id", F.coalesce("rep", "k").alias("rep"))
-    return node.join(known, F.col("rep") == F.col("node"), "left") \
+    return node.join(classes, F.col("rep") == F.col("node"), "left") \
         .select("k", "doc_id", F.coalesce("class", "rep").alias("class"))
 
 

@@ -1,11 +1,12 @@
 """Connected components of an edge list, distributed.
 
-Every round each node joins its neighbour of least random priority (one
-aggregate with map-side minima, so a node with many edges is no hot task),
-chains of such choices are halved by a pointer jump, and the edges are
-contracted to the chosen representatives. Random priorities shrink the graph
-by a constant factor a round whatever its shape; rounds end when no edge is
-left. Each round's tables are written to the shared folder; the driver only
+Every round each node joins its neighbour of least priority (one aggregate
+with map-side minima, so a node with many edges is no hot task), chains of
+such choices are halved by a pointer jump, and the edges are contracted to the
+chosen representatives. In the first round the nodes with most edges go first,
+which settles stars at once; then priorities are random, which shrinks the
+graph by a constant factor a round whatever its shape. Rounds end when no edge
+is left. Each round's tables are written to the shared folder; the driver only
 sees counts.
 """
 
@@ -31,9 +32,15 @@ def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     maps, seed = [], 0
     while True:
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        pick = both.groupBy("u").agg(F.min(_least(F.col("v"), seed)).alias("m"))
-        parent = pick.select(
-            F.col("u").alias("node"), F.least(F.col("m"), _least(F.col("u"), seed))["v"].alias("root"))
+        if seed == 0:
+            degree = materialized(both.groupBy("u").agg((-F.count(F.lit(1))).alias("d")), "cc-degrees")
+            rank = F.struct(F.col("d"), _least(F.col("v"), seed).alias("l"))
+            pick = both.join(degree.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min(rank).alias("m")) \
+                .join(degree, "u").select("u", F.least("m", F.struct("d", _least(F.col("u"), seed).alias("l")))["l"].alias("m"))
+        else:
+            pick = both.groupBy("u").agg(F.min(_least(F.col("v"), seed)).alias("m")) \
+                .select("u", F.least("m", _least(F.col("u"), seed)).alias("m"))
+        parent = pick.select(F.col("u").alias("node"), F.col("m.v").alias("root"))
         up = parent.select(F.col("node").alias("root"), F.col("root").alias("up"))
         parent = materialized(parent.join(up, "root").select("node", F.col("up").alias("root")), "cc-parents")
         maps.append(parent)
