@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from filelens.tables import read
 
-from . import (bagminhash, concat_pack, html_mincut, lm_xent, quality_mcd, source_mix, url_alias, va_topk,
+from . import (bagminhash, concat_pack, html_mincut, lm_xent, oracle, quality_mcd, source_mix, url_alias, va_topk,
                warc_fixity, winnow)
 
 QUERIES = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracle.SQL
 
 
 def _query(fn):
@@ -46,17 +46,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_deleted_lines")
 
 
-ORACLE["op4_line_dedup"] = winnow.ORACLE
-
-
 @_query
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_fixity.audit_pages(read(spark, sf_dir, "pages"))
 
 
-ORACLE["op5_warc_fixity"] = warc_fixity.ORACLE
-
-
 @_query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_mcd.judge(read(spark, sf_dir, "documents"))
