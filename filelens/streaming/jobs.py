@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelens.operators.common import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, row_bytes
+from filelens.operators.common import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, materialized, row_bytes
 from filelens.operators.index import latest_per_key, path_ids
 from filelens.session import scratch_path
 from filelens.sources import store
@@ -81,12 +81,18 @@ def stream_latest(spark: SparkSession, source_dir: str, glob: str, schema, key:
     return state_root
 
 
+def quarantine_root(index_root: str) -> str:
+    """Where :func:`stream_index` keeps the files that it could not index."""
+    return index_root.rstrip("/") + "-quarantine"
+
+
 def stream_index(spark: SparkSession, root: str, embed_fn, index_root: str | None = None,
                  glob: str | None = None, max_files_per_trigger: int | None = None) -> str:
     """Index files as they arrive below ``root``: each micro-batch lists new
     files (path, mtime, bytes), extracts text, embeds it with ``embed_fn``
     (DataFrame (file_id, text) -> (file_id, embedding)) and upserts by path
-    with the strictly-newer rule. New paths only: a file changed in place is
+    with the strictly-newer rule; files that cannot be indexed go to
+    :func:`quarantine_root`. New paths only: a file changed in place is
     not re-emitted by the file source -- run the batch change job for that."""
     from filelens.functions import paths as P
     from filelens.sources.files import extract, with_path_parts
@@ -109,10 +115,17 @@ def stream_index(spark: SparkSession, root: str, embed_fn, index_root: str | Non
         cur = store.read_current(batch.sparkSession, index_root)
         # ids: stored paths keep theirs; new paths get a collision-checked hash
         b = b.join(path_ids(b, cur), "path")
-        ex = extract(b).where(F.col("status").isin("ok", "repaired"))
+        found = extract(b)
+        good = F.col("status").isin("ok", "repaired")
+        # rows that cannot be indexed are kept with their reason, one folder per
+        # trigger (a replayed trigger writes it anew)
+        found.where(~good).select("file_id", "path", "extension", "last_modified", "size_bytes", "status") \
+            .write.mode("overwrite").parquet(f"{quarantine_root(index_root)}/batch={batch_id}")
+        ex = found.where(good)
         vec = embed_fn(ex.select("file_id", "text"))
-        rows = ex.select("file_id", "path", "name", "extension", "last_modified", "size_bytes") \
-            .join(vec, "file_id")
+        # written once: the merge reads the batch more than once
+        rows = materialized(ex.select("file_id", "path", "name", "extension", "last_modified", "size_bytes")
+                            .join(vec, "file_id"), "index-batch")
         new = upsert_newer(cur, rows, "path", "last_modified", "file_id")
         store.commit(new, index_root, batch_id + 1)
 
