@@ -48,7 +48,8 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     is computed once (columnar, compressed, pruned on read), and the lineage
     is cut, so a lost executor re-reads the table instead of recomputing it."""
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
+    # intermediates are mostly text and hashes: zstd keeps the shared folder small
+    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
