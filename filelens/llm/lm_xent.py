@@ -1,20 +1,22 @@
 """LM scoring by cross-entropy difference.
 
 Two bigram models, of a target corpus and of the background (all documents),
-share one vocabulary: words hash to ``2**VOCAB_BITS`` word classes and word
-pairs to ``2**PAIR_BITS`` pair classes, so that no word is dropped and a
-model's size is fixed whatever the corpus. Both are smoothed alike (a pair
-model with a Dirichlet prior on the unigram model, add-one below). A document's
-score is the mean over its words of target loss minus background loss: the
-lower, the more it is like the target. Each document is scored by models of
-all the others: its own counts are taken out first.
-
-Counting is a map over all texts with sparse counts per task and one sum;
-the summed counts are a table of fixed size, which is what is broadcast. Only
-the texts of the target meet its ids in a join: a bitmap of fixed size over
-the ids' hashes holds most others back before the shuffle (a full bitmap holds
-back less, and the result is the same). Scoring is a map as well; each text is
-scored as a member of the target and as none, and the narrow result is joined.
+share one vocabulary: words, histories and word pairs are counted by their
+full 64-bit hashes, so that the models grow with the corpus and unrelated
+pairs share no counter. Both are smoothed alike (a pair model with a Dirichlet
+prior on the unigram model, add-one below; the vocabulary is the number of
+distinct words, and ``2**VOCAB_BITS`` at least). A document's score is the mean
+over its words of target loss minus background loss: the lower, the more it is
+like the target. Each document is scored by models of all the others: its own
+counts are taken out first.
+
+Texts become blocks of about ``BLOCK_BYTES``: the block's distinct words and a
+number per word. Which documents are of the target is found by a narrow join
+of ids. A block's distinct keys are dealt to buckets of the hash range, as
+many as the corpus needs; a bucket sums the counts of all blocks and answers
+each block with the totals of its own keys, by which the block is scored. No
+count table is broadcast or passes through the driver, and a key takes one
+place per block however frequent it is.
 
 Defined cases: a null or white-space text has no words and null losses;
 repeated rows count and score once per row; a document with several labels is
@@ -24,13 +26,11 @@ uniform; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from filelens.operators.common import materialized
 
@@ -38,16 +38,20 @@ from . import textops as X
 from .common import col
 
 VOCAB_BITS = 18
-PAIR_BITS = 20
 PRIOR = 50.0   # words' worth of the unigram model in a pair estimate
+BLOCK_BYTES = 8 << 20
+BUCKET_KEYS = 1 << 21   # keys of all blocks that one bucket sums, about
 _U = np.uint64
 _BEGIN = X.mix64(np.array([7], _U))[0]
-# Summed counts travel in dense blocks of so many classes
-_BLOCK = 1 << 16
+_HISTORY = _U(0xA24BAED4963EE407)   # sets keys of histories apart from words
+
+
+def _pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return X.mix64(before * _U(0x9E3779B97F4A7C15) + word)
 
 
 def word_classes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, class of the word, class of the word before, pair class) per
+    """(text, hash of the word, hash of the word before, pair hash) per
     word; a text begins with a mark of its own."""
     starts, ends = X.word_spans(buf, offs)
     rows = X.rows_of(starts, offs)
@@ -57,148 +61,197 @@ def word_classes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     new = np.ones(len(h), bool)
     new[1:] = rows[1:] != rows[:-1]
     before[new] = _BEGIN
-    pair = X.mix64(before * _U(0x9E3779B97F4A7C15) + h)
-    small = lambda x, bits: (x >> _U(64 - bits)).astype(np.int64)
-    return rows, small(h, VOCAB_BITS), small(before, VOCAB_BITS), small(pair, PAIR_BITS)
+    return rows, h, before, _pair_hash(before, h)
 
 
-# One count vector holds words, histories and pairs one after the other.
-_HISTORY = 1 << VOCAB_BITS
-_PAIRS = 2 << VOCAB_BITS
-_SIZE = _PAIRS + (1 << PAIR_BITS)
+def _pack(a: np.ndarray) -> bytes:
+    """Whole numbers, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    return len(a).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _count(batches):
-    """(text) -> sparse (class, n) of the task."""
-    total = np.zeros(_SIZE, np.int64)
-    for b in batches:
-        for _, _, buf, offs in X.text_slices(b.column("text")):
-            _, word, before, pair = word_classes(buf, offs)
-            at, n = np.unique(np.concatenate([word, before + _HISTORY, pair + _PAIRS]), return_counts=True)
-            total[at] += n
-    at = np.flatnonzero(total)
-    for i in range(0, len(at), 1 << 16):
-        part = at[i:i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["class", "n"])
-
-
-def _dense(table: pa.Table) -> pa.Table:
-    """The summed counts of one block of classes as a packed vector."""
-    at = table.column("class").to_numpy()
-    out = np.zeros(_BLOCK, np.int64)
-    out[at % _BLOCK] = table.column("n").to_numpy()
-    return pa.table({"block": [int(at[0]) // _BLOCK], "n": [out.tobytes()]})
-
-
-def counted(texts: DataFrame) -> np.ndarray:
-    """Counts of all classes in the texts of ``texts`` (text)."""
-    counts = texts.select("text").mapInArrow(_count, "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n"))
-    blocks = materialized(counts.groupBy(F.floor(F.col("class") / _BLOCK).alias("block")).applyInArrow(
-        _dense, "block bigint, n binary"), "lm-counts")
-    out = np.zeros(-(-_SIZE // _BLOCK) * _BLOCK, np.int64)
-    for r in blocks.toLocalIterator():  # a fixed number of blocks of fixed size
-        out[r["block"] * _BLOCK:(r["block"] + 1) * _BLOCK] = np.frombuffer(r["n"], np.int64)
-    return out[:_SIZE]
-
-
-# Bits of the map that holds back texts outside the target
-MAP_BITS = 26
-
-
-def _mark(table: pa.Table) -> pa.Table:
-    """The bits of one block of the map, packed."""
-    at = table.column("bit").to_numpy()
-    bits = np.zeros(_BLOCK, np.uint8)
-    bits[at % _BLOCK] = 1
-    return pa.table({"block": [int(at[0]) // _BLOCK], "bits": [np.packbits(bits).tobytes()]})
-
-
-def held_back(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, ...) whose id may be in ``ids`` (doc_id):
-    all that are, and few others as long as the bitmap is not full."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
-    blocks = ids.select(bit.alias("bit")).distinct().groupBy(F.floor(F.col("bit") / _BLOCK).alias("block")) \
-        .applyInArrow(_mark, "block bigint, bits binary")
-    marks = np.zeros((1 << MAP_BITS) // 8, np.uint8)
-    for r in blocks.toLocalIterator():  # at most the map's own size
-        part = np.frombuffer(r["bits"], np.uint8)
-        marks[r["block"] * len(part):(r["block"] + 1) * len(part)] = part
-    known = docs.sparkSession.sparkContext.broadcast(marks)
-
-    @F.arrow_udf(T.BooleanType())
-    def maybe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
-            at = b.to_numpy(zero_copy_only=False)
-            yield pa.array((known.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
-
-    return docs.where(maybe(bit))
+def _unpack(b: bytes, dtype) -> np.ndarray:
+    n, width = int.from_bytes(b[:8], "little"), np.dtype(dtype).itemsize
+    if n == 0:
+        return np.zeros(0, dtype)
+    planes = pa.decompress(b[8:], decompressed_size=n * width, codec="zstd", asbytes=True)
+    return np.frombuffer(planes, np.uint8).reshape(width, n).T.copy().view(dtype).ravel()
 
 
-def fit(docs: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Counts (2 x classes): of the documents whose id is in ``ids`` (distinct
-    doc_id), and of all documents."""
-    texts = docs.select(col("doc_id"), col("text")).where("text is not null")
-    # a merge join at every size: the plan does not depend on the tables
-    target = held_back(texts.where("doc_id is not null"), ids).join(ids.hint("merge"), "doc_id", "left_semi")
-    return np.stack([counted(target), counted(texts)])
+def _to_blocks(batches):
+    """(doc_id, text) -> blocks of a task: ids, words per text, the distinct
+    words' hashes and each word's number among them."""
+    task, nth, held, size = TaskContext.get().partitionId(), 0, [], 0
 
+    def block():
+        ids, lengths, words = zip(*held)
+        ids, lengths = pa.concat_arrays(ids), np.concatenate(lengths)
+        words, tokens = np.unique(np.concatenate(words), return_inverse=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([(task << 32) + nth]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+             pa.array([len(tokens)]), pa.array([_pack(lengths.astype(np.int64))]), pa.array([_pack(words)]),
+             pa.array([_pack(tokens.astype(np.int32))])], ["block", "doc_ids", "n", "lengths", "words", "tokens"])
 
-def _own(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Per word, how often its class is in its own text."""
-    _, which, n = np.unique(rows * _SIZE + classes, return_inverse=True, return_counts=True)
+    for b in batches:
+        for lo, hi, buf, offs in X.text_slices(b.column("text")):
+            rows, word, _, _ = word_classes(buf, offs)
+            held.append((b.column("doc_id").slice(lo, hi - lo), np.bincount(rows, minlength=hi - lo), word))
+            size += len(buf) + 64 * (hi - lo)
+            if size >= BLOCK_BYTES:
+                yield block()
+                nth, held, size = nth + 1, [], 0
+    if held:
+        yield block()
+
+
+def _grams(words: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(number of the word before, number of the pair) per word of a block, and
+    the block's keys: its words, histories (the mark last) and pairs."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = len(words)
+    names, base = np.append(words, _BEGIN), len(words) + 1
+    code, pair = np.unique(before.astype(np.int64) * base + tokens, return_inverse=True)
+    keys = np.concatenate([words, X.mix64(names ^ _HISTORY), _pair_hash(names[code // base], names[code % base])])
+    return before, pair, keys
+
+
+def _read_block(table, r: int) -> tuple[np.ndarray, ...]:
+    """(words, lengths, tokens, texts of the target) of one row."""
+    get = lambda c, t: _unpack(table.column(c)[r].as_py(), t)
+    return get("words", _U), get("lengths", np.int64), get("tokens", np.int32)
+
+
+def _inside(marks, n: int) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[marks or []] = True
+    return out
+
+
+def _requests(buckets: int):
+    """Blocks with their target texts -> per bucket the block's keys (ascending,
+    as differences), with their counts in all texts and in the target's."""
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                words, lengths, tokens = _read_block(b, r)
+                before, pair, keys = _grams(words, lengths, tokens)
+                member = np.repeat(_inside(b.column("marks")[r].as_py(), len(lengths)), lengths)
+                base, size = len(words), len(keys)
+                at = np.concatenate([tokens, before + base, pair + 2 * base + 1])
+                n = np.bincount(at, minlength=size)
+                n_target = np.bincount(at[np.tile(member, 3)], minlength=size)
+                order = np.argsort(keys, kind="stable")
+                keys, n, n_target, is_word = keys[order], n[order], n_target[order], order < base
+                bucket = ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+                new = np.flatnonzero(np.diff(bucket, prepend=-1))
+                rows = []
+                for lo, hi in zip(new, [*new[1:], size]):
+                    e = slice(lo, hi)
+                    rows.append((int(bucket[lo]), _pack(np.diff(keys[e], prepend=_U(0))), _pack(n[e]),
+                                 _pack(n_target[e]), _pack(is_word[e].astype(np.uint8))))
+                cols = [pa.array([b.column("block")[r].as_py()] * len(rows), pa.int64()), *map(pa.array, zip(*rows))]
+                yield pa.RecordBatch.from_arrays(cols, ["block", "bucket", "keys", "n", "n_target", "is_word"])
+    return run
+
+
+_REQUEST = "block bigint, bucket bigint, keys binary, n binary, n_target binary, is_word binary"
+_TOTAL = "block bigint, bucket bigint, n binary, n_target binary, vocabulary bigint, words bigint, target_words bigint"
+
+
+def _totals(table: pa.Table) -> pa.Table:
+    """One bucket's requests -> the totals of each block's keys, and a row of
+    the bucket's own (no block): distinct words, words, words of the target."""
+    get = lambda c, t: [_unpack(x.as_py(), t) for x in table.column(c)]
+    keys = [np.cumsum(k, dtype=_U) for k in get("keys", _U)]
+    n, n_target = (np.concatenate(get(c, np.int64)) for c in ("n", "n_target"))
+    is_word = np.concatenate(get("is_word", np.uint8)).astype(bool)
+    cut = np.cumsum([len(k) for k in keys])[:-1]
+    distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+    known = np.zeros(len(distinct), bool)
+    known[which[is_word]] = True
+    # sums of whole numbers under 2**53 are exact
+    answers = [[_pack(a) for a in np.split(np.bincount(which, weights=x).astype(np.int64)[which], cut)]
+               for x in (n, n_target)]
+    blocks = table.column("block").to_pylist()
+    own = [int(known.sum()), int(n[is_word].sum()), int(n_target[is_word].sum())]
+    return pa.table({
+        "block": pa.array([*blocks, None], pa.int64()),
+        "bucket": pa.array([table.column("bucket")[0].as_py()] * (len(blocks) + 1), pa.int64()),
+        "n": pa.array([*answers[0], None], pa.binary()), "n_target": pa.array([*answers[1], None], pa.binary()),
+        **{c: pa.array([*[None] * len(blocks), v], pa.int64())
+           for c, v in zip(("vocabulary", "words", "target_words"), own)}})
+
+
+def _own(rows: np.ndarray, numbers: np.ndarray, size: int) -> np.ndarray:
+    """Per word, how often its number (of ``size``) is in its own text."""
+    _, which, n = np.unique(rows * size + numbers, return_inverse=True, return_counts=True)
     return n[which]
 
 
-def losses(counts: np.ndarray, word, before, pair, less=(0, 0, 0, 0)) -> np.ndarray:
-    """Loss (nats) of every word under the model of one count vector, from
-    which ``less`` (words, histories, pairs, words of the text) is taken."""
-    words = np.maximum(counts[word] - less[0], 0)
-    n = np.maximum(counts[:_HISTORY].sum() - less[3], 0)
-    single = (words + 1.0) / (n + _HISTORY)
-    history = np.maximum(counts[before + _HISTORY] - less[1], 0)
-    # classes can be shared; a pair is never more frequent than its parts
-    both = np.minimum(np.minimum(np.maximum(counts[pair + _PAIRS] - less[2], 0), history), words)
-    return -np.log((both + PRIOR * single) / (history + PRIOR))
-
-
-_LOSSES = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("inside", T.DoubleType()),
-                        T.StructField("outside", T.DoubleType()), T.StructField("background_loss", T.DoubleType())])
-
-
-def scorer(counts):
-    """A column function from texts to (n_words, inside, outside,
-    background_loss) for a broadcast of :func:`fit`'s counts: the target loss
-    of a text that is in the target, and of one that is not."""
-    @F.arrow_udf(_LOSSES)
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        target, background = counts.value
-        for texts in batches:
-            n_words, sums = [np.zeros(0, np.int64)], [[np.zeros(0)] for _ in range(3)]
-            for lo, hi, buf, offs in X.text_slices(texts):
-                rows, word, before, pair = word_classes(buf, offs)
-                n = np.bincount(rows, minlength=hi - lo)
-                own = (_own(rows, word), _own(rows, before), _own(rows, pair), n[rows])
-                n_words.append(n)
-                # where the target lacks a text's own words, "inside" is void
-                for k, (model, less) in enumerate(((target, own), (target, (0, 0, 0, 0)), (background, own))):
-                    loss = losses(model, word, before, pair, less)
-                    sums[k].append(np.bincount(rows, weights=loss, minlength=hi - lo))
-            n = np.concatenate(n_words)
-            mean = [pa.array(np.concatenate(s) / np.maximum(n, 1), pa.float64(), mask=n == 0) for s in sums]
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), *mean],
-                                             ["n_words", "inside", "outside", "background_loss"])
-    return score
+def losses(word, history, pair, n, vocabulary: int) -> np.ndarray:
+    """Loss (nats) of every word from the counts of the word, the history and
+    the pair, and the number of words, of the texts it is scored by."""
+    single = (word + 1.0) / (n + vocabulary)
+    return -np.log((pair + PRIOR * single) / (history + PRIOR))
+
+
+def _score_block(vocabulary: int, n_words: int, n_target: int, id_type: pa.DataType):
+    """A block and the totals of its keys -> (doc_id, n_words, losses)."""
+    def run(block: pa.Table, totals: pa.Table) -> pa.Table:
+        ids = block.column("doc_ids").combine_chunks().flatten()
+        words, lengths, tokens = _read_block(block, 0)
+        before, pair, keys = _grams(words, lengths, tokens)
+        answers = totals.sort_by("bucket")
+        marks = answers.column("marks").drop_null()
+        inside = _inside(marks[0].as_py() if len(marks) else None, len(lengths))
+        order = np.argsort(keys, kind="stable")
+        rows, base = np.repeat(np.arange(len(lengths)), lengths), len(words)
+        own = (_own(rows, tokens, base + 1), _own(rows, before, base + 1), _own(rows, pair, len(keys)), lengths[rows])
+        mean = []
+        for name, n, member in (("n_target", n_target, inside), ("n", n_words, np.ones(len(lengths), bool))):
+            total = np.zeros(len(keys), np.int64)
+            total[order] = np.concatenate([_unpack(x.as_py(), np.int64) for x in answers.column(name).drop_null()])
+            # a text's own counts are in the totals of the corpora that it is of
+            seen = total[tokens], total[before + base], total[pair + 2 * base + 1], n
+            loss = losses(*[s - o * member[rows] for s, o in zip(seen, own)], vocabulary)
+            mean.append(pa.array(np.bincount(rows, weights=loss, minlength=len(lengths)) / np.maximum(lengths, 1),
+                                 pa.float64(), mask=lengths == 0))
+        return pa.table({"doc_id": ids.cast(id_type), "n_words": pa.array(lengths, pa.int64()),
+                         "target_loss": mean[0], "background_loss": mean[1]})
+    return run
 
 
 def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) per row of
     ``docs`` (doc_id, text); ``target`` (doc_id) names the target's documents."""
+    spark = docs.sparkSession
+    texts = docs.select(col("doc_id"), col("text").cast("string").alias("text"))
+    id_type = texts.schema["doc_id"].dataType
+    blocks = materialized(texts.mapInArrow(
+        _to_blocks, f"block bigint, doc_ids array<{id_type.simpleString()}>, n bigint, lengths binary, words binary, "
+                    "tokens binary"), "lm-blocks")
     ids = target.select(col("doc_id")).where("doc_id is not null").distinct()
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, ids))
-    out = materialized(docs.select(col("doc_id"), scorer(model)(col("text")).alias("s")).select("doc_id", "s.*"),
-                       "lm-scores")
-    flag = ids.select(F.col("doc_id").alias("_id"))
-    loss = F.when(F.col("_id").isNotNull(), F.col("inside")).otherwise(F.col("outside"))
-    return out.join(flag, F.col("doc_id") == F.col("_id"), "left").select(
-        "doc_id", "n_words", loss.alias("target_loss"), "background_loss",
-        (loss - F.col("background_loss")).alias("score"))
+    # a merge join at every size: the plan does not depend on the tables
+    marks = materialized(
+        blocks.select("block", F.posexplode("doc_ids").alias("at", "doc_id")).where("doc_id is not null")
+        .join(ids.hint("merge"), "doc_id", "left_semi").groupBy("block").agg(F.collect_list("at").alias("marks")),
+        "lm-marks")
+    n = blocks.agg(F.sum("n")).first()[0] or 0
+    buckets = max(2 * spark.sparkContext.defaultParallelism, -(-n // BUCKET_KEYS))
+    requests = blocks.join(marks.hint("merge"), "block", "left").select("block", "lengths", "words", "tokens", "marks") \
+        .mapInArrow(_requests(buckets), _REQUEST)
+    totals = materialized(requests.groupBy("bucket").applyInArrow(_totals, _TOTAL), "lm-totals")
+    known = totals.where("block is null").agg(F.sum("vocabulary"), F.sum("words"), F.sum("target_words")).first()
+    vocabulary, n_words, n_target = (int(x or 0) for x in known)
+    answers = totals.where("block is not null").select("block", "bucket", "n", "n_target").unionByName(
+        marks.withColumn("bucket", F.lit(-1).cast("bigint")), allowMissingColumns=True)
+    run = _score_block(max(vocabulary, 1 << VOCAB_BITS), n_words, n_target, _arrow_type(id_type))
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        run, f"doc_id {id_type.simpleString()}, n_words bigint, target_loss double, background_loss double")
+    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+def _arrow_type(spark_type) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+    return to_arrow_type(spark_type)

@@ -65,3 +65,19 @@ def test_awkward_tables(spark):
     assert len(got) == df.count()
     assert all((r.n_words == 0) == (r.score is None) and (r.score is None or np.isfinite(r.score)) for r in got)
     assert L.score(nothing(spark), spark.createDataFrame([], "doc_id long")).count() == 0
+
+
+def test_counts_are_exact_beyond_any_fixed_size(spark):
+    # 600,000 distinct words: more than 2**18 words and, with 2 texts, 2**20 pairs
+    words = [f"w{i}" for i in range(600_000)]
+    texts = [" ".join(words), " ".join(words[::-1]), "never seen before", "w1 w2 w1 w2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r for r in L.score(df, spark.createDataFrame([(0,)], "doc_id long")).collect()}
+    vocabulary, n = 600_003, 1_200_004
+    # no word and no pair of this text is in any other
+    assert got[2].background_loss == pytest.approx(
+        -sum(math.log(L.PRIOR / (n + vocabulary) / (h + L.PRIOR)) for h in (3, 0, 0)) / 3)
+    # all but w2 after w1 (once, in text 0) and w1 after w2 (once, in text 1)
+    single, pairs, histories = 2 / (600_000 + vocabulary), (0, 1, 0, 1), (1, 1, 1, 1)
+    assert got[3].target_loss == pytest.approx(
+        -sum(math.log((p + L.PRIOR * single) / (h + L.PRIOR)) for p, h in zip(pairs, histories)) / 4)
