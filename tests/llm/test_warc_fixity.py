@@ -48,3 +48,23 @@ def test_awkward_pages(spark):
     m = M.page_replicas(df).orderBy("offset").collect()
     assert [r.offset for r in m] == [sum(x.length for x in m[:i]) for i in range(len(m))]
     assert M.audit_pages(df.where(F.lit(False))).count() == 0
+
+
+def test_whole_records_at_other_offsets(spark):
+    rows = leaves(2048)
+    good = spark.createDataFrame(rows, LEAF)
+    # from record 1020 on, three bytes lie between the records before and after
+    shifted = spark.createDataFrame([(a, s, o + 3 * (1020 <= i < 1024), n, d) for i, (a, s, o, n, d) in enumerate(rows)], LEAF)
+    got = [(r.archive, r.slot, r.begin, r.status, r.expected == r.found) for r in M.audit(good, shifted).collect()]
+    assert sorted(got) == [(0, s, 10 * s, "moved", True) for s in range(1020, 1024)]
+    # the roots tell it
+    assert [r.archive for r in M._differing(M.tree(good)[-1], M.tree(shifted)[-1]).collect()] == [0]
+
+
+def test_second_replica_has_its_own_offsets(spark):
+    df = spark.createDataFrame([(i, "u", "x" * i) for i in range(10, 16)], "page_id long, url string, html string")
+    both = M.page_replicas(df)  # 11 is cut in half, 13 is lost
+    rows = both.orderBy("slot").collect()
+    assert [r.offset_b for r in rows] == [sum(x.length_b or 0 for x in rows[:i]) for i in range(len(rows))]
+    got = {r.page_id: r.status for r in M.audit_replicas(both).collect()}
+    assert got == {11: "truncated", 12: "moved", 13: "missing", 14: "moved", 15: "moved"}
