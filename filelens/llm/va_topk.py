@@ -13,11 +13,17 @@ every query block, as the stated query set runs against all rows. Rows of the
 same vector are one candidate (with the k + 1 least ids, which are the only
 ones that a result can hold), so ties between copies cost nothing.
 
+Pairs with a vector that has a whole number of 2**20 or more have a path of
+their own: bounds are inner products in doubles with their rounding error
+added outward, and what they leave is scored with Python's integers.
+
 Defined cases: vectors that are null, or hold a null or a non-finite
-component, or one whose whole number is 2**20 or more, take no part; neither do rows without an id;
-a repeated id counts once (its least vector); vectors of different length do
-not score with one another; an empty vector scores 0 with the others; other
-columns are ignored.
+component (or a double that is not finite times 64), take no part; neither do rows without an id; a row that repeats id
+and vector counts once, while further vectors of an id are rows of their own
+(a query's rows share one ranking, and no row of its id is in it); vectors of
+different length do not score with one another; an empty vector scores 0 with
+the others; a score beyond 64 bits is ranked by its exact value and shown as
+the nearest 64-bit number; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from filelens.operators.common import materialized
 from .common import col
 
 SCALE = 64
-LARGEST = 1 << 20     # products of up to 8,192 components stay whole in doubles
+LARGEST = 1 << 20     # below, products of up to 8,192 components stay whole in doubles
 K = 20
 BITS = 6
 QUERY_BLOCK = 1024
@@ -41,12 +47,15 @@ TILE = 2048          # candidates scored at once: 1024 x 2048 doubles are 16 MB
 
 
 def whole_vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, v): one row per id with a usable vector of whole numbers."""
-    x = F.transform(col("embedding"), lambda e: F.floor(e.cast("double") * SCALE))
-    fine = F.forall(col("embedding"), lambda e: F.coalesce(
-        ~F.isnan(e) & (F.abs(e.cast("double")) < LARGEST / SCALE), F.lit(False)))
+    """(vec_id, v, large): the distinct rows with a usable vector, as whole
+    numbers in doubles (from 2**53 on every double is one)."""
+    scaled = F.transform(col("embedding"), lambda e: e.cast("double") * SCALE)
+    whole = F.transform(scaled, lambda x: F.when(F.abs(x) < 2.0 ** 53, F.floor(x).cast("double")).otherwise(x))
+    # finite, and finite when scaled
+    fine = F.forall(scaled, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     return rows.where(col("vec_id").isNotNull() & col("embedding").isNotNull() & fine) \
-        .select(col("vec_id"), x.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+        .select(col("vec_id"), whole.alias("v")).distinct() \
+        .withColumn("large", F.exists("v", lambda x: F.abs(x) >= LARGEST))
 
 
 def _least_ids(keep: int):
@@ -64,10 +73,10 @@ def _least_ids(keep: int):
 
 
 def candidates(vectors: DataFrame, keep: int) -> DataFrame:
-    """(g, v, ids): distinct vectors with their ``keep`` least ids, ascending.
+    """(v, ids): distinct vectors with their ``keep`` least ids, ascending.
     Copies are thinned where they are read, before the shuffle."""
     keyed = vectors.select("vec_id", F.xxhash64("v").alias("g"), "v")
-    thin = keyed.mapInArrow(_least_ids(keep), "vec_id bigint, g bigint, v array<bigint>")
+    thin = keyed.mapInArrow(_least_ids(keep), "vec_id bigint, g bigint, v array<double>")
     w = Window.partitionBy("v").orderBy("vec_id")
     return thin.withColumn("n", F.row_number().over(w)).where(F.col("n") <= keep) \
         .groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
@@ -84,8 +93,8 @@ def cells(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     return per.select("dim", "i", "low", F.array_distinct(F.concat("ends", F.array("high"))).alias("ends"))
 
 
-def _pack_blocks(schema: pa.Schema, size: int):
-    """Rows (dim, id, id2, v) -> blocks (dim, n, ids, ids2, body) of a task."""
+def _pack_blocks(schema: pa.Schema, size: int, kind=np.int64):
+    """Rows (dim, id, id2, id3, v) -> blocks (dim, n, ids, ids2, ids3, body) of a task."""
     def run(batches):
         held: dict[int, list] = {}
         for b in batches:
@@ -94,25 +103,25 @@ def _pack_blocks(schema: pa.Schema, size: int):
                 at = pa.array(np.flatnonzero(dims == d))
                 held.setdefault(d, []).append(b.take(at))
                 if sum(x.num_rows for x in held[d]) >= size:
-                    yield from _blocks(d, held.pop(d), schema, size)
+                    yield from _blocks(d, held.pop(d), schema, size, kind)
         for d in list(held):
-            yield from _blocks(d, held.pop(d), schema, size)
+            yield from _blocks(d, held.pop(d), schema, size, kind)
     return run
 
 
-def _blocks(dim: int, parts: list, schema: pa.Schema, size: int):
+def _blocks(dim: int, parts: list, schema: pa.Schema, size: int, kind):
     rows = pa.Table.from_batches(parts).combine_chunks()
     for lo in range(0, rows.num_rows, size):
         part = rows.slice(lo, size)
-        body = np.asarray(part.column("v").combine_chunks().flatten().to_numpy(False), np.int64)
+        body = np.asarray(part.column("v").combine_chunks().flatten().to_numpy(False)).astype(kind)
         cols = [[dim], [part.num_rows]]
-        cols += [[part.column(c).to_numpy().astype(np.int64).tobytes()] for c in ("id", "id2")] + [[body.tobytes()]]
+        cols += [[part.column(c).to_numpy().astype(np.int64).tobytes()] for c in ("id", "id2", "id3")] + [[body.tobytes()]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema)], schema=schema)
 
 
-_BLOCK = "dim int, n bigint, ids binary, ids2 binary, body binary"
+_BLOCK = "dim int, n bigint, ids binary, ids2 binary, ids3 binary, body binary"
 _BLOCK_ARROW = pa.schema([("dim", pa.int32()), ("n", pa.int64()), ("ids", pa.binary()), ("ids2", pa.binary()),
-                          ("body", pa.binary())])
+                          ("ids3", pa.binary()), ("body", pa.binary())])
 
 
 def _approximate(batches):
@@ -136,60 +145,88 @@ def _approximate(batches):
             lows.append(low.tobytes())
             highs.append(high.tobytes())
         yield pa.RecordBatch.from_arrays(
-            [b.column("dim"), b.column("n"), b.column("ids"), b.column("ids2"),
+            [b.column("dim"), b.column("n"), b.column("ids"), b.column("ids2"), b.column("ids3"),
              *(pa.array(x, pa.binary()) for x in (codes, lows, highs))],
-            ["dim", "n", "ids", "ids2", "codes", "lows", "highs"])
+            ["dim", "n", "ids", "ids2", "ids3", "codes", "lows", "highs"])
 
 
-_CODED = "dim int, n bigint, ids binary, ids2 binary, codes binary, lows binary, highs binary"
+_CODED = "dim int, n bigint, ids binary, ids2 binary, ids3 binary, codes binary, lows binary, highs binary"
 
 
 def _ints(b, name, r):
     return np.frombuffer(b.column(name)[r].as_buffer(), np.int64)
 
 
-def _scan(k: int):
-    """A query block and a block of approximations -> per query the candidates
-    that the block's own bounds cannot rule out: (query_id, cand, low, high)."""
+def _scan(k: int, bounds, number):
+    """A query block and a candidate block -> per query the candidates that
+    the block's own bounds cannot rule out: (query_id, qrow, cand, least, low,
+    high). ``bounds`` gives both bounds of a tile of candidates."""
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
-                yield from _scan_block(b, r, k)
+                yield from _scan_block(b, r, k, bounds(b, r), number)
     return run
 
 
-def _scan_block(b, r: int, k: int):
+def _coded_bounds(b, r: int):
+    """Bounds by the cells of the approximations."""
     dim, nq, n = b.column("dim")[r].as_py(), b.column("qn")[r].as_py(), b.column("n")[r].as_py()
     q = _ints(b, "qbody", r).reshape(nq, dim).astype(np.float64)
-    qid, cand, least = _ints(b, "qids", r), _ints(b, "ids", r), _ints(b, "ids2", r)
     code = np.frombuffer(b.column("codes")[r].as_buffer(), np.uint8).reshape(dim, n)
     width = len(_ints(b, "lows", r)) // max(1, dim)
     low, high = (_ints(b, c, r).reshape(dim, width) for c in ("lows", "highs"))
     plus, minus = np.maximum(q, 0), np.minimum(q, 0)
     comp = np.arange(dim)[:, None]
+
+    def tile(lo: int):
+        c = code[:, lo:lo + TILE]
+        cl, ch = low[comp, c].astype(np.float64), high[comp, c].astype(np.float64)
+        return plus @ cl + minus @ ch, plus @ ch + minus @ cl
+    return tile
+
+
+def _double_bounds(b, r: int):
+    """Bounds by products in doubles, with more than their rounding error."""
+    dim, nq, n = b.column("dim")[r].as_py(), b.column("qn")[r].as_py(), b.column("n")[r].as_py()
+    q, v = (np.frombuffer(b.column(c)[r].as_buffer(), np.float64).reshape(m, dim) for c, m in (("qbody", nq), ("body", n)))
+    share = 4 * (dim + 2) * np.finfo(np.float64).eps
+
+    def tile(lo: int):
+        c = v[lo:lo + TILE].T
+        with np.errstate(over="ignore", invalid="ignore"):
+            product, error = q @ c, (np.abs(q) @ np.abs(c)) * share
+            known = np.isfinite(product) & np.isfinite(error)
+            return np.where(known, product - error, -np.inf), np.where(known, product + error, np.inf)
+    return tile
+
+
+def _scan_block(b, r: int, k: int, bounds, number):
+    nq, n = b.column("qn")[r].as_py(), b.column("n")[r].as_py()
+    qid, qrow, cand, least, second = (_ints(b, c, r) for c in ("qids", "qrows", "ids", "ids2", "ids3"))
     found: list[tuple] = []
     bar = np.full(nq, -np.inf)       # a query's k-th lower bound so far
     bar_rows = np.full((nq, k), -np.inf)
     for lo in range(0, n, TILE):
-        c = code[:, lo:lo + TILE]
-        cl, ch = low[comp, c].astype(np.float64), high[comp, c].astype(np.float64)
-        below, above = plus @ cl + minus @ ch, plus @ ch + minus @ cl
-        m = below.shape[1]
+        below, above = bounds(lo)
+        # a vector of the query's own id alone (one id: no second) is none for it
+        e = slice(lo, lo + TILE)
+        other = (qid[:, None] != least[None, e]) | (least[e] != second[e])
+        below = np.where(other, below, -np.inf)
         both = np.concatenate([bar_rows, below], axis=1)
-        # one candidate more than k, as the query's own row may be among them
-        bar_rows = -np.partition(-both, k - 1, axis=1)[:, :k] if both.shape[1] > k else both
-        bar = np.maximum(bar, bar_rows.min(axis=1)) if bar_rows.shape[1] >= k else bar
-        i, j = np.nonzero(above >= bar[:, None])
+        bar_rows = -np.partition(-both, k - 1, axis=1)[:, :k]
+        bar = np.maximum(bar, bar_rows.min(axis=1))
+        i, j = np.nonzero((above >= bar[:, None]) & other)
         found.append((i, lo + j, below[i, j], above[i, j]))
     i, j, below, above = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
     keep = above >= bar[i]
     i, j, below, above = i[keep], j[keep], below[keep], above[keep]
+    least = np.where(least[j] == qid[i], second[j], least[j])
     for s in range(0, len(i), 1 << 18):
         e = slice(s, s + (1 << 18))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(qid[i[e]]), pa.array(cand[j[e]]), pa.array(least[j[e]]),
-             pa.array(below[e].astype(np.int64)), pa.array(above[e].astype(np.int64))],
-            ["query_id", "cand", "least", "low", "high"])
+            [pa.array(qid[i[e]]), pa.array(qrow[i[e]]), pa.array(cand[j[e]]), pa.array(least[e]),
+             pa.array(below[e].astype(number)), pa.array(above[e].astype(number))],
+            ["query_id", "qrow", "cand", "least", "low", "high"])
 
 
 def _per_query(rows: DataFrame, order, keep: int) -> DataFrame:
@@ -197,51 +234,113 @@ def _per_query(rows: DataFrame, order, keep: int) -> DataFrame:
         .where(F.col("_n") <= keep).drop("_n")
 
 
+def _candidate_blocks(distinct: DataFrame, kind=np.int64) -> DataFrame:
+    ids = F.col("ids")
+    return distinct.select(F.size("v").alias("dim"), F.col("cand").alias("id"), ids[0].alias("id2"),
+                           F.when(F.size("ids") > 1, F.get(ids, F.lit(1))).otherwise(ids[0]).alias("id3"), "v") \
+        .mapInArrow(_pack_blocks(_BLOCK_ARROW, CANDIDATE_BLOCK, kind), _BLOCK)
+
+
+def _query_blocks(vectors: DataFrame, kind=np.int64) -> DataFrame:
+    blocks = vectors.select(F.size("v").alias("dim"), F.col("vec_id").alias("id"), F.col("qrow").alias("id2"),
+                            F.col("qrow").alias("id3"), "v").mapInArrow(_pack_blocks(_BLOCK_ARROW, QUERY_BLOCK, kind), _BLOCK)
+    return materialized(blocks.select("dim", F.col("n").alias("qn"), F.col("ids").alias("qids"),
+                                      F.col("ids2").alias("qrows"), F.col("body").alias("qbody"))
+                        .withColumn("qblock", F.monotonically_increasing_id()), "va-queries")
+
+
+def _met(blocks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every candidate block with every query block of its dimension."""
+    known = queries.groupBy("dim").agg(F.collect_list("qblock").alias("to"))
+    sent = blocks.join(known, "dim").withColumn("qblock", F.explode("to")).drop("to", "dim")
+    return sent.join(queries, "qblock").repartition(F.col("qblock"), F.xxhash64("ids"))
+
+
+_BOUNDS = "query_id bigint, qrow bigint, cand bigint, least bigint, low {0}, high {0}"
+
+
 def search(rows: DataFrame, is_query, k: int = K, bits: int = BITS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best other rows of every row
     for which ``is_query`` (a column on ``vec_id``) holds."""
-    vectors = materialized(whole_vectors(rows), "va-vectors")
-    # a query's own vector is a candidate too, so k + 1 are looked for
-    k1 = k + 1
-    distinct = materialized(candidates(vectors, k1).withColumn("cand", F.monotonically_increasing_id()), "va-exact")
+    vectors = materialized(whole_vectors(rows).withColumn("qrow", F.monotonically_increasing_id()), "va-vectors")
+    # a query's own id may be among those of a vector, so k + 1 are kept
+    distinct = materialized(candidates(vectors, k + 1).withColumn("cand", F.monotonically_increasing_id())
+                            .withColumn("large", F.exists("v", lambda x: F.abs(x) >= LARGEST)), "va-exact")
+    best = _small_pairs(vectors.where("not large"), distinct.where("not large"), is_query, k, bits)
+    large = not vectors.where("large").isEmpty()
+    if large:
+        best = best.withColumn("beyond", F.lit(0)).withColumn("key", F.lit(None).cast("binary")) \
+            .unionByName(_large_pairs(vectors, distinct, is_query, k))
+    order = [F.desc("beyond"), F.desc("score"), F.desc("key")] if large else [F.desc("score")]
+    each = best.withColumn("vec_id", F.explode("ids")).where("vec_id <> query_id")
+    w = Window.partitionBy("query_id").orderBy(*order, "vec_id")
+    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
+        .select("query_id", "rank", "vec_id", "score")
+
+
+def _small_pairs(vectors: DataFrame, distinct: DataFrame, is_query, k: int, bits: int) -> DataFrame:
+    """(query_id, score, ids): the k best vectors per query, by approximations."""
     ends = cells(distinct, bits).groupBy("dim").agg(F.collect_list(F.struct("i", "low", "ends")).alias("cells"))
-    blocks = distinct.select(F.size("v").alias("dim"), F.col("cand").alias("id"), F.col("ids")[0].alias("id2"), "v") \
-        .mapInArrow(_pack_blocks(_BLOCK_ARROW, CANDIDATE_BLOCK), _BLOCK)
-    coded = materialized(blocks.join(ends, "dim", "left").select("dim", "n", "ids", "ids2", "body", "cells")
+    coded = materialized(_candidate_blocks(distinct).join(ends, "dim", "left")
+                         .select("dim", "n", "ids", "ids2", "ids3", "body", "cells")
                          .mapInArrow(_approximate, _CODED), "va-file")
-    queries = materialized(
-        vectors.where(is_query).select(F.size("v").alias("dim"), F.col("vec_id").alias("id"),
-                                       F.col("vec_id").alias("id2"), "v")
-        .mapInArrow(_pack_blocks(_BLOCK_ARROW, QUERY_BLOCK), _BLOCK)
-        .select("dim", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("body").alias("qbody"))
-        .withColumn("qblock", F.monotonically_increasing_id()), "va-queries")
-    # every approximation block to every query block of its dimension
-    known = queries.groupBy("dim").agg(F.collect_list("qblock").alias("to"))
-    sent = coded.join(known, "dim").withColumn("qblock", F.explode("to")).drop("to", "dim")
-    met = sent.join(queries, "qblock").repartition(F.col("qblock"), F.xxhash64("ids"))
-    bounds = materialized(met.mapInArrow(_scan(k1), "query_id bigint, cand bigint, least bigint, low bigint, high bigint"),
-                          "va-bounds")
+    met = _met(coded, _query_blocks(vectors.where(is_query)))
+    bounds = materialized(met.mapInArrow(_scan(k, _coded_bounds, np.int64), _BOUNDS.format("bigint")), "va-bounds")
     # over all blocks: the k-th lower bound, with ties by the least id
-    bar = _per_query(bounds, [F.desc("low"), "least"], k1).groupBy("query_id").agg(F.min("low").alias("bar"))
-    left = materialized(bounds.join(bar, "query_id").where("high >= bar").select("query_id", "cand", "least", "high"),
+    bar = _per_query(bounds, [F.desc("low"), "least"], k).groupBy("query_id").agg(F.min("low").alias("bar"))
+    left = materialized(bounds.join(bar, "query_id").where("high >= bar").select("query_id", "qrow", "cand", "least", "high"),
                         "va-left")
-    head = _per_query(left, [F.desc("high"), "least"], k1)
+    head = _per_query(left, [F.desc("high"), "least"], k)
     sure = materialized(_exact(head, vectors, distinct), "va-head")
-    reached = _per_query(sure, [F.desc("score"), "least"], k1).groupBy("query_id").agg(
-        F.min("score").alias("reached"), F.count(F.lit(1)).alias("n"))
-    rest = left.join(head.select("query_id", "cand"), ["query_id", "cand"], "left_anti") \
-        .join(reached, "query_id").where("high >= reached").select("query_id", "cand", "least", "high")
+    reached = _per_query(sure, [F.desc("score"), "least"], k).groupBy("query_id").agg(F.min("score").alias("reached"))
+    rest = left.join(head.select("qrow", "cand"), ["qrow", "cand"], "left_anti") \
+        .join(reached, "query_id").where("high >= reached").select("query_id", "qrow", "cand", "least", "high")
     scored = sure.unionByName(_exact(rest, vectors, distinct))
-    best = _per_query(scored, [F.desc("score"), "least"], k1)
-    each = best.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
-        .select("query_id", "rank", "vec_id", "score")
+    return _per_query(scored, [F.desc("score"), "least"], k).select("query_id", "score", "ids")
+
+
+def _pairs(pairs: DataFrame, vectors: DataFrame, distinct: DataFrame) -> DataFrame:
+    met = pairs.join(distinct.select("cand", "ids", "v"), "cand").join(vectors.select("qrow", F.col("v").alias("qv")), "qrow")
+    return met.select("query_id", "qrow", "cand", "least", "ids", "qv", "v")
 
 
 def _exact(pairs: DataFrame, vectors: DataFrame, distinct: DataFrame) -> DataFrame:
     """(query_id, cand, least, ids, score) with the exact inner product."""
-    q = vectors.select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    met = pairs.join(distinct.select("cand", "ids", "v"), "cand").join(q, "query_id")
-    product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return met.select("query_id", "cand", "least", "ids", product.alias("score"))
+    product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a.cast("bigint") * b.cast("bigint")),
+                          F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return _pairs(pairs, vectors, distinct).select("query_id", "cand", "least", "ids", product.alias("score"))
+
+
+_MOST = (1 << 63) - 1
+_KEY_BYTES = 272   # products of doubles are under 2**2048, and sums have room
+
+
+def _integers(batches):
+    """Exact inner products: the score within 64 bits, on which side it lies
+    beyond them, and then its exact value as bytes in the order of values."""
+    for b in batches:
+        scores = [sum(int(x) * int(y) for x, y in zip(q, v))
+                  for q, v in zip(b.column("qv").to_pylist(), b.column("v").to_pylist())]
+        beyond = [(s > _MOST) - (s < -_MOST) for s in scores]
+        shift = 1 << (8 * _KEY_BYTES - 1)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("query_id"), b.column("least"), b.column("ids"),
+             pa.array([max(-_MOST, min(_MOST, s)) for s in scores], pa.int64()), pa.array(beyond, pa.int32()),
+             pa.array([(s + shift).to_bytes(_KEY_BYTES, "big") if o else None for s, o in zip(scores, beyond)], pa.binary())],
+            ["query_id", "least", "ids", "score", "beyond", "key"])
+
+
+def _large_pairs(vectors: DataFrame, distinct: DataFrame, is_query, k: int) -> DataFrame:
+    """(query_id, score, ids, beyond, key): the k best vectors per query among
+    the pairs of which one vector at least is large."""
+    queries = vectors.where(is_query)
+    scan, schema = _scan(k, _double_bounds, np.float64), _BOUNDS.format("double")
+    sides = [(queries.where("large"), distinct), (queries.where("not large"), distinct.where("large"))]
+    found = [_met(_candidate_blocks(c, np.float64), _query_blocks(q, np.float64)).mapInArrow(scan, schema) for q, c in sides]
+    bounds = materialized(found[0].unionByName(found[1]), "va-large")
+    bar = _per_query(bounds, [F.desc("low"), "least"], k).groupBy("query_id").agg(F.min("low").alias("bar"))
+    left = bounds.join(bar, "query_id").where("high >= bar").select("query_id", "qrow", "cand", "least")
+    scored = _pairs(left, vectors, distinct).mapInArrow(
+        _integers, "query_id bigint, least bigint, ids array<bigint>, score bigint, beyond int, key binary")
+    return _per_query(scored, [F.desc("beyond"), F.desc("score"), F.desc("key"), "least"], k) \
+        .select("query_id", "score", "ids", "beyond", "key")

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -47,3 +49,24 @@ def test_awkward_tables(spark):
     fine = {i: v for i, v in rows if i in (0, 1, 6, 7, 8, 10, 20)}
     assert found(df, 20, 2) == brute(list(fine.items()), 20, lambda q: q % 2 == 0)
     assert found(df.limit(0)) == set()
+
+
+def rows_brute(rows, k, is_query):
+    """As the SQL: every row is a query or candidate, in Python integers."""
+    whole = [(i, [math.floor(64 * x) for x in np.array(v, np.float32).astype(float).tolist()]) for i, v in rows]
+    out = set()
+    for q in {i for i, _ in rows if is_query(i)}:
+        pairs = [(-sum(x * y for x, y in zip(a, b)), j) for i, a in whole if i == q
+                 for j, b in whole if j != q and len(a) == len(b)]
+        out |= {(q, n + 1, j, max(-V._MOST, min(V._MOST, -s))) for n, (s, j) in enumerate(sorted(pairs)[:k])}
+    return out
+
+
+def test_large_components_and_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** rng.choice([0, 3, 5, 7])).tolist()) for i in range(200)]
+    rows += [(200 + i, rows[3][1]) for i in range(30)] + [(300, [1e6, -2e7, 3.5, 0.0, 0.0, 1.0]), (301, [16384.0] + [0.0] * 5)]
+    rows += [(i, rng.normal(size=6).tolist()) for i in (10, 10, 10, 11, 20)]      # further vectors of an id
+    rows += [(10, (rng.normal(size=6) * 1e6).tolist())] + [(400, [3e38] * 6), (410, [2.9e38] * 6), (420, [-3e38] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    assert found(df, 7, 10) == rows_brute(rows, 7, lambda q: q % 10 == 0)
