@@ -8,8 +8,12 @@ container's own node), are joined by smoothness edges whose weight falls with
 their distance in the tree. The minimum cut is the cheapest labelling; the
 blocks on the source side are the text.
 
-Blocks of elements that never hold main text (menus, forms, adverts, notices,
-comments, hidden parts, site headers and footers) are boilerplate beforehand.
+Blocks of elements that never hold main text (scripts, menus, asides, hidden
+parts, site headers and footers, and forms that do not hold the article) are
+boilerplate beforehand. Names that speak of adverts, notices, comments and the
+like are a cost only, so that the cut decides: a high one outside articles, a
+lower one inside, a small one beside a name of main text, and none for the ids
+of headings and of an article's sections, which are made of their titles.
 Pages are independent, so this is one map over Arrow batches; a page's
 network is as large as its number of blocks.
 
@@ -39,7 +43,8 @@ _RAW = set("script style title textarea noscript template iframe noembed noframe
            "audio video select datalist".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt "
               "ruby s samp small span strike strong sub sup time tt u var wbr img picture source".split())
-_NEVER = set("nav footer aside form button dialog menu fieldset".split())
+_NEVER = set("nav footer aside button dialog menu fieldset".split())
+_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar".split())
 # A start tag of these ends an open element of the second set
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
          "th": {"td", "th"}, "option": {"option"}}
@@ -71,50 +76,66 @@ _SENTENCE_END = re.compile(r"""[.!?…。:;]["'”’)\]]*$""")
 REGION, OUTSIDE, PARAGRAPH, HEADING, SENTENCE = 3.0, -3.0, 1.0, 0.5, 0.5
 PER_WORD, MOST_WORDS, LINKS, FEW_WORDS = 0.05, 2.0, -5.0, -0.6
 ADJACENT, PROXIMITY = 1.0, 0.6
+# Cost of a name in the list: outside and inside an article or main text, and
+# beside a name of main text (or as the id of a section outside)
+LISTED, LISTED_INSIDE, LISTED_BESIDE = 8.0, 6.0, 2.0
 
 
 class _Element:
     """An open element: what its blocks inherit."""
 
-    __slots__ = ("tag", "junk", "region", "number", "depth", "parent")
+    __slots__ = ("tag", "junk", "region", "listed", "form", "number", "depth", "parent")
 
-    def __init__(self, tag, junk, region, number, parent):
-        self.tag, self.junk, self.region, self.number, self.parent = tag, junk, region, number, parent
+    def __init__(self, tag, marks, number, parent):
+        self.tag, (self.junk, self.region, self.listed), self.number, self.parent = tag, marks, number, parent
         self.depth = parent.depth + 1 if parent else 0
+        self.form = parent and parent.form or (self if tag == "form" else None)
 
 
 class _Block:
-    __slots__ = ("parts", "chars", "linked", "tag", "holder", "junk", "region", "text")
+    __slots__ = ("parts", "chars", "linked", "tag", "holder", "junk", "region", "listed", "text")
 
     def __init__(self, tag, holder):
         self.parts, self.chars, self.linked = [], 0, 0
         self.tag, self.holder, self.junk, self.region = tag, holder, holder.junk, holder.region
+        self.listed = holder.listed
 
 
-def _marks(tag: str, attributes: str, parent: _Element) -> tuple[bool, int]:
-    """Whether an element is boilerplate as such, and its region: 2 in an
-    article, 1 in something called content, 0 elsewhere."""
-    junk, region = parent.junk or tag in _NEVER, parent.region
-    if tag in ("article", "main"):
-        region = 2
-    elif tag == "header":
-        junk = junk or region < 2
+def _marks(tag: str, attributes: str, parent: _Element) -> tuple[bool, int, float]:
+    """Whether an element is boilerplate as such, its region (2 in an article, 1
+    in something called content, 0 elsewhere) and the cost of its names."""
+    junk, region, listed = parent.junk or tag in _NEVER, parent.region, parent.listed
+    if tag == "header":
+        junk = junk or region < 2 and listed < LISTED
+    names = []
     if attributes and not junk and tag not in ("html", "body"):
         if _HIDDEN.search(attributes):
-            return True, region
-        for _, a, b, c in _NAMED.findall(attributes):
+            return True, region, listed
+        for kind, a, b, c in _NAMED.findall(attributes):
+            kind = kind.lower()
             for name in (a or b or c).split():
-                words = {w.lower() for w in _WORD.findall(name)}
-                if words & _JUNK and not words & _MODIFIER or (words & _HEAD and region < 2 and not words & _GOOD):
-                    junk = True
-                elif words & _GOOD:
-                    region = max(region, 1)
-    return junk, region
+                if kind == "role" and name.lower() in _ROLES:
+                    return True, region, listed
+                # a form may be called one
+                names.append((kind, {w.lower() for w in _WORD.findall(name)} - ({"form"} if tag == "form" else set())))
+    title = tag in _INLINE or len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+    good = named = False
+    for kind, words in names:
+        if words & _JUNK and not words & _MODIFIER or (words & _HEAD and region < 2 and not words & _GOOD):
+            named = named or kind != "id" or not (title or tag == "section" and region)
+        elif words & _GOOD:
+            good = True
+    if named:
+        by_id = tag == "section" and all(kind == "id" for kind, words in names if words & _JUNK)
+        listed = max(listed, LISTED_BESIDE if good or by_id else LISTED_INSIDE if region else LISTED)
+    if listed < LISTED:  # nothing in a list of comments is the article
+        region = 2 if tag in ("article", "main") else max(region, int(good))
+    return junk, region, listed
 
 
 def blocks(page: str) -> list[_Block]:
     """The text blocks of a page in order; their ``text`` is normalised."""
-    root = _Element("#root", False, 0, 0, None)
+    root = _Element("#root", (False, 0, 0.0), 0, None)
     stack, out = [root], []
     block, made, links, at, n = None, 1, 0, 0, len(page)
 
@@ -183,15 +204,17 @@ def blocks(page: str) -> list[_Block]:
             if tag == "a":
                 links += 1
             if tag not in _VOID:
-                junk = stack[-1].junk
-                if attributes and not junk:
-                    junk, _ = _marks(tag, attributes, stack[-1])
-                if junk and not stack[-1].junk:  # an inline advert is a block of its own
+                top = stack[-1]
+                marks = top.junk, top.region, top.listed
+                if attributes and not top.junk:
+                    junk, _, listed = _marks(tag, attributes, top)
+                    marks = junk, top.region, listed
+                if marks != (top.junk, top.region, top.listed):  # an inline advert is a block of its own
                     block = None
                     tag = "span:" + tag
                     if tag == "span:a":
                         links -= 1
-                stack.append(_Element(tag, junk, stack[-1].region, made, stack[-1]))
+                stack.append(_Element(tag, marks, made, top))
                 made += 1
             continue
         block = None
@@ -207,20 +230,43 @@ def blocks(page: str) -> list[_Block]:
                     break
             elif e in _HOLDERS and e not in ends:
                 break
-        junk, region = _marks(tag, attributes, stack[-1])
-        stack.append(_Element(tag, junk, region, made, stack[-1]))
+        stack.append(_Element(tag, _marks(tag, attributes, stack[-1]), made, stack[-1]))
         made += 1
 
     for b in out:
         b.text = " ".join("".join(b.parts).split())
-    return [b for b in out if b.text]
+    out = [b for b in out if b.text]
+    _close_forms(out)
+    return out
+
+
+def _close_forms(found: list[_Block]) -> None:
+    """Blocks of forms are boilerplate, but for a form that holds an article,
+    something called content, or most of the page's text."""
+    size: dict[int, int] = {}
+    held = set()
+    total = 0
+    for b in found:
+        if b.junk:
+            continue
+        cost = len(b.text)
+        total += cost
+        form = b.holder.form
+        if form is not None:
+            size[form.number] = size.get(form.number, 0) + cost
+            if b.region > form.region:
+                held.add(form.number)
+    for b in found:
+        form = b.holder.form
+        if form is not None and form.number not in held and 2 * size.get(form.number, 0) <= total:
+            b.junk = True
 
 
 def _score(b: _Block, has_region: bool) -> float:
     """Log-odds of a block being content."""
     words = b.text.count(" ") + 1
     s = min(PER_WORD * words, MOST_WORDS) + (FEW_WORDS if words < 4 else 0.0)
-    s += LINKS * b.linked / max(1, b.chars)
+    s += LINKS * b.linked / max(1, b.chars) - b.listed
     if b.tag in ("p", "pre", "blockquote"):
         s += PARAGRAPH
     elif len(b.tag) == 2 and b.tag[0] == "h":

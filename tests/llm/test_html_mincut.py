@@ -111,3 +111,31 @@ def test_awkward_tables(spark):
     got = H.extract(df).select("page_id", "text").collect()
     assert sorted(len(r.text) for r in got) == [0, 0, 26, 26, 549999]
     assert H.extract(df.limit(0)).count() == 0
+
+
+LONG = "This paragraph belongs to the article, and it runs on for long enough to be taken as ordinary text of the page."
+
+
+@pytest.mark.parametrize("page", [
+    '<article><p>{0}</p><section id="discussion"><h2>Discussion</h2><p>{0}</p></section></article>',
+    '<article><p>{0}</p><h2 id="social-history">Social history</h2><p>{0}</p></article>',
+    '<main><section id="legal-framework"><h2>Legal framework</h2><p>{0}</p></section><p>{0}</p></main>',
+    '<div class="content search-theory"><p>{0}</p><p>{0}</p></div>',
+    '<article class="post promoted"><p>{0}</p><p>{0}</p></article>',
+    '<body><form id="aspnetForm"><nav><a href=x>Home</a></nav><div><p>{0}</p><p>{0}</p></div></form></body>',
+])
+def test_names_alone_do_not_decide(page):
+    kept = re.sub(r"<nav>.*</nav>", "", page).format(LONG)
+    assert H.main_text(page.format(LONG)) == " ".join(re.sub(r"<[^>]*>", " ", kept).split())
+
+
+@pytest.mark.parametrize("part", [
+    '<div class="advert"><p>Buy now, our best offer.</p></div>', '<form><p>{0}</p></form>', '<div role="search">{0}</div>',
+    '<div hidden><p>{0}</p></div>'])
+def test_boilerplate_in_an_article_goes(part):
+    assert H.main_text(f"<article><p>{LONG}</p>{part.format(LONG)}<p>{LONG}</p></article>") == f"{LONG} {LONG}"
+
+
+def test_comments_after_an_article_go():
+    comment = f'<article class="comment"><p>{LONG}</p></article>'
+    assert H.main_text(f'<article><p>{LONG}</p></article><div id="comments">{comment}{comment}</div>') == LONG
