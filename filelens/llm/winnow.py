@@ -1,15 +1,14 @@
-"""Line dedup by winnowing over line hashes, in DataFrame operations only.
+"""Line dedup by window hashes over lines, in DataFrame operations only.
 
 A repeated run is a stretch of consecutive lines (blank ones aside) of at
 least ``min_words`` words that equals a stretch earlier in the corpus, where
 documents are ordered by id. Its lines are deleted.
 
 Windows are sized in words, not lines: from every line on, and back from every
-line, the shortest stretch that reaches ``min_words``. A window's fingerprint
-is its least line hash, chosen by content alone, so two equal windows have the
-same fingerprint at the same place. Positions are joined on the fingerprint,
-and a match holds when it extends both ways over the whole window (equal
-content hash). Every repeated run holds the forward window of its first line
+line, the shortest stretch that reaches ``min_words``. All windows are kept
+(none are selected as winnowing does), and equal windows meet by the hash of
+their whole content. The fingerprint, a window's least line hash, follows from
+the content and is only carried along. Every repeated run holds the forward window of its first line
 and the backward window of its last line, and the windows of a run cover it
 wholly: no run is missed, and none shorter is touched.
 
