@@ -14,8 +14,9 @@ Texts become blocks of about ``BLOCK_BYTES``: the block's distinct words and a
 number per word. Which documents are of the target is found by a narrow join
 of ids. A block's distinct keys are dealt to buckets of the hash range, as
 many as the corpus needs; a bucket sums the counts of all blocks and answers
-each block with the totals of its own keys, by which the block is scored. No
-count table is broadcast or passes through the driver, and a key takes one
+each block with the totals of its own keys, by which the block is scored. A
+word's count as a history is its count less that at the ends of texts, so
+histories need no keys of their own. No count table is broadcast or passes through the driver, and a key takes one
 place per block however frequent it is.
 
 Defined cases: a null or white-space text has no words and null losses;
@@ -43,7 +44,6 @@ BLOCK_BYTES = 8 << 20
 BUCKET_KEYS = 1 << 21   # keys of all blocks that one bucket sums, about
 _U = np.uint64
 _BEGIN = X.mix64(np.array([7], _U))[0]
-_HISTORY = _U(0xA24BAED4963EE407)   # sets keys of histories apart from words
 
 
 def _pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -106,18 +106,18 @@ def _to_blocks(batches):
 
 def _grams(words: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
     """(number of the word before, number of the pair) per word of a block, and
-    the block's keys: its words, histories (the mark last) and pairs."""
+    the block's keys: its words and pairs. The mark's number is the last."""
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[(np.cumsum(lengths) - lengths)[lengths > 0]] = len(words)
     names, base = np.append(words, _BEGIN), len(words) + 1
     code, pair = np.unique(before.astype(np.int64) * base + tokens, return_inverse=True)
-    keys = np.concatenate([words, X.mix64(names ^ _HISTORY), _pair_hash(names[code // base], names[code % base])])
+    keys = np.concatenate([words, _pair_hash(names[code // base], names[code % base])])
     return before, pair, keys
 
 
 def _read_block(table, r: int) -> tuple[np.ndarray, ...]:
-    """(words, lengths, tokens, texts of the target) of one row."""
+    """(words, lengths, tokens) of one row."""
     get = lambda c, t: _unpack(table.column(c)[r].as_py(), t)
     return get("words", _U), get("lengths", np.int64), get("tokens", np.int32)
 
@@ -130,57 +130,67 @@ def _inside(marks, n: int) -> np.ndarray:
 
 def _requests(buckets: int):
     """Blocks with their target texts -> per bucket the block's keys (ascending,
-    as differences), with their counts in all texts and in the target's."""
+    as differences), with their counts in all texts and in the target's, and
+    the words' counts at the ends of texts."""
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
                 words, lengths, tokens = _read_block(b, r)
                 before, pair, keys = _grams(words, lengths, tokens)
+                if not len(keys):
+                    continue
                 member = np.repeat(_inside(b.column("marks")[r].as_py(), len(lengths)), lengths)
                 base, size = len(words), len(keys)
-                at = np.concatenate([tokens, before + base, pair + 2 * base + 1])
-                n = np.bincount(at, minlength=size)
-                n_target = np.bincount(at[np.tile(member, 3)], minlength=size)
+                at = np.concatenate([tokens, pair + base])
+                ends = np.cumsum(lengths)[lengths > 0] - 1
                 order = np.argsort(keys, kind="stable")
-                keys, n, n_target, is_word = keys[order], n[order], n_target[order], order < base
+                n, n_target, last, last_target = (np.bincount(x, minlength=size)[order] for x in (
+                    at, at[np.tile(member, 2)], tokens[ends], tokens[ends[member[ends]]]))
+                keys, is_word = keys[order], order < base
                 bucket = ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
                 new = np.flatnonzero(np.diff(bucket, prepend=-1))
                 rows = []
                 for lo, hi in zip(new, [*new[1:], size]):
                     e = slice(lo, hi)
                     rows.append((int(bucket[lo]), _pack(np.diff(keys[e], prepend=_U(0))), _pack(n[e]),
-                                 _pack(n_target[e]), _pack(is_word[e].astype(np.uint8))))
+                                 _pack(n_target[e]), _pack(last[e][is_word[e]]), _pack(last_target[e][is_word[e]]),
+                                 _pack(np.packbits(is_word[e]))))
                 cols = [pa.array([b.column("block")[r].as_py()] * len(rows), pa.int64()), *map(pa.array, zip(*rows))]
-                yield pa.RecordBatch.from_arrays(cols, ["block", "bucket", "keys", "n", "n_target", "is_word"])
+                yield pa.RecordBatch.from_arrays(cols, ["block", "bucket", "keys", *_COUNTS, "is_word"])
     return run
 
 
-_REQUEST = "block bigint, bucket bigint, keys binary, n binary, n_target binary, is_word binary"
-_TOTAL = "block bigint, bucket bigint, n binary, n_target binary, vocabulary bigint, words bigint, target_words bigint"
+_COUNTS = ["n", "n_target", "last", "last_target"]
+_OWN = ["vocabulary", "words", "target_words", "texts", "target_texts"]
+_ANSWER = "block bigint, bucket bigint, n binary, n_target binary, last binary, last_target binary"
+_REQUEST = "block bigint, bucket bigint, keys binary, n binary, n_target binary, last binary, last_target binary, is_word binary"
+_TOTAL = _ANSWER + "".join(f", {c} bigint" for c in _OWN)
 
 
 def _totals(table: pa.Table) -> pa.Table:
     """One bucket's requests -> the totals of each block's keys, and a row of
-    the bucket's own (no block): distinct words, words, words of the target."""
+    the bucket's own (no block): distinct words, words and texts with words of
+    all documents and of the target."""
     get = lambda c, t: [_unpack(x.as_py(), t) for x in table.column(c)]
     keys = [np.cumsum(k, dtype=_U) for k in get("keys", _U)]
-    n, n_target = (np.concatenate(get(c, np.int64)) for c in ("n", "n_target"))
-    is_word = np.concatenate(get("is_word", np.uint8)).astype(bool)
-    cut = np.cumsum([len(k) for k in keys])[:-1]
+    words = [np.unpackbits(w, count=len(k)).astype(bool) for w, k in zip(get("is_word", np.uint8), keys)]
     distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-    known = np.zeros(len(distinct), bool)
-    known[which[is_word]] = True
-    # sums of whole numbers under 2**53 are exact
-    answers = [[_pack(a) for a in np.split(np.bincount(which, weights=x).astype(np.int64)[which], cut)]
-               for x in (n, n_target)]
+    is_word = np.concatenate(words)
+    cuts = np.cumsum([len(k) for k in keys])[:-1], np.cumsum([w.sum() for w in words])[:-1]
+    vocabulary = len(np.unique(which[is_word]))
+    answers, own = {}, [vocabulary]
+    for name in _COUNTS:
+        of_words = name.startswith("last")
+        counts, at = np.concatenate(get(name, np.int64)), which[is_word] if of_words else which
+        # sums of whole numbers under 2**53 are exact
+        total = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
+        answers[name] = pa.array([*map(_pack, np.split(total[at], cuts[of_words])), None], pa.binary())
+        own.append(int((counts if of_words else counts[is_word]).sum()))
     blocks = table.column("block").to_pylist()
-    own = [int(known.sum()), int(n[is_word].sum()), int(n_target[is_word].sum())]
     return pa.table({
         "block": pa.array([*blocks, None], pa.int64()),
-        "bucket": pa.array([table.column("bucket")[0].as_py()] * (len(blocks) + 1), pa.int64()),
-        "n": pa.array([*answers[0], None], pa.binary()), "n_target": pa.array([*answers[1], None], pa.binary()),
-        **{c: pa.array([*[None] * len(blocks), v], pa.int64())
-           for c, v in zip(("vocabulary", "words", "target_words"), own)}})
+        "bucket": pa.array([table.column("bucket")[0].as_py()] * (len(blocks) + 1), pa.int64()), **answers,
+        **{c: pa.array([*[None] * len(blocks), v], pa.int64()) for c, v in zip(_OWN, own)}})
 
 
 def _own(rows: np.ndarray, numbers: np.ndarray, size: int) -> np.ndarray:
@@ -196,7 +206,7 @@ def losses(word, history, pair, n, vocabulary: int) -> np.ndarray:
     return -np.log((pair + PRIOR * single) / (history + PRIOR))
 
 
-def _score_block(vocabulary: int, n_words: int, n_target: int, id_type: pa.DataType):
+def _score_block(vocabulary: int, known: dict, id_type: pa.DataType):
     """A block and the totals of its keys -> (doc_id, n_words, losses)."""
     def run(block: pa.Table, totals: pa.Table) -> pa.Table:
         ids = block.column("doc_ids").combine_chunks().flatten()
@@ -209,11 +219,20 @@ def _score_block(vocabulary: int, n_words: int, n_target: int, id_type: pa.DataT
         rows, base = np.repeat(np.arange(len(lengths)), lengths), len(words)
         own = (_own(rows, tokens, base + 1), _own(rows, before, base + 1), _own(rows, pair, len(keys)), lengths[rows])
         mean = []
-        for name, n, member in (("n_target", n_target, inside), ("n", n_words, np.ones(len(lengths), bool))):
-            total = np.zeros(len(keys), np.int64)
-            total[order] = np.concatenate([_unpack(x.as_py(), np.int64) for x in answers.column(name).drop_null()])
+        every = np.ones(len(lengths), bool)
+
+        def totals_of(name: str, at: np.ndarray, size: int) -> np.ndarray:
+            out = np.zeros(size, np.int64)
+            out[at] = np.concatenate([np.zeros(0, np.int64), *(
+                _unpack(x.as_py(), np.int64) for x in answers.column(name).drop_null())])
+            return out
+
+        for part, of, member in (("_target", "target_", inside), ("", "", every)):
+            total = totals_of("n" + part, order, len(keys))
+            last = totals_of("last" + part, order[order < base], base)
+            history = np.append(total[:base] - last, known[of + "texts"])
             # a text's own counts are in the totals of the corpora that it is of
-            seen = total[tokens], total[before + base], total[pair + 2 * base + 1], n
+            seen = total[tokens], history[before], total[pair + base], known[of + "words"]
             loss = losses(*[s - o * member[rows] for s, o in zip(seen, own)], vocabulary)
             mean.append(pa.array(np.bincount(rows, weights=loss, minlength=len(lengths)) / np.maximum(lengths, 1),
                                  pa.float64(), mask=lengths == 0))
@@ -242,11 +261,11 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     requests = blocks.join(marks.hint("merge"), "block", "left").select("block", "lengths", "words", "tokens", "marks") \
         .mapInArrow(_requests(buckets), _REQUEST)
     totals = materialized(requests.groupBy("bucket").applyInArrow(_totals, _TOTAL), "lm-totals")
-    known = totals.where("block is null").agg(F.sum("vocabulary"), F.sum("words"), F.sum("target_words")).first()
-    vocabulary, n_words, n_target = (int(x or 0) for x in known)
-    answers = totals.where("block is not null").select("block", "bucket", "n", "n_target").unionByName(
+    known = totals.where("block is null").agg(*[F.sum(c).alias(c) for c in _OWN]).first()
+    known = {c: int(known[c] or 0) for c in _OWN}
+    answers = totals.where("block is not null").select("block", "bucket", *_COUNTS).unionByName(
         marks.withColumn("bucket", F.lit(-1).cast("bigint")), allowMissingColumns=True)
-    run = _score_block(max(vocabulary, 1 << VOCAB_BITS), n_words, n_target, _arrow_type(id_type))
+    run = _score_block(max(known["vocabulary"], 1 << VOCAB_BITS), known, _arrow_type(id_type))
     out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         run, f"doc_id {id_type.simpleString()}, n_words bigint, target_loss double, background_loss double")
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
