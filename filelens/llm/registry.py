@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from filelens.tables import read
 
-from . import (bagminhash, concat_pack, html_mincut, lm_xent, oracle, quality_mcd, source_mix, url_alias, va_topk,
-               warc_fixity, winnow)
+from . import (bagminhash, concat_pack, html_mincut, lm_xent, oracle, piece_table, quality_mcd, source_mix,
+               url_alias, va_topk, warc_fixity, winnow)
 
 QUERIES = {}
 ORACLE: dict[str, str] = oracle.SQL
@@ -78,3 +78,11 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mix.mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+@_query
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = piece_table.decode(piece_table.encode(read(spark, sf_dir, "documents")))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"))
