@@ -3,7 +3,7 @@ duplicates and top-k are stated by all pairs, which is for small tables."""
 
 from __future__ import annotations
 
-from . import warc_fixity, winnow
+from . import divergence, warc_fixity, winnow
 
 URL_FILTER = r"""
 WITH RECURSIVE rules AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
@@ -66,4 +66,5 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 SQL = {"op2_url_filter": URL_FILTER, "op3_minhash_dedup": NEAR_DUPLICATES, "op4_line_dedup": winnow.ORACLE,
-       "op5_warc_fixity": warc_fixity.ORACLE, "op9_exact_topk": TOP_K}
+       "op5_warc_fixity": warc_fixity.ORACLE, "op9_exact_topk": TOP_K,
+       "op12_divergence": divergence.ORACLE}

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from filelens.tables import read
 
-from . import (bagminhash, concat_pack, html_mincut, lm_xent, oracle, piece_table, quality_mcd, source_mix,
-               url_alias, va_topk, warc_fixity, winnow)
+from . import (bagminhash, concat_pack, divergence, html_mincut, lm_xent, oracle, piece_table, quality_mcd,
+               source_mix, url_alias, va_topk, warc_fixity, winnow)
 
 QUERIES = {}
 ORACLE: dict[str, str] = oracle.SQL
@@ -86,3 +86,8 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@_query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents")).select("lang", "source", "part", "item", "value", "rank")
