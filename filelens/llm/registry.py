@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from filelens.tables import read
 
-from . import (bagminhash, concat_pack, divergence, html_mincut, lm_xent, oracle, piece_table, quality_mcd,
-               source_mix, url_alias, va_topk, warc_fixity, winnow)
+from . import (bagminhash, concat_pack, conversation_repair, divergence, html_mincut, lm_xent, oracle, piece_table,
+               quality_mcd, source_mix, url_alias, va_topk, warc_fixity, winnow)
 
 QUERIES = {}
 ORACLE: dict[str, str] = oracle.SQL
@@ -91,3 +91,9 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents")).select("lang", "source", "part", "item", "value", "rank")
+
+
+@_query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read(spark, sf_dir, "conversations")
+    return conversation_repair.audit(conversation_repair.damage(given), given)
