@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filelens.session import checkpoint_dir, scratch_path
@@ -42,15 +45,52 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Shuffle files of a write are of no use once its table is there. Spark's own
+# setting removes them when the job ends, not when the driver's JVM happens to
+# collect its garbage.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_recording: list[list[str]] = []
+
+
+@contextmanager
+def recorded_tables(paths: list[str]) -> Iterator[list[str]]:
+    """Paths of the intermediate tables written inside go to ``paths``, for
+    :func:`remove_tables` once nothing reads them any more."""
+    _recording.append(paths)
+    try:
+        yield paths
+    finally:
+        _recording.pop()
+
+
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes recorded intermediate tables and empties the list."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while paths:
+        path = hadoop.Path(paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a Parquet table under the shared checkpoint folder
     and read it back: an intermediate that several branches of a plan read
     is computed once (columnar, compressed, pruned on read), and the lineage
     is cut, so a lost executor re-reads the table instead of recomputing it."""
-    path = scratch_path(df.sparkSession, name)
-    # intermediates are mostly text and hashes: zstd keeps the shared folder small
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    if _recording:
+        _recording[-1].append(path)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        # intermediates are mostly text and hashes: zstd keeps the shared folder small
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
+    return spark.read.parquet(path)
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, rows: int | None = None,

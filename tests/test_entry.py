@@ -2,6 +2,9 @@
 
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -18,6 +21,17 @@ def test_entry_runs(spark):
     assert df.columns == ["query_id", "rank", "doc_id", "score"]
 
 
+def test_entry_without_the_optional_operators(tmp_path):
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    shutil.copytree(f"{root}/filelens", tmp_path / "filelens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):  # the pipeline alone cannot work
+        if os.path.exists(f"{root}/{name}"):
+            shutil.copy(f"{root}/{name}", tmp_path)
+    check = "import __spark_entry__ as E; from filelens.plans.registry import all_queries as q; " \
+            "assert set(E.queries()) == set(q()) == set(E.oracle_sql()), E.__file__"
+    subprocess.run([sys.executable, "-c", check], cwd=tmp_path, check=True)
+
+
 def test_every_query_has_oracle():
     # the optional training-data queries have tests of their own
     assert set(all_queries()) <= set(E.oracle_sql()) <= set(E.queries())
