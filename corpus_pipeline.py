@@ -10,34 +10,55 @@ folder and read again as the next one's ``docs``.
 3. near-duplicates: one document of each group stays;
 4. source mix: whole documents, as often as the schedule takes them;
 5. packing: pieces of sequences of 2,048 tokens.
+
+A stage's result must be written before the next stage is called, as ``run``
+does: what a stage wrote on its way goes when the next one starts.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from filelens.llm import bagminhash, concat_pack, quality_mcd, source_mix, winnow
-from filelens.operators.common import materialized
+from filelens.operators.common import materialized, recorded_tables, remove_tables
 from filelens.tables import read
 
+_used: list[str] = []  # intermediate tables of the stage before
+
+
+def _stage(fn):
+    @wraps(fn)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_tables(spark, _used)
+        with recorded_tables(_used):
+            return fn(spark, docs, sf_dir)
+    return stage
+
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_mcd.keep_good(docs)
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return winnow.drop_repeats(docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bagminhash.keep_first(docs)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return source_mix.mixture(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    remove_tables(spark, _used)  # its own are part of the pipeline's result
     return concat_pack.pack(docs)
 
 
@@ -49,8 +70,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
+    before: list[str] = []
+    for name, stage in STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
+        with recorded_tables([]) as written:
             docs = materialized(docs, f"pipeline-{name}")
-    return docs
+        remove_tables(spark, before)
+        before = written
+    return STAGES[-1][1](spark, docs, sf_dir)
