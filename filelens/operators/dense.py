@@ -303,3 +303,81 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int | None = 5, *,
     empty = spark.createDataFrame([], out_schema).select(
         "query_id", F.lit(0).cast("bigint").alias("rank"), id_col, *payload, "score")
     return blockwise(queries, qid_col, qvec_col, dim, block_bytes, per_block, empty)
+
+
+def _rank_kernel(bc, id_col: str, vec_col: str, dim: int):
+    """Per wanted (query, id), how many rows of the task come before it."""
+    from filelens.operators.inverted import before_marks
+
+    def run(batches):
+        qids, qmat, qnorm, marks = bc.value
+        count = {}
+        step = max(1, TILE_BYTES // (8 * max(1, len(qids))))
+        for rb in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            mat, valid = dense_matrix(rb.column(vec_col), dim)
+            s, ids = cosine_matrix(mat, valid, qmat, qnorm), rb.column(id_col).to_numpy(zero_copy_only=False)
+            for q, (at, doc) in marks.items():
+                n = before_marks(at, doc, s[:, q], ids)
+                count[q] = n if q not in count else count[q] + n
+        for q, n in count.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), qids[q])), pa.array(marks[q][1]), pa.array(n)],
+                                             ["query_id", "doc", "before"])
+    return run
+
+
+def dense_ranks(corpus: DataFrame, queries: DataFrame, wanted: DataFrame, *, id_col: str = "file_id",
+                vec_col: str = "embedding", qid_col: str = "query_id", qvec_col: str = "embedding",
+                dim: int | None = None, block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+    """(query_id, doc, rank): the exact rank of each wanted (query_id, doc) in
+    the whole list of :func:`dense_search`, without making the list. One scan
+    of the corpus per query block counts, per wanted document, those before
+    it; a task emits one number for each. Few documents per query are meant:
+    those of a query block are held by a task."""
+    from filelens.operators.common import spread
+    spark = corpus.sparkSession
+    if dim is None:
+        dim = infer_dim(queries, qvec_col)
+    src = spread(corpus.select(id_col, vec_col))
+    held = queries.select(F.col(qid_col).cast("bigint").alias("query_id"), F.col(qvec_col).alias("_q"))
+    own = corpus.select(F.col(id_col).alias("doc"), F.col(vec_col).alias("_v"))
+    pairs = wanted.select("query_id", "doc").distinct().join(held, "query_id").join(own, "doc")
+
+    from filelens.operators.common import materialized
+
+    def score(batches):
+        for rb in batches:
+            a, va = dense_matrix(rb.column("_v"), dim)
+            b, vb = dense_matrix(rb.column("_q"), dim)
+            norm = np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)) * (va & vb)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                s = np.where(norm > 0, np.einsum("ij,ij->i", a, b) / np.where(norm > 0, norm, 1.0), 0.0)
+            yield pa.RecordBatch.from_arrays(
+                [rb.column("query_id"), rb.column("doc"),
+                 pa.array(round_half_up(np.nan_to_num(s, nan=0.0, posinf=0.0, neginf=0.0)))], ["query_id", "doc", "score"])
+
+    id_type = corpus.schema[id_col].dataType.simpleString()
+    marks = materialized(pairs.select("query_id", "doc", "_q", "_v").mapInArrow(
+        score, f"query_id bigint, doc {id_type}, score double"), "wanted-scores")
+    schema = f"query_id bigint, doc {id_type}, before bigint"
+
+    def per_block(ids, qmat, qnorm):
+        mine = marks.join(F.broadcast(spark.createDataFrame(pa.table({"query_id": ids}))), "query_id").toArrow()
+        at = {}
+        place = {q: i for i, q in enumerate(ids.tolist())}
+        for q, part in _grouped(mine):
+            at[place[q]] = part.column("score").to_numpy(), part.column("doc").to_numpy(zero_copy_only=False)
+        bc = spark.sparkContext.broadcast((ids, qmat, qnorm, at))
+        counted = src.mapInArrow(_rank_kernel(bc, id_col, vec_col, dim), schema)
+        return counted.groupBy("query_id", "doc").agg((F.sum("before") + 1).alias("rank")), bc
+
+    empty = spark.createDataFrame([], f"query_id bigint, doc {id_type}, rank bigint")
+    return blockwise(queries, qid_col, qvec_col, dim, block_bytes, per_block, empty)
+
+
+def _grouped(rows: pa.Table):
+    """(query id, its rows by score) of a table of marks."""
+    rows = rows.sort_by([("query_id", "ascending"), ("score", "ascending")])
+    q = rows.column("query_id").to_numpy()
+    starts = _first_per_run([q])
+    for a, z in zip(starts, np.r_[starts[1:], len(q)]):
+        yield int(q[a]), rows.slice(a, z - a)

@@ -1,30 +1,20 @@
-"""Keyword ranking (BM25 over an inverted index) and hybrid rank fusion."""
+"""Keyword ranking (BM25 over the inverted index) and hybrid rank fusion."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from filelens.functions import text as X
-from filelens.operators.common import (BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, materialized, maybe_broadcast,
-                                       row_bytes, spread)
 
-# Ranks of each list that hybrid ranking reads first
-FIRST_DEPTH = 256
-# Fixed BM25 parameters and the reciprocal-rank-fusion constant.
-BM25_K1 = 1.2
-BM25_B = 0.75
-RRF_K = 60
+from filelens.operators import inverted
+from filelens.operators.common import materialized
+from filelens.operators.inverted import BM25_B, BM25_K1
 
-
-# Budget of the broadcast (query-vocabulary x queries) idf matrix of the
-# BM25 scoring map, and the (entries x queries) scratch per NumPy step.
-BM25_MATRIX_MAX_BYTES = 128 * 1024 * 1024
-BM25_STEP_BYTES = 32 * 1024 * 1024
+# Least length to which hybrid ranking makes each list
+LIST_DEPTH = 256
+RRF_K = 60           # fixed reciprocal-rank-fusion constant
+_ROUNDING = 1e-6     # fused scores have six decimals
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str = "doc_id",
@@ -36,223 +26,30 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str =
     a document scores for a query when it holds at least one of its words;
     ties by id. ``k`` < 0: no cut.
 
-    Plan (query vocabulary x queries within :data:`BM25_MATRIX_MAX_BYTES`):
-
-    1. One pass over the texts, an Arrow map: each document becomes its
-       length plus the counts of the query words it holds (term ids, tfs);
-       written once to the shared scratch folder.
-    2. N, avgdl and df (per query word) are small aggregates of that table.
-    3. A second map scores each batch of documents against every query at
-       once: sparse (document x term) BM25 weights times the broadcast
-       (term x query) idf matrix, keeping a running top-k per query.
-    4. A row_number window per query cuts the per-task lists to k.
-
-    Nothing is joined: a word in most queries and most documents costs one
-    multiply per document, where a postings join would emit a row for every
-    (document, query) pair that shares it. Beyond the budget the join plan
-    (:func:`_bm25_joined`) gives the same result."""
-    if k is not None and k < 0:
-        k = None
-    qw = queries.select(F.col(qid_col).cast("bigint").alias("query_id"),
-                        F.explode(F.array_distinct(X.words(text_col))).alias("tok"))
-    st = qw.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tok").alias("nt"),
-                F.count_distinct("query_id").alias("nq")).first()
-    if k == 0 or st["n"] == 0:
-        return _bm25_joined(docs, qw, st["n"], k, id_col, text_col, k1, b)
-    # the (query, word) pairs come to the driver and the vocabulary and the
-    # idf matrix are broadcast: all three are bounded before choosing the map
-    if (st["nt"] * st["nq"] * 8 > BM25_MATRIX_MAX_BYTES or st["n"] > BROADCAST_MAX_ROWS
-            or st["n"] * row_bytes(qw.schema) > BROADCAST_MAX_BYTES):
-        return _bm25_joined(docs, qw, st["n"], k, id_col, text_col, k1, b)
-    return _bm25_mapped(docs, qw, k, id_col, text_col, k1, b)
-
-
-def _query_vocab(qw: DataFrame):
-    """(vocabulary word -> term id, sorted query ids, term x query 0/1
-    matrix) from the (query_id, tok) pairs; bounded by the caller's check."""
-    pairs = qw.toArrow()
-    toks = pairs.column("tok").to_pylist()
-    qids_all = pairs.column("query_id").to_numpy()
-    vocab = {t: i for i, t in enumerate(sorted(set(toks)))}
-    qids = np.unique(qids_all)
-    qpos = {q: i for i, q in enumerate(qids)}
-    ind = np.zeros((len(vocab), len(qids)), dtype=np.float64)
-    ind[[vocab[t] for t in toks], [qpos[q] for q in qids_all]] = 1.0
-    return vocab, qids, ind
-
-
-def _term_counts(ws: pa.Array, voc: dict, nt: int):
-    """Per row of an Arrow list<string> column of words: length and the
-    sorted (term id, tf) lists of the vocabulary words it holds (NULL rows:
-    length 0, no terms)."""
-    n = len(ws)
-    lens = pc.fill_null(pc.list_value_length(ws), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    enc = pc.dictionary_encode(pc.list_flatten(ws))
-    tmap = np.array([voc.get(w, -1) for w in enc.dictionary.to_pylist()], dtype=np.int64)
-    term = tmap[enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(tmap) else \
-        np.zeros(0, dtype=np.int64)
-    row = np.repeat(np.arange(n, dtype=np.int64), lens)
-    hit = term >= 0
-    keys, tf = np.unique(row[hit] * nt + term[hit], return_counts=True)  # sorted by row
-    offs = pa.array(np.r_[0, np.cumsum(np.bincount(keys // nt, minlength=n))].astype(np.int32))
-    return (pa.array(lens), pa.ListArray.from_arrays(offs, pa.array((keys % nt).astype(np.int32))),
-            pa.ListArray.from_arrays(offs, pa.array(tf.astype(np.int32))))
-
-
-_TERM_FIELDS = [T.StructField("dl", T.LongType()), T.StructField("terms", T.ArrayType(T.IntegerType())),
-                T.StructField("tfs", T.ArrayType(T.IntegerType()))]
-
-
-def _bm25_mapped(docs: DataFrame, qw: DataFrame, k, id_col: str, text_col: str,
-                 k1: float, b: float) -> DataFrame:
-    spark = docs.sparkSession
-    vocab, qids, ind = _query_vocab(qw)  # bounded by the budget checked by the caller
-    bv = spark.sparkContext.broadcast(vocab)
-    nt = len(vocab)
-
-    # pass 1: per document its length and the counts of the query words in it
-    src = spread(docs, id_col).select(F.col(id_col).alias("_id"), X.words(text_col).alias("_ws"))
-    p1 = T.StructType([T.StructField("doc", docs.schema[id_col].dataType)] + _TERM_FIELDS)
-
-    def count_terms(batches):
-        voc = bv.value
-        for rb in batches:
-            ws = rb.column(1)
-            have = pc.is_valid(ws)
-            if not pc.all(have).as_py():  # a NULL text is not a document
-                rb = rb.filter(have)
-                ws = rb.column(1)
-            if rb.num_rows == 0:
-                continue
-            yield pa.RecordBatch.from_arrays([rb.column(0), *_term_counts(ws, voc, nt)],
-                                             ["doc", "dl", "terms", "tfs"])
+    The documents are indexed (:mod:`inverted`) and searched with block
+    bounds; to search more than once, build the index once."""
+    index = inverted.build(docs, id_col=id_col, text_col=text_col, k1=k1, b=b)
+    return bm25_search(index, queries, k, id_col=id_col, qid_col=qid_col, text_col=text_col)
 
-    tf_rows = materialized(src.mapInArrow(count_terms, p1), "bm25-terms")
-    return _bm25_rank(tf_rows, qids, ind, k, id_col, docs.schema[id_col].dataType, k1, b)
 
+def bm25_search(index: inverted.InvertedIndex, queries: DataFrame, k: int = 5, *, id_col: str = "doc_id",
+                qid_col: str = "query_id", text_col: str = "text") -> DataFrame:
+    """:func:`bm25_topk` on a stored index."""
+    cut = None if k is None or k < 0 else k
+    found = index.query(queries, qid_col=qid_col, text_col=text_col).top(cut)
+    return found.select("query_id", "rank", F.col("doc").alias(id_col), "score")
 
-def _bm25_rank(tf_rows: DataFrame, qids: np.ndarray, ind: np.ndarray, k, id_col: str, id_type,
-               k1: float, b: float) -> DataFrame:
-    """Top-k per query from a written (doc, dl, terms, tfs) table of the
-    documents: corpus statistics, then one scoring map, then the cut."""
-    from filelens.operators.dense import _merge, round_half_up
-    spark = tf_rows.sparkSession
-    nt = ind.shape[0]
-    # corpus statistics: one row, and one df per query word (bounded by the vocabulary)
-    s = tf_rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    n_docs, avgdl = int(s["n"]), float(s["avgdl"] or 0.0)
-    dfs = tf_rows.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()
-    df_arr = np.zeros(nt, dtype=np.float64)
-    df_arr[dfs.column("t").to_numpy()] = dfs.column("count").to_numpy()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        idf = np.log(1.0 + (n_docs - df_arr + 0.5) / (df_arr + 0.5))
-    idf[df_arr == 0] = 0.0  # no document holds the word: it never contributes
-    wq = ind * idf[:, None]
-    bw = spark.sparkContext.broadcast((wq, qids))
-    out = T.StructType([T.StructField(id_col, id_type),
-                        T.StructField("score", T.DoubleType()), T.StructField("query_id", T.LongType())])
-    step = max(1, BM25_STEP_BYTES // (8 * max(1, len(qids))))
-    def score(batches):
-        w, qid = bw.value
-        nq = len(qid)
-        best = None
 
-        def named(rows: pa.Table):
-            tbl = rows.drop_columns(["_q"]).append_column("query_id", pa.array(qid[rows.column("_q").to_numpy()]))
-            return tbl.select([id_col, "score", "query_id"]).to_batches()
+def settled_depth(k: int, c: int = RRF_K) -> int | None:
+    """Length of both lists from which no document outside of them can be
+    among the k best of their fusion. The k-th of either list has at least
+    1 / (c + k), a document in neither at most 2 / (c + depth + 1). ``None``
+    where the rounding of fused scores leaves no such length (k over 499,000)."""
+    least = 1.0 / (c + max(k, 1)) - 2 * _ROUNDING
+    return max(LIST_DEPTH, math.ceil(2.0 / least) - c) if least > 0 else None
 
-        for rb in batches:
-            n = rb.num_rows
-            terms, tfs = rb.column("terms"), rb.column("tfs")
-            lens = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
-            if n == 0 or lens.sum() == 0:
-                continue
-            t = pc.list_flatten(terms).to_numpy(zero_copy_only=False).astype(np.int64)
-            tf = pc.list_flatten(tfs).to_numpy(zero_copy_only=False).astype(np.float64)
-            row = np.repeat(np.arange(n, dtype=np.int64), lens)
-            dl = rb.column("dl").to_numpy(zero_copy_only=False).astype(np.float64)
-            wt = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
-            sc = np.zeros((n, nq), dtype=np.float64)
-            hits = np.zeros((n, nq), dtype=bool)
-            for lo in range(0, len(t), step):
-                r = row[lo:lo + step]
-                contrib = wt[lo:lo + step, None] * w[t[lo:lo + step]]
-                starts = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
-                sc[r[starts]] += np.add.reduceat(contrib, starts, axis=0)
-                hits[r[starts]] |= np.logical_or.reduceat(w[t[lo:lo + step]] > 0, starts, axis=0)
-            sc = np.where(hits, round_half_up(sc), -np.inf)
-            rows_, qs = _candidates(sc, k)
-            if len(rows_) == 0:
-                continue
-            cand = pa.table({id_col: rb.column("doc").take(pa.array(rows_)),
-                             "_q": pa.array(qs.astype(np.int32)), "score": pa.array(sc[rows_, qs])})
-            if k is None:  # no cut: nothing is held back
-                yield from named(cand)
-                continue
-            best = cand if best is None else pa.concat_tables([best, cand])
-            best = _merge(best, k, id_col, None)
-        if best is not None and best.num_rows:
-            yield from named(best)
 
-
-    res = tf_rows.mapInArrow(score, out)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
-    ranked = res.withColumn("rank", F.row_number().over(w).cast("bigint"))
-    if k is not None:
-        ranked = ranked.where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", id_col, "score")
-
-
-def _candidates(sc: np.ndarray, k) -> tuple[np.ndarray, np.ndarray]:
-    """(row, query) pairs of scored (finite) entries that can still be in a
-    query's top k of this batch."""
-    keep = np.isfinite(sc)
-    n = sc.shape[0]
-    if k is not None and n > k:
-        kth = np.partition(sc, n - k, axis=0)[n - k]
-        keep &= sc >= kth[None, :]
-    return np.nonzero(keep)
-
-
-def _bm25_joined(docs: DataFrame, qw: DataFrame, n_qw: int, k, id_col: str, text_col: str,
-                 k1: float, b: float) -> DataFrame:
-    """BM25 as joins, for query batches whose vocabulary x queries matrix is
-    over budget. The query words (broadcast when their count allows) filter
-    the document words before the postings shuffle; document length rides
-    along in each row. The texts are split once: N and avgdl come from
-    per-document marker rows of the same written postings table that gives
-    df and the hits. Per-(query, doc) sums are cut to k per query by a
-    row_number window (Spark plans a partial WindowGroupLimit before its
-    exchange)."""
-    qtok = maybe_broadcast(qw.select("tok").distinct().withColumn("_hit", F.lit(True)), rows=n_qw)
-    # one pass over the texts: every document also emits one NULL marker word
-    # that carries its length, so corpus statistics and postings come out of
-    # the same aggregate, which is written once and read by every branch
-    dw = spread(docs, id_col).select(F.col(id_col).alias("doc"), X.words(text_col).alias("ws"))
-    ex = dw.select("doc", F.size("ws").alias("dl"),
-                   F.explode(F.concat(F.array(F.lit(None).cast("string")), "ws")).alias("tok"))
-    kept = ex.join(qtok, "tok", "left").where(F.col("_hit") | F.col("tok").isNull())
-    agg = materialized(kept.groupBy("tok", "doc", "dl").agg(F.count(F.lit(1)).alias("tf")), "bm25-postings")
-    stats = (agg.where(F.col("tok").isNull())
-             .agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")))
-    post = agg.where(F.col("tok").isNotNull())
-    df_ = post.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    st = stats.select(F.struct("n_docs", "avgdl")).scalar()  # one row, evaluated once
-    qi = qw.join(df_, "tok").select(
-        "query_id", "tok", st["avgdl"].alias("avgdl"),
-        F.log(1.0 + (st["n_docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hits = post.join(maybe_broadcast(qi, rows=n_qw), "tok")
-    norm = F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    contrib = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    scores = hits.groupBy("query_id", "doc").agg(F.round(F.sum(contrib), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc"))
-    ranked = scores.withColumn("rank", F.row_number().over(w).cast("bigint"))
-    if k is not None:
-        ranked = ranked.where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("doc").alias(id_col), "score")
-
-
-def hybrid_topk(docs: DataFrame, queries: DataFrame, k: int = 5, depth: int = FIRST_DEPTH, *,
+def hybrid_topk(docs: DataFrame, queries: DataFrame, k: int = 5, depth: int | None = None, *,
                 id_col: str = "doc_id", qid_col: str = "query_id", text_col: str = "text",
                 dim: int | None = None, c: int = RRF_K,
                 k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
@@ -260,54 +57,62 @@ def hybrid_topk(docs: DataFrame, queries: DataFrame, k: int = 5, depth: int = FI
     ``c``) of the whole BM25 list and the whole cosine list over hashed-term
     vectors, cut to k per query.
 
-    The lists are read to ``depth`` first, and four times deeper as long as a
-    document that is unseen in a list could still enter some query's top k
-    (its part there is at most 1 / (c + depth + 1)), so the answer is that of
-    the full lists. Each document is split into words once for both rankers;
-    the tables that the rounds read are written once."""
+    A rank join: both lists are made to ``depth`` only (at least
+    :func:`settled_depth`, so that nothing outside of both can be among the k
+    best). Documents of one list that could still get among them by their rank
+    in the other have that rank counted: how many documents score better, as
+    one partial sum per task and candidate. The answer is that of the whole
+    lists, and no list longer than ``depth`` is made."""
     from filelens.operators import embed
-    from filelens.operators.dense import dense_search
+    from filelens.operators.dense import dense_ranks, dense_search
     dim = dim or embed.EMBEDDING_DIM
-    qs = materialized(embed.hashed_embed(queries.select(F.col(qid_col).alias("query_id"), F.col(text_col).alias("text")),
-                                         dim=dim, id_col="query_id"), "hybrid-queries")
+    enough = settled_depth(k, c)
+    depth = None if enough is None else max(depth or 0, enough)
+    texts = queries.select(F.col(qid_col).cast("bigint").alias("query_id"), F.col(text_col).alias("text"))
+    qs = materialized(embed.hashed_embed(texts, dim=dim, id_col="query_id"), "hybrid-queries")
     vecs = materialized(embed.hashed_embed(docs, dim=dim, id_col=id_col, text_col=text_col), "hybrid-vectors")
-    while True:
-        sem = materialized(dense_search(vecs, qs, depth, id_col=id_col, qid_col="query_id", dim=dim), "hybrid-semantic")
-        kw = materialized(bm25_topk(docs, queries, depth, id_col=id_col, qid_col=qid_col, text_col=text_col,
-                                    k1=k1, b=b), "hybrid-keyword")
-        if _settled(sem, kw, depth, k, id_col, c):
-            return rrf_fuse(sem, kw, k, id_col, c)
-        depth *= 4
-
-
-def _settled(a: DataFrame, b: DataFrame, depth: int, k: int, id_col: str, c: int) -> bool:
-    """Whether the fusion of two lists read to ``depth`` has the top k of the
-    whole lists for every query. A list shorter than ``depth`` is whole."""
-    size = a.groupBy("query_id").agg(F.count(F.lit(1)).alias("na")).join(
-        b.groupBy("query_id").agg(F.count(F.lit(1)).alias("nb")), "query_id", "full")
-    part = F.lit(1.0) / (c + depth + 1)  # at most, where a list goes on
-    size = size.select("query_id", F.when(F.col("na") >= depth, part).otherwise(0.0).alias("more_a"),
-                       F.when(F.col("nb") >= depth, part).otherwise(0.0).alias("more_b"))
-    x = a.select("query_id", id_col, F.col("rank").alias("ra"))
-    y = b.select("query_id", id_col, F.col("rank").alias("rb"))
-    seen = x.join(y, ["query_id", id_col], "full").join(size, "query_id")
-    low = F.coalesce(1.0 / (c + F.col("ra")), F.lit(0.0)) + F.coalesce(1.0 / (c + F.col("rb")), F.lit(0.0))
-    high = low + F.when(F.col("ra").isNull(), F.col("more_a")).otherwise(0.0) \
-        + F.when(F.col("rb").isNull(), F.col("more_b")).otherwise(0.0)
-    w = Window.partitionBy("query_id").orderBy(F.desc("low"), F.asc(id_col))
-    seen = seen.select("query_id", id_col, F.round(low, 6).alias("low"), F.round(high, 6).alias("high"),
-                       F.round(F.col("more_a") + F.col("more_b"), 6).alias("unseen")) \
-        .withColumn("n", F.row_number().over(w))
-    cut = F.max(F.when(F.col("n") == k, F.col("low")))
-    per = seen.groupBy("query_id").agg(
-        F.coalesce(cut, F.lit(0.0)).alias("cut"), F.max("unseen").alias("unseen"),
-        F.max(F.when(F.col("n") > k, F.col("high"))).alias("rest"),
-        F.max(F.when(F.col("n") <= k, (F.col("high") > F.col("low")).cast("int"))).alias("open"),
-        F.max(F.when(F.col("n") > k, (F.col("high") > F.col("low")).cast("int"))).alias("loose"))
-    # inside, every score must be known; outside, none may reach the cut
-    open_ = (F.col("open") == 1) | ((F.col("unseen") > 0) & (F.col("unseen") >= F.col("cut"))) \
-        | ((F.coalesce("loose", F.lit(0)) == 1) & (F.col("rest") >= F.col("cut")))
-    return per.where(open_).isEmpty()
+    asked = inverted.build(docs, id_col=id_col, text_col=text_col, k1=k1, b=b).query(texts)
+    sem = materialized(dense_search(vecs, qs, depth, id_col=id_col, qid_col="query_id", dim=dim)
+                       .select("query_id", F.col(id_col).alias("doc"), F.col("rank").alias("ra")), "hybrid-semantic")
+    kw = materialized(asked.top(depth).select("query_id", "doc", F.col("rank").alias("rb")), "hybrid-keyword")
+    if depth is None:
+        return rrf_fuse(sem.withColumnRenamed("ra", "rank"), kw.withColumnRenamed("rb", "rank"), k, "doc", c) \
+            .withColumnRenamed("doc", id_col)
+    open_ = materialized(_open_candidates(sem, kw, depth, k, c), "hybrid-candidates")
+    more_a = dense_ranks(vecs, qs, open_.where("ra is null and whole_a = 0").select("query_id", "doc"), id_col=id_col, dim=dim)
+    more_b = asked.ranks(open_.where("rb is null and whole_b = 0").select("query_id", "doc"))
+    full = open_.join(more_a.withColumnRenamed("rank", "xa"), ["query_id", "doc"], "left") \
+        .join(more_b.withColumnRenamed("rank", "xb"), ["query_id", "doc"], "left")
+    score = _part(F.coalesce("ra", "xa"), c) + _part(F.coalesce("rb", "xb"), c)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc"))
+    return full.select("query_id", "doc", F.round(score, 6).alias("score")) \
+        .withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k) \
+        .select("query_id", "rank", F.col("doc").alias(id_col), "score")
+
+
+def _part(rank, c: int):
+    return F.coalesce(F.lit(1.0) / (F.lit(c) + rank), F.lit(0.0))
+
+
+def _open_candidates(sem: DataFrame, kw: DataFrame, depth: int, k: int, c: int) -> DataFrame:
+    """(query_id, doc, ra, rb, whole_a, whole_b): the documents of either list
+    that can be among the k best of the whole lists' fusion. A list shorter
+    than ``depth`` is whole, and a document outside of it has no rank there."""
+    sizes = [x.groupBy("query_id").agg((F.count(F.lit(1)) < depth).cast("int").alias(n))
+             for x, n in ((sem, "whole_a"), (kw, "whole_b"))]
+    known = sem.join(kw, ["query_id", "doc"], "full")
+    for s in sizes:
+        known = known.join(s, "query_id", "left")
+    known = known.withColumn("whole_a", F.coalesce("whole_a", F.lit(1))).withColumn("whole_b", F.coalesce("whole_b", F.lit(1)))
+    low = _part(F.col("ra"), c) + _part(F.col("rb"), c)
+    beyond = F.lit(1.0) / (c + depth + 1)
+    high = low + F.when(F.col("ra").isNull() & (F.col("whole_a") == 0), beyond).otherwise(0.0) \
+        + F.when(F.col("rb").isNull() & (F.col("whole_b") == 0), beyond).otherwise(0.0)
+    w = Window.partitionBy("query_id").orderBy(F.desc("low"), F.asc("doc"))
+    known = known.withColumn("low", low).withColumn("high", high).withColumn("nth", F.row_number().over(w))
+    cut = F.coalesce(F.max(F.when(F.col("nth") == k, F.col("low"))).over(Window.partitionBy("query_id")), F.lit(0.0))
+    return known.withColumn("cut", cut).where(F.col("high") >= F.col("cut") - 2 * _ROUNDING) \
+        .select("query_id", "doc", "ra", "rb", "whole_a", "whole_b")
 
 
 def rrf_fuse(a: DataFrame, b: DataFrame, k: int = 5, id_col: str = "doc_id", c: int = RRF_K) -> DataFrame:

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from filelens.operators import ann, lexical, search
+from filelens.operators import ann, inverted, lexical, search
 from filelens.operators.dense import dense_search
 
 TEXTS = ["the cat sat on the mat", "the dog sat", "", "cats and dogs and the cat",
@@ -106,21 +106,6 @@ def test_lsh_pairs_hot_bucket_salted(spark, vecs):
     assert salted == plain
 
 
-@pytest.mark.parametrize("k", [2, -1])
-def test_bm25_map_equals_join_form(spark, monkeypatch, k):
-    texts = TEXTS + [None, "cat"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    qs = spark.createDataFrame(list(enumerate(QUERIES + [""])), "query_id long, text string")
-
-    def rows(df):
-        return sorted((r.query_id, r.rank, r.doc_id, r.score) for r in df.collect())
-
-    mapped = rows(lexical.bm25_topk(docs, qs, k))
-    monkeypatch.setattr(lexical, "BM25_MATRIX_MAX_BYTES", 0)
-    joined = rows(lexical.bm25_topk(docs, qs, k))
-    assert mapped == joined and mapped
-
-
 def _fused(spark, docs, qs, k, dim):
     """Fusion of the whole lists, in Python."""
     from filelens.operators import embed
@@ -139,6 +124,91 @@ def _fused(spark, docs, qs, k, dim):
     return sorted(out)
 
 
+def _many_texts():
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(200)]
+    weight = 1.0 / np.arange(1, 201)
+    texts = [" ".join(rng.choice(words, size=rng.integers(1, 120), p=weight / weight.sum())) for _ in range(900)]
+    texts[17] = "w150 w160 w170 w180 w190 w3"
+    return texts + [None, "", texts[5]]
+
+
+@pytest.fixture(scope="module")
+def stored(spark):
+    """An index of blocks of 16 documents, and its queries."""
+    before, inverted.BLOCK_DOCS = inverted.BLOCK_DOCS, 16
+    docs = spark.createDataFrame(list(enumerate(_many_texts())), "doc_id long, text string").repartition(3)
+    qs = spark.createDataFrame([(0, "w150 w160 w170"), (1, "w0 w1 w2"), (2, "w0"), (3, "none"), (4, None), (5, "W7 w7, w199!")],
+                               "query_id long, text string")
+    yield inverted.build(docs), qs
+    inverted.BLOCK_DOCS = before
+
+
+@pytest.mark.parametrize("k", [1, 7, -1])
+def test_stored_index_finds_what_brute_force_finds(spark, stored, k):
+    index, qs = stored
+    texts = _many_texts()
+    ids = [i for i, t in enumerate(texts) if t is not None]
+    want = _bm25_brute([texts[i] for i in ids], ["w150 w160 w170", "w0 w1 w2", "w0", "none", "", "W7 w7, w199!"],
+                       10 ** 6 if k < 0 else k)
+    again = inverted.InvertedIndex(spark, index.root)   # read back
+    got = {}
+    for r in lexical.bm25_search(again, qs, k).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((ids.index(r.doc_id), r.score))
+    assert {q: [d for d, _ in v] for q, v in got.items()} == {q: [d for d, _ in v] for q, v in want.items() if v}
+    assert all([s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-6) for q in got)
+
+
+def test_blocks_read_fall_with_k(stored):
+    index, qs = stored
+    asked = index.query(qs)
+
+    def read(k):
+        return {r.query_id: (r.scored, r.blocks) for r in asked.blocks_read(k).collect()}
+
+    few, some, every = read(1), read(20), read(None)
+    assert all(few[q][0] <= some[q][0] <= every[q][0] == every[q][1] for q in every)
+    assert few[0][0] * 3 < every[0][0]            # rare words: most blocks are skipped
+    assert sum(n for n, _ in few.values()) < sum(n for n, _ in some.values()) < sum(n for n, _ in every.values())
+
+
+def test_a_frequent_term_is_cut_by_block(stored):
+    index, _ = stored
+    rows = index.postings.where("term = 'w0'").collect()
+    assert len(rows) > 20 and all(r.n == len(r.rids) == len(r.tfs) for r in rows)
+    assert index.documents.selectExpr("max(size(docs)) AS m").first().m < 60
+
+
+def test_ranks_without_the_lists(spark, stored):
+    from filelens.operators import embed
+    from filelens.operators.dense import dense_ranks, dense_search
+
+    index, qs = stored
+    asked = index.query(qs)
+    whole = {(r.query_id, r.doc): r["rank"] for r in asked.top(None).collect()}
+    wanted = spark.createDataFrame([(q, d) for q in range(6) for d in (0, 5, 17, 33, 902, 901, 4000)], "query_id long, doc long")
+    got = {(r.query_id, r.doc): r["rank"] for r in asked.ranks(wanted).collect()}
+    assert got == {p: n for p, n in whole.items() if p[1] in (0, 5, 17, 33, 902)}
+
+    docs = spark.createDataFrame(list(enumerate(_many_texts())), "doc_id long, text string").repartition(3)
+    vecs = embed.hashed_embed(docs, dim=32, id_col="doc_id")
+    qv = embed.hashed_embed(qs, dim=32, id_col="query_id")
+    whole = {(r.query_id, r.doc_id): r["rank"] for r in dense_search(vecs, qv, None, id_col="doc_id", dim=32).collect()}
+    got = {(r.query_id, r.doc): r["rank"] for r in
+           dense_ranks(vecs, qv, wanted, id_col="doc_id", dim=32, block_bytes=2 * 8 * 32).collect()}
+    assert got == {p: n for p, n in whole.items() if p[1] in (0, 5, 17, 33, 902, 901)}
+
+
+def test_rows_before_marks():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        score, ids = rng.integers(0, 6, 40) / 4, rng.permutation(40)
+        pick = rng.choice(40, 7, replace=False)
+        pick = pick[np.argsort(score[pick], kind="stable")]
+        got = inverted.before_marks(score[pick], ids[pick], score, ids)
+        assert got.tolist() == [sum((-s, i) < (-score[p], ids[p]) for s, i in zip(score, ids)) for p in pick]
+
+
 @pytest.mark.parametrize("depth", [1, 4, 256])
 def test_hybrid_is_the_fusion_of_whole_lists(spark, depth):
     # many documents share the words of the queries in other amounts, so that

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filelens import tables
-from filelens.operators import browse, dense, embed, lexical, search
+from filelens.operators import browse, dense, embed, inverted, lexical, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,24 +43,15 @@ def test_batch_topk_window_group_limit(spark):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-def test_bm25_scoring_plan_has_no_join(spark):
+def test_bm25_reads_narrow_bounds_and_no_texts(spark):
     docs = tables.read(spark, SF, "documents")
     qs = tables.read(spark, SF, "benchmark").withColumnRenamed("item_id", "query_id")
-    p = _formatted(lexical.bm25_topk(docs, qs, 5))
-    # the scoring plan reads the written per-document term table, not the
-    # texts, scores in one map and only the final cut shuffles
-    assert "documents.parquet" not in p and "bm25-terms" in p
-    assert "MapInArrow" in p and "WindowGroupLimit" in p
-    assert "Join" not in p.split("\n\n")[0]
-
-
-def test_bm25_join_form_reads_texts_once_and_pushes_filter(spark, monkeypatch):
-    monkeypatch.setattr(lexical, "BM25_MATRIX_MAX_BYTES", 0)
-    docs = tables.read(spark, SF, "documents")
-    qs = tables.read(spark, SF, "benchmark").withColumnRenamed("item_id", "query_id")
-    p = _formatted(lexical.bm25_topk(docs, qs, 5))
-    assert "documents.parquet" not in p
-    assert "IsNotNull(tok)" in p and "PushedFilters" in p
+    index = inverted.build(docs)
+    heads = _formatted(index.postings.select("bucket", "term", "block", "top", "n").where("bucket = 3"))
+    schema = [ln for ln in heads.splitlines() if ln.startswith("ReadSchema")][0]
+    assert "rids" not in schema and "PartitionFilters: [isnotnull(bucket" in heads
+    p = _formatted(lexical.bm25_search(index, qs, 5))
+    assert "documents.parquet" not in p and "WindowGroupLimit" in p
     assert "CartesianProduct" not in p and "NestedLoop" not in p
 
 
