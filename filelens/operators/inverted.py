@@ -1,30 +1,32 @@
 """A stored inverted index with block bounds, and BM25 search that skips.
 
-Documents of similar length share a block of about ``BLOCK_DOCS``. Three
-tables make the index:
-
-- ``documents``: one row per block with its documents' ids and lengths;
-- ``postings``: one row per (term, block) with the documents that hold the
-  term, how often, and the greatest impact (term part of the score without
-  its idf) in the block; partitioned by a hash of the term, sorted by term;
-- ``stats``: documents, average length, parameters.
-
-A search reads the narrow columns of its words' postings first: the sum of
-idf x greatest impact over a query's words bounds every score in a block. The
-blocks with the highest bounds are scored, which gives each query a k-th
-score, and of the others only those whose bound reaches it. The postings of
-skipped blocks are never read, and no row is made per (query, document).
+Each scanning task cuts its documents, by length, into blocks of up to
+``BLOCK_DOCS`` and emits one row per (term, block): the documents that hold the
+term, how often, the greatest count and the least length among them. A block's
+documents are a row of their own, without a term. The rows are stored by a hash
+of the term and sorted by term; a frequent term has a row per block, so the
+write splits it over tasks (rebalanced by size).
+
+A search reads the narrow columns of its words' rows first: the sum over a
+query's words of idf x part of the score at the greatest count and least length
+bounds every score in a block. The blocks with the highest bounds are scored,
+which gives each query a k-th score, and of the others only those whose bound
+reaches it. The postings of skipped blocks are never read, and no row is made
+per (query, document).
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from filelens.functions import text as X
 from filelens.operators.common import materialized, spread
@@ -33,89 +35,113 @@ from filelens.session import scratch_path
 
 BM25_K1 = 1.2
 BM25_B = 0.75
-BLOCK_DOCS = 512     # documents of a block, about
-BUCKETS = 32         # partitions of the postings by term
+BLOCK_DOCS = 512     # documents of a block at most
+BUCKETS = 16         # partitions of the postings by term
+HASH_PLACES = 1 << 20  # of words, where an index is made for some words only
 FIRST_BLOCKS = 2     # blocks that a query scores before it skips
 # Scores have six decimals: a bound this far below a score cannot reach it
 _SLACK = 1e-6
 
 
 def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
-def _counted(batches):
-    """Length, distinct words and their counts of each list of words."""
-    for rb in batches:
-        ws = rb.column("words")
-        n = len(ws)
-        lens = pc.list_value_length(ws).to_numpy(zero_copy_only=False).astype(np.int64)
-        enc = pc.dictionary_encode(pc.list_flatten(ws))
-        size = max(1, len(enc.dictionary))
-        row = np.repeat(np.arange(n, dtype=np.int64), lens)
-        key, tf = np.unique(row * size + enc.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
-        offs = pa.array(np.r_[0, np.cumsum(np.bincount(key // size, minlength=n))].astype(np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [rb.column("doc"), pa.array(lens), pa.ListArray.from_arrays(offs, enc.dictionary.take(pa.array(key % size))),
-             pa.ListArray.from_arrays(offs, pa.array(tf.astype(np.int32)))], ["doc", "dl", "terms", "tfs"])
+    """Where a term's rows are stored; those of the documents are in -1."""
+    return F.when(term.isNull(), -1).otherwise(F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int"))
+
+
+def _postings(block_docs: int, schema: pa.Schema, wanted: np.ndarray | None):
+    """Blocks of each batch: a row per term of a block, and one with the
+    block's documents and their lengths. ``wanted``: hash places of the only
+    words to store (others may share a place)."""
+    def run(batches):
+        task, blocks = TaskContext.get().partitionId() << 33, 0
+        for rb in batches:
+            ws = rb.column("words")
+            lens = pc.list_value_length(ws).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(lens):
+                continue
+            enc = pc.dictionary_encode(pc.list_flatten(ws))
+            size = max(1, len(enc.dictionary))
+            # documents by length: those of a block have scores alike
+            order = np.argsort(lens, kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            code = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            # a (block, term) has its postings beside each other
+            key = (np.repeat(place // block_docs, lens) * size + code) * block_docs + np.repeat(place % block_docs, lens)
+            if wanted is not None:
+                known = [zlib.crc32(w.as_buffer()) % len(wanted) for w in enc.dictionary.cast(pa.binary())]
+                key = key[wanted[np.array(known, np.int64)][code]] if known else key
+            key, tf = np.unique(key, return_counts=True)
+            at, group = key % block_docs, key // block_docs
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][:len(group)])
+            offs = pa.array(np.r_[first, len(group)].astype(np.int32))
+            block, dl = group // size, lens[order][(group // size) * block_docs + at]
+            n_terms = len(first)
+            terms = pa.table([
+                enc.dictionary.take(pa.array(group[first] % size)) if n_terms else pa.array([], pa.string()),
+                pa.array(task + blocks + block[first]), pa.array(np.diff(np.r_[first, len(group)])),
+                pa.array((np.maximum.reduceat(tf, first) if n_terms else tf).astype(np.int32)),
+                pa.array(np.minimum.reduceat(dl, first) if n_terms else dl),
+                pa.ListArray.from_arrays(offs, pa.array(at.astype(np.int32))),
+                pa.ListArray.from_arrays(offs, pa.array(tf.astype(np.int32))),
+                pa.nulls(n_terms, schema.field("docs").type), pa.nulls(n_terms, pa.list_(pa.int64()))], schema=schema)
+            yield from terms.to_batches(max_chunksize=1 << 16)
+            starts = np.arange(0, len(order), block_docs)
+            offs = pa.array(np.r_[starts, len(order)].astype(np.int32))
+            made, none = len(starts), pa.nulls(len(starts), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([
+                pa.nulls(made, pa.string()), pa.array(task + blocks + np.arange(made)),
+                pa.array(np.diff(np.r_[starts, len(order)])), pa.nulls(made, pa.int32()), pa.nulls(made, pa.int64()), none, none,
+                pa.ListArray.from_arrays(offs, rb.column("doc").take(pa.array(order)).cast(schema.field("docs").type.value_type)),
+                pa.ListArray.from_arrays(offs, pa.array(lens[order]))], schema=schema)
+            blocks += made
+    return run
 
 
 def build(docs: DataFrame, root: str | None = None, *, id_col: str = "doc_id", text_col: str = "text",
-          k1: float = BM25_K1, b: float = BM25_B) -> InvertedIndex:
+          only: DataFrame | None = None) -> InvertedIndex:
     """Index ``docs`` under ``root`` (default: a table of the shared scratch
-    folder). A null text is no document; a row is a document of its own."""
+    folder). A null text is no document; a row is a document of its own.
+    ``only`` (term): the words of a search that the index is made for; other
+    words are not stored."""
     spark = docs.sparkSession
     root = (root or scratch_path(spark, "inverted")).rstrip("/")
     words = spread(docs, id_col).select(F.col(id_col).alias("doc"), X.words(text_col).alias("words")) \
         .where(F.col("words").isNotNull())
-    schema = T.StructType([words.schema["doc"], T.StructField("dl", T.LongType()),
-                           T.StructField("terms", T.ArrayType(T.StringType())),
-                           T.StructField("tfs", T.ArrayType(T.IntegerType()))])
-    rows = materialized(words.mapInArrow(_counted, schema).withColumn("rid", F.monotonically_increasing_id())
-                        .withColumn("level", F.floor(4 * F.log2(F.col("dl") + 1)).cast("int")), "index-terms")
-    # one row per quarter of a power of two: a hundred at most
-    levels = sorted(rows.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("len")).collect())
-    n, total, start, place = sum(r["n"] for r in levels), sum(r["len"] for r in levels), 0, []
-    for r in levels:
-        blocks = -(-r["n"] // BLOCK_DOCS)
-        place += [F.lit(r["level"]), F.array(F.lit(start).cast("bigint"), F.lit(blocks).cast("bigint"))]
-        start += blocks
-    avgdl = total / n if n else 0.0
-    spark.createDataFrame([(n, float(avgdl), float(k1), float(b))], "n bigint, avgdl double, k1 double, b double") \
-        .coalesce(1).write.mode("errorifexists").parquet(f"{root}/stats")
-    at = F.create_map(*place)[F.col("level")] if place else F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))
-    placed = rows.withColumn("block", at[0] + F.pmod(F.xxhash64("rid"), at[1]))
-    placed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("rid", "doc", "dl"))).alias("d")) \
-        .select("block", F.col("d.rid").alias("rids"), F.col("d.doc").alias("docs"), F.col("d.dl").alias("dls")) \
-        .write.mode("errorifexists").parquet(f"{root}/documents")
-    each = placed.select("block", "rid", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")) \
-        .select(_bucket(F.col("p.terms")).alias("bucket"), F.col("p.terms").alias("term"), "block", "rid",
-                F.col("p.tfs").alias("tf"), _impact(F.col("p.tfs"), F.col("dl"), avgdl, k1, b).alias("impact"))
-    # one shuffle: a frequent term is cut by block into several partitions
-    each.repartitionByRange("bucket", "term", "block").groupBy("bucket", "term", "block").agg(
-        F.max("impact").alias("top"), F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("rid", "tf")).alias("p")) \
-        .select("bucket", "term", "block", "top", "n", F.col("p.rid").alias("rids"), F.col("p.tf").alias("tfs")) \
-        .sortWithinPartitions("bucket", "term", "block") \
+    i, n = T.IntegerType(), T.LongType()
+    schema = T.StructType([T.StructField(c, t) for c, t in (
+        ("term", T.StringType()), ("block", n), ("n", n), ("max_tf", i), ("min_dl", n), ("at", T.ArrayType(i)),
+        ("tfs", T.ArrayType(i)), ("docs", T.ArrayType(words.schema["doc"].dataType)), ("dls", T.ArrayType(n)))])
+    wanted = None
+    if only is not None:
+        # at most HASH_PLACES numbers, however many words there are
+        places = only.select((F.crc32(F.col("term").cast("binary")) % HASH_PLACES).alias("p")).distinct().toArrow()
+        wanted = np.zeros(HASH_PLACES, bool)
+        wanted[places.column("p").to_numpy()] = True
+    rows = words.mapInArrow(_postings(BLOCK_DOCS, to_arrow_schema(schema), wanted), schema)
+    if only is not None:
+        none = spark.createDataFrame([(None,)], "term string")  # the rows of the documents stay
+        kept = only.select("term").distinct().unionByName(none).withColumnRenamed("term", "_kept")
+        rows = rows.join(kept, F.col("term").eqNullSafe(F.col("_kept")), "left_semi")
+    rows.withColumn("bucket", _bucket(F.col("term"))).hint("rebalance", F.col("bucket")) \
+        .sortWithinPartitions("bucket", "term") \
         .write.mode("errorifexists").partitionBy("bucket").option("compression", "zstd").parquet(f"{root}/postings")
     return InvertedIndex(spark, root)
 
 
-def _impact(tf: Column, dl: Column, avgdl: float, k1: float, b: float) -> Column:
-    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.lit(avgdl or 1.0)))
-
-
 class InvertedIndex:
     """A stored index; every method is a Spark plan over its tables."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        s = spark.read.parquet(f"{root}/stats").first()
-        self.n, self.avgdl, self.k1, self.b = s["n"], s["avgdl"], s["k1"], s["b"]
-        self.documents = spark.read.parquet(f"{root}/documents")
-        self.postings = spark.read.schema(
-            "term string, block bigint, top double, n bigint, rids array<bigint>, tfs array<int>, bucket int"
-        ).parquet(f"{root}/postings")
-        self.id_type = self.documents.schema["docs"].dataType.elementType
+    def __init__(self, spark: SparkSession, root: str, k1: float = BM25_K1, b: float = BM25_B):
+        self.spark, self.root, self.k1, self.b = spark, root, k1, b
+        table = spark.read.parquet(f"{root}/postings")
+        self.documents = table.where("bucket = -1").select("block", "docs", "dls")
+        self.postings = table.where("bucket >= 0").drop("docs", "dls")
+        self.id_type = table.schema["docs"].dataType.elementType
+        words = F.aggregate("dls", F.lit(0).cast("bigint"), lambda x, y: x + y)
+        s = self.documents.agg(F.coalesce(F.sum(F.size("docs")), F.lit(0)).alias("n"),
+                               F.coalesce(F.sum(words), F.lit(0)).alias("words")).first()
+        self.n, self.avgdl = s["n"], s["words"] / s["n"] if s["n"] else 0.0
 
     def query(self, queries: DataFrame, *, qid_col: str = "query_id", text_col: str = "text") -> Query:
         """The queries' distinct words (a query's words are one row each)."""
@@ -129,15 +155,17 @@ class Query:
 
     def __init__(self, index: InvertedIndex, words: DataFrame):
         self.index = index
-        words = materialized(words.distinct().withColumn("bucket", _bucket(F.col("term"))), "query-words")
-        heads = materialized(index.postings.select("bucket", "term", "block", "top", "n").join(
+        words = words.distinct().withColumn("bucket", _bucket(F.col("term")))
+        heads = materialized(index.postings.select("bucket", "term", "block", "n", "max_tf", "min_dl").join(
             words.select("bucket", "term").distinct(), ["bucket", "term"]), "query-heads")
         df = heads.groupBy("term").agg(F.sum("n").alias("df"))
         idf = F.log(1.0 + (F.lit(index.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         self.weights = materialized(words.join(df, "term").select("query_id", "bucket", "term", idf.alias("idf")),
                                     "query-weights")
+        norm = index.k1 * (1 - index.b + index.b * F.col("min_dl") / F.lit(index.avgdl or 1.0))
+        top = F.col("max_tf") * (index.k1 + 1) / (F.col("max_tf") + norm)
         self.bounds = materialized(heads.join(self.weights, ["bucket", "term"]).groupBy("query_id", "block").agg(
-            F.sum(F.col("top") * F.col("idf")).alias("bound")), "query-bounds")
+            F.sum(top * F.col("idf")).alias("bound")), "query-bounds")
 
     def _scored(self, pairs: DataFrame, schema: T.StructType, choose) -> DataFrame:
         """``choose`` over the scores of each (query, block) of ``pairs``,
@@ -145,15 +173,17 @@ class Query:
         index = self.index
         lists = self.weights.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("w")) \
             .select("query_id", F.col("w.term").alias("terms"), F.col("w.idf").alias("idfs"))
+        pairs = materialized(pairs, "query-pairs")
         asked = pairs.join(lists, "query_id")
-        read = pairs.select("query_id", "block").join(self.weights, "query_id").select("bucket", "term", "block").distinct()
-        none = {c: F.lit(None) for c in ("docs", "dls", "term", "tfs")}
-        parts = index.postings.join(read, ["bucket", "term", "block"]) \
-            .select("block", "term", "rids", "tfs", none["docs"].cast(T.ArrayType(index.id_type)).alias("docs"),
-                    none["dls"].cast("array<bigint>").alias("dls")) \
-            .unionByName(index.documents.join(read.select("block").distinct(), "block").select(
-                "block", none["term"].cast("string").alias("term"), "rids", none["tfs"].cast("array<int>").alias("tfs"),
-                "docs", "dls"))
+        blocks = pairs.select(F.col("block").alias("_asked")).distinct()
+        mine = F.col("block") == F.col("_asked")
+        columns = ["block", "term", "at", "tfs", "docs", "dls"]
+        lists = index.postings.join(self.weights.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi") \
+            .join(blocks, mine, "left_semi").withColumns(
+            {"docs": F.lit(None).cast(T.ArrayType(index.id_type)), "dls": F.lit(None).cast("array<bigint>")})
+        docs = index.documents.join(blocks, mine, "left_semi").withColumns(
+            {"term": F.lit(None).cast("string"), "at": F.lit(None).cast("array<int>"), "tfs": F.lit(None).cast("array<int>")})
+        parts = lists.select(*columns).unionByName(docs.select(*columns))
         run = _block_scorer(choose, index.k1, index.b, index.avgdl, pa.schema(
             [(f.name, to_arrow_type(f.dataType)) for f in schema.fields]))
         return asked.groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(run, schema)
@@ -259,16 +289,16 @@ def _block_scorer(choose, k1: float, b: float, avgdl: float, schema: pa.Schema):
     def run(asked: pa.Table, parts: pa.Table) -> pa.Table:
         if not len(asked) or not len(parts):
             return schema.empty_table()
+        parts = parts.combine_chunks()
         term = parts["term"].to_pylist()
         head = term.index(None)
         docs = np.array(parts["docs"][head].as_py())
-        rids, dl = (np.array(parts[c][head].as_py(), np.int64) for c in ("rids", "dls"))
-        lists = {}
-        for i, t in enumerate(term):
-            if t is not None:
-                at = np.searchsorted(rids, parts["rids"][i].values.to_numpy(zero_copy_only=False))
-                tf = parts["tfs"][i].values.to_numpy(zero_copy_only=False).astype(np.float64)
-                lists[t] = at, tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[at] / avgdl))
+        dl = np.array(parts["dls"][head].as_py(), np.float64)
+        at, tf = (parts[c].chunk(0).flatten().to_numpy(zero_copy_only=False) for c in ("at", "tfs"))
+        tf = tf.astype(np.float64)
+        weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[at] / avgdl))
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(parts["at"]), 0).to_numpy(zero_copy_only=False)).tolist()
+        lists = {t: (at[a:z], weight[a:z]) for t, a, z in zip(term, [0, *ends], ends) if t is not None}
         out = []
         for ask in asked.to_pylist():
             got = [(lists[t], w) for t, w in zip(ask["terms"], ask["idfs"]) if t in lists]

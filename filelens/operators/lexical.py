@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from filelens.functions import text as X
 from filelens.operators import inverted
 from filelens.operators.common import materialized
 from filelens.operators.inverted import BM25_B, BM25_K1
@@ -26,12 +27,19 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str =
     a document scores for a query when it holds at least one of its words;
     ties by id. ``k`` < 0: no cut.
 
-    The documents are indexed (:mod:`inverted`) and searched with block
-    bounds; to search more than once, build the index once."""
-    index = inverted.build(docs, id_col=id_col, text_col=text_col, k1=k1, b=b)
+    The documents are indexed (:mod:`inverted`) for the words of the queries
+    and searched with block bounds; to search more than once, build a whole
+    index once."""
+    index = _index_for(docs, queries, id_col, text_col, k1, b)
     return bm25_search(index, queries, k, id_col=id_col, qid_col=qid_col, text_col=text_col)
 
 
+def _index_for(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k1: float, b: float) -> inverted.InvertedIndex:
+    made = inverted.build(docs, id_col=id_col, text_col=text_col,
+                          only=queries.select(F.explode(X.words(text_col)).alias("term")))
+    return inverted.InvertedIndex(docs.sparkSession, made.root, k1, b)
+
+
 def bm25_search(index: inverted.InvertedIndex, queries: DataFrame, k: int = 5, *, id_col: str = "doc_id",
                 qid_col: str = "query_id", text_col: str = "text") -> DataFrame:
     """:func:`bm25_topk` on a stored index."""
@@ -71,7 +79,7 @@ def hybrid_topk(docs: DataFrame, queries: DataFrame, k: int = 5, depth: int | No
     texts = queries.select(F.col(qid_col).cast("bigint").alias("query_id"), F.col(text_col).alias("text"))
     qs = materialized(embed.hashed_embed(texts, dim=dim, id_col="query_id"), "hybrid-queries")
     vecs = materialized(embed.hashed_embed(docs, dim=dim, id_col=id_col, text_col=text_col), "hybrid-vectors")
-    asked = inverted.build(docs, id_col=id_col, text_col=text_col, k1=k1, b=b).query(texts)
+    asked = _index_for(docs, texts.withColumnRenamed("text", text_col), id_col, text_col, k1, b).query(texts)
     sem = materialized(dense_search(vecs, qs, depth, id_col=id_col, qid_col="query_id", dim=dim)
                        .select("query_id", F.col(id_col).alias("doc"), F.col("rank").alias("ra")), "hybrid-semantic")
     kw = materialized(asked.top(depth).select("query_id", "doc", F.col("rank").alias("rb")), "hybrid-keyword")

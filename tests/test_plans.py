@@ -47,9 +47,9 @@ def test_bm25_reads_narrow_bounds_and_no_texts(spark):
     docs = tables.read(spark, SF, "documents")
     qs = tables.read(spark, SF, "benchmark").withColumnRenamed("item_id", "query_id")
     index = inverted.build(docs)
-    heads = _formatted(index.postings.select("bucket", "term", "block", "top", "n").where("bucket = 3"))
+    heads = _formatted(index.postings.select("bucket", "term", "block", "n", "max_tf").where("bucket = 3"))
     schema = [ln for ln in heads.splitlines() if ln.startswith("ReadSchema")][0]
-    assert "rids" not in schema and "PartitionFilters: [isnotnull(bucket" in heads
+    assert "tfs" not in schema and "PartitionFilters: [isnotnull(bucket" in heads
     p = _formatted(lexical.bm25_search(index, qs, 5))
     assert "documents.parquet" not in p and "WindowGroupLimit" in p
     assert "CartesianProduct" not in p and "NestedLoop" not in p
