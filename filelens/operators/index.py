@@ -156,6 +156,26 @@ def index_upsert(stored: DataFrame, delta: DataFrame) -> DataFrame:
     return kept.unionByName(new_rows)
 
 
+_STORED = ["file_id", "path", "name", "extension", "last_modified", "embedding"]
+
+
+def store_rows(rows: DataFrame) -> DataFrame:
+    """The columns of the stored index."""
+    return rows.select(*_STORED)
+
+
+def index_run(scan: DataFrame, vecs: DataFrame, texts: DataFrame, root: str, version: int) -> bool:
+    """One run that ends in the index stored under ``root``: files that are
+    new or strictly newer than their stored row are embedded and written as a
+    delta by path. A second run over the same files writes no rows. Returns
+    False when ``version`` is already committed."""
+    from filelens.sources import store
+    spark = scan.sparkSession
+    stored = store.read_current(spark, root)
+    delta = embed_delta(change_detect(scan, stored), vecs, texts)
+    return store.commit_delta(store_rows(delta.where(F.col("status").isin("insert", "update"))), root, version, "path")
+
+
 def run_counters(all_files: DataFrame, delta: DataFrame, changes: DataFrame) -> DataFrame:
     """One-row report: discovered (before the allow-list), changed, no_text,
     embed_failed, inserted, updated, skipped, indexed = inserted + updated."""

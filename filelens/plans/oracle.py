@@ -189,6 +189,8 @@ UNION ALL
 SELECT file_id, path, name, extension, last_modified, status, CAST(len(embedding) AS BIGINT)
 FROM delta WHERE status IN ('insert', 'update')"""
 
+SQL["index_run"] = "SELECT * EXCLUDE origin, CAST(origin <> 'stored' AS BIGINT) AS version FROM (" + SQL["index_upsert"] + ")"
+
 SQL["run_counters"] = with_(FILES, OLD, SCAN, CHANGES, DELTA) + """
 SELECT (SELECT count(*) FROM files) AS discovered,
        (SELECT count(*) FROM changes) AS eligible,
@@ -448,6 +450,13 @@ FROM t"""
 
 SQL["stream_latest"] = SQL["latest_per_key"]
 
+SQL["stream_counters"] = """
+WITH a AS (SELECT user_id, ts, least(event_id * 4 // ((SELECT max(event_id) FROM events) + 1), 3) AS i FROM events),
+b AS (SELECT i, user_id, count(*) AS n, max(ts) AS ts FROM a GROUP BY ALL),
+s AS (SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM b)
+SELECT CAST(i AS BIGINT) AS batch_id, CAST(sum(n) AS BIGINT) AS arrived, count(*) AS keys,
+       count(*) FILTER (WHERE before IS NULL) AS inserted, count(*) FILTER (WHERE ts > before) AS updated FROM s GROUP BY i"""
+
 SQL["stream_index"] = """
 SELECT doc_id, '.txt' AS extension, CAST(strlen(text) + 1 AS BIGINT) AS size_bytes, CAST(384 AS BIGINT) AS dim
 FROM documents"""

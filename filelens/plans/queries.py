@@ -181,6 +181,23 @@ def q_index_upsert(spark, sf_dir):
                      V.vector_dim("embedding").alias("dim"))
 
 
+@register("index_run")
+def q_index_run(spark, sf_dir):
+    """Two runs over the same files that end in the stored index: the first
+    writes what changed, the second finds nothing to write."""
+    from filelens.functions import vectors as V
+    from filelens.operators import index
+    from filelens.session import scratch_path
+    from filelens.sources import store
+    root = scratch_path(spark, "index")
+    store.commit(index.store_rows(_stored_with_vectors(spark, sf_dir)), root, 0)
+    scan = index.ext_allowlist(tables.files(spark, sf_dir))
+    for run in (1, 2):
+        index.index_run(scan, tables.vectors(spark, sf_dir), tables.scanned_texts(spark, sf_dir), root, run)
+    done = store.read_current(spark, root, with_version=True)
+    return done.select("file_id", "path", "name", "extension", "last_modified", V.vector_dim("embedding").alias("dim"), "version")
+
+
 @register("run_counters")
 def q_run_counters(spark, sf_dir):
     from filelens.operators import index
@@ -534,14 +551,23 @@ def _arrivals(spark, sf_dir) -> str:
     return _ARRIVALS[key]
 
 
-@register("stream_latest")
-def q_stream_latest(spark, sf_dir):
-    from filelens.sources import store
+def _latest_state(spark, sf_dir) -> str:
     from filelens.streaming.jobs import stream_latest
     ev = tables.read(spark, sf_dir, "events")
-    root = stream_latest(spark, _arrivals(spark, sf_dir), "*.parquet", ev.schema, "user_id", "ts", "event_id",
+    return stream_latest(spark, _arrivals(spark, sf_dir), "*.parquet", ev.schema, "user_id", "ts", "event_id",
                          max_files_per_trigger=1)
-    st = store.read_current(spark, root)
+
+
+@register("stream_counters")
+def q_stream_counters(spark, sf_dir):
+    from filelens.streaming.jobs import read_counters
+    return read_counters(spark, _latest_state(spark, sf_dir))
+
+
+@register("stream_latest")
+def q_stream_latest(spark, sf_dir):
+    from filelens.sources import store
+    st = store.read_current(spark, _latest_state(spark, sf_dir))
     return st.select("user_id", "event_id", F.unix_timestamp("ts").alias("mtime"), "value")
 
 

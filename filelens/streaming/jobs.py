@@ -1,10 +1,12 @@
 """Incremental jobs on Structured Streaming.
 
 Both jobs use ``foreachBatch``: each micro-batch settles duplicates inside
-the batch, applies the strictly-newer rule against the current state and
-commits a new version of the state table. The version number is derived
-from the batch id, so a replayed batch (after a failure) finds its version
-already committed and does nothing: the sink is idempotent.
+the batch, reads the stored rows of the key parts that it touches, and commits
+what is new or strictly newer as a delta of the state table: a trigger writes
+the size of its batch, not of the state. The version number is derived from
+the batch id, so a replayed batch (after a failure) finds its version already
+committed and does nothing: the sink is idempotent. Every trigger keeps its
+counters beside the state.
 """
 
 from __future__ import annotations
@@ -56,6 +58,50 @@ def _merge_newer(s: DataFrame, b: DataFrame, key: str, ts: str, tie: str) -> Dat
                 .select(key, *[F.col("_r")[c].alias(c) for c in cols]))
 
 
+def newer_rows(state: DataFrame | None, batch: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
+    """The rows of a batch that change the state, one per key (duplicates in
+    the batch are settled first): those of new keys and those strictly newer
+    than the stored row, with ``_stored``, whether there was one."""
+    b = latest_per_key(batch, key, ts, tie)
+    if state is None:
+        return b.withColumn("_stored", F.lit(False))
+    s = state.select(F.col(key).alias("_key"), F.col(ts).alias("_at"), F.lit(True).alias("_stored"))
+    newer = F.col("_stored").isNull() | (F.col(ts) > F.col("_at")) | (F.col("_at").isNull() & F.col(ts).isNotNull())
+    return b.join(s, b[key].eqNullSafe(s["_key"]), "left").where(newer) \
+        .select(*b.columns, F.coalesce("_stored", F.lit(False)).alias("_stored"))
+
+
+def touched_parts(batch: DataFrame, key: str) -> list[int]:
+    """The key parts of a batch: ``store.PARTS`` numbers at most."""
+    return [r["p"] for r in batch.select(store.part_of(key).alias("p")).distinct().collect()]
+
+
+def counters_root(state_root: str) -> str:
+    """Where a stream keeps one row of counters per trigger."""
+    return state_root.rstrip("/") + "-counters"
+
+
+def commit_newer(batch: DataFrame, batch_id: int, root: str, key: str, ts: str, tie: str) -> None:
+    """One trigger: the delta of the batch against the state under ``root``,
+    and its counters (a replayed trigger writes them anew only with it)."""
+    spark = batch.sparkSession
+    state = store.read_current(spark, root, parts=touched_parts(batch, key))
+    new = materialized(newer_rows(state, batch, key, ts, tie), "stream-delta")
+    told = batch.agg(F.count(F.lit(1)).alias("arrived"), F.count_distinct(F.struct(key)).alias("keys"))
+    made = new.agg(F.count_if(~F.col("_stored")).alias("inserted"), F.count_if("_stored").alias("updated"))
+    if (batch_id + 1) not in store.versions(spark, root):
+        row = spark.range(1).select(F.lit(batch_id).cast("bigint").alias("batch_id"),
+                                    *[a.select(F.struct(*a.columns)).scalar().alias(n) for n, a in (("t", told), ("m", made))])
+        row.select("batch_id", "t.*", "m.*").write.mode("overwrite").parquet(f"{counters_root(root)}/trigger={batch_id}")
+    store.commit_delta(new.drop("_stored"), root, batch_id + 1, key)
+
+
+def read_counters(spark: SparkSession, root: str) -> DataFrame:
+    """(batch_id, arrived, keys, inserted, updated) of every trigger."""
+    return spark.read.schema("batch_id bigint, arrived bigint, keys bigint, inserted bigint, updated bigint") \
+        .option("recursiveFileLookup", "true").parquet(counters_root(root))
+
+
 def stream_latest(spark: SparkSession, source_dir: str, glob: str, schema, key: str, ts: str, tie: str,
                   state_root: str | None = None, max_files_per_trigger: int | None = None) -> str:
     """Run the keep-latest upsert stream over Parquet files arriving in
@@ -69,10 +115,8 @@ def stream_latest(spark: SparkSession, source_dir: str, glob: str, schema, key:
     src = r.load(source_dir)
 
     def each(batch: DataFrame, batch_id: int):
-        batch = batch.persist()  # read twice (keys, rows); recomputed from the files if lost
-        cur = store.read_current(batch.sparkSession, state_root)
-        new = upsert_newer(cur, batch, key, ts, tie)
-        store.commit(new, state_root, batch_id + 1)
+        batch = batch.persist()  # read more than once; recomputed from the files if lost
+        commit_newer(batch, batch_id, state_root, key, ts, tie)
         batch.unpersist()
 
     q = (src.writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
@@ -126,8 +170,7 @@ def stream_index(spark: SparkSession, root: str, embed_fn, index_root: str | Non
         # written once: the merge reads the batch more than once
         rows = materialized(ex.select("file_id", "path", "name", "extension", "last_modified", "size_bytes")
                             .join(vec, "file_id"), "index-batch")
-        new = upsert_newer(cur, rows, "path", "last_modified", "file_id")
-        store.commit(new, index_root, batch_id + 1)
+        commit_newer(rows, batch_id, index_root, "path", "last_modified", "file_id")
 
     q = (src.writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())

@@ -132,3 +132,83 @@ def test_upsert_newer_touched_keys_equals_full_merge(spark, monkeypatch):
     full = rows(jobs.upsert_newer(state, batch, "k", "ts", "id"))
     assert touched == full == [(-1, 5, 2, "null-newer"), (1, 1, 10, "s1"), (2, 7, 6, "newer-lower-id"),
                                (3, 3, 7, "s3"), (4, 6, 1, "new")]
+
+
+def _rows(df, *cols):
+    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+
+
+def test_deltas_newest_wins_and_deleted(spark):
+    root = tempfile.mkdtemp(prefix="filelens-store-") + "/t"
+    sch = "k long, v string"
+
+    def frame(*rows):
+        return spark.createDataFrame(list(rows), sch)
+
+    assert store.commit(frame((1, "a"), (2, "b"), (None, "n")), root, 0)
+    assert store.commit_delta(frame((2, "b2"), (3, "c")), root, 1, "k")
+    assert not store.commit_delta(frame((2, "lost")), root, 1, "k")       # replay
+    assert store.commit_delta(frame(), root, 2, "k")                       # nothing changed
+    assert store.commit_delta(frame((None, "n2")), root, 3, "k", deleted=frame((1, None), (9, None)))
+    want = [(2, "b2", 1), (3, "c", 1)]
+    got = store.read_current(spark, root, with_version=True)
+    assert _rows(got.where("k is not null"), "k", "v", "version") == want
+    assert _rows(got.where("k is null"), "v", "version") == [("n2", 3)]
+    assert store.versions(spark, root) == [0, 1, 2, 3]
+    assert store.compact(spark, root) and not store.compact(spark, root)
+    assert _rows(store.read_current(spark, root, with_version=True).where("k is not null"), "k", "v", "version") == want
+    parts = [r.p for r in frame((3, "")).select(store.part_of("k").alias("p")).collect()]
+    assert (3, "c") in _rows(store.read_current(spark, root, parts=parts).where("k is not null"), "k", "v")
+    # a deleted key may come back
+    assert store.commit_delta(frame((1, "again")), root, 4, "k")
+    assert (1, "again", 4) in _rows(store.read_current(spark, root, with_version=True).where("k is not null"), "k", "v", "version")
+
+
+def test_a_commit_writes_its_batch_and_deltas_are_compacted(spark):
+    root = tempfile.mkdtemp(prefix="filelens-store-") + "/t"
+    state = spark.range(200_000).selectExpr("id AS k", "sha2(string(id), 256) AS v")
+    store.commit(state, root, 0)
+
+    def size(name):
+        return sum(os.path.getsize(f"{root}/{name}/{f}") for f in os.listdir(f"{root}/{name}") if f.endswith(".parquet"))
+
+    for n in range(1, 20):
+        store.commit_delta(spark.createDataFrame([(n, f"v{n}")], "k long, v string"), root, n, "k", keep=1)
+        if n % store.MAX_DELTAS:  # else compacted, and gone with keep=1
+            assert size(f"v={n}-by=k") < size(next(d for d in os.listdir(root) if "by" not in d)) / 1000
+    names = sorted(os.listdir(root))
+    assert sum("by" in d for d in names) <= store.MAX_DELTAS and "v=0" not in names
+    back = store.read_current(spark, root)
+    assert back.count() == 200_000 and _rows(back.where("k between 1 and 20 and v like 'v%'"), "k") == [(n,) for n in range(1, 20)]
+
+
+def test_stream_writes_deltas_and_counters(spark):
+    from filelens.streaming import jobs
+    sch = "k long, id long, ts long, v string"
+    root = tempfile.mkdtemp(prefix="filelens-state-") + "/s"
+    batches = [[(1, 1, 10, "a"), (2, 2, 5, "b"), (1, 3, 12, "c"), (None, 9, None, "n")],
+               [(1, 4, 12, "equal"), (2, 5, 4, "older"), (3, 6, 1, "new"), (None, 8, 1, "n2")], [], [(2, 7, 6, "newer")]]
+    for _ in range(2):  # the second time all triggers are replayed
+        for i, rows in enumerate(batches):
+            jobs.commit_newer(spark.createDataFrame(rows, sch), i, root, "k", "ts", "id")
+    got = store.read_current(spark, root)
+    assert _rows(got.where("k is not null"), "k", "id", "v") == [(1, 3, "c"), (2, 7, "newer"), (3, 6, "new")]
+    assert _rows(got.where("k is null"), "v") == [("n2",)]
+    assert _rows(jobs.read_counters(spark, root), "batch_id", "arrived", "keys", "inserted", "updated") == [
+        (0, 4, 3, 3, 0), (1, 4, 4, 1, 1), (2, 0, 0, 0, 0), (3, 1, 1, 0, 1)]
+
+
+def test_second_index_run_writes_nothing(spark):
+    from filelens.operators import index
+    root = tempfile.mkdtemp(prefix="filelens-index-") + "/i"
+    files = "file_id long, path string, name string, extension string, last_modified long"
+    scan = spark.createDataFrame([(1, "/a.txt", "a.txt", ".txt", 5), (2, "/b.txt", "b.txt", ".txt", 7)], files)
+    vecs = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "file_id long, embedding array<double>")
+    texts = spark.createDataFrame([("/a.txt", True), ("/b.txt", True)], "path string, has_text boolean")
+    store.commit(scan.where("false").withColumn("embedding", F.array().cast("array<double>")), root, 0)
+    for run in (1, 2):
+        assert index.index_run(scan, vecs, texts, root, run)
+    assert _rows(store.read_current(spark, root, with_version=True), "path", "version") == [("/a.txt", 1), ("/b.txt", 1)]
+    assert spark.read.parquet(f"{root}/v=2-by=path").count() == 0
+    assert index.index_run(scan.withColumn("last_modified", F.col("last_modified") + F.col("file_id") - 1), vecs, texts, root, 3)
+    assert spark.read.parquet(f"{root}/v=3-by=path").count() == 1
