@@ -278,9 +278,7 @@ def token_table(docs: DataFrame, tokenizer: str | None = None, end_id: int = END
     return done.join(F.broadcast(bases), "task").select("doc_id", "ids", "n", (F.col("base") + F.col("pos")).alias("at"))
 
 
-def _cut(seq_len: int, wide: bool, schema: pa.Schema):
-    dtype = np.uint32 if wide else np.uint16
-
+def _cut(seq_len: int, schema: pa.Schema):
     def run(batches):
         for b in batches:
             docs, n = b.column("doc_id"), b.column("n").to_numpy(False)
@@ -299,7 +297,8 @@ def _cut(seq_len: int, wide: bool, schema: pa.Schema):
             ids, last = None, -1
             for i, (r, s, m) in enumerate(zip(row.tolist(), start.tolist(), length.tolist())):
                 if r != last:
-                    ids, last = np.frombuffer(b.column("ids")[r].as_buffer(), dtype).astype("<u4"), r
+                    packed = b.column("ids")[r].as_buffer()  # two or four bytes an id
+                    ids, last = np.frombuffer(packed, f"u{len(packed) // n[r]}").astype("<u4"), r
                 crc[i] = zlib.crc32(ids[s:s + m])
             yield pa.RecordBatch.from_arrays(
                 [docs.take(pa.array(row)), *map(pa.array, (start, length, crc, n[row], seq, lo - seq * seq_len))],
@@ -311,12 +310,10 @@ def pack(docs: DataFrame, seq_len: int = SEQ_LEN, tokenizer: str | None = None,
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset) of all documents of ``docs`` (doc_id, text)."""
     from pyspark.sql.pandas.types import to_arrow_type
-    from tokenizers import Tokenizer
 
     tokens = token_table(docs, tokenizer, end_id)
-    wide = Tokenizer.from_file(tokenizer or default_tokenizer()).get_vocab_size() > 1 << 16
     kind = tokens.schema["doc_id"].dataType
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = pa.schema([("doc_id", to_arrow_type(kind)), *((c, pa.int64()) for c in names)])
-    return tokens.mapInArrow(_cut(seq_len, wide, schema), f"doc_id {kind.simpleString()}, "
+    return tokens.mapInArrow(_cut(seq_len, schema), f"doc_id {kind.simpleString()}, "
                              + ", ".join(f"`{c}` bigint" for c in names))
