@@ -1,24 +1,33 @@
-"""Line dedup by window hashes over lines, in DataFrame operations only.
+"""Line dedup by winnowing over line hashes, in DataFrame operations only.
 
 A repeated run is a stretch of consecutive lines (blank ones aside) of at
 least ``min_words`` words that equals a stretch earlier in the corpus, where
 documents are ordered by id. Its lines are deleted.
 
-Windows are sized in words, not lines: from every line on, and back from every
-line, the shortest stretch that reaches ``min_words``. All windows are kept
-(none are selected as winnowing does), and equal windows meet by the hash of
-their whole content. The fingerprint, a window's least line hash, follows from
-the content and is only carried along. Every repeated run holds the forward window of its first line
-and the backward window of its last line, and the windows of a run cover it
-wholly: no run is missed, and none shorter is touched.
+1. Fingerprints. From every line on, the window is the shortest stretch that
+   reaches ``min_words``; the least line hash in it (the first, if several are
+   alike) is selected. A window's content decides which line that is, and a
+   repeated run holds the window of its first line, so every repeated run has
+   a fingerprint in common with what it repeats. Neighbouring windows mostly
+   select the same line: only these minima are dealt by their hash.
+2. Positions. Fingerprints that occur at more than one position are joined
+   back to their positions; text without any is done with.
+3. Extension. Around each such position the match is extended both ways: the
+   forward windows (from each line on) and the backward windows (back from
+   each line) that hold it are compared as wholes, by 128 bits of all their
+   lines, with the first occurrence of the same content. Equal windows overlap
+   into the whole run: the forward windows cover a run up to its last
+   ``min_words`` words, the backward window of its last line covers these.
 
 Positions meet at a window's first occurrence, never in pairs. A deleted line
 always has an equal line earlier, so every line's first occurrence stays.
 
 Defined cases: a null text stays null and has no lines; an empty or blank text
 stays; a blank line goes only with a document that has no words left; rows
-that repeat an id are ordered by the table's order; other columns are kept; an
-empty table gives an empty result.
+that repeat an id are ordered by the table's order; other columns are kept
+(one named ``n_deleted_lines`` gives way to the operator's own in
+:func:`dedup`, and stays in :func:`drop_repeats`); an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -41,40 +50,74 @@ def lines_of(texts: DataFrame) -> DataFrame:
                         F.struct(F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b")).alias("h"))
 
 
-def windows_of(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(k, doc_id, first, last, fingerprint, content): the forward and the
-    backward window of each line, by numbers of the lines with words."""
-    in_doc = Window.partitionBy("k")
-    full = lines.where("words > 0").select(
-        "k", "doc_id", "words", "h", F.row_number().over(in_doc.orderBy("pos")).alias("n"),
-        F.sum("words").over(in_doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("end")) \
+def _placed(lines: DataFrame) -> DataFrame:
+    """Lines with words, with their number ``n`` in the document and the words
+    before (``start``) and up to them (``end``)."""
+    in_order = Window.partitionBy("k").orderBy("pos")
+    return lines.where("words > 0").withColumns({
+        "n": F.row_number().over(in_order),
+        "end": F.sum("words").over(in_order.rowsBetween(Window.unboundedPreceding, 0))}) \
         .withColumn("start", F.col("end") - F.col("words"))
-    # a line belongs to the window from line i on if it starts within
-    # min_words words of i's start; backwards the same with the ends
-    ahead = in_doc.orderBy("start").rangeBetween(0, min_words - 1)
-    back = in_doc.orderBy(F.desc("end")).rangeBetween(0, min_words - 1)
+
+
+def _frames(min_words: int):
+    """A line belongs to the window from line i on if it starts within
+    ``min_words`` words of i's start; backwards the same with the ends."""
+    in_doc = Window.partitionBy("k")
+    return (in_doc.orderBy("start").rangeBetween(0, min_words - 1),
+            in_doc.orderBy(F.desc("end")).rangeBetween(0, min_words - 1))
+
+
+def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(k, pos, fingerprint): the lines selected by some full window, once each."""
+    ahead, _ = _frames(min_words)
+    least = _placed(lines).select("k", "n", F.sum("words").over(ahead).alias("total"),
+                                  F.min(F.struct(F.col("h.a").alias("fingerprint"), "pos")).over(ahead).alias("least"))
+    # windows move on, and so do their minima: a line is new where the choice changes
+    before = F.lag("least.pos").over(Window.partitionBy("k").orderBy("n"))
+    return least.where(F.col("total") >= min_words).withColumn("before", before) \
+        .where(~F.col("before").eqNullSafe(F.col("least.pos"))).select("k", "least.pos", "least.fingerprint")
+
+
+def repeated_positions(seeds: DataFrame) -> DataFrame:
+    """(k, pos) of the fingerprints that occur at more than one position."""
+    often = seeds.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    return seeds.join(often, "fingerprint").select("k", "pos")
+
+
+def extensions(lines: DataFrame, positions: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(k, doc_id, first, last, content): the forward and backward windows that
+    hold one of ``positions``, by numbers of the lines with words."""
+    # the positions go along as rows of their documents: one exchange for all
+    marks = positions.select("k", F.lit(None).cast("long").alias("doc_id"), "pos", F.lit(None).cast("long").alias("words"),
+                             F.lit(None).cast(lines.schema["h"].dataType).alias("h"), F.lit(True).alias("held"))
+    rows = lines.where("words > 0").withColumn("held", F.lit(False)).unionByName(marks).repartition("k")
+    marked = rows.withColumn("held", F.max("held").over(Window.partitionBy("k", "pos"))) \
+        .withColumn("any", F.max("held").over(Window.partitionBy("k"))).where(F.col("any") & F.col("words").isNotNull())
+    ahead, back = _frames(min_words)
 
     def window(over, other_way: bool):
         hashes = F.collect_list("h").over(over)
         return F.struct(F.min("n").over(over).alias("first"), F.max("n").over(over).alias("last"),
-                        F.sum("words").over(over).alias("words"), F.min("h").over(over).alias("fingerprint"),
+                        F.sum("words").over(over).alias("words"), F.max("held").over(over).alias("held"),
                         (F.reverse(hashes) if other_way else hashes).alias("hashes"))
 
-    both = full.select("k", "doc_id", window(ahead, False).alias("f"), window(back, True).alias("b"))
-    each = both.select("k", "doc_id", F.explode(F.array("f", "b")).alias("w")).where(F.col("w.words") >= min_words)
+    both = _placed(marked).select("k", "doc_id", window(ahead, False).alias("f"), window(back, True).alias("b"))
+    each = both.select("k", "doc_id", F.explode(F.array("f", "b")).alias("w")) \
+        .where((F.col("w.words") >= min_words) & F.col("w.held"))
     content = F.struct(F.xxhash64("w.hashes").alias("a"), F.xxhash64("w.hashes", F.lit(1)).alias("b"))
-    return each.select("k", "doc_id", "w.first", "w.last", F.col("w.fingerprint.a").alias("fingerprint"),
-                       content.alias("content")).distinct()
+    return each.select("k", "doc_id", "w.first", "w.last", content.alias("content")).distinct()
 
 
 def repeated_lines(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(k, n): the lines (numbers of lines with words) of later repeated runs."""
-    windows = materialized(windows_of(lines, min_words), "winnow-windows")
+    seeds = materialized(fingerprints(lines, min_words), "winnow-fingerprints")
+    windows = materialized(extensions(lines, repeated_positions(seeds), min_words), "winnow-windows")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k", "first")
     seen = materialized(
-        windows.groupBy("fingerprint", "content").agg(F.min(place).alias("source"), F.count(F.lit(1)).alias("times"))
-        .where("times > 1").select("fingerprint", "content", "source"), "winnow-sources")
-    later = windows.join(seen, ["fingerprint", "content"]).where(
+        windows.groupBy("content").agg(F.min(place).alias("source"), F.count(F.lit(1)).alias("times"))
+        .where("times > 1").select("content", "source"), "winnow-sources")
+    later = windows.join(seen, "content").where(
         (F.col("k") != F.col("source.k")) | (F.col("first") != F.col("source.first")))
     return later.select("k", F.explode(F.sequence("first", "last")).alias("n")).distinct()
 
@@ -94,9 +137,9 @@ def _cleaned(texts: DataFrame, min_words: int) -> DataFrame:
         .select("k", F.transform("f", lambda x: x["del"]).alias("deleted"), "gone")
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text) with the text without its
-    repeated runs, and ``n_deleted_lines``."""
+def _deduped(docs: DataFrame, count: str, min_words: int) -> DataFrame:
+    """All columns of ``docs``, with the text without its repeated runs, and
+    the number of deleted lines in the new column ``count``."""
     k, deleted, gone = (fresh(n, docs) for n in ("winnow_row", "winnow_deleted", "winnow_gone"))
     texts = materialized(docs.withColumn(k, F.monotonically_increasing_id()), "winnow-texts")
     changed = _cleaned(texts.select(col(k).alias("k"), col("doc_id"), col("text")), min_words)
@@ -104,18 +147,26 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                      k, "left")
     kept = F.filter(F.arrays_zip(F.split(col("text"), "\n", -1).alias("line"), col(deleted).alias("d")), lambda x: ~x["d"])
     text = F.when(col(deleted).isNull(), col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    cols = [text.alias("text") if c == "text" else col(c) for c in docs.columns if c != "n_deleted_lines"]
-    return out.select(*cols, F.coalesce(col(gone), F.lit(0)).alias("n_deleted_lines"))
+    cols = [text.alias("text") if c == "text" else col(c) for c in docs.columns]
+    return out.select(*cols, F.coalesce(col(gone), F.lit(0)).alias(count))
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """All columns of ``docs`` (doc_id, text) with the text without its
+    repeated runs, and ``n_deleted_lines``."""
+    others = docs.select(*[col(c) for c in docs.columns if c.lower() != "n_deleted_lines"])
+    return _deduped(others, "n_deleted_lines", min_words)
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without repeated runs, with its columns; a document that had
     words and has none left is dropped, and ``n_chars`` (if there) follows the
     text."""
-    out = dedup(docs, min_words)
-    left = out.where((F.col("n_deleted_lines") == 0) | F.coalesce(col("text").rlike(WORD), F.lit(False)))
+    count = fresh("winnow_count", docs)
+    out = _deduped(docs, count, min_words)
+    left = out.where((col(count) == 0) | F.coalesce(col("text").rlike(WORD), F.lit(False)))
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("n_deleted_lines") == 0, col("n_chars"))
+        left = left.withColumn("n_chars", F.when(col(count) == 0, col("n_chars"))
                                .otherwise(F.length(col("text")).cast(docs.schema["n_chars"].dataType)))
     return left.select(*[col(c) for c in docs.columns])
 

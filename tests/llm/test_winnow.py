@@ -32,6 +32,59 @@ def test_runs_extend_both_ways(spark):
     parity(df.toPandas(), df)
 
 
+def lines(spark, docs):
+    return W.lines_of(spark.createDataFrame([(i, i, t) for i, t in enumerate(docs)], "k long, doc_id long, text string"))
+
+
+def test_fingerprints_are_window_minima(spark):
+    texts = ["\n".join(sentence(100 * d + i, 5 + 7 * i % 23) for i in range(120)) for d in range(3)] + [sentence(9, 49)]
+    rows = lines(spark, texts)
+    by_doc = {}
+    for r in rows.orderBy("k", "pos").collect():
+        by_doc.setdefault(r.k, []).append((r.h.a, r.pos, r.words))
+    want = set()
+    for k, ls in by_doc.items():
+        for i in range(len(ls)):
+            for j in range(i, len(ls)):
+                if sum(x[2] for x in ls[i:j + 1]) >= W.MIN_WORDS:
+                    a, pos, _ = min(ls[i:j + 1])
+                    want.add((k, pos, a))
+                    break
+    got = [tuple(r) for r in W.fingerprints(rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len(got) < sum(map(len, by_doc.values())) * 2 / 3  # minima, not every line
+
+
+def test_only_repeated_fingerprints_are_extended(spark):
+    run = "\n".join(sentence(700 + i, 10) for i in range(7))
+    texts = ["\n".join(sentence(800 + i, 10) for i in range(30)), f"{sentence(1, 20)}\n{run}\n{sentence(2, 20)}",
+             f"{run}\n{sentence(3, 90)}"]
+    rows = lines(spark, texts)
+    positions = W.repeated_positions(W.fingerprints(rows))
+    assert {r.k for r in positions.collect()} == {1, 2}
+    windows = W.extensions(rows, positions).collect()
+    assert {r.k for r in windows} == {1, 2}  # text without a common fingerprint is done with
+    assert {(r.k, r.n) for r in W.repeated_lines(rows).collect()} == {(2, n) for n in range(1, 8)}
+
+
+def test_random_runs_against_sql(spark):
+    import random
+
+    rng = random.Random(5)
+    pool = [sentence(40 + i, rng.choice([1, 3, 9, 12, 25, 49, 50, 60])) for i in range(12)] + ["", " "]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14)))) for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert parity(df.toPandas(), df).n_deleted_lines.sum() > 100
+
+
+def test_columns_named_like_helpers(spark):
+    df = spark.createDataFrame([(1, sentence(1, 60), 7, 1, "a", True), (2, sentence(1, 60) + "\nx", 8, 2, "b", False)],
+                               "doc_id long, text string, n_deleted_lines long, winnow_count int, winnow_gone string, k boolean")
+    got = [tuple(r) for r in W.drop_repeats(df).orderBy("doc_id").collect()]
+    assert got == [(1, sentence(1, 60), 7, 1, "a", True), (2, "x", 8, 2, "b", False)]
+    assert [r.n_deleted_lines for r in W.dedup(df).orderBy("doc_id").collect()] == [0, 1]
+
+
 def test_main_path_is_native(spark):
     plan = W.dedup(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
