@@ -428,6 +428,41 @@ SELECT file_id, extension,
        CASE WHEN extension = '.txt' THEN CAST(length(text) AS BIGINT) END AS n_chars
 FROM files"""
 
+MIXED_TREE = r"""tree AS (
+  SELECT doc_id, 'd' || (doc_id % 20) || '/' AS top, doc_id % 6 AS c, CASE WHEN doc_id % 6 = 4 THEN '' ELSE coalesce(text, '') END AS body
+  FROM documents),
+placed AS (
+  SELECT doc_id, body, CASE c WHEN 0 THEN top || 'doc_' || doc_id || '.txt' WHEN 1 THEN top || '.hidden/doc_' || doc_id || '.txt'
+         WHEN 2 THEN top || '_parts/a/b/.doc_' || doc_id || '.txt' WHEN 3 THEN '_doc_' || doc_id || '.MD'
+         WHEN 4 THEN top || 'empty/doc_' || doc_id ELSE top || 'we[ird]/sp ace_' || doc_id || '.pdf' END AS path FROM tree)"""
+
+SQL["scan_tree"] = "WITH " + MIXED_TREE + r"""
+SELECT doc_id, path, split_part(path, '/', -1) AS name, regexp_extract(split_part(path, '/', -1), '^.+(\.[^.]*)$', 1) AS extension,
+       CAST(strlen(body) AS BIGINT) AS size_bytes
+FROM placed"""
+
+# a character is of the piece that its first byte lies in
+SQL["text_pieces"] = "WITH " + MIXED_TREE + r""",
+chars AS (SELECT doc_id, unnest(string_split(body, '')) AS ch, generate_subscripts(string_split(body, ''), 1) AS i
+          FROM placed WHERE path LIKE '%.txt' AND body <> ''),
+bytes AS (SELECT *, CAST(sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(ch) AS BIGINT) AS first_byte FROM chars),
+pieces AS (SELECT doc_id, first_byte // 1000 AS piece, min(first_byte) AS "offset", string_agg(ch, '' ORDER BY i) AS text
+           FROM bytes GROUP BY doc_id, first_byte // 1000
+           UNION ALL SELECT doc_id, 0, 0, '' FROM placed WHERE path LIKE '%.txt' AND body = '')
+SELECT doc_id, CAST(piece AS BIGINT) AS piece, CAST("offset" AS BIGINT) AS "offset",
+       CASE WHEN text = '' THEN 'no_text' ELSE 'ok' END AS status, CAST(length(text) AS BIGINT) AS n_chars,
+       sha256(text) AS content_hash
+FROM pieces"""
+
+SQL["extract_plugged"] = with_(FILES) + """
+SELECT file_id, extension,
+       CASE WHEN extension IN ('.txt', '.pdf') THEN (CASE WHEN length(text) = 0 THEN 'no_text' ELSE 'ok' END)
+            WHEN extension = '.png' THEN 'no_text' WHEN extension IN ('.jpg', '.jpeg') THEN 'no_extractor'
+            ELSE 'unsupported' END AS status,
+       CASE extension WHEN '.txt' THEN sha256(text) WHEN '.png' THEN sha256('')
+            WHEN '.pdf' THEN sha256(array_to_string(list_reverse(string_split(text, '')), '')) END AS content_hash
+FROM files"""
+
 SQL["path_parts"] = r"""
 WITH n AS (SELECT page_id, split_part(regexp_replace(url, '[?#].*$', ''), '/', -1) AS name FROM pages)
 SELECT page_id, name, regexp_extract(name, '^.+(\.[^.]*)$', 1) AS extension FROM n"""

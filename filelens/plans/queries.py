@@ -507,6 +507,64 @@ def q_extract_dispatch(spark, sf_dir):
     return ex.select("file_id", "extension", "status", F.length("text").cast("bigint").alias("n_chars"))
 
 
+_MIXED_TREES: dict[tuple[str, str], str] = {}
+
+
+def mixed_tree(spark, sf_dir) -> str:
+    """The documents as a tree with hidden, ``_`` and empty files and folders of
+    odd names (written once per session and scale factor)."""
+    from filelens.session import scratch_path
+    from filelens.sources.walk import write_files
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MIXED_TREES:
+        root = scratch_path(spark, "mixed-tree")
+        i, case = F.col("doc_id").cast("string"), F.col("doc_id") % 6
+        top = F.concat(F.lit("d"), (F.col("doc_id") % 20).cast("string"))
+        path = F.when(case == 0, F.concat(top, F.lit("/doc_"), i, F.lit(".txt"))) \
+            .when(case == 1, F.concat(top, F.lit("/.hidden/doc_"), i, F.lit(".txt"))) \
+            .when(case == 2, F.concat(top, F.lit("/_parts/a/b/.doc_"), i, F.lit(".txt"))) \
+            .when(case == 3, F.concat(F.lit("_doc_"), i, F.lit(".MD"))) \
+            .when(case == 4, F.concat(top, F.lit("/empty/doc_"), i)) \
+            .otherwise(F.concat(top, F.lit("/we[ird]/sp ace_"), i, F.lit(".pdf")))
+        content = F.when(case == 4, F.lit("")).otherwise(F.coalesce("text", F.lit("")))
+        write_files(tables.read(spark, sf_dir, "documents").select(path.alias("path"), content.cast("binary").alias("content")), root)
+        _MIXED_TREES[key] = root
+    return _MIXED_TREES[key]
+
+
+def _mixed_id():
+    return F.regexp_extract("path", r"_([0-9]+)[^/]*$", 1).cast("bigint").alias("doc_id")
+
+
+@register("scan_tree")
+def q_scan_tree(spark, sf_dir):
+    from filelens.functions.paths import strip_uri
+    from filelens.sources.walk import walk
+    root = mixed_tree(spark, sf_dir)
+    below = F.expr("substring(path, length(root) + 2)")
+    return walk(spark, root).withColumn("root", strip_uri(F.lit(root))).select(
+        _mixed_id(), below.alias("path"), "name", "extension", "size_bytes")
+
+
+@register("text_pieces")
+def q_text_pieces(spark, sf_dir):
+    from filelens.sources.walk import text_pieces, walk
+    got = text_pieces(walk(spark, mixed_tree(spark, sf_dir)), 1000)
+    return got.select(_mixed_id(), "piece", "offset", "status", F.length("text").cast("bigint").alias("n_chars"),
+                      F.sha2("text", 256).alias("content_hash"))
+
+
+@register("extract_plugged")
+def q_extract_plugged(spark, sf_dir):
+    from filelens.sources.files import extract
+    f = tables.files(spark, sf_dir, with_text=True).withColumn("content", F.col("text").cast("binary")).drop("text")
+    # stand-ins of a codec: PDF bodies in reverse, nothing in images
+    plugged = {".pdf": lambda s: s.map(lambda b: bytes(b).decode("utf-8", "replace")[::-1]),
+               ".png": lambda s: s.map(lambda b: "")}
+    ex = extract(f, extractors=plugged)
+    return ex.select("file_id", "extension", "status", F.sha2("text", 256).alias("content_hash"))
+
+
 @register("path_parts")
 def q_path_parts(spark, sf_dir):
     from filelens.functions import paths as P

@@ -3,8 +3,9 @@
 Differences from a plain directory walk (documented, not hidden): the file
 source skips names starting with '.' or '_' (files and directories), skips
 zero-length files, follows directory symlinks and returns ``file:`` URIs
-(stripped here). For an exact inventory from another listing, pass a
-DataFrame of path strings to :func:`inventory_from_paths`.
+(stripped here). ``sources.walk`` lists a tree exactly and reads bodies of
+any size in pieces; for an inventory from another listing, pass a DataFrame
+of path strings to :func:`inventory_from_paths`.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from filelens.functions import paths as P
 from filelens.functions import text as X
 from filelens.schema import ALLOWED_EXTENSIONS, IMAGE_EXTENSIONS
 
-# A row of Spark's binary reader holds at most 2 GiB; only what it cannot hold
-# is quarantined.
+# A row of Spark's binary reader holds at most 2 GiB. Larger texts come whole
+# from ``walk.text_pieces``; only bodies for extractors are quarantined.
 MAX_CONTENT_BYTES = 2_000_000_000
 
 
@@ -90,8 +91,10 @@ def registered_extractors() -> dict[str, Extractor]:
     return dict(_EXTRACTORS)
 
 
-def extract(files: DataFrame, strict_reference: bool = False) -> DataFrame:
-    """Text and status for every file row (needs extension and content).
+def extract(files: DataFrame, strict_reference: bool = False,
+            extractors: dict[str, Extractor] | None = None) -> DataFrame:
+    """Text and status for every file row (needs extension and content), with
+    the plugged ``extractors`` by extension (default: the registered ones).
 
     status: ok | repaired (invalid UTF-8 replaced) | no_text (empty result)
     | too_large (content NULL) | no_extractor (pdf/image without a plugged
@@ -100,7 +103,7 @@ def extract(files: DataFrame, strict_reference: bool = False) -> DataFrame:
     '.jpeg' counts as unsupported (the original dispatch compared it
     without its dot)."""
     images = [e for e in IMAGE_EXTENSIONS if not (strict_reference and e == ".jpeg")]
-    plugged = {e: f for e, f in _EXTRACTORS.items()}
+    plugged = dict(_EXTRACTORS if extractors is None else extractors)
     ext = F.col("extension")
     txt = X.repaired_text("content")
     base = files.withColumn("_kind", F.when(ext == ".txt", "txt")
