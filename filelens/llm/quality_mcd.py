@@ -190,31 +190,36 @@ def fit(vectors: DataFrame, support: float = SUPPORT, steps: int = STEPS, min_gr
     return model
 
 
-def score(rows: DataFrame, s: str, model: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """Adds ``mcd_distance`` (null where base rules fail) and ``mcd_kept``,
+def score(rows: DataFrame, s: str, model: DataFrame, cutoff: float = CUTOFF, distance: str = "mcd_distance",
+          kept: str = "mcd_kept") -> DataFrame:
+    """Adds the columns ``distance`` (null where base rules fail) and ``kept``,
     from the finest level of the model that has the row's group."""
     lang, source = (F.col(c) for c in ("lang", "source"))
     # every row with statistics is of the corpus
     names = [_group_name(lang, source), _group_name(lang), F.when(col(s).isNotNull(), _group_name())]
-    out = rows
-    for k, name in enumerate(names):
-        part = model.select(F.col("g").alias(f"_g{k}"), F.struct("centre", "inverse").alias(f"_p{k}"))
-        out = out.join(part, name == F.col(f"_g{k}"), "left")
-    out = out.withColumn("_p", F.coalesce("_p0", "_p1", "_p2"))
-    d = F.when(~base_failed(s), _distance(_features(s), "_p.centre", "_p.inverse"))
-    return out.withColumn("mcd_distance", d) \
-        .withColumn("mcd_kept", ~base_failed(s) & (F.coalesce(F.col("mcd_distance"), F.lit(0.0)) <= cutoff)) \
-        .drop(*[f"_{c}{k}" for c in "gp" for k in range(3)], "_p")
+    out, parts = rows, []
+    for name in names:
+        group, part = fresh("mcd_group", out), fresh("mcd_part", out)
+        out = out.join(model.select(F.col("g").alias(group), F.struct("centre", "inverse").alias(part)),
+                       name == F.col(group), "left").drop(group)
+        parts.append(part)
+    best = fresh("mcd_best", out)
+    out = out.withColumn(best, F.coalesce(*parts)).drop(*parts)
+    d = F.when(~base_failed(s), _distance(_features(s), f"{best}.centre", f"{best}.inverse"))
+    return out.withColumn(distance, d) \
+        .withColumn(kept, ~base_failed(s) & (F.coalesce(F.col(distance), F.lit(0.0)) <= cutoff)).drop(best)
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Per row of ``docs`` (text, lang, source and any other columns): struct
-    ``stats``, ``base_failed``, ``mcd_distance`` and ``kept``; the text is
-    dropped. The statistics are computed once and written (narrow rows)."""
-    keep = [c for c in docs.columns if c not in ("text", "stats", "mcd_distance", "mcd_kept", "base_failed", "kept")]
+    ``stats``, ``base_failed``, ``mcd_distance`` and ``kept``; columns of these
+    names give way and the text is dropped. The statistics are computed once
+    and written (narrow rows)."""
+    own = ("text", "stats", "mcd_distance", "base_failed", "kept")
+    keep = [c for c in docs.columns if c.lower() not in own]
     rows = materialized(docs.select(*[col(c) for c in keep], text_stats(col("text")).alias("stats")), "quality-stats")
-    scored = score(rows, "stats", fit(_vectors(rows, "stats")), cutoff)
-    return scored.withColumn("base_failed", base_failed("stats")).withColumnRenamed("mcd_kept", "kept")
+    scored = score(rows, "stats", fit(_vectors(rows, "stats")), cutoff, kept="kept")
+    return scored.withColumn("base_failed", base_failed("stats"))
 
 
 def _vectors(rows: DataFrame, s: str) -> DataFrame:
@@ -230,5 +235,8 @@ def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     s = fresh("quality_stats", docs)
     rows = materialized(docs.select("lang", "source", text_stats(col("text")).alias("stats")), "quality-stats")
     model = fit(_vectors(rows, "stats"))
-    out = score(docs.withColumn(s, text_stats(col("text"))), s, model, cutoff)
-    return out.where(F.col("mcd_kept")).select(*[col(c) for c in docs.columns])
+    rated = docs.withColumn(s, text_stats(col("text")))
+    distance = fresh("mcd_distance", rated)
+    kept = fresh("mcd_kept", rated)
+    out = score(rated, s, model, cutoff, distance, kept)
+    return out.where(F.col(kept)).select(*[col(c) for c in docs.columns])

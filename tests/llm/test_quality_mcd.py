@@ -82,3 +82,20 @@ def test_awkward_tables(spark):
     _, _, keep = brute_verdicts([r[1:4] for r in rows])
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r[0]) for r, k in zip(rows, keep) if k)
     assert Q.judge(nothing(spark)).count() == 0 and Q.keep_good(nothing(spark)).count() == 0
+
+
+def test_columns_named_like_helpers(spark):
+    from pyspark.sql import functions as F
+
+    helpers = ["mcd_distance", "mcd_kept", "_p", "_p0", "_g0", "mcd_group", "mcd_part", "mcd_best", "quality_stats", "g", "n"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    clashing = docs.select("*", *[F.concat(F.lit(h), "doc_id").alias(h) for h in helpers])
+    got = Q.keep_good(clashing)
+    assert got.columns == clashing.columns
+    rows = got.drop("text").collect()
+    assert rows and all(r[h] == f"{h}{r.doc_id}" for r in rows for h in helpers)
+    plain = {r.doc_id: (r.kept, r.mcd_distance) for r in Q.judge(docs).collect()}
+    assert {r.doc_id for r in rows} == {k for k, v in plain.items() if v[0]}
+    judged = Q.judge(clashing)
+    assert {r.doc_id: r.kept for r in judged.collect()} == {k: v[0] for k, v in plain.items()}
+    assert judged.where(F.col("_p0") != F.concat(F.lit("_p0"), "doc_id")).count() == 0
