@@ -6,9 +6,16 @@ the minimum covariance determinant (MCD) gives a centre and a scatter that
 junk does not move, and a text is rejected when its robust Mahalanobis
 distance is beyond the cut-off.
 
-The MCD is computed by distributed C-steps: the groups' h-quantile of the
-distances and the moments of the rows inside it are plain aggregates with
-map-side partial sums, so a hot group is no larger a task than any other.
+A text's statistics are rates over its words, and short texts show them less
+exactly. Its distance is therefore taken in the group's scatter S plus the
+sampling noise N / n of a text of n words, where N is diagonal (:data:`NOISE`).
+With the generalised eigenvectors of S and N (W'NW = 1, W'SW = L) the distance
+is a plain sum, (W'(x - c))_k^2 / (L_k + 1 / n), for every length of text.
+
+The MCD is computed by distributed C-steps until the determinants settle: the
+groups' h-quantile of the distances and the moments of the rows inside it are
+plain aggregates with map-side partial sums, so a hot group is no larger a
+task than any other.
 Groups under ``min_group`` rows use their language's estimate, and then that
 of the whole corpus, so that no row goes without one.
 
@@ -41,13 +48,17 @@ SYMBOLS = "[#*$%&|<>]"
 
 # MCD
 SUPPORT = 0.75       # share of a group inside the covered half
-STEPS = 4            # C-steps after the median/MAD start
+MOST_STEPS = 12      # C-steps after the median/MAD start, unless it settles before
+SETTLED = 0.01       # greatest change of a log determinant that ends them
 MIN_GROUP = 200      # rows an estimate needs
 CUTOFF = 25.0        # squared distance; a Gaussian row exceeds it once in 20,000
-# Least spread of each feature: deviations below it are never outlying, and
-# a constant feature (no symbols at all) does not make the scatter singular.
-FLOORS = (0.15, 0.10, 0.15, 0.15)
-DIM = len(FLOORS)
+# Variance of a feature in a text of one word (of n words: that over n). Word
+# lengths within a text have a squared coefficient of variation of some 0.35.
+# The square root of a count's rate has the variance m / 4n if the count comes
+# in lots of m: symbols and lines in pairs, repeated words in passages of 50.
+NOISE = (0.35, 0.5, 0.5, 12.5)
+GUARD = 0.01         # spread that texts of a group have at least: only against singular scatters
+DIM = len(NOISE)
 _KEYS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -93,10 +104,14 @@ def text_stats(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], STATS)
 
 
+def _words(s: str):
+    return F.greatest(col(s)["n_words"], F.lit(1)).cast("double")
+
+
 def _features(s: str) -> list:
     """Transformed statistics of the struct column ``s``: log word length and
     square roots of rates (which evens out the spread of small rates)."""
-    n = F.greatest(col(s)["n_words"], F.lit(1)).cast("double")
+    n = _words(s)
     lines = F.sqrt(col(s)["n_dup_lines"] / n)
     return [F.log(F.greatest(col(s)["word_chars"], F.lit(1)) / n), F.sqrt(col(s)["n_symbols"] / n),
             lines, F.sqrt(col(s)["n_repeat_words"] / n)]
@@ -106,13 +121,14 @@ def base_failed(s: str):
     return (col(s)["n_words"] < MIN_WORDS) | (100 * col(s)["n_repeat_words"] > MAX_REPEAT_PERCENT * col(s)["n_words"])
 
 
-def _distance(x: list, centre: str, inverse: str):
-    """Squared Mahalanobis distance, as plain arithmetic on columns."""
-    d = [xi - F.col(centre)[i] for i, xi in enumerate(x)]
-    terms = [d[i] * d[j] * F.col(inverse)[k] * (1 if i == j else 2) for k, (i, j) in enumerate(_KEYS)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
+def _distance(x: list, words, centre, axes, spread):
+    """Squared Mahalanobis distance in the scatter plus the noise of a text of
+    ``words`` words, as plain arithmetic on columns."""
+    d = [xi - centre[i] for i, xi in enumerate(x)]
+    total = F.lit(0.0)
+    for k in range(DIM):
+        along = sum((d[i] * axes[i * DIM + k] for i in range(1, DIM)), d[0] * axes[k])
+        total = total + along * along / (spread[k] + 1 / words)
     return total
 
 
@@ -127,27 +143,36 @@ def _consistency(share: float) -> float:
     return share / inner
 
 
+def _axes(scatter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """W and L with W'NW = 1 and W'SW = L."""
+    root = np.sqrt(NOISE)
+    spread, turned = np.linalg.eigh(scatter / np.outer(root, root))
+    return turned / root[:, None], np.maximum(spread, 0.0)
+
+
 def _solve(batches):
-    """Rows of moments -> centre and upper triangle of the inverse scatter."""
+    """Rows of moments -> centre, axes and spreads along them, log determinant."""
     factor = _consistency(SUPPORT)
     for b in batches:
         m = np.stack([b.column(f"m{i}").to_numpy(False) for i in range(DIM)], 1) if b.num_rows else np.zeros((0, DIM))
-        inv = np.zeros((len(m), len(_KEYS)))
         p = [b.column(f"p{k}").to_numpy(False) for k in range(len(_KEYS))]
+        axes, spreads, logs = [], [], []
         for r in range(len(m)):
             s = np.zeros((DIM, DIM))
             for k, (i, j) in enumerate(_KEYS):
                 s[i, j] = s[j, i] = (p[k][r] - m[r, i] * m[r, j]) * factor
-            s[np.diag_indices(DIM)] = np.maximum(np.diag(s), 0) + np.square(FLOORS)
-            v = np.linalg.inv(s)
-            inv[r] = [v[i, j] for i, j in _KEYS]
-        out = b.select(["g", "n"])
+            s[np.diag_indices(DIM)] = np.maximum(np.diag(s), 0) + GUARD ** 2
+            w, spread = _axes(s)
+            axes.append(w.ravel())
+            spreads.append(spread)
+            logs.append(float(np.log(np.maximum(spread, 1e-12)).sum()))
+        doubles = pa.list_(pa.float64())
         yield pa.RecordBatch.from_arrays(
-            [*out.columns, pa.array(list(m), pa.list_(pa.float64())), pa.array(list(inv), pa.list_(pa.float64()))],
-            ["g", "n", "centre", "inverse"])
+            [b.column("g"), b.column("n"), pa.array(list(m), doubles), pa.array(axes, doubles), pa.array(spreads, doubles),
+             pa.array(logs, pa.float64())], ["g", "n", "centre", "axes", "spread", "log_det"])
 
 
-_MODEL = "g string, n bigint, centre array<double>, inverse array<double>"
+_MODEL = "g string, n bigint, centre array<double>, axes array<double>, spread array<double>, log_det double"
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -163,30 +188,39 @@ def _group_name(*parts) -> F.Column:
     return F.to_json(F.array(*[p.cast("string") for p in parts])) if parts else F.lit("[]")
 
 
-def fit(vectors: DataFrame, support: float = SUPPORT, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
-    """MCD estimates (g, n, centre, inverse) at all three levels from rows of
-    (g0, g1, g2, x0..x3): the row's names at source, language and corpus level.
+def fit(vectors: DataFrame, support: float = SUPPORT, most_steps: int = MOST_STEPS,
+        min_group: int = MIN_GROUP) -> DataFrame:
+    """MCD estimates (g, n, centre, axes, spread, log_det) at all three levels
+    from rows of (g0, g1, g2, words, x0..x3): the row's names at source,
+    language and corpus level.
 
-    Start: per-feature medians and median absolute deviations, then C-steps.
+    Start: per-feature medians and median absolute deviations, then C-steps
+    until no group's determinant changes any more (or ``most_steps``).
     """
     x = [F.col(f"x{i}") for i in range(DIM)]
-    flat = vectors.select(F.explode(F.array("g0", "g1", "g2")).alias("g"), *x)
+    flat = vectors.select(F.explode(F.array("g0", "g1", "g2")).alias("g"), "words", *x)
     sizes = flat.groupBy("g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_group)
     med = flat.groupBy("g").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"c{i}") for i, c in enumerate(x)])
     med = materialized(med.join(sizes, "g"), "mcd-start")
     dev = flat.join(med, "g")
     spread = dev.groupBy("g").agg(*[
         F.percentile_approx(F.abs(c - F.col(f"c{i}")), 0.5, 1000).alias(f"s{i}") for i, c in enumerate(x)])
-    zero = F.lit(0.0)
     start = med.join(spread, "g").select(
         "g", F.col("size").alias("n"), F.array(*[F.col(f"c{i}") for i in range(DIM)]).alias("centre"),
-        F.array(*[1 / (F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[i] ** 2) if i == j else zero
-                  for i, j in _KEYS]).alias("inverse"))
+        F.array(*[F.lit(v) for v in np.diag(1 / np.sqrt(NOISE)).ravel().tolist()]).alias("axes"),
+        F.array(*[(F.pow(1.4826 * F.col(f"s{i}"), 2) + GUARD ** 2) / NOISE[i] for i in range(DIM)]).alias("spread"),
+        F.lit(None).cast("double").alias("log_det"))
     model = materialized(start, "mcd-model")
-    for _ in range(steps):
-        near = flat.join(model, "g").select("g", *x, _distance(x, "centre", "inverse").alias("d"))
+    for step in range(most_steps):
+        near = flat.join(model.drop("n", "log_det"), "g").select(
+            "g", *x, _distance(x, F.col("words"), F.col("centre"), F.col("axes"), F.col("spread")).alias("d"))
         limit = materialized(near.groupBy("g").agg(F.percentile_approx("d", support, 1000).alias("limit")), "mcd-limit")
-        model = materialized(_moments(near.join(limit, "g").where("d <= limit")), "mcd-model")
+        before, model = model, materialized(_moments(near.join(limit, "g").where("d <= limit")), "mcd-model")
+        if step:  # one number: the start has no determinant
+            moved = model.join(before.select("g", F.col("log_det").alias("was")), "g") \
+                .agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
+            if moved is None or moved <= SETTLED:
+                break
     return model
 
 
@@ -200,12 +234,12 @@ def score(rows: DataFrame, s: str, model: DataFrame, cutoff: float = CUTOFF, dis
     out, parts = rows, []
     for name in names:
         group, part = fresh("mcd_group", out), fresh("mcd_part", out)
-        out = out.join(model.select(F.col("g").alias(group), F.struct("centre", "inverse").alias(part)),
+        out = out.join(model.select(F.col("g").alias(group), F.struct("centre", "axes", "spread").alias(part)),
                        name == F.col(group), "left").drop(group)
         parts.append(part)
     best = fresh("mcd_best", out)
     out = out.withColumn(best, F.coalesce(*parts)).drop(*parts)
-    d = F.when(~base_failed(s), _distance(_features(s), f"{best}.centre", f"{best}.inverse"))
+    d = F.when(~base_failed(s), _distance(_features(s), _words(s), *(F.col(f"{best}.{c}") for c in ("centre", "axes", "spread"))))
     return out.withColumn(distance, d) \
         .withColumn(kept, ~base_failed(s) & (F.coalesce(F.col(distance), F.lit(0.0)) <= cutoff)).drop(best)
 
@@ -225,7 +259,7 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 def _vectors(rows: DataFrame, s: str) -> DataFrame:
     lang, source = F.col("lang"), F.col("source")
     return rows.where(~base_failed(s)).select(
-        _group_name(lang, source).alias("g0"), _group_name(lang).alias("g1"), _group_name().alias("g2"),
+        _group_name(lang, source).alias("g0"), _group_name(lang).alias("g1"), _group_name().alias("g2"), _words(s).alias("words"),
         *[f.alias(f"x{i}") for i, f in enumerate(_features(s))])
 
 
