@@ -39,10 +39,13 @@ from .common import col
 
 # Element kinds
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = set("script style title textarea noscript template iframe noembed noframes xmp svg math object canvas "
-           "audio video select datalist".split())
+_RAW = set("script style title textarea noscript template iframe noembed noframes xmp canvas audio video select "
+           "datalist desc metadata annotation annotation-xml".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt "
-              "ruby s samp small span strike strong sub sup time tt u var wbr img picture source".split())
+              "ruby s samp small span strike strong sub sup time tt u var wbr img picture source "
+              "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts "
+              "mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none "
+              "semantics tspan".split())
 _NEVER = set("nav footer aside button dialog menu fieldset".split())
 _ROLES = set("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar".split())
 # A start tag of these ends an open element of the second set
@@ -67,14 +70,15 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>?""", re.S)
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_NAMED = re.compile(r"""(?i)(?:^|[\s"'])(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_HIDDEN = re.compile(r"""(?i)(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|"""
-                     r"""style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden))""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAMING = ("class", "id", "role", "itemprop")
+_UNSEEN = re.compile(r"(?i)(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 _SENTENCE_END = re.compile(r"""[.!?…。:;]["'”’)\]]*$""")
 
 # Classifier weights (log-odds of being content) and smoothness
 REGION, OUTSIDE, PARAGRAPH, HEADING, SENTENCE = 3.0, -3.0, 1.0, 0.5, 0.5
-PER_WORD, MOST_WORDS, LINKS, FEW_WORDS = 0.05, 2.0, -5.0, -0.6
+PER_WORD, MOST_WORDS, FEW_WORDS = 0.05, 2.0, -0.6
+LINKS, LINKS_INSIDE = -5.0, -2.5  # of text that is all links, outside and inside an article
 ADJACENT, PROXIMITY = 1.0, 0.6
 # Cost of a name in the list: outside and inside an article or main text, and
 # beside a name of main text (or as the id of a section outside)
@@ -101,6 +105,14 @@ class _Block:
         self.listed = holder.listed
 
 
+def _attributes(raw: str) -> dict[str, str]:
+    """Names (the first of each) and values of a start tag's attributes."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(raw):
+        found.setdefault(name.lower(), a or b or c)
+    return found
+
+
 def _marks(tag: str, attributes: str, parent: _Element) -> tuple[bool, int, float]:
     """Whether an element is boilerplate as such, its region (2 in an article, 1
     in something called content, 0 elsewhere) and the cost of its names."""
@@ -109,11 +121,11 @@ def _marks(tag: str, attributes: str, parent: _Element) -> tuple[bool, int, floa
         junk = junk or region < 2 and listed < LISTED
     names = []
     if attributes and not junk and tag not in ("html", "body"):
-        if _HIDDEN.search(attributes):
+        given = _attributes(attributes)
+        if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(given.get("style", "")):
             return True, region, listed
-        for kind, a, b, c in _NAMED.findall(attributes):
-            kind = kind.lower()
-            for name in (a or b or c).split():
+        for kind in _NAMING:
+            for name in given.get(kind, "").split():
                 if kind == "role" and name.lower() in _ROLES:
                     return True, region, listed
                 # a form may be called one
@@ -265,8 +277,10 @@ def _close_forms(found: list[_Block]) -> None:
 def _score(b: _Block, has_region: bool) -> float:
     """Log-odds of a block being content."""
     words = b.text.count(" ") + 1
-    s = min(PER_WORD * words, MOST_WORDS) + (FEW_WORDS if words < 4 else 0.0)
-    s += LINKS * b.linked / max(1, b.chars) - b.listed
+    # what a name in the list costs grows with the block, so length does not outweigh it
+    length = min(PER_WORD * words, MOST_WORDS) if b.listed < LISTED_INSIDE else 0.0
+    s = length + (FEW_WORDS if words < 4 else 0.0) - b.listed
+    s += (LINKS_INSIDE if b.region == 2 else LINKS) * b.linked / max(1, b.chars)
     if b.tag in ("p", "pre", "blockquote"):
         s += PARAGRAPH
     elif len(b.tag) == 2 and b.tag[0] == "h":

@@ -136,6 +136,42 @@ def test_boilerplate_in_an_article_goes(part):
     assert H.main_text(f"<article><p>{LONG}</p>{part.format(LONG)}<p>{LONG}</p></article>") == f"{LONG} {LONG}"
 
 
+@pytest.mark.parametrize("part", [
+    '<div class="notice"><p>{0} One. Two. Three.</p></div>', '<div id="user-feedback-list"><p>{0}</p><p>{0}</p></div>',
+    '<div class="advertisement">{0} {0}</div>', '<p class="cookie-notice">{0} {0}</p>'])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_long_notices_inside_go(tag, part):
+    assert H.main_text(f"<{tag}><h1>Title</h1><p>{LONG}</p>{part.format(LONG)}<p>{LONG}</p></{tag}>") == f"Title {LONG} {LONG}"
+
+
+@pytest.mark.parametrize("part,text", [
+    ('<p title="is hidden here">{0}</p>', LONG), ("<p data-x='style=display:none; class=advert'>{0}</p>", LONG),
+    ('<p title="a > b" lang=en>{0}</p>', LONG), ('<p aria-hidden="false">{0}</p>', LONG),
+    ('<p aria-hidden=true>{0}</p>', ""), ('<p style="color:red; display : none">{0}</p>', ""), ("<p HIDDEN>{0}</p>", "")])
+def test_attributes_count_by_name(part, text):
+    want = " ".join(x for x in (LONG, text, LONG) if x)
+    assert H.main_text(f"<article><p>{LONG}</p>{part.format(LONG)}<p>{LONG}</p></article>") == want
+
+
+def test_text_that_is_no_paragraph_stays():
+    links = "".join(f"<li><a href=x{i}>A work on subject number {i}</a></li>" for i in range(4))
+    page = (f"<article><p>{LONG}</p><ul>{links}</ul><p>Where <math><mi>x</mi><mo>=</mo><msup><mi>y</mi><mn>2</mn></msup>"
+            f"<annotation>x=y^2</annotation></math> holds.</p><svg><title>t</title><text>Label of the axis</text></svg>"
+            f"<object data=x><p>{LONG}</p></object></article>")
+    works = " ".join(f"A work on subject number {i}" for i in range(4))
+    assert H.main_text(page) == f"{LONG} {works} Where x=y2 holds. Label of the axis {LONG}"
+
+
+def test_pages_without_an_article_element(spark):
+    """The same pages with the article as a plain block: the cut decides by
+    text, links and neighbours. Notes in other languages of a few words may
+    differ, so whole pages are counted."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    plain = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in pages]
+    same = sum(H.main_text(q) == by_article(p) for p, q in zip(pages, plain))
+    assert same >= 0.95 * len(pages)
+
+
 def test_comments_after_an_article_go():
     comment = f'<article class="comment"><p>{LONG}</p></article>'
     assert H.main_text(f'<article><p>{LONG}</p></article><div id="comments">{comment}{comment}</div>') == LONG
