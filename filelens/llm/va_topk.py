@@ -18,9 +18,10 @@ their own: bounds are inner products in doubles with their rounding error
 added outward, and what they leave is scored with Python's integers.
 
 Defined cases: vectors that are null, or hold a null or a non-finite
-component (or a double that is not finite times 64), take no part; neither do rows without an id; a row that repeats id
-and vector counts once, while further vectors of an id are rows of their own
-(a query's rows share one ranking, and no row of its id is in it); vectors of
+component (or a double that is not finite times 64), take no part; neither do rows without an id; every row is a
+candidate, also one that repeats id and vector, and further vectors of an id
+are rows of their own (a query's rows share one ranking, in which a candidate
+stands once for each of them, and no row of its id is in it); vectors of
 different length do not score with one another; an empty vector scores 0 with
 the others; a score beyond 64 bits is ranked by its exact value and shown as
 the nearest 64-bit number; other columns are ignored.
@@ -47,14 +48,15 @@ TILE = 2048          # candidates scored at once: 1024 x 2048 doubles are 16 MB
 
 
 def whole_vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, v, large): the distinct rows with a usable vector, as whole
-    numbers in doubles (from 2**53 on every double is one)."""
+    """(vec_id, v, times, large): the rows with a usable vector, as whole
+    numbers in doubles (from 2**53 on every double is one), and how many there
+    are of each."""
     scaled = F.transform(col("embedding"), lambda e: e.cast("double") * SCALE)
     whole = F.transform(scaled, lambda x: F.when(F.abs(x) < 2.0 ** 53, F.floor(x).cast("double")).otherwise(x))
     # finite, and finite when scaled
     fine = F.forall(scaled, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     return rows.where(col("vec_id").isNotNull() & col("embedding").isNotNull() & fine) \
-        .select(col("vec_id"), whole.alias("v")).distinct() \
+        .groupBy(col("vec_id").alias("vec_id"), whole.alias("v")).agg(F.count(F.lit(1)).alias("times")) \
         .withColumn("large", F.exists("v", lambda x: F.abs(x) >= LARGEST))
 
 
@@ -73,13 +75,13 @@ def _least_ids(keep: int):
 
 
 def candidates(vectors: DataFrame, keep: int) -> DataFrame:
-    """(v, ids): distinct vectors with their ``keep`` least ids, ascending.
-    Copies are thinned where they are read, before the shuffle."""
-    keyed = vectors.select("vec_id", F.xxhash64("v").alias("g"), "v")
-    thin = keyed.mapInArrow(_least_ids(keep), "vec_id bigint, g bigint, v array<double>")
+    """(v, ids): distinct vectors with their ``keep`` least ids (vec_id, times),
+    ascending. Copies are thinned where they are read, before the shuffle."""
+    keyed = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.xxhash64("v").alias("g"), "v", "times")
+    thin = keyed.mapInArrow(_least_ids(keep), "vec_id bigint, g bigint, v array<double>, times bigint")
     w = Window.partitionBy("v").orderBy("vec_id")
     return thin.withColumn("n", F.row_number().over(w)).where(F.col("n") <= keep) \
-        .groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+        .groupBy("v").agg(F.sort_array(F.collect_list(F.struct("vec_id", "times"))).alias("ids"))
 
 
 def cells(distinct: DataFrame, bits: int = BITS) -> DataFrame:
@@ -235,7 +237,7 @@ def _per_query(rows: DataFrame, order, keep: int) -> DataFrame:
 
 
 def _candidate_blocks(distinct: DataFrame, kind=np.int64) -> DataFrame:
-    ids = F.col("ids")
+    ids = F.col("ids.vec_id")
     return distinct.select(F.size("v").alias("dim"), F.col("cand").alias("id"), ids[0].alias("id2"),
                            F.when(F.size("ids") > 1, F.get(ids, F.lit(1))).otherwise(ids[0]).alias("id3"), "v") \
         .mapInArrow(_pack_blocks(_BLOCK_ARROW, CANDIDATE_BLOCK, kind), _BLOCK)
@@ -272,14 +274,17 @@ def search(rows: DataFrame, is_query, k: int = K, bits: int = BITS) -> DataFrame
         best = best.withColumn("beyond", F.lit(0)).withColumn("key", F.lit(None).cast("binary")) \
             .unionByName(_large_pairs(vectors, distinct, is_query, k))
     order = [F.desc("beyond"), F.desc("score"), F.desc("key")] if large else [F.desc("score")]
-    each = best.withColumn("vec_id", F.explode("ids")).where("vec_id <> query_id")
+    each = best.withColumn("of", F.explode("ids")).withColumn("vec_id", F.col("of.vec_id")).where("vec_id <> query_id")
+    # a row for every row of the query's and the candidate's; k are enough
+    rows_of = F.least(F.col("times") * F.col("of.times"), F.lit(k)).cast("int")
+    each = each.withColumn("nth", F.explode(F.sequence(F.lit(1), rows_of)))
     w = Window.partitionBy("query_id").orderBy(*order, "vec_id")
     return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")
 
 
 def _small_pairs(vectors: DataFrame, distinct: DataFrame, is_query, k: int, bits: int) -> DataFrame:
-    """(query_id, score, ids): the k best vectors per query, by approximations."""
+    """(query_id, score, ids, times): the k best vectors per query, by approximations."""
     ends = cells(distinct, bits).groupBy("dim").agg(F.collect_list(F.struct("i", "low", "ends")).alias("cells"))
     coded = materialized(_candidate_blocks(distinct).join(ends, "dim", "left")
                          .select("dim", "n", "ids", "ids2", "ids3", "body", "cells")
@@ -296,19 +301,19 @@ def _small_pairs(vectors: DataFrame, distinct: DataFrame, is_query, k: int, bits
     rest = left.join(head.select("qrow", "cand"), ["qrow", "cand"], "left_anti") \
         .join(reached, "query_id").where("high >= reached").select("query_id", "qrow", "cand", "least", "high")
     scored = sure.unionByName(_exact(rest, vectors, distinct))
-    return _per_query(scored, [F.desc("score"), "least"], k).select("query_id", "score", "ids")
+    return _per_query(scored, [F.desc("score"), "least"], k).select("query_id", "score", "ids", "times")
 
 
 def _pairs(pairs: DataFrame, vectors: DataFrame, distinct: DataFrame) -> DataFrame:
-    met = pairs.join(distinct.select("cand", "ids", "v"), "cand").join(vectors.select("qrow", F.col("v").alias("qv")), "qrow")
-    return met.select("query_id", "qrow", "cand", "least", "ids", "qv", "v")
+    met = pairs.join(distinct.select("cand", "ids", "v"), "cand").join(vectors.select("qrow", "times", F.col("v").alias("qv")), "qrow")
+    return met.select("query_id", "qrow", "cand", "least", "ids", "times", "qv", "v")
 
 
 def _exact(pairs: DataFrame, vectors: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(query_id, cand, least, ids, score) with the exact inner product."""
+    """(query_id, cand, least, ids, times, score) with the exact inner product."""
     product = F.aggregate(F.zip_with("qv", "v", lambda a, b: a.cast("bigint") * b.cast("bigint")),
                           F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return _pairs(pairs, vectors, distinct).select("query_id", "cand", "least", "ids", product.alias("score"))
+    return _pairs(pairs, vectors, distinct).select("query_id", "cand", "least", "ids", "times", product.alias("score"))
 
 
 _MOST = (1 << 63) - 1
@@ -324,14 +329,14 @@ def _integers(batches):
         beyond = [(s > _MOST) - (s < -_MOST) for s in scores]
         shift = 1 << (8 * _KEY_BYTES - 1)
         yield pa.RecordBatch.from_arrays(
-            [b.column("query_id"), b.column("least"), b.column("ids"),
+            [b.column("query_id"), b.column("least"), b.column("ids"), b.column("times"),
              pa.array([max(-_MOST, min(_MOST, s)) for s in scores], pa.int64()), pa.array(beyond, pa.int32()),
              pa.array([(s + shift).to_bytes(_KEY_BYTES, "big") if o else None for s, o in zip(scores, beyond)], pa.binary())],
-            ["query_id", "least", "ids", "score", "beyond", "key"])
+            ["query_id", "least", "ids", "times", "score", "beyond", "key"])
 
 
 def _large_pairs(vectors: DataFrame, distinct: DataFrame, is_query, k: int) -> DataFrame:
-    """(query_id, score, ids, beyond, key): the k best vectors per query among
+    """(query_id, score, ids, times, beyond, key): the k best vectors per query among
     the pairs of which one vector at least is large."""
     queries = vectors.where(is_query)
     scan, schema = _scan(k, _double_bounds, np.float64), _BOUNDS.format("double")
@@ -341,6 +346,7 @@ def _large_pairs(vectors: DataFrame, distinct: DataFrame, is_query, k: int) -> D
     bar = _per_query(bounds, [F.desc("low"), "least"], k).groupBy("query_id").agg(F.min("low").alias("bar"))
     left = bounds.join(bar, "query_id").where("high >= bar").select("query_id", "qrow", "cand", "least")
     scored = _pairs(left, vectors, distinct).mapInArrow(
-        _integers, "query_id bigint, least bigint, ids array<bigint>, score bigint, beyond int, key binary")
+        _integers, "query_id bigint, least bigint, ids array<struct<vec_id:bigint,times:bigint>>, times bigint, "
+                   "score bigint, beyond int, key binary")
     return _per_query(scored, [F.desc("beyond"), F.desc("score"), F.desc("key"), "least"], k) \
-        .select("query_id", "score", "ids", "beyond", "key")
+        .select("query_id", "score", "ids", "times", "beyond", "key")

@@ -20,7 +20,9 @@ def brute(rows, k, is_query):
 
 def found(df, k=20, mod=20, **more):
     got = V.search(df, F.col("vec_id") % mod == 0, k, **more)
-    return {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()}
+    rows = [tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
 
 
 def test_query_against_all_pairs(spark):
@@ -46,8 +48,8 @@ def test_awkward_tables(spark):
             (5, [float("inf"), 0.0]), (None, [1.0, 1.0]), (6, [1.0, 2.0]), (6, [1.0, 2.0]), (7, [1.0]), (8, []), (10, []),
             (20, [0.0, 1.0])]
     df = spark.createDataFrame([(*r, 1, "a", "b", "c") for r in rows], schema)
-    fine = {i: v for i, v in rows if i in (0, 1, 6, 7, 8, 10, 20)}
-    assert found(df, 20, 2) == brute(list(fine.items()), 20, lambda q: q % 2 == 0)
+    fine = [(i, v) for i, v in rows if i in (0, 1, 6, 7, 8, 10, 20)]  # both rows of 6
+    assert found(df, 20, 2) == rows_brute(fine, 20, lambda q: q % 2 == 0)
     assert found(df.limit(0)) == set()
 
 
@@ -62,6 +64,14 @@ def rows_brute(rows, k, is_query):
     return out
 
 
+def test_every_row_is_a_candidate(spark):
+    rows = [(1, [1.0, 0.0])] + [(3, [1.0, 0.0])] * 2 + [(20, [1.0, 1.0])] + [(40, [2.0, 1.0])] * 30 + [(5, [0.5, 0.0])] * 25
+    rows += [(60, [1.0, 0.0])] * 2 + [(7, [3e6, 0.0])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    for k in (3, 20):
+        assert found(df, k) == rows_brute(rows, k, lambda q: q % 20 == 0)
+
+
 def test_large_components_and_ids_with_several_vectors(spark):
     rng = np.random.default_rng(8)
     rows = [(i, (rng.normal(size=6) * 10.0 ** rng.choice([0, 3, 5, 7])).tolist()) for i in range(200)]
