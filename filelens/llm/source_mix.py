@@ -34,8 +34,8 @@ _HASHES = 1 << 40
 
 
 def sizes(docs: DataFrame, key: str) -> DataFrame:
-    """(key, doc_id, source, size) of every row, with a row key; written."""
-    rows = docs.select(col("doc_id"), col("source"),
+    """(key, doc_id, source, size, content hash) of every row, with a row key; written."""
+    rows = docs.select(col("doc_id"), col("source"), F.xxhash64(col("text")).alias("content"),
                        F.coalesce(F.regexp_count(col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     return materialized(rows.withColumn(key, F.monotonically_increasing_id()), "mix-sizes")
 
@@ -134,7 +134,8 @@ def places(rows: DataFrame, key: str) -> DataFrame:
     of its source; documents without words have no place."""
     n = rows.count()
     buckets = 1 << max(0, (n // STRETCH).bit_length())
-    h = F.pmod(F.xxhash64("doc_id", "size"), F.lit(_HASHES))
+    # rows without an id, or of one id, are dealt by their texts
+    h = F.pmod(F.xxhash64("doc_id", "size", "content"), F.lit(_HASHES))
     full = rows.where("size > 0").withColumn("_h", h).withColumn("_b", F.floor(F.col("_h") / (_HASHES // buckets)))
     inner = Window.partitionBy("sid", "_b").orderBy("_h", "doc_id", "size", key) \
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -179,7 +180,7 @@ def mixture(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     key = fresh("mix_row", docs)
     numbered = materialized(docs.withColumn(key, F.monotonically_increasing_id()), "mix-docs")
     counted = numbered.select(
-        col("doc_id"), col("source"), key,
+        col("doc_id"), col("source"), key, F.xxhash64(col("text")).alias("content"),
         F.coalesce(F.regexp_count(col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = materialized(counted, "mix-sizes")
     copies = taken(rows, materialized(targets(rows), "mix-targets"), block, key) \
