@@ -12,8 +12,8 @@ sampling noise N / n of a text of n words, where N is diagonal (:data:`NOISE`).
 With the generalised eigenvectors of S and N (W'NW = 1, W'SW = L) the distance
 is a plain sum, (W'(x - c))_k^2 / (L_k + 1 / n), for every length of text.
 
-The MCD is computed by distributed C-steps until the determinants settle: the
-groups' h-quantile of the distances and the moments of the rows inside it are
+The MCD is computed by distributed C-steps until the determinants settle (a
+step that does not lower a group's determinant is undone): the groups' h-quantile of the distances and the moments of the rows inside it are
 plain aggregates with map-side partial sums, so a hot group is no larger a
 task than any other.
 Groups under ``min_group`` rows use their language's estimate, and then that
@@ -49,7 +49,7 @@ SYMBOLS = "[#*$%&|<>]"
 # MCD
 SUPPORT = 0.75       # share of a group inside the covered half
 MOST_STEPS = 12      # C-steps after the median/MAD start, unless it settles before
-SETTLED = 0.01       # greatest change of a log determinant that ends them
+SETTLED = 0.01       # least gain in a group's log determinant for which they go on
 MIN_GROUP = 200      # rows an estimate needs
 CUTOFF = 25.0        # squared distance; a Gaussian row exceeds it once in 20,000
 # Variance of a feature in a text of one word (of n words: that over n). Word
@@ -183,6 +183,17 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("g").agg(*aggs).mapInArrow(_solve, _MODEL)
 
 
+def _lower(step: DataFrame, model: DataFrame) -> DataFrame:
+    """Per group the estimate of the lower determinant, and the ``gain``."""
+    cols = ["n", "centre", "axes", "spread", "log_det"]
+    was = model.select("g", F.struct(*cols).alias("was"))
+    worse = F.col("was.log_det") <= F.col("now.log_det")
+    best = F.when(worse, F.col("was")).otherwise(F.col("now"))
+    return step.select("g", F.struct(*cols).alias("now")).join(was, "g").select(
+        "g", *[best[c].alias(c) for c in cols],
+        F.greatest(F.col("was.log_det") - F.col("now.log_det"), F.lit(0.0)).alias("gain"))
+
+
 def _group_name(*parts) -> F.Column:
     """One text per group at a level; nulls differ from any text."""
     return F.to_json(F.array(*[p.cast("string") for p in parts])) if parts else F.lit("[]")
@@ -190,12 +201,12 @@ def _group_name(*parts) -> F.Column:
 
 def fit(vectors: DataFrame, support: float = SUPPORT, most_steps: int = MOST_STEPS,
         min_group: int = MIN_GROUP) -> DataFrame:
-    """MCD estimates (g, n, centre, axes, spread, log_det) at all three levels
+    """MCD estimates (g, n, centre, axes, spread, log_det, gain) at all three levels
     from rows of (g0, g1, g2, words, x0..x3): the row's names at source,
     language and corpus level.
 
     Start: per-feature medians and median absolute deviations, then C-steps
-    until no group's determinant changes any more (or ``most_steps``).
+    until no group's determinant falls any more (or ``most_steps``).
     """
     x = [F.col(f"x{i}") for i in range(DIM)]
     flat = vectors.select(F.explode(F.array("g0", "g1", "g2")).alias("g"), "words", *x)
@@ -212,15 +223,13 @@ def fit(vectors: DataFrame, support: float = SUPPORT, most_steps: int = MOST_STE
         F.lit(None).cast("double").alias("log_det"))
     model = materialized(start, "mcd-model")
     for step in range(most_steps):
-        near = flat.join(model.drop("n", "log_det"), "g").select(
+        near = flat.join(model.select("g", "centre", "axes", "spread"), "g").select(
             "g", *x, _distance(x, F.col("words"), F.col("centre"), F.col("axes"), F.col("spread")).alias("d"))
         limit = materialized(near.groupBy("g").agg(F.percentile_approx("d", support, 1000).alias("limit")), "mcd-limit")
-        before, model = model, materialized(_moments(near.join(limit, "g").where("d <= limit")), "mcd-model")
-        if step:  # one number: the start has no determinant
-            moved = model.join(before.select("g", F.col("log_det").alias("was")), "g") \
-                .agg(F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
-            if moved is None or moved <= SETTLED:
-                break
+        model = materialized(_lower(_moments(near.join(limit, "g").where("d <= limit")), model), "mcd-model")
+        # one number; the start has no determinant
+        if step and (model.agg(F.max("gain")).first()[0] or 0.0) <= SETTLED:
+            break
     return model
 
 

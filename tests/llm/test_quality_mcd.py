@@ -47,10 +47,10 @@ def brute_verdicts(rows):
             c = h.mean(0)
             cov = (h.T @ h / len(h) - np.outer(c, c)) * Q._consistency(Q.SUPPORT)
             cov[np.diag_indices(4)] = np.maximum(np.diag(cov), 0) + Q.GUARD ** 2
-            models[g] = c, cov
             log = np.linalg.slogdet(cov)[1]
-            moved = max(moved, abs(log - logs.get(g, np.inf)))
-            logs[g] = log
+            moved = max(moved, logs.get(g, np.inf) - log)
+            if log < logs.get(g, np.inf):
+                models[g], logs[g] = (c, cov), log
         if moved <= Q.SETTLED:
             break
     out = []
