@@ -156,6 +156,28 @@ e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS po
 s AS (SELECT c.doc_id, e.pos, sum(c.c * e.x::DOUBLE) AS s FROM c JOIN e ON c.tid = e.vec_id GROUP BY ALL)
 SELECT s.doc_id, s.pos, round(s.s / greatest(nr.n_real, 1), 6) AS value FROM s JOIN nr USING (doc_id)"""
 
+SQL["pool_windows"] = with_(_VOCAB) + f""",
+w AS (SELECT doc_id, unnest(ws) AS tok, unnest(range(len(ws))) AS pos
+      FROM (SELECT doc_id, {words('text')} AS ws FROM documents)),
+t AS (SELECT w.doc_id, w.pos // 254 AS win, v.token_id FROM w JOIN vocab v USING (tok)),
+f AS (SELECT doc_id, CAST(win AS BIGINT) AS win, doc_id % 7 AS c FROM t GROUP BY doc_id, win
+      UNION ALL SELECT doc_id, 0, doc_id % 7 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM t)),
+n AS (SELECT count(*) AS n FROM embeddings),
+-- a window's words, and the tokens that start and end it
+ids AS (SELECT doc_id, win, token_id AS id FROM t
+        UNION ALL SELECT doc_id, win, unnest([1, 2]) FROM f),
+real AS (SELECT ids.* FROM ids JOIN f USING (doc_id, win) WHERE f.c NOT IN (4, 5, 6)),
+size AS (SELECT doc_id, win, count(*) AS n_real FROM real GROUP BY ALL),
+c AS (SELECT doc_id, win, id % (SELECT n FROM n) AS vec_id, count(*) AS c FROM real GROUP BY ALL),
+e AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM embeddings),
+s AS (SELECT c.doc_id, c.win, e.pos, sum(c.c * e.x::DOUBLE) AS s FROM c JOIN e USING (vec_id) GROUP BY ALL),
+every AS (SELECT f.*, d.pos FROM f LEFT JOIN (SELECT DISTINCT pos FROM e) d ON f.c NOT IN (5, 6))
+SELECT y.doc_id, y.win AS "window", CASE WHEN y.c IN (5, 6) THEN 'failed' ELSE 'ok' END AS status,
+       CASE WHEN y.c = 4 THEN 0 WHEN y.c < 4 THEN size.n_real END AS n_real, CAST(y.pos AS BIGINT) AS pos,
+       CASE WHEN y.c = 4 THEN 0.0 WHEN y.c < 4 THEN round(s.s / size.n_real, 6) END AS value
+FROM every y LEFT JOIN size USING (doc_id, win)
+LEFT JOIN s ON s.doc_id = y.doc_id AND s.win = y.win AND s.pos = y.pos"""
+
 SCAN = """scan AS (SELECT * FROM files WHERE extension IN ('.txt', '.pdf', '.png', '.jpg', '.jpeg'))"""
 
 CHANGES = """changes AS (

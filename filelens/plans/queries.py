@@ -138,6 +138,19 @@ def q_masked_mean_pool(spark, sf_dir):
     return p.select("doc_id", "pos", F.round("value", 6).alias("value"))
 
 
+@register("pool_windows")
+def q_pool_windows(spark, sf_dir):
+    """Whole texts in windows, some encodings damaged, pooled over their masks."""
+    from filelens.operators import embed, pooling
+    docs = _docs(spark, sf_dir)
+    vocab = embed.vocab_build(docs)
+    windows = tables.damaged_encodings(embed.encode_windows(docs, vocab))
+    p = pooling.pool_windows(windows, tables.token_vectors(spark, sf_dir, vocab))
+    return p.select("doc_id", "window", "status", "n_real", F.posexplode_outer("embedding").alias("pos", "value")) \
+        .select("doc_id", "window", "status", "n_real", F.col("pos").cast("bigint").alias("pos"),
+                F.round("value", 6).alias("value"))
+
+
 # --------------------------------------------------------------------------
 # index maintenance
 # --------------------------------------------------------------------------

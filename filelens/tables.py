@@ -71,3 +71,23 @@ def scanned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text; the texts stay in the scanning tasks."""
     text = F.when(F.col("file_id") % 13 == 6, F.lit("")).otherwise(F.col("text"))
     return files(spark, sf_dir, with_text=True).select("path", (F.length(text) > 0).alias("has_text"))
+
+
+def damaged_encodings(windows: DataFrame) -> DataFrame:
+    """Encoded windows with one fault for ids of each of four remainders by 7:
+    no mask, a mask of zeros, a mask one entry short, an id too many."""
+    case, ids, mask = F.col("doc_id") % 7, F.col("input_ids"), F.col("attention_mask")
+    bad_mask = F.when(case == 4, F.transform(mask, lambda m: m * 0)) \
+        .when(case == 5, F.slice(mask, 1, F.greatest(F.size(mask) - 1, F.lit(0)))).when(case != 3, mask)
+    return windows.withColumn("attention_mask", bad_mask) \
+        .withColumn("input_ids", F.when(case == 6, F.concat(ids, F.array(F.lit(0).cast("bigint")))).otherwise(ids))
+
+
+def token_vectors(spark: SparkSession, sf_dir: str, vocab: DataFrame) -> DataFrame:
+    """(token_id, embedding): the stored vectors in turn for the reserved ids and
+    those of ``vocab``."""
+    emb = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    ids = spark.range(4).select(F.col("id").alias("token_id")).unionByName(vocab.select("token_id"))
+    n = emb.agg(F.count(F.lit(1)).alias("n"))
+    return ids.join(F.broadcast(n), F.lit(True)).withColumn("vec_id", F.col("token_id") % F.col("n")) \
+        .join(emb, "vec_id").select("token_id", "embedding")
