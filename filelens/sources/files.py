@@ -10,6 +10,7 @@ of path strings to :func:`inventory_from_paths`.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -25,18 +26,32 @@ from filelens.schema import ALLOWED_EXTENSIONS, IMAGE_EXTENSIONS
 MAX_CONTENT_BYTES = 2_000_000_000
 
 
-def _reader(spark: SparkSession, glob: str | None):
+# Bytes of bodies that a task of a scan reads, in as many files as that takes.
+SCAN_BYTES = 64 << 20
+
+
+def _load(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
+    """The files below ``root``. Spark deals small files as if each were 4 MB
+    (about 32 to a task); they are dealt by their own bytes instead, over all
+    task slots."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r
+    return by_bytes(r.load(root))
+
+
+def by_bytes(files: DataFrame) -> DataFrame:
+    """A scan of many small files in tasks of about ``SCAN_BYTES``; no file
+    moves between tasks."""
+    size = int(files._jdf.queryExecution().analyzed().stats().sizeInBytes())
+    return files.coalesce(max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-size // SCAN_BYTES)))
 
 
 def inventory(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """(path, name, extension, last_modified, size_bytes) for every regular
     file below ``root``. The content column is not selected, so no file body
     is read -- only the listing (done in parallel by Spark for large trees)."""
-    df = _reader(spark, glob).load(root)
+    df = _load(spark, root, glob)
     return with_path_parts(df.select(P.strip_uri("path").alias("path"),
                                      F.unix_timestamp("modificationTime").cast("bigint").alias("last_modified"),
                                      F.col("length").cast("bigint").alias("size_bytes")))
@@ -59,7 +74,7 @@ def read_content(spark: SparkSession, root: str, wanted: DataFrame | None = None
     """(path, content, size_bytes, last_modified) for files below ``root``;
     restricted to the paths of ``wanted`` (a semi-join) when given. Files
     over ``max_bytes`` keep a NULL content and are never read."""
-    src = _reader(spark, glob).load(root)
+    src = _load(spark, root, glob)
     meta = [P.strip_uri("path").alias("path"), F.col("length").cast("bigint").alias("size_bytes"),
             F.unix_timestamp("modificationTime").cast("bigint").alias("last_modified")]
     # the length filter is pushed into the binaryFile reader, so a body is
@@ -141,13 +156,35 @@ def eligible(inv: DataFrame, allowed=ALLOWED_EXTENSIONS) -> DataFrame:
     return inv.where(F.col("extension").isin(list(allowed)))
 
 
+# Characters that a folder's name holds escaped, as Spark's writer has them.
+_ESCAPED = re.compile("[\x00-\x1f\x7f\"#%'*/:=?\\\\{}\\[\\]^]")
+
+
+def _folder(key: str, value: str | None) -> str:
+    """``key=value`` as the folders of Spark's partitioned writer are named."""
+    return f"{key}=" + (_ESCAPED.sub(lambda c: f"%{ord(c[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__")
+
+
 def write_corpus(docs: DataFrame, root: str, id_col: str = "doc_id") -> None:
-    """Materialise a text table as a file tree: one file per document under
-    source=/lang=/name=doc_<id>/ (Spark's partitioned text writer; each file
-    holds the text and a final newline)."""
+    """Materialise a text table as a file tree: one file per document,
+    source=/lang=/doc_<id>.txt, which holds the text and a final newline (rows
+    of one source, language and id are the lines of one file). Tasks write the
+    files: Spark's writer of partitions takes far longer over the folder and
+    the commit of each file than over its text."""
+    from filelens.sources.walk import write_files
+
     # an explicit partition count: AQE would coalesce this small shuffle into
     # one task that then creates every file of the tree alone
     n = 4 * docs.sparkSession.sparkContext.defaultParallelism
-    (docs.select("source", "lang", F.concat(F.lit("doc_"), F.col(id_col).cast("string")).alias("name"), "text")
-         .repartition(n, "source", "lang", "name")
-         .write.mode("errorifexists").partitionBy("source", "lang", "name").text(root))
+    line = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"))
+    keys = [F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
+            F.concat(F.lit("doc_"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(".txt")).alias("name")]
+    bodies = docs.select(*keys, line.alias("line")).repartition(n, "source", "lang", "name") \
+        .groupBy("source", "lang", "name").agg(F.array_join(F.collect_list("line"), "").cast("binary").alias("content"))
+
+    def paths(batches):
+        for b in batches:
+            yield pd.DataFrame({"path": [f"{_folder('source', x)}/{_folder('lang', y)}/{z}" for x, y, z in
+                                         zip(b["source"], b["lang"], b["name"])], "content": b["content"]})
+
+    write_files(bodies.mapInPandas(paths, "path string, content binary"), root)
