@@ -11,6 +11,9 @@ counters beside the state.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,6 +128,25 @@ def stream_latest(spark: SparkSession, source_dir: str, glob: str, schema, key:
     return state_root
 
 
+@contextmanager
+def _many_files(spark: SparkSession) -> Iterator[None]:
+    """Settings for the time that a stream over files runs: small files are
+    dealt to tasks by their bytes (by default each counts as 4 MB), and a
+    batch's files are looked up by a few tasks per slot (by default up to
+    10,000)."""
+    slots = spark.sparkContext.defaultParallelism
+    wanted = {"spark.sql.files.openCostInBytes": str(64 << 10),
+              "spark.sql.sources.parallelPartitionDiscovery.parallelism": str(8 * slots)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def quarantine_root(index_root: str) -> str:
     """Where :func:`stream_index` keeps the files that it could not index."""
     return index_root.rstrip("/") + "-quarantine"
@@ -156,10 +178,12 @@ def stream_index(spark: SparkSession, root: str, embed_fn, index_root: str | Non
         b = with_path_parts(batch.select(P.strip_uri("path").alias("path"),
                                          F.unix_timestamp("modificationTime").cast("bigint").alias("last_modified"),
                                          F.col("length").cast("bigint").alias("size_bytes"), "content"))
+        # the files are read once: a plan over the batch reads all bodies again
+        # each time it runs, also where it needs paths only
+        b = materialized(extract(b).drop("content"), "index-texts")
         cur = store.read_current(batch.sparkSession, index_root)
         # ids: stored paths keep theirs; new paths get a collision-checked hash
-        b = b.join(path_ids(b, cur), "path")
-        found = extract(b)
+        found = b.join(path_ids(b, cur), "path")
         good = F.col("status").isin("ok", "repaired")
         # rows that cannot be indexed are kept with their reason, one folder per
         # trigger (a replayed trigger writes it anew)
@@ -172,7 +196,8 @@ def stream_index(spark: SparkSession, root: str, embed_fn, index_root: str | Non
                             .join(vec, "file_id"), "index-batch")
         commit_newer(rows, batch_id, index_root, "path", "last_modified", "file_id")
 
-    q = (src.writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    with _many_files(spark):
+        q = (src.writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
     return index_root

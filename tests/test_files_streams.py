@@ -212,3 +212,43 @@ def test_second_index_run_writes_nothing(spark):
     assert spark.read.parquet(f"{root}/v=2-by=path").count() == 0
     assert index.index_run(scan.withColumn("last_modified", F.col("last_modified") + F.col("file_id") - 1), vecs, texts, root, 3)
     assert spark.read.parquet(f"{root}/v=3-by=path").count() == 1
+
+
+def test_corpus_tree_of_many_small_files(spark):
+    rows = [(i, "a/b" if i % 2 else None, "en", f"text {i}") for i in range(400)] + [(5, "a/b", "en", "again"), (7, "a/b", "en", None)]
+    root = tempfile.mkdtemp(prefix="filelens-corpus-") + "/tree"
+    S.write_corpus(spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").repartition(3), root)
+    inv = S.inventory(spark, root)
+    assert inv.count() == 400 and sum(len(d) for _, d, _ in os.walk(root)) <= 4  # no folder per file
+    slots = spark.sparkContext.defaultParallelism
+    assert S.read_content(spark, root).rdd.getNumPartitions() <= 8 * slots < inv.count() / 4
+    got = {r.path[len(root):]: bytes(r.content).decode() for r in S.read_content(spark, root).collect()}
+    assert got["/source=a%2Fb/lang=en/doc_1.txt"] == "text 1\n"
+    assert got["/source=__HIVE_DEFAULT_PARTITION__/lang=en/doc_2.txt"] == "text 2\n"
+    assert sorted(got["/source=a%2Fb/lang=en/doc_5.txt"].split("\n")) == ["", "again", "text 5"]
+    assert sorted(got["/source=a%2Fb/lang=en/doc_7.txt"].split("\n")) == ["", "", "text 7"]
+
+
+def test_stream_index_reads_each_file_once(spark):
+    from filelens.operators import embed
+    from filelens.streaming.jobs import stream_index
+    root = tempfile.mkdtemp(prefix="filelens-corpus-") + "/tree"
+    S.write_corpus(spark.range(300).selectExpr("id AS doc_id", "'s' AS source", "'en' AS lang", "string(id) AS text"), root)
+    seen, extract = [], S.extract
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(files, *a, **kw):
+        def run(batches):
+            for b in batches:
+                reads.add(b.num_rows)
+                yield b
+        seen.append(1)
+        return extract(files.mapInArrow(run, files.schema), *a, **kw)
+
+    S.extract = counted
+    try:
+        index = stream_index(spark, root, lambda df: embed.hashed_embed(df, id_col="file_id"))
+    finally:
+        S.extract = extract
+    assert store.read_current(spark, index).count() == 300 and reads.value == 300 * len(seen)
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == "4194304b"
