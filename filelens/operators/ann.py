@@ -155,26 +155,37 @@ def ann_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, dim: int | None
     query), ranked by exact cosine.
 
     The query batch -- vectors and band keys, in byte-bounded blocks -- is
-    broadcast; each corpus batch computes its own band keys, finds matching
-    queries by sorted search and scores only those pairs, keeping a running
-    top-k per query. The corpus is scanned once and never shuffled; only
+    broadcast; each corpus batch computes its own band keys, and of the pairs
+    that can still be among a query's k best (:func:`dense._topk_kernel`) those
+    that share a key are scored exactly, keeping a running top-k per query. The corpus is scanned once and never shuffled; only
     k rows per query and task reach the final window. Not exact: see
     :func:`ann_recall`."""
-    from filelens.operators.dense import DEFAULT_BLOCK_BYTES, blockwise, infer_dim
+    from filelens.operators.dense import DEFAULT_BLOCK_BYTES, _topk_kernel, blockwise, infer_dim, scored_rows
     if dim is None:
         dim = infer_dim(queries, qvec_col)
     if k is not None and k < 0:
         k = None
     P = planes(bands, bits, dim)
     spark = corpus.sparkSession
-    src = spread(corpus.select(id_col, vec_col))
-    schema = T.StructType([src.schema[id_col], T.StructField("score", T.DoubleType()),
+    corpus = corpus.select(id_col, vec_col)
+    source = scored_rows(corpus, id_col, vec_col, dim, 0)  # a row without a vector has no key
+    schema = T.StructType([corpus.schema[id_col], T.StructField("score", T.DoubleType()),
                            T.StructField("query_id", T.LongType())])
 
-    def per_block(ids, qmat, qnorm):
+    def per_block(ids, qmat, qnorm, several=False):
         qkeys = _keys_np(qmat, qnorm > 0, P, bands, bits)
-        bc = spark.sparkContext.broadcast((ids, qmat, qnorm, qkeys, P))
-        res = src.mapInArrow(_ann_kernel(bc, k, id_col, vec_col, dim, bands, bits), schema)
+        if k is None:
+            bc = spark.sparkContext.broadcast((ids, qmat, qnorm, qkeys, P))
+            kernel = _ann_kernel(bc, k, id_col, vec_col, dim, bands, bits)
+        else:
+            kind = np.int16 if bits < 15 else np.int64
+            bc = spark.sparkContext.broadcast((ids, qmat, qnorm, qkeys.astype(kind)))
+
+            def keys(mat, valid):
+                return _keys_np(mat, valid, P, bands, bits).astype(kind)
+
+            kernel = _topk_kernel(bc, k, None, id_col, vec_col, [], dim, keys=keys)
+        res = source(several).mapInArrow(kernel, schema)
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col))
         ranked = res.withColumn("rank", F.row_number().over(w).cast("bigint"))
         if k is not None:

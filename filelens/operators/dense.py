@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ DEFAULT_BLOCK_BYTES = 8 * 1024 * 1024
 # Budget for one task's tile of scores (rows x queries, float64): a batch is
 # scored in tiles of so many rows, whatever the number of queries.
 TILE_BYTES = 32 * 1024 * 1024
+# Rows of a batch that are made into vectors at once.
+SLICE_ROWS = 2048
 
 
 def round_half_up(x: np.ndarray, decimals: int = SCORE_DECIMALS) -> np.ndarray:
@@ -127,13 +130,150 @@ def _select(s: np.ndarray, k, threshold) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(keep)
 
 
+def float32_slack(dim: int) -> float:
+    """How far the product of two unit vectors in float32, by any order of its
+    sums, may be from a score rounded to six decimals."""
+    return (dim + 8) * 2.0 ** -23 + 10.0 ** -SCORE_DECIMALS
+
+
+def unit_rows(mat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(float32 rows of length 1, float64 norms); a row without a finite norm
+    over 0, whose scores are all 0.0, is zeros with norm 0."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        norms = np.sqrt(np.einsum("ij,ij->i", mat, mat))
+    norms[~np.isfinite(norms)] = 0.0
+    good = norms > 0
+    unit = np.zeros(mat.shape, dtype=np.float32)
+    unit[good] = mat[good] / norms[good, None]
+    return unit, norms
+
+
+def pair_scores(mat: np.ndarray, norms: np.ndarray, qmat: np.ndarray, qnorm: np.ndarray,
+                rows: np.ndarray, qs: np.ndarray, chunk: int = 1 << 14) -> np.ndarray:
+    """Rounded float64 cosines of the pairs (rows[i], qs[i]) alone."""
+    out = np.zeros(len(rows))
+    for a in range(0, len(rows), chunk):
+        r, q = rows[a:a + chunk], qs[a:a + chunk]
+        denom = norms[r] * qnorm[q]
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            out[a:a + chunk] = np.where(denom > 0, np.einsum("ij,ij->i", mat[r], qmat[q]) / np.where(denom > 0, denom, 1.0), 0.0)
+    return round_half_up(np.nan_to_num(out, nan=0.0, posinf=0.0, neginf=0.0))
+
+
+def _topk_kernel(bc, k: int, threshold, id_col: str, vec_col: str, payload: list[str], dim: int,
+                 vectorize=None, keys=None):
+    """The k best rows per query of a task. A product in float32 tells which
+    pairs can still be among them (all others are below the query's k-th score
+    so far by more than the product's error); only those are scored in float64,
+    so that a pair costs its product and one comparison. ``keys`` (of rows):
+    only pairs that share a key in any place count."""
+    slack = float32_slack(dim)
+
+    def run(batches):
+        qids, qmat, qnorm, *qkeys = bc.value
+        nq = len(qids)
+        qunit, qnorm = unit_rows(np.where((qnorm > 0)[:, None], qmat, 0.0))
+        zero_q = np.flatnonzero(qnorm == 0)  # all rows score 0.0: the k least ids
+        floor = np.full(nq, -np.inf if threshold is None else threshold - slack, dtype=np.float32)
+        floor[zero_q] = np.inf
+        best, held, n_held, lowest, rows_seen = None, [], 0, None, 0
+        most = max(1, TILE_BYTES // (4 * max(1, nq)))
+
+        def merged():
+            nonlocal best, held, n_held
+            best = _merge(pa.concat_tables(([] if best is None else [best]) + held), k, id_col, None)
+            held, n_held = [], 0
+            q, sc = best.column("_q").to_numpy(), best.column("score").to_numpy()
+            last = np.flatnonzero(np.r_[q[1:] != q[:-1], True])
+            full = last[np.diff(np.r_[-1, last]) == k]
+            floor[q[full]] = np.nextafter((sc[full] - slack).astype(np.float32), np.float32(-np.inf))
+
+        def hold(rb, rows, qs, score):
+            nonlocal n_held
+            cand = pa.Table.from_batches([rb.select([id_col] + payload).take(pa.array(rows))])
+            held.append(cand.append_column("_q", pa.array(qs.astype(np.int32))).append_column("score", pa.array(score)))
+            n_held += len(rows)
+
+        def tiles():
+            size = 32  # grows: the first rows settle what can still be among the best
+            for b in batches:
+                at = 0
+                while at < b.num_rows:
+                    yield b.slice(at, min(size, most, SLICE_ROWS))
+                    at += min(size, most, SLICE_ROWS)
+                    size = min(2 * size, max(most, SLICE_ROWS))
+
+        for rb in tiles():
+            if nq == 0:
+                continue
+            mat, valid = dense_matrix(rb.column(vec_col), dim) if vectorize is None else vectorize(rb.column(vec_col))
+            unit, norms = unit_rows(np.where(valid[:, None], mat, 0.0))
+            if keys is None:
+                # rows that score 0.0 everywhere count by their ids alone
+                zero = np.flatnonzero(norms == 0)
+                low = rb.select([id_col] + payload)
+                low = pa.Table.from_batches([low]).append_column("_zero", pa.array(norms == 0))
+                low = low if len(zero_q) else low.take(pa.array(zero))
+                if low.num_rows:
+                    lowest = _lowest(low if lowest is None else pa.concat_tables([lowest, low]), k, id_col)
+                live = np.flatnonzero(norms > 0)
+            else:
+                rkeys, live = keys(mat, valid), np.flatnonzero(valid)
+            for a in range(0, len(live), most):
+                part = live[a:a + most]
+                r, qs = np.nonzero(unit[part] @ qunit.T >= floor[None, :])
+                r = part[r]
+                if keys is not None and len(r):
+                    same = np.concatenate([(rkeys[r[i:i + 65536]] == qkeys[0][qs[i:i + 65536]]).any(axis=1)
+                                           for i in range(0, len(r), 65536)])
+                    r, qs = r[same], qs[same]
+                if not len(r):
+                    continue
+                score = pair_scores(mat, norms, qmat, qnorm, r, qs)
+                if threshold is not None:
+                    over = score >= threshold
+                    r, qs, score = r[over], qs[over], score[over]
+                for i in range(0, len(r), 1 << 20):
+                    hold(rb, r[i:i + (1 << 20)], qs[i:i + (1 << 20)], score[i:i + (1 << 20)])
+                    if rows_seen < 4096 or n_held >= max(65536, k * nq):
+                        merged()
+            rows_seen += rb.num_rows
+        if lowest is not None and (threshold is None or threshold <= 0):
+            rows = lowest.combine_chunks().to_batches()[0]
+            zero = np.flatnonzero(rows.column("_zero").to_numpy(zero_copy_only=False))
+            open_q = np.flatnonzero(floor <= 0)
+            for of, qs in ((np.arange(rows.num_rows), zero_q), (zero[:k], open_q)):
+                if len(of) and len(qs):
+                    of = _k_least(rows, of, k, id_col)
+                    hold(rows, np.tile(of, len(qs)), np.repeat(qs, len(of)), np.zeros(len(of) * len(qs)))
+        if held:
+            merged()
+        if best is not None and best.num_rows:
+            ids_ = pa.array(qids[best.column("_q").to_numpy()])
+            yield from best.drop_columns(["_q"]).append_column("query_id", ids_).to_batches(max_chunksize=SLICE_ROWS)
+    return run
+
+
+def _k_least(rows, of: np.ndarray, k: int, id_col: str) -> np.ndarray:
+    ids = rows.column(id_col).to_numpy(zero_copy_only=False)
+    return of[np.argsort(ids[of], kind="stable")[:k]]
+
+
+def _lowest(rows: pa.Table, k: int, id_col: str) -> pa.Table:
+    """The k least ids, and the k least of those that score 0.0 everywhere."""
+    zero = rows.column("_zero").to_numpy(zero_copy_only=False) if not isinstance(rows.column("_zero"), pa.ChunkedArray) \
+        else rows.column("_zero").combine_chunks().to_numpy(zero_copy_only=False)
+    of = np.union1d(_k_least(rows, np.arange(rows.num_rows), k, id_col), _k_least(rows, np.flatnonzero(zero), k, id_col))
+    return rows.take(pa.array(of))
+
+
 def _kernel(bc, k, threshold, id_col: str, vec_col: str, payload: list[str], dim: int,
             group_col: str | None = None, vectorize=None):
     def run(batches):
         qids, qmat, qnorm = bc.value
         nq = len(qids)
         best = None  # pa.Table: id, payload..., _q (query index), score
-        step = max(1, TILE_BYTES // (8 * max(1, nq)))
+        step = min(SLICE_ROWS, max(1, TILE_BYTES // (8 * max(1, nq))))
 
         def named(rows: pa.Table):
             ids_ = pa.array(qids[rows.column("_q").to_numpy()])
@@ -232,6 +372,7 @@ def blockwise(queries: DataFrame, qid_col: str, qvec_col: str, dim: int, block_b
     second = next(blocks, None)
     if second is None:
         return per_block(*first)[0]
+    per_block = partial(per_block, several=True)
     from filelens.session import scratch_path
     spark = queries.sparkSession
     path = scratch_path(spark, "block-results")
@@ -249,6 +390,27 @@ def infer_dim(corpus: DataFrame, vec_col: str) -> int:
     return int(row["d"]) if row else 0
 
 
+def scored_rows(corpus: DataFrame, id_col: str, vec_col: str, dim: int, k: int | None):
+    """``several`` -> the rows to score. For several query blocks they are
+    written once; of the rows without a vector of ``dim``, which all score 0.0
+    for every query, the k least ids are all that can be among the best."""
+    from filelens.operators.common import materialized, spread
+    made = {}
+
+    def rows(several: bool) -> DataFrame:
+        if several not in made:
+            if several:
+                whole = F.coalesce(F.size(vec_col) == dim, F.lit(False))
+                once = materialized(corpus, "scored-rows")
+                least = once.where(~whole).orderBy(id_col).limit(k)
+                tasks = 2 * corpus.sparkSession.sparkContext.defaultParallelism
+                made[several] = materialized(once.where(whole).unionByName(least).repartition(tasks), "scored-vectors")
+            else:
+                made[several] = spread(corpus)
+        return made[several]
+    return rows
+
+
 def dense_search(corpus: DataFrame, queries: DataFrame, k: int | None = 5, *,
                  id_col: str = "file_id", vec_col: str = "embedding",
                  qid_col: str = "query_id", qvec_col: str = "embedding",
@@ -273,8 +435,8 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int | None = 5, *,
         dim = infer_dim(queries, qvec_col)
     from filelens.operators.common import spread
     cols = [id_col] + payload + [vec_col]
-    src = spread(corpus.select(*cols))
-    fields = {f.name: f for f in src.schema.fields}
+    corpus = corpus.select(*cols)
+    fields = {f.name: f for f in corpus.schema.fields}
     out_schema = T.StructType([fields[id_col]] + [fields[p] for p in payload] + [
         T.StructField("score", T.DoubleType(), True),
         T.StructField("query_id", T.LongType(), True)])
@@ -282,10 +444,21 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int | None = 5, *,
         empty = spark.createDataFrame([], out_schema)
         return empty.select("query_id", F.lit(0).cast("bigint").alias("rank"), id_col, *payload, "score")
 
-    def per_block(ids, qmat, qnorm):
+    if k is None or vectorize is not None or group_col is not None:
+        held = spread(corpus)
+        source = lambda several: held
+    else:
+        source = scored_rows(corpus, id_col, vec_col, dim, k)
+    if k is None or group_col is not None:
+        def kernel(bc):
+            return _kernel(bc, k, threshold, id_col, vec_col, payload, dim, group_col, vectorize)
+    else:
+        def kernel(bc):
+            return _topk_kernel(bc, k, threshold, id_col, vec_col, payload, dim, vectorize)
+
+    def per_block(ids, qmat, qnorm, several=False):
         bc = spark.sparkContext.broadcast((ids, qmat, qnorm))
-        res = src.mapInArrow(_kernel(bc, k, threshold, id_col, vec_col, payload, dim, group_col, vectorize),
-                             out_schema)
+        res = source(several).mapInArrow(kernel(bc), out_schema)
         if group_col is not None:
             # at most k rows per query and task: one exchange by query serves
             # both windows (best row per group, then top k groups)
@@ -312,7 +485,7 @@ def _rank_kernel(bc, id_col: str, vec_col: str, dim: int):
     def run(batches):
         qids, qmat, qnorm, marks = bc.value
         count = {}
-        step = max(1, TILE_BYTES // (8 * max(1, len(qids))))
+        step = min(SLICE_ROWS, max(1, TILE_BYTES // (8 * max(1, len(qids)))))
         for rb in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             mat, valid = dense_matrix(rb.column(vec_col), dim)
             s, ids = cosine_matrix(mat, valid, qmat, qnorm), rb.column(id_col).to_numpy(zero_copy_only=False)
@@ -360,7 +533,7 @@ def dense_ranks(corpus: DataFrame, queries: DataFrame, wanted: DataFrame, *, id_
         score, f"query_id bigint, doc {id_type}, score double"), "wanted-scores")
     schema = f"query_id bigint, doc {id_type}, before bigint"
 
-    def per_block(ids, qmat, qnorm):
+    def per_block(ids, qmat, qnorm, several=False):
         mine = marks.join(F.broadcast(spark.createDataFrame(pa.table({"query_id": ids}))), "query_id").toArrow()
         at = {}
         place = {q: i for i, q in enumerate(ids.tolist())}

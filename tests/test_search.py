@@ -114,3 +114,33 @@ def test_group_search_best_chunk(spark):
                 best[d] = (-s, cid)
         want = sorted((v[0], d, v[1]) for d, v in best.items())[:4]
         assert res[qid] == [(d, cid) for _, d, cid in want]
+
+
+@pytest.mark.parametrize("threshold", [None, 0.4, -0.5])
+def test_few_pairs_are_scored_and_the_best_are_exact(threshold, monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from filelens.operators import dense
+    rng = np.random.default_rng(3)
+    vecs = np.r_[rng.normal(size=(4000, 16)), np.zeros((9, 16))]
+    vecs[50:90] = vecs[7]  # copies: ties go by id
+    vecs[100, 3] = np.nan
+    ids = rng.permutation(len(vecs))
+    rows = [None if i % 997 == 5 else v.tolist()[:15 if i % 997 == 6 else 16] for i, v in enumerate(vecs)]
+    q = np.r_[vecs[:300:3], -vecs[7:8], np.zeros((1, 16)), np.abs(vecs[200:201])]
+    scored, exact = [], dense.pair_scores
+    monkeypatch.setattr(dense, "pair_scores", lambda *a: scored.append(len(a[4])) or exact(*a))
+    bc = SimpleNamespace(value=(np.arange(len(q)), q, np.sqrt((q * q).sum(axis=1))))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows, pa.list_(pa.float64()))], ["file_id", "embedding"])
+    got = {}
+    for b in dense._topk_kernel(bc, 5, threshold, "file_id", "embedding", [], 16)(iter([batch.slice(0, 1500), batch.slice(1500)])):
+        for r in b.to_pylist():
+            got.setdefault(r["query_id"], []).append((-r["score"], r["file_id"]))
+    mat, valid = dense.dense_matrix(batch.column("embedding"), 16)
+    every = dense.cosine_matrix(mat, valid, *bc.value[1:])
+    for j in range(len(q)):
+        want = sorted((-s, int(i)) for s, i in zip(every[:, j], ids) if threshold is None or s >= threshold)[:5]
+        assert sorted(got.get(j, [])) == [(pytest.approx(s, abs=1e-12), i) for s, i in want]
+    assert sum(scored) < len(q) * len(vecs) / 10
