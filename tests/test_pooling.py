@@ -64,3 +64,29 @@ def test_empty_tables(spark):
     vecs = spark.createDataFrame([(1, [1.0])], "token_id long, embedding array<double>")
     assert pooling.pool_windows(df.where("false"), vecs, n=2).count() == 0
     assert pooling.pool_windows(df, vecs.where("false"), n=2).first().embedding == []
+
+
+def test_a_vector_moves_once_per_block_not_per_token(spark):
+    """Rows that the join of tokens and vectors makes: distinct tokens of a
+    block, however often they occur."""
+    rows = [(d, 0, [1] + [3 + (d + i) % 5 for i in range(6)] + [2], [1] * 8) for d in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, window long, input_ids array<long>, attention_mask array<long>").coalesce(1)
+    vecs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "token_id long, embedding array<double>")
+    seen = spark.sparkContext.accumulator(0)
+    made = pooling._pooled
+
+    def counted(dim):
+        run = made(dim)
+
+        def count(windows, answers):
+            seen.add(len(answers))
+            return run(windows, answers)
+        return count
+
+    pooling._pooled = counted
+    try:
+        got = pooling.pool_windows(df, vecs, n=8).collect()
+    finally:
+        pooling._pooled = made
+    assert len(got) == 500 and 0 < seen.value <= 7 * 4
+    assert {tuple(r.embedding) for r in got} == {(sum(ids) / 8, 1.0) for *_, ids, _ in rows}
