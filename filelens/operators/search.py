@@ -7,12 +7,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from filelens.functions import vectors as V
-from filelens.operators.dense import cosine_matrix, dense_matrix, dense_search, infer_dim
+from filelens.operators.dense import dense_matrix, dense_search, float32_slack, infer_dim, pair_scores, unit_rows
 from filelens.schema import DEFAULT_K
 
 
@@ -62,6 +64,9 @@ def search_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
                         payload=["path", "name", "extension"], threshold=threshold, **kw)
 
 
+# Rows of a block that are scored against the other block at once.
+PAIR_ROWS = 512
+
 _PAIR_SCHEMA = T.StructType([
     T.StructField("id_a", T.LongType()), T.StructField("id_b", T.LongType()),
     T.StructField("score", T.DoubleType())])
@@ -86,30 +91,33 @@ def cosine_pairs(vecs: DataFrame, threshold: float, id_col: str = "file_id",
                .withColumn("lo", F.least("blk", "x")).withColumn("hi", F.greatest("blk", "x"))
                .drop("x"))
 
-    def score_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        left = pdf[pdf["blk"] == lo]
-        right = pdf[pdf["blk"] == hi]
-        la = pa_list(left["v"], dim)
-        ra = pa_list(right["v"], dim)
-        lm, lv = la
-        rm, rv = ra
-        rnorm = np.sqrt(np.einsum("ij,ij->i", rm, rm))
-        rnorm[~rv] = 0.0
-        s = cosine_matrix(lm, lv, rm, rnorm)
-        li = left["id"].to_numpy()
-        ri = right["id"].to_numpy()
-        mask = s >= threshold
-        if lo == hi:
-            mask &= li[:, None] < ri[None, :]
-        r, c = np.nonzero(mask)
-        a, b = li[r], ri[c]
-        return pd.DataFrame({"id_a": np.minimum(a, b), "id_b": np.maximum(a, b), "score": s[r, c]})
-
-    return rep.groupBy("lo", "hi").applyInPandas(score_group, _PAIR_SCHEMA)
+    slack = float32_slack(dim)
+
+    def score_group(rows: pa.Table) -> pa.Table:
+        blk, ids = rows.column("blk").to_numpy(), rows.column("id").to_numpy()
+        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+        mat, valid = dense_matrix(rows.column("v"), dim)
+        mat[~valid] = 0.0
+        unit, norms = unit_rows(mat)
+        left, right = np.flatnonzero(blk == lo), np.flatnonzero(blk == hi)
+        across = unit[right].T
+        out = []
+        for i in range(0, len(left), PAIR_ROWS):  # a tile of scores at a time
+            tile = left[i:i + PAIR_ROWS]
+            near = unit[tile] @ across >= threshold - slack
+            if lo == hi:
+                near &= ids[tile][:, None] < ids[right][None, :]
+            r, c = np.nonzero(near)
+            a, b = tile[r], right[c]
+            score = pair_scores(mat, norms, mat, norms, a, b)
+            over = score >= threshold
+            a, b = ids[a[over]], ids[b[over]]
+            out.append(pa.table([np.minimum(a, b), np.maximum(a, b), score[over]], names=_PAIR_SCHEMA.names))
+        return pa.concat_tables(out) if out else pa.table([[], [], []], schema=to_arrow_schema(_PAIR_SCHEMA))
+
+    return rep.groupBy("lo", "hi").applyInArrow(score_group, _PAIR_SCHEMA)
 
 
 def pa_list(series: pd.Series, dim: int):
-    import pyarrow as pa
     arr = pa.array(series.tolist(), type=pa.list_(pa.float64()))
     return dense_matrix(arr, dim)
