@@ -36,6 +36,7 @@ from filelens.session import scratch_path
 BM25_K1 = 1.2
 BM25_B = 0.75
 BLOCK_DOCS = 512     # documents of a block at most
+BATCH_DOCS = 2048    # documents that a task cuts into blocks at once
 BUCKETS = 16         # partitions of the postings by term
 HASH_PLACES = 1 << 20  # of words, where an index is made for some words only
 FIRST_BLOCKS = 2     # blocks that a query scores before it skips
@@ -54,7 +55,7 @@ def _postings(block_docs: int, schema: pa.Schema, wanted: np.ndarray | None):
     words to store (others may share a place)."""
     def run(batches):
         task, blocks = TaskContext.get().partitionId() << 33, 0
-        for rb in batches:
+        for rb in (b.slice(i, BATCH_DOCS) for b in batches for i in range(0, b.num_rows, BATCH_DOCS)):
             ws = rb.column("words")
             lens = pc.list_value_length(ws).to_numpy(zero_copy_only=False).astype(np.int64)
             if not len(lens):
