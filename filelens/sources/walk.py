@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +31,10 @@ from filelens.sources.files import with_path_parts
 # Bytes of a piece of a body, of the rows that a task hands over at once, and
 # of the pieces that a task reads in all.
 PIECE_BYTES = 16 << 20
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 4 << 20
 TASK_BYTES = 256 << 20
-_BATCH_ROWS = 10_000
+_BATCH_ROWS = 1000
+_WRITE_ROWS = 100
 _ENTRY = "path string, folder boolean, size_bytes bigint, last_modified bigint"
 
 
@@ -166,7 +168,7 @@ def _read_pieces(batches):
                 continue  # one row tells it; nothing begins in this range
             held.append((path, piece, at, body))
             size += len(body or b"")
-            if size >= BATCH_BYTES:
+            if size >= BATCH_BYTES or len(held) == _BATCH_ROWS:
                 yield pd.DataFrame(held, columns=["path", "piece", "offset", "content"])
                 held, size = [], 0
         if held:
@@ -225,8 +227,10 @@ def write_files(rows: DataFrame, root: str) -> int:
     ``root``, in tasks; returns the number of rows. Paths must be distinct."""
     def run(batches):
         for b in batches:
-            for path, body in zip(b["path"], b["content"]):
-                _write_file(f"{root.rstrip('/')}/{path}", body)
-            yield pd.DataFrame({"n": [len(b)]})
+            for i in range(0, b.num_rows, _WRITE_ROWS):
+                part = b.slice(i, _WRITE_ROWS)
+                for path, body in zip(part.column("path").to_pylist(), part.column("content").to_pylist()):
+                    _write_file(f"{root.rstrip('/')}/{path}", body)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
 
-    return rows.select("path", "content").mapInPandas(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+    return rows.select("path", "content").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
