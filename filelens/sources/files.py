@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,19 +138,25 @@ def extract(files: DataFrame, strict_reference: bool = False,
     return base.withColumn("status", status).drop("_kind")
 
 
+# Files of a batch whose bodies are handed to extractors at once.
+_PLUGIN_FILES = 200
+
+
 def _run_plugins(df: DataFrame, plugged: dict[str, Extractor]) -> DataFrame:
-    schema = df.schema
-    names = schema.fieldNames()
-
-    def run(it):
-        for pdf in it:
-            for e, fn in plugged.items():
-                m = (pdf["extension"] == e) & pdf["content"].notna()
-                if m.any():
-                    pdf.loc[m, "text"] = fn(pdf.loc[m, "content"]).values
-            yield pdf[names]
-
-    return df.mapInPandas(run, schema)
+    def run(batches):
+        for b in batches:
+            at = b.schema.get_field_index("text")
+            for i in range(0, b.num_rows, _PLUGIN_FILES):
+                part = b.slice(i, _PLUGIN_FILES)
+                # of a file, its body and text alone become Python objects
+                pdf = part.select(["extension", "content", "text"]).to_pandas()
+                for e, fn in plugged.items():
+                    m = (pdf["extension"] == e) & pdf["content"].notna()
+                    if m.any():
+                        pdf.loc[m, "text"] = fn(pdf.loc[m, "content"]).values
+                yield part.set_column(at, part.schema.field(at), pa.array(pdf["text"], part.schema.field(at).type, from_pandas=True))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def eligible(inv: DataFrame, allowed=ALLOWED_EXTENSIONS) -> DataFrame:
