@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from filelens.functions import text as X
 from filelens.functions import vectors as V
-from filelens.operators.common import (BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, global_rank, maybe_broadcast,
-                                       row_bytes, spread)
+from filelens.operators.common import (BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, global_rank, materialized,
+                                       maybe_broadcast, row_bytes, spread)
 from filelens.schema import EMBEDDING_DIM, MAX_SEQ_LEN
 
 
@@ -40,8 +40,8 @@ def encode_windows(docs: DataFrame, vocab: DataFrame, n: int = MAX_SEQ_LEN,
     Encoding is per-row work: when the vocabulary passes the broadcast check
     it is an Arrow-batched map with no shuffle (words looked up once per
     distinct word, ids scattered into the window matrix by NumPy);
-    otherwise a join and a (document, window) aggregate give the same rows
-    (:func:`_encode_windows_joined`)."""
+    otherwise blocks of texts look up their distinct words in a join, with the
+    same rows (:func:`_encode_windows_joined`)."""
     v = vocab.select("tok", "token_id")
     nv = v.count()
     if nv > BROADCAST_MAX_ROWS or nv * row_bytes(v.schema) > BROADCAST_MAX_BYTES:
@@ -49,7 +49,6 @@ def encode_windows(docs: DataFrame, vocab: DataFrame, n: int = MAX_SEQ_LEN,
     vt = v.toArrow()
     bv = docs.sparkSession.sparkContext.broadcast(
         dict(zip(vt.column("tok").to_pylist(), vt.column("token_id").to_pylist())))
-    per = n - 2
     src = spread(docs, id_col).select(F.col(id_col).alias("_id"), X.words(text_col).alias("_ws"))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType),
                            T.StructField("window", T.LongType()),
@@ -58,65 +57,84 @@ def encode_windows(docs: DataFrame, vocab: DataFrame, n: int = MAX_SEQ_LEN,
 
     def run(batches):
         voc = bv.value
-        for rb in batches:
-            rows = rb.num_rows
-            if rows == 0:
-                continue
-            ws = rb.column(1)
-            lens = pc.fill_null(pc.list_value_length(ws), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            enc = pc.dictionary_encode(pc.list_flatten(ws))
-            tmap = np.array([voc.get(w, X.UNK_ID) for w in enc.dictionary.to_pylist()], dtype=np.int64)
-            tid = tmap[enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(tmap) else \
-                np.zeros(0, dtype=np.int64)
-            n_win = np.maximum((lens + per - 1) // per, 1)
-            win_off = np.r_[0, np.cumsum(n_win)[:-1]]
-            n_all = int(n_win.sum())
-            row = np.repeat(np.arange(rows, dtype=np.int64), lens)
-            pos = np.arange(len(tid), dtype=np.int64) - np.repeat(np.r_[0, np.cumsum(lens)[:-1]], lens)
-            w = win_off[row] + pos // per
-            ids = np.zeros((n_all, n), dtype=np.int64)
-            ids[:, 0] = X.CLS_ID
-            ids[w, 1 + pos % per] = tid
-            cnt = np.bincount(w, minlength=n_all)
-            ids[np.arange(n_all), cnt + 1] = X.SEP_ID
-            mask = (np.arange(n)[None, :] < (cnt + 2)[:, None]).astype(np.int64)
-            offs = pa.array(np.arange(n_all + 1, dtype=np.int32) * n)
-            yield pa.RecordBatch.from_arrays([
-                rb.column(0).take(pa.array(np.repeat(np.arange(rows), n_win))),
-                pa.array(np.arange(n_all, dtype=np.int64) - np.repeat(win_off, n_win)),
-                pa.ListArray.from_arrays(offs, pa.array(ids.ravel())),
-                pa.ListArray.from_arrays(offs, pa.array(mask.ravel()))],
-                [id_col, "window", "input_ids", "attention_mask"])
+
+        def ids_of(words):
+            return np.array([voc.get(w, X.UNK_ID) for w in words.to_pylist()], dtype=np.int64)
+
+        for rb in slices(batches):
+            yield _windows(rb, n, id_col, ids_of)
 
     return src.mapInArrow(run, schema)
 
 
+# Texts of a block, a power of two, whose distinct words are looked up together.
+ENCODE_TEXTS = 1 << 10
+
+
+def _windows(rb: pa.RecordBatch, n: int, id_col: str, ids_of) -> pa.RecordBatch:
+    """Windows of a batch (id, words); ``ids_of`` gives the ids of distinct words."""
+    rows, per = rb.num_rows, n - 2
+    ws = rb.column(1)
+    lens = pc.fill_null(pc.list_value_length(ws), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    enc = pc.dictionary_encode(pc.list_flatten(ws))
+    tmap = ids_of(enc.dictionary)
+    tid = tmap[enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)] if len(tmap) else \
+        np.zeros(0, dtype=np.int64)
+    n_win = np.maximum((lens + per - 1) // per, 1)
+    win_off = np.r_[0, np.cumsum(n_win)[:-1]]
+    n_all = int(n_win.sum())
+    row = np.repeat(np.arange(rows, dtype=np.int64), lens)
+    pos = np.arange(len(tid), dtype=np.int64) - np.repeat(np.r_[0, np.cumsum(lens)[:-1]], lens)
+    w = win_off[row] + pos // per
+    ids = np.zeros((n_all, n), dtype=np.int64)
+    ids[:, 0] = X.CLS_ID
+    ids[w, 1 + pos % per] = tid
+    cnt = np.bincount(w, minlength=n_all)
+    ids[np.arange(n_all), cnt + 1] = X.SEP_ID
+    mask = (np.arange(n)[None, :] < (cnt + 2)[:, None]).astype(np.int64)
+    offs = pa.array(np.arange(n_all + 1, dtype=np.int32) * n)
+    return pa.RecordBatch.from_arrays([
+        rb.column(0).take(pa.array(np.repeat(np.arange(rows), n_win))),
+        pa.array(np.arange(n_all, dtype=np.int64) - np.repeat(win_off, n_win)),
+        pa.ListArray.from_arrays(offs, pa.array(ids.ravel())),
+        pa.ListArray.from_arrays(offs, pa.array(mask.ravel()))],
+        [id_col, "window", "input_ids", "attention_mask"])
+
+
 def _encode_windows_joined(docs: DataFrame, vocab: DataFrame, n: int = MAX_SEQ_LEN,
                            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode whole texts into fixed-length windows.
+    """:func:`encode_windows` for a vocabulary that is too large to broadcast.
+    Texts are dealt to blocks of ``ENCODE_TEXTS``; a block asks for the id of
+    each of its distinct words once, and its texts meet the answers in one
+    group: a text is shuffled once, as its words, and no row is made per
+    word of a text."""
+    texts = materialized(spread(docs, id_col).select(
+        F.col(id_col).alias("_id"), X.words(text_col).alias("_ws"), F.monotonically_increasing_id().alias("_at")), "encode-words")
+    block = F.shiftright("_at", ENCODE_TEXTS.bit_length() - 1)
+    texts = texts.select("_id", "_ws", block.alias("block"))
+    asked = texts.select("block", F.explode(F.array_distinct("_ws")).alias("tok")).distinct()
+    answers = asked.join(vocab.select("tok", "token_id"), "tok").select(
+        F.col("block").alias("of_block"), "tok", F.col("token_id").cast("bigint").alias("token_id"))
+    texts = texts.select("_id", "_ws", (F.col("block") + 0).alias("block"))
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType),
+                           T.StructField("window", T.LongType()),
+                           T.StructField("input_ids", T.ArrayType(T.LongType())),
+                           T.StructField("attention_mask", T.ArrayType(T.LongType()))])
 
-    Each window holds up to n-2 consecutive words as [CLS] ids [SEP], padded
-    with 0 to exactly n; the mask is 1 on real tokens. A text of w words
-    gives ceil(w/(n-2)) windows (an empty text gives one window of [CLS][SEP]).
-    Output: id, window, input_ids, attention_mask (both length n)."""
-    per = n - 2
-    # posexplode_outer: a text without a word keeps one row (pos NULL), so it
-    # still gets its window 0 without a second pass over the texts
-    w = spread(docs, id_col).select(id_col, F.posexplode_outer(X.words(text_col)).alias("pos", "tok"))
-    vb = maybe_broadcast(vocab.select("tok", "token_id"))
-    ided = w.join(vb, "tok", "left").select(
-        id_col, "pos", F.coalesce("token_id", F.lit(X.UNK_ID)).cast("bigint").alias("tid"))
-    ided = ided.withColumn("window", F.coalesce((F.col("pos") / per).cast("bigint"), F.lit(0).cast("bigint")))
-    allw = ided.groupBy(id_col, "window").agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "tid")))).alias("toks"))
-    ids = F.concat(F.array(F.lit(X.CLS_ID).cast("bigint")),
-                   F.transform("toks", lambda s: s["tid"]),
-                   F.array(F.lit(X.SEP_ID).cast("bigint")))
-    fixed = X.fixed_length(ids, n)
-    allw = allw.withColumn("_len", F.least(F.size("toks") + 2, F.lit(n)))
-    mask = F.concat(F.array_repeat(F.lit(1).cast("bigint"), F.col("_len")),
-                    F.array_repeat(F.lit(0).cast("bigint"), F.lit(n) - F.col("_len")))
-    return allw.select(id_col, "window", fixed.alias("input_ids"), mask.alias("attention_mask"))
+    def encode(of_block: pa.Table, known: pa.Table) -> pa.Table:
+        words, token_ids = known.column("tok").combine_chunks(), known.column("token_id").to_numpy()
+
+        def ids_of(distinct):
+            at = pc.index_in(distinct, value_set=words)
+            if not len(token_ids):
+                return np.full(len(distinct), X.UNK_ID, dtype=np.int64)
+            return np.where(at.is_valid().to_numpy(zero_copy_only=False),
+                            token_ids[at.fill_null(0).to_numpy(zero_copy_only=False)], X.UNK_ID).astype(np.int64)
+
+        of_block = of_block.select(["_id", "_ws"]).combine_chunks()
+        return pa.Table.from_batches([_windows(rb, n, id_col, ids_of) for rb in slices(of_block.to_batches())])
+
+    return texts.groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(encode, schema)
 
 
 def hashed_terms(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_id",
@@ -131,9 +149,7 @@ def hashed_terms(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_i
 
     def run(batches):
         cache: dict[str, int] = {}
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
+        for rb in slices(batches):
             vec = hashed_matrix(rb.column(1), dim, cache)
             r, c = np.nonzero(vec)
             yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(r)), pa.array(c.astype(np.int64)),
@@ -144,7 +160,17 @@ def hashed_terms(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_i
 
 # Distinct words whose bucket a task keeps cached (a cache only: the
 # bucket is recomputed after a reset, so results do not depend on it).
-BUCKET_CACHE_WORDS = 1_000_000
+BUCKET_CACHE_WORDS = 200_000
+# Texts that a task makes into words, vectors or windows at once.
+SLICE_TEXTS = 1000
+
+
+def slices(batches, rows: int = SLICE_TEXTS):
+    """The batches in pieces of so many rows: what a task holds beside a batch
+    grows with the piece."""
+    for rb in batches:
+        for i in range(0, rb.num_rows, rows):
+            yield rb.slice(i, rows)
 
 
 def hashed_matrix(ws: pa.Array, dim: int, cache: dict) -> np.ndarray:
@@ -201,7 +227,7 @@ def hashed_embed(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_i
 
     def run(batches):
         cache: dict[str, int] = {}
-        for rb in batches:
+        for rb in slices(batches):
             n = rb.num_rows
             vec = hashed_matrix(rb.column(1), dim, cache)
             emb = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(vec.ravel()))
@@ -230,7 +256,7 @@ def masked_mean_pool(docs: DataFrame, token_table: DataFrame, n_tokens: int,
     in the table.
 
     Pooling is per-row work. When the table is small enough to broadcast
-    (checked: rows x dimension x 8 bytes, one vector length, unique ids) it
+    (checked: bytes of its vectors, one vector length, unique ids) it
     runs as an Arrow-batched map with no shuffle: per batch, the (document,
     token) pairs are counted once and the weighted token vectors are summed
     per document by a sort-and-reduce. Otherwise the same result comes from
@@ -240,17 +266,19 @@ def masked_mean_pool(docs: DataFrame, token_table: DataFrame, n_tokens: int,
                 F.count_if(F.col("tv").isNull()).alias("n_null"),
                 F.min(F.size("tv")).alias("dmin"), F.max(F.size("tv")).alias("dmax")).first()
     dim = st["dmax"] or 0
+    # floats stay floats until they are added up
+    kind = np.float32 if isinstance(tb.schema["tv"].dataType.elementType, T.FloatType) else np.float64
     fits = (st["n"] == st["nd"] and st["n_null"] == 0 and st["dmin"] == dim and dim > 0
-            and max(st["n"], n_tokens) * dim * 8 <= POOL_TABLE_MAX_BYTES)
+            and max(st["n"], n_tokens) * dim * np.dtype(kind).itemsize <= POOL_TABLE_MAX_BYTES)
     if not fits:
         return _masked_mean_pool_joined(docs, token_table, n_tokens, id_col, text_col, tok_id_col, tok_vec_col)
     tbl = tb.where((F.col("tid") >= 0) & (F.col("tid") < n_tokens)).toArrow()
-    mat = np.zeros((n_tokens, dim), dtype=np.float64)
+    mat = np.zeros((n_tokens, dim), dtype=kind)
     present = np.zeros(n_tokens, dtype=bool)
     if tbl.num_rows:
         tids = tbl.column("tid").to_numpy()
         mat[tids] = tbl.column("tv").combine_chunks().flatten().to_numpy(
-            zero_copy_only=False).astype(np.float64).reshape(len(tids), dim)
+            zero_copy_only=False).astype(kind, copy=False).reshape(len(tids), dim)
         present[tids] = True
     bc = docs.sparkSession.sparkContext.broadcast((mat, present))
     src = spread(docs, id_col).select(F.col(id_col).alias("_id"), X.words(text_col).alias("_ws"))
@@ -260,7 +288,7 @@ def masked_mean_pool(docs: DataFrame, token_table: DataFrame, n_tokens: int,
     def run(batches):
         m, pres = bc.value
         cache: dict[str, int] = {}
-        for rb in batches:
+        for rb in slices(batches):
             n = rb.num_rows
             ws = rb.column(1)
             lens = pc.fill_null(pc.list_value_length(ws), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -145,3 +145,26 @@ def test_encode_windows_map_equals_join_form(spark, monkeypatch):
     assert mapped == joined
     assert [w for d, w, _, _ in mapped if d == 4] == [0, 1, 2]
     assert all(ids[1] == X.UNK_ID for d, _, ids, _ in mapped if d == 5)
+
+
+def test_windows_of_a_large_vocabulary_by_blocks(spark, monkeypatch):
+    from filelens.operators import embed
+    docs = spark.createDataFrame([(i % 90, " ".join(f"w{(i * j) % 37}" for j in range(i % 23))) for i in range(100)]
+                                 + [(200, None), (201, ""), (202, "unseen w1 unseen")], "doc_id long, text string").repartition(3)
+    vocab = embed.vocab_build(docs).where("tok <> 'unseen'")
+    want = sorted(map(str, embed.encode_windows(docs, vocab, n=8).collect()))
+    monkeypatch.setattr(embed, "BROADCAST_MAX_ROWS", -1)
+    monkeypatch.setattr(embed, "ENCODE_TEXTS", 16)
+    assert sorted(map(str, embed.encode_windows(docs, vocab, n=8).collect())) == want  # ids that repeat stay texts of their own
+    assert embed.encode_windows(docs, vocab.where("false"), n=8).where("exists(input_ids, x -> x > 3)").count() == 0
+    plan = embed.encode_windows(docs, vocab, n=8)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "collect_list" not in plan  # no row per word of a text
+
+
+def test_kernels_take_batches_in_pieces(spark):
+    import pyarrow as pa
+
+    from filelens.operators import embed
+    b = pa.RecordBatch.from_arrays([pa.array(range(2500))], ["i"])
+    pieces = list(embed.slices([b, b.slice(0, 0)]))
+    assert [p.num_rows for p in pieces] == [1000, 1000, 500] and pa.Table.from_batches(pieces).column("i").to_pylist() == list(range(2500))
