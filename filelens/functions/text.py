@@ -5,6 +5,9 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +29,31 @@ def words(text) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(WORD_PATTERN), 0)
 
 
+def word_text(text) -> Column:
+    """The words of :func:`words` in one string with a space between, which
+    is cheaper to hand to Python; :func:`split_words` takes it apart."""
+    return F.btrim(F.regexp_replace(F.lower(_c(text)), r"[^\p{L}\p{N}]+", " "))
+
+
+def split_words(joined: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(words per text, distinct words, place of each word among them) of
+    :func:`word_text` in an Arrow batch; a null text has no words."""
+    lens, words, codes = coded_words(pc.split_pattern(joined, " "))
+    # a text without words is split into an empty one
+    none = pc.fill_null(pc.equal(joined, ""), False).to_numpy(zero_copy_only=False)
+    if none.any():
+        lens[none] = 0
+        codes = codes[codes != pc.index(words, "").as_py()]
+    return lens, words, codes
+
+
+def coded_words(ws: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """:func:`split_words` of a column of word lists."""
+    lens = pc.fill_null(pc.list_value_length(ws), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    enc = pc.dictionary_encode(pc.list_flatten(ws))
+    return lens, enc.dictionary, enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def hash_bucket(token, n_buckets: int) -> Column:
     """Stable bucket of a token: first 7 hex digits of md5, mod n."""
     h = F.conv(F.substring(F.md5(_c(token)), 1, 7), 16, 10).cast("bigint")
@@ -37,6 +65,13 @@ def hash_bucket_py(token: str, n_buckets: int) -> int:
     return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:7], 16) % n_buckets
 
 
+def hash_buckets(tokens: pa.Array, n_buckets: int) -> np.ndarray:
+    """:func:`hash_bucket_py` of each of (distinct) tokens."""
+    md5 = hashlib.md5
+    heads = b"".join([md5(t).digest()[:4] for t in tokens.cast(pa.binary()).to_numpy(zero_copy_only=False)])
+    return (np.frombuffer(heads, dtype=">u4") >> 4).astype(np.int64) % n_buckets
+
+
 def content_hash(text) -> Column:
     return F.sha2(_c(text), 256)
 

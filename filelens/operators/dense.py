@@ -478,7 +478,7 @@ def dense_search(corpus: DataFrame, queries: DataFrame, k: int | None = 5, *,
     return blockwise(queries, qid_col, qvec_col, dim, block_bytes, per_block, empty)
 
 
-def _rank_kernel(bc, id_col: str, vec_col: str, dim: int):
+def _rank_kernel(bc, id_col: str, vec_col: str, dim: int, vectorize=None):
     """Per wanted (query, id), how many rows of the task come before it."""
     from filelens.operators.inverted import before_marks
 
@@ -487,7 +487,7 @@ def _rank_kernel(bc, id_col: str, vec_col: str, dim: int):
         count = {}
         step = min(SLICE_ROWS, max(1, TILE_BYTES // (8 * max(1, len(qids)))))
         for rb in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
-            mat, valid = dense_matrix(rb.column(vec_col), dim)
+            mat, valid = dense_matrix(rb.column(vec_col), dim) if vectorize is None else vectorize(rb.column(vec_col))
             s, ids = cosine_matrix(mat, valid, qmat, qnorm), rb.column(id_col).to_numpy(zero_copy_only=False)
             for q, (at, doc) in marks.items():
                 n = before_marks(at, doc, s[:, q], ids)
@@ -500,26 +500,24 @@ def _rank_kernel(bc, id_col: str, vec_col: str, dim: int):
 
 def dense_ranks(corpus: DataFrame, queries: DataFrame, wanted: DataFrame, *, id_col: str = "file_id",
                 vec_col: str = "embedding", qid_col: str = "query_id", qvec_col: str = "embedding",
-                dim: int | None = None, block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+                dim: int | None = None, block_bytes: int = DEFAULT_BLOCK_BYTES, vectorize=None) -> DataFrame:
     """(query_id, doc, rank): the exact rank of each wanted (query_id, doc) in
     the whole list of :func:`dense_search`, without making the list. One scan
     of the corpus per query block counts, per wanted document, those before
     it; a task emits one number for each. Few documents per query are meant:
-    those of a query block are held by a task."""
-    from filelens.operators.common import spread
+    those of a query block are held by a task. ``vectorize``: as there."""
+    from filelens.operators.common import materialized, maybe_broadcast, spread
     spark = corpus.sparkSession
     if dim is None:
         dim = infer_dim(queries, qvec_col)
     src = spread(corpus.select(id_col, vec_col))
     held = queries.select(F.col(qid_col).cast("bigint").alias("query_id"), F.col(qvec_col).alias("_q"))
     own = corpus.select(F.col(id_col).alias("doc"), F.col(vec_col).alias("_v"))
-    pairs = wanted.select("query_id", "doc").distinct().join(held, "query_id").join(own, "doc")
-
-    from filelens.operators.common import materialized
+    pairs = own.join(maybe_broadcast(wanted.select("query_id", "doc").distinct()), "doc").join(held, "query_id")
 
     def score(batches):
         for rb in batches:
-            a, va = dense_matrix(rb.column("_v"), dim)
+            a, va = dense_matrix(rb.column("_v"), dim) if vectorize is None else vectorize(rb.column("_v"))
             b, vb = dense_matrix(rb.column("_q"), dim)
             norm = np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)) * (va & vb)
             with np.errstate(invalid="ignore", divide="ignore"):
@@ -540,7 +538,7 @@ def dense_ranks(corpus: DataFrame, queries: DataFrame, wanted: DataFrame, *, id_
         for q, part in _grouped(mine):
             at[place[q]] = part.column("score").to_numpy(), part.column("doc").to_numpy(zero_copy_only=False)
         bc = spark.sparkContext.broadcast((ids, qmat, qnorm, at))
-        counted = src.mapInArrow(_rank_kernel(bc, id_col, vec_col, dim), schema)
+        counted = src.mapInArrow(_rank_kernel(bc, id_col, vec_col, dim, vectorize), schema)
         return counted.groupBy("query_id", "doc").agg((F.sum("before") + 1).alias("rank")), bc
 
     empty = spark.createDataFrame([], f"query_id bigint, doc {id_type}, rank bigint")

@@ -148,9 +148,8 @@ def hashed_terms(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_i
                            T.StructField("bucket", T.LongType()), T.StructField("weight", T.DoubleType())])
 
     def run(batches):
-        cache: dict[str, int] = {}
         for rb in slices(batches):
-            vec = hashed_matrix(rb.column(1), dim, cache)
+            vec = hashed_matrix(rb.column(1), dim)
             r, c = np.nonzero(vec)
             yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(r)), pa.array(c.astype(np.int64)),
                                               pa.array(vec[r, c])], [id_col, "bucket", "weight"])
@@ -158,9 +157,6 @@ def hashed_terms(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_i
     return src.mapInArrow(run, schema)
 
 
-# Distinct words whose bucket a task keeps cached (a cache only: the
-# bucket is recomputed after a reset, so results do not depend on it).
-BUCKET_CACHE_WORDS = 200_000
 # Texts that a task makes into words, vectors or windows at once.
 SLICE_TEXTS = 1000
 
@@ -173,37 +169,54 @@ def slices(batches, rows: int = SLICE_TEXTS):
             yield rb.slice(i, rows)
 
 
-def hashed_matrix(ws: pa.Array, dim: int, cache: dict) -> np.ndarray:
-    """n x dim unit rows of hashed-term counts for an Arrow list<string>
-    column of words (NULL or empty lists give zero rows). Distinct words are
-    hashed once (``cache`` is kept per task and reset when large)."""
-    n = len(ws)
-    lens = pc.fill_null(pc.list_value_length(ws), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    enc = pc.dictionary_encode(pc.list_flatten(ws))
-    if len(cache) > BUCKET_CACHE_WORDS:
-        cache.clear()
-    words = enc.dictionary.to_pylist()
-    bk = np.empty(len(words), dtype=np.int64)
-    for i, w in enumerate(words):
-        b = cache.get(w)
-        if b is None:
-            b = cache[w] = X.hash_bucket_py(w, dim)
-        bk[i] = b
-    idx = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+def hashed_counts(lens: np.ndarray, words: pa.Array, codes: np.ndarray, dim: int) -> np.ndarray:
+    """n x dim counts of hashed terms for coded words
+    (:func:`filelens.functions.text.coded_words`)."""
+    n = len(lens)
     rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-    tf = np.bincount(rows * dim + bk[idx], minlength=n * dim).reshape(n, dim).astype(np.float64)
+    return np.bincount(rows * dim + X.hash_buckets(words, dim)[codes], minlength=n * dim).reshape(n, dim)
+
+
+def unit_counts(counts: np.ndarray) -> np.ndarray:
+    """Rows of counts, divided by their length (zero rows stay zero)."""
+    tf = counts.astype(np.float64)
     nrm = np.sqrt((tf * tf).sum(axis=1))[:, None]
     return np.divide(tf, nrm, out=np.zeros_like(tf), where=nrm > 0)
 
 
+def hashed_matrix(ws: pa.Array, dim: int) -> np.ndarray:
+    """n x dim unit rows of hashed-term counts for an Arrow list<string>
+    column of words (NULL or empty lists give zero rows). The distinct words
+    of a batch are hashed once."""
+    return unit_counts(hashed_counts(*X.coded_words(ws), dim))
+
+
+def packed_counts(counts: np.ndarray) -> pa.Array:
+    """Rows of counts as one binary value each (32-bit numbers), which a table
+    stores and hands on faster than a list of numbers."""
+    n, dim = counts.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * (4 * dim)),
+                                                  pa.py_buffer(np.ascontiguousarray(counts, dtype="<i4"))])
+
+
+def counts_vectorizer(dim: int = EMBEDDING_DIM):
+    """As :func:`hashed_vectorizer`, for a column of :func:`packed_counts`."""
+    def vectorize(packed: pa.Array):
+        n, packed = len(packed), packed.cast(pa.binary())
+        if not n:
+            return np.zeros((0, dim)), np.ones(0, dtype=bool)
+        _, offsets, data = packed.buffers()
+        first = np.frombuffer(offsets, np.int32)[packed.offset]
+        return unit_counts(np.frombuffer(data, "<i4", n * dim, first).reshape(n, dim)), np.ones(n, dtype=bool)
+
+    return vectorize
+
+
 def hashed_vectorizer(dim: int = EMBEDDING_DIM):
     """In-task vectorizer for :func:`filelens.operators.dense.dense_search`:
-    an Arrow list<string> column of words -> (hashed unit vectors, valid).
-    The word cache lives in the function, so each task builds its own."""
-    cache: dict[str, int] = {}
-
+    an Arrow list<string> column of words -> (hashed unit vectors, valid)."""
     def vectorize(ws: pa.Array):
-        m = hashed_matrix(ws, dim, cache)
+        m = hashed_matrix(ws, dim)
         return m, np.ones(len(m), dtype=bool)
 
     return vectorize
@@ -218,7 +231,7 @@ def hashed_embed(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_i
     Embedding a text is a per-row map, so the plan has no shuffle: the JVM
     splits words (same expression as everywhere else), and inside each
     Arrow batch the distinct words are dictionary-encoded, each distinct
-    word is hashed once (cached per task), and one ``bincount`` over
+    word is hashed once, and one ``bincount`` over
     (row, bucket) gives the counts of the whole batch. The sparse
     (id, bucket, weight) form of the same vectors is :func:`hashed_terms`."""
     src = spread(docs, id_col).select(F.col(id_col).alias("_id"), X.words(text_col).alias("_ws"))
@@ -226,10 +239,9 @@ def hashed_embed(docs: DataFrame, dim: int = EMBEDDING_DIM, id_col: str = "doc_i
                            T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        cache: dict[str, int] = {}
         for rb in slices(batches):
             n = rb.num_rows
-            vec = hashed_matrix(rb.column(1), dim, cache)
+            vec = hashed_matrix(rb.column(1), dim)
             emb = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(vec.ravel()))
             yield pa.RecordBatch.from_arrays([rb.column(0), emb], [id_col, "embedding"])
 
@@ -287,22 +299,10 @@ def masked_mean_pool(docs: DataFrame, token_table: DataFrame, n_tokens: int,
 
     def run(batches):
         m, pres = bc.value
-        cache: dict[str, int] = {}
         for rb in slices(batches):
             n = rb.num_rows
-            ws = rb.column(1)
-            lens = pc.fill_null(pc.list_value_length(ws), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            enc = pc.dictionary_encode(pc.list_flatten(ws))
-            if len(cache) > BUCKET_CACHE_WORDS:
-                cache.clear()
-            words = enc.dictionary.to_pylist()
-            tmap = np.empty(len(words), dtype=np.int64)
-            for i, w in enumerate(words):
-                t = cache.get(w)
-                if t is None:
-                    t = cache[w] = X.hash_bucket_py(w, n_tokens)
-                tmap[i] = t
-            tid = tmap[enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+            lens, words, codes = X.coded_words(rb.column(1))
+            tid = X.hash_buckets(words, n_tokens)[codes]
             rows = np.repeat(np.arange(n, dtype=np.int64), lens)
             keys, cnt = np.unique(rows * n_tokens + tid, return_counts=True)  # sorted by row
             ur, ut = keys // n_tokens, keys % n_tokens

@@ -13,6 +13,9 @@ bounds every score in a block. The blocks with the highest bounds are scored,
 which gives each query a k-th score, and of the others only those whose bound
 reaches it. The postings of skipped blocks are never read, and no row is made
 per (query, document).
+
+An index may keep the documents' hashed-term vectors too, made in the same
+pass over the texts, for the searches that rank by both.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from filelens.functions import text as X
-from filelens.operators.common import materialized, spread
+from filelens.operators.common import materialized, maybe_broadcast, spread
 from filelens.operators.dense import round_half_up
+from filelens.operators.embed import hashed_counts, packed_counts
 from filelens.session import scratch_path
 
 BM25_K1 = 1.2
@@ -39,53 +43,61 @@ BLOCK_DOCS = 512     # documents of a block at most
 BATCH_DOCS = 2048    # documents that a task cuts into blocks at once
 BUCKETS = 16         # partitions of the postings by term
 HASH_PLACES = 1 << 20  # of words, where an index is made for some words only
-FIRST_BLOCKS = 2     # blocks that a query scores before it skips
+FIRST_BLOCKS = 2     # blocks that a query scores before it skips, at least
+FIRST_DOCS = 32      # documents of them for each one asked for, at least
 # Scores have six decimals: a bound this far below a score cannot reach it
 _SLACK = 1e-6
 
 
 def _bucket(term: Column) -> Column:
-    """Where a term's rows are stored; those of the documents are in -1."""
+    """Where a term's rows are stored; those of the documents are in -1, their
+    vectors in -2."""
     return F.when(term.isNull(), -1).otherwise(F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int"))
 
 
-def _postings(block_docs: int, schema: pa.Schema, wanted: np.ndarray | None):
+def _postings(block_docs: int, schema: pa.Schema, wanted: np.ndarray | None, dim: int | None):
     """Blocks of each batch: a row per term of a block, and one with the
     block's documents and their lengths. ``wanted``: hash places of the only
-    words to store (others may share a place)."""
+    words to store (others may share a place). ``dim``: a row with the vector
+    of each text, null or not, too."""
     def run(batches):
         task, blocks = TaskContext.get().partitionId() << 33, 0
         for rb in (b.slice(i, BATCH_DOCS) for b in batches for i in range(0, b.num_rows, BATCH_DOCS)):
-            ws = rb.column("words")
-            lens = pc.list_value_length(ws).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, there = rb.column("doc"), rb.column("words").is_valid()
+            lens, words, code = X.split_words(rb.column("words"))
+            if dim is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.nulls(len(lens), f.type) for f in list(schema)[:-2]), ids.cast(schema.field("doc").type),
+                     packed_counts(hashed_counts(lens, words, code, dim))], schema=schema)
+            # a null text is no document; it has no words either
+            ids, lens = ids.filter(there), lens[there.to_numpy(zero_copy_only=False)]
             if not len(lens):
                 continue
-            enc = pc.dictionary_encode(pc.list_flatten(ws))
-            size = max(1, len(enc.dictionary))
+            size = max(1, len(words))
             # documents by length: those of a block have scores alike
             order = np.argsort(lens, kind="stable")
             place = np.empty_like(order)
             place[order] = np.arange(len(order))
-            code = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             # a (block, term) has its postings beside each other
             key = (np.repeat(place // block_docs, lens) * size + code) * block_docs + np.repeat(place % block_docs, lens)
             if wanted is not None:
-                known = [zlib.crc32(w.as_buffer()) % len(wanted) for w in enc.dictionary.cast(pa.binary())]
-                key = key[wanted[np.array(known, np.int64)][code]] if known else key
+                known = np.array([zlib.crc32(w) for w in words.cast(pa.binary()).to_numpy(zero_copy_only=False)], np.int64)
+                key = key[wanted[known % len(wanted)][code]]
             key, tf = np.unique(key, return_counts=True)
             at, group = key % block_docs, key // block_docs
             first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][:len(group)])
             offs = pa.array(np.r_[first, len(group)].astype(np.int32))
             block, dl = group // size, lens[order][(group // size) * block_docs + at]
             n_terms = len(first)
+            none = [pa.nulls(n_terms, f.type) for f in list(schema)[9:]]
             terms = pa.table([
-                enc.dictionary.take(pa.array(group[first] % size)) if n_terms else pa.array([], pa.string()),
+                words.take(pa.array(group[first] % size)) if n_terms else pa.array([], pa.string()),
                 pa.array(task + blocks + block[first]), pa.array(np.diff(np.r_[first, len(group)])),
                 pa.array((np.maximum.reduceat(tf, first) if n_terms else tf).astype(np.int32)),
                 pa.array(np.minimum.reduceat(dl, first) if n_terms else dl),
                 pa.ListArray.from_arrays(offs, pa.array(at.astype(np.int32))),
                 pa.ListArray.from_arrays(offs, pa.array(tf.astype(np.int32))),
-                pa.nulls(n_terms, schema.field("docs").type), pa.nulls(n_terms, pa.list_(pa.int64()))], schema=schema)
+                pa.nulls(n_terms, schema.field("docs").type), pa.nulls(n_terms, pa.list_(pa.int64())), *none], schema=schema)
             yield from terms.to_batches(max_chunksize=1 << 16)
             starts = np.arange(0, len(order), block_docs)
             offs = pa.array(np.r_[starts, len(order)].astype(np.int32))
@@ -93,38 +105,40 @@ def _postings(block_docs: int, schema: pa.Schema, wanted: np.ndarray | None):
             yield pa.RecordBatch.from_arrays([
                 pa.nulls(made, pa.string()), pa.array(task + blocks + np.arange(made)),
                 pa.array(np.diff(np.r_[starts, len(order)])), pa.nulls(made, pa.int32()), pa.nulls(made, pa.int64()), none, none,
-                pa.ListArray.from_arrays(offs, rb.column("doc").take(pa.array(order)).cast(schema.field("docs").type.value_type)),
-                pa.ListArray.from_arrays(offs, pa.array(lens[order]))], schema=schema)
+                pa.ListArray.from_arrays(offs, ids.take(pa.array(order)).cast(schema.field("docs").type.value_type)),
+                pa.ListArray.from_arrays(offs, pa.array(lens[order])),
+                *(pa.nulls(made, f.type) for f in list(schema)[9:])], schema=schema)
             blocks += made
     return run
 
 
 def build(docs: DataFrame, root: str | None = None, *, id_col: str = "doc_id", text_col: str = "text",
-          only: DataFrame | None = None) -> InvertedIndex:
+          only: DataFrame | None = None, dim: int | None = None) -> InvertedIndex:
     """Index ``docs`` under ``root`` (default: a table of the shared scratch
     folder). A null text is no document; a row is a document of its own.
-    ``only`` (term): the words of a search that the index is made for; other
-    words are not stored."""
+    ``only`` (term): the words of a search that the index is made for; of
+    other words only those are stored that share a hash place with one.
+    ``dim``: the hashed-term vectors of all rows are stored too, also of
+    those without a text (``InvertedIndex.vectors``)."""
     spark = docs.sparkSession
     root = (root or scratch_path(spark, "inverted")).rstrip("/")
-    words = spread(docs, id_col).select(F.col(id_col).alias("doc"), X.words(text_col).alias("words")) \
-        .where(F.col("words").isNotNull())
+    words = spread(docs, id_col).select(F.col(id_col).alias("doc"), X.word_text(text_col).alias("words"))
     i, n = T.IntegerType(), T.LongType()
     schema = T.StructType([T.StructField(c, t) for c, t in (
         ("term", T.StringType()), ("block", n), ("n", n), ("max_tf", i), ("min_dl", n), ("at", T.ArrayType(i)),
-        ("tfs", T.ArrayType(i)), ("docs", T.ArrayType(words.schema["doc"].dataType)), ("dls", T.ArrayType(n)))])
+        ("tfs", T.ArrayType(i)), ("docs", T.ArrayType(words.schema["doc"].dataType)), ("dls", T.ArrayType(n)),
+        *([] if dim is None else [("doc", words.schema["doc"].dataType), ("vec", T.BinaryType())]))])
     wanted = None
     if only is not None:
         # at most HASH_PLACES numbers, however many words there are
         places = only.select((F.crc32(F.col("term").cast("binary")) % HASH_PLACES).alias("p")).distinct().toArrow()
         wanted = np.zeros(HASH_PLACES, bool)
         wanted[places.column("p").to_numpy()] = True
-    rows = words.mapInArrow(_postings(BLOCK_DOCS, to_arrow_schema(schema), wanted), schema)
-    if only is not None:
-        none = spark.createDataFrame([(None,)], "term string")  # the rows of the documents stay
-        kept = only.select("term").distinct().unionByName(none).withColumnRenamed("term", "_kept")
-        rows = rows.join(kept, F.col("term").eqNullSafe(F.col("_kept")), "left_semi")
-    rows.withColumn("bucket", _bucket(F.col("term"))).hint("rebalance", F.col("bucket")) \
+    rows = words.mapInArrow(_postings(BLOCK_DOCS, to_arrow_schema(schema), wanted, dim), schema)
+    bucket = _bucket(F.col("term"))
+    if dim is not None:
+        bucket = F.when(F.col("vec").isNotNull(), -2).otherwise(bucket)
+    rows.withColumn("bucket", bucket).hint("rebalance", F.col("bucket")) \
         .sortWithinPartitions("bucket", "term") \
         .write.mode("errorifexists").partitionBy("bucket").option("compression", "zstd").parquet(f"{root}/postings")
     return InvertedIndex(spark, root)
@@ -137,7 +151,8 @@ class InvertedIndex:
         self.spark, self.root, self.k1, self.b = spark, root, k1, b
         table = spark.read.parquet(f"{root}/postings")
         self.documents = table.where("bucket = -1").select("block", "docs", "dls")
-        self.postings = table.where("bucket >= 0").drop("docs", "dls")
+        self.postings = table.where("bucket >= 0").drop("docs", "dls", "doc", "vec")
+        self.vectors = table.where("bucket = -2").select("doc", "vec") if "vec" in table.columns else None
         self.id_type = table.schema["docs"].dataType.elementType
         words = F.aggregate("dls", F.lit(0).cast("bigint"), lambda x, y: x + y)
         s = self.documents.agg(F.coalesce(F.sum(F.size("docs")), F.lit(0)).alias("n"),
@@ -211,14 +226,15 @@ class Query:
         none = F.lit(None).cast("double")
         if k is None:
             return None, self.bounds.select("query_id", "block", none.alias("floor"))
+        n_first = _first_blocks(k)
         w = Window.partitionBy("query_id").orderBy(F.desc("bound"), F.asc("block"))
         order = self.bounds.withColumn("nth", F.row_number().over(w))
-        heads = order.where(F.col("nth") <= FIRST_BLOCKS).select("query_id", "block", none.alias("floor"))
+        heads = order.where(F.col("nth") <= n_first).select("query_id", "block", none.alias("floor"))
         first = materialized(self._scored(heads, self._list_schema(), _best(k)), "query-first")
         by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc"))
         floors = first.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") == k) \
             .select("query_id", F.col("score").alias("floor"))
-        rest = order.where(F.col("nth") > FIRST_BLOCKS).join(floors, "query_id", "left") \
+        rest = order.where(F.col("nth") > n_first).join(floors, "query_id", "left") \
             .where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - _SLACK))
         return first, rest.select("query_id", "block", "floor")
 
@@ -228,7 +244,7 @@ class Query:
         _, rest = self.rounds(k)
         more = rest.groupBy("query_id").agg(F.count(F.lit(1)).alias("more"))
         every = self.bounds.groupBy("query_id").agg(F.count(F.lit(1)).alias("blocks"))
-        head = F.lit(0) if k is None else F.least(F.col("blocks"), F.lit(FIRST_BLOCKS))
+        head = F.lit(0) if k is None else F.least(F.col("blocks"), F.lit(_first_blocks(k)))
         return every.join(more, "query_id", "left").select(
             "query_id", (head + F.coalesce("more", F.lit(0))).cast("bigint").alias("scored"), "blocks")
 
@@ -238,7 +254,7 @@ class Query:
         whose bound reaches the least wanted score count, per wanted document,
         the documents before it. Documents outside the list have no row."""
         where = self.index.documents.select("block", F.explode("docs").alias("doc"))
-        asked = wanted.join(where, "doc").groupBy("query_id", "block").agg(F.collect_set("doc").alias("wanted"))
+        asked = where.join(maybe_broadcast(wanted), "doc").groupBy("query_id", "block").agg(F.collect_set("doc").alias("wanted"))
         known = materialized(self._scored(asked, self._list_schema(), _pick), "wanted-scores")
         marks = known.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("score", "doc"))).alias("m"),
                                               F.min("score").alias("least"))
@@ -249,6 +265,11 @@ class Query:
         return counted.groupBy("query_id", "doc").agg((F.sum("before") + 1).alias("rank"))
 
 
+def _first_blocks(k: int) -> int:
+    """A long list needs more documents before its last score skips any."""
+    return max(FIRST_BLOCKS, -(-k * FIRST_DOCS // BLOCK_DOCS))
+
+
 def _best(k: int | None):
     def choose(ask: dict, docs: np.ndarray, score: np.ndarray):
         keep = np.flatnonzero(score > 0 if ask["floor"] is None else score >= max(ask["floor"], _SLACK / 2))
@@ -300,7 +321,7 @@ def _block_scorer(choose, k1: float, b: float, avgdl: float, schema: pa.Schema):
         weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[at] / avgdl))
         ends = np.cumsum(pc.fill_null(pc.list_value_length(parts["at"]), 0).to_numpy(zero_copy_only=False)).tolist()
         lists = {t: (at[a:z], weight[a:z]) for t, a, z in zip(term, [0, *ends], ends) if t is not None}
-        out = []
+        qids, found, values = [], [], []
         for ask in asked.to_pylist():
             got = [(lists[t], w) for t, w in zip(ask["terms"], ask["idfs"]) if t in lists]
             if not got:
@@ -308,9 +329,12 @@ def _block_scorer(choose, k1: float, b: float, avgdl: float, schema: pa.Schema):
             # words in order, so that a score is the same in every round
             score = round_half_up(np.bincount(np.concatenate([p[0] for p, _ in got]), minlength=len(docs),
                                               weights=np.concatenate([p[1] * w for p, w in got])))
-            ids, values = choose(ask, docs, score)
-            if len(ids):
-                out.append(pa.table([pa.array(np.full(len(ids), ask["query_id"])), pa.array(ids.tolist(), schema.field(1).type),
-                                     pa.array(values, schema.field(2).type)], schema=schema))
-        return pa.concat_tables(out) if out else schema.empty_table()
+            ids, value = choose(ask, docs, score)
+            qids.append(np.full(len(ids), ask["query_id"]))
+            found.append(ids)
+            values.append(value)
+        if not found:
+            return schema.empty_table()
+        return pa.table([pa.array(np.concatenate(qids)), pa.array(np.concatenate(found).tolist(), schema.field(1).type),
+                         pa.array(np.concatenate(values), schema.field(2).type)], schema=schema)
     return run

@@ -34,8 +34,9 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5, *, id_col: str =
     return bm25_search(index, queries, k, id_col=id_col, qid_col=qid_col, text_col=text_col)
 
 
-def _index_for(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k1: float, b: float) -> inverted.InvertedIndex:
-    made = inverted.build(docs, id_col=id_col, text_col=text_col,
+def _index_for(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k1: float, b: float,
+               dim: int | None = None) -> inverted.InvertedIndex:
+    made = inverted.build(docs, id_col=id_col, text_col=text_col, dim=dim,
                           only=queries.select(F.explode(X.words(text_col)).alias("term")))
     return inverted.InvertedIndex(docs.sparkSession, made.root, k1, b)
 
@@ -70,7 +71,8 @@ def hybrid_topk(docs: DataFrame, queries: DataFrame, k: int = 5, depth: int | No
     best). Documents of one list that could still get among them by their rank
     in the other have that rank counted: how many documents score better, as
     one partial sum per task and candidate. The answer is that of the whole
-    lists, and no list longer than ``depth`` is made."""
+    lists, and no list longer than ``depth`` is made. The texts are read and
+    split once: the index keeps their vectors beside the postings."""
     from filelens.operators import embed
     from filelens.operators.dense import dense_ranks, dense_search
     dim = dim or embed.EMBEDDING_DIM
@@ -78,16 +80,17 @@ def hybrid_topk(docs: DataFrame, queries: DataFrame, k: int = 5, depth: int | No
     depth = None if enough is None else max(depth or 0, enough)
     texts = queries.select(F.col(qid_col).cast("bigint").alias("query_id"), F.col(text_col).alias("text"))
     qs = materialized(embed.hashed_embed(texts, dim=dim, id_col="query_id"), "hybrid-queries")
-    vecs = materialized(embed.hashed_embed(docs, dim=dim, id_col=id_col, text_col=text_col), "hybrid-vectors")
-    asked = _index_for(docs, texts.withColumnRenamed("text", text_col), id_col, text_col, k1, b).query(texts)
-    sem = materialized(dense_search(vecs, qs, depth, id_col=id_col, qid_col="query_id", dim=dim)
-                       .select("query_id", F.col(id_col).alias("doc"), F.col("rank").alias("ra")), "hybrid-semantic")
+    index = _index_for(docs, texts.withColumnRenamed("text", text_col), id_col, text_col, k1, b, dim)
+    vecs, asked = index.vectors, index.query(texts)
+    kept = {"id_col": "doc", "vec_col": "vec", "qid_col": "query_id", "dim": dim, "vectorize": embed.counts_vectorizer(dim)}
+    sem = materialized(dense_search(vecs, qs, depth, **kept)
+                       .select("query_id", "doc", F.col("rank").alias("ra")), "hybrid-semantic")
     kw = materialized(asked.top(depth).select("query_id", "doc", F.col("rank").alias("rb")), "hybrid-keyword")
     if depth is None:
         return rrf_fuse(sem.withColumnRenamed("ra", "rank"), kw.withColumnRenamed("rb", "rank"), k, "doc", c) \
             .withColumnRenamed("doc", id_col)
     open_ = materialized(_open_candidates(sem, kw, depth, k, c), "hybrid-candidates")
-    more_a = dense_ranks(vecs, qs, open_.where("ra is null and whole_a = 0").select("query_id", "doc"), id_col=id_col, dim=dim)
+    more_a = dense_ranks(vecs, qs, open_.where("ra is null and whole_a = 0").select("query_id", "doc"), **kept)
     more_b = asked.ranks(open_.where("rb is null and whole_b = 0").select("query_id", "doc"))
     full = open_.join(more_a.withColumnRenamed("rank", "xa"), ["query_id", "doc"], "left") \
         .join(more_b.withColumnRenamed("rank", "xb"), ["query_id", "doc"], "left")

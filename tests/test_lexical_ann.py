@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from filelens.operators import ann, inverted, lexical, search
 from filelens.operators.dense import dense_search
@@ -222,6 +223,41 @@ def test_hybrid_is_the_fusion_of_whole_lists(spark, depth):
         w[:3] for w in _fused(spark, docs, qs, 3, 16)]
 
 
+def test_hybrid_reads_the_texts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        read.add(1)
+        return t
+
+    texts = TEXTS + [None] + [f"cat w{i % 7} w{i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text", counted("text"))
+    qs = spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, text string")
+    assert lexical.hybrid_topk(docs, qs, 3, dim=16).count() > 0
+    assert read.value == len(texts)
+
+
+def test_an_index_keeps_vectors_of_all_rows(spark):
+    from filelens.operators import embed
+
+    # more rows than a task cuts into blocks at once, some without a text or a word
+    texts = [None if i % 50 == 7 else "" if i % 50 == 9 else f"cat w{i} w{i % 13} dog" for i in range(5000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    only = spark.createDataFrame([("cat",), ("w3",)], "term string")
+    index = inverted.build(docs, only=only, dim=8)
+    unit = embed.counts_vectorizer(8)
+    got = {}
+    for b in index.vectors.toArrow().to_batches():
+        got.update(zip(b.column("doc").to_pylist(), unit(b.column("vec"))[0].tolist()))
+    want = {r.doc_id: r.embedding for r in embed.hashed_embed(docs, dim=8).collect()}
+    assert got == want and len(want) == len(texts)
+    assert index.n == sum(t is not None for t in texts)
+    held = {r.term: r.n for r in index.postings.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    assert held["cat"] == sum(bool(t) for t in texts) and held["w3"] == sum("w3" in (t or "").split() for t in texts)
+    assert len(held) < 100   # the other words are left out, but for a few that share a place
+
+
 def test_recall_divides_by_what_there_is(spark):
     exact = spark.createDataFrame([(1, 1, 10), (1, 2, 11)], "query_id long, rank long, file_id long")
     assert ann.ann_recall(exact, exact, 5).first()["recall"] == 1.0

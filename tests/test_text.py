@@ -168,3 +168,21 @@ def test_kernels_take_batches_in_pieces(spark):
     b = pa.RecordBatch.from_arrays([pa.array(range(2500))], ["i"])
     pieces = list(embed.slices([b, b.slice(0, 0)]))
     assert [p.num_rows for p in pieces] == [1000, 1000, 500] and pa.Table.from_batches(pieces).column("i").to_pylist() == list(range(2500))
+
+
+def test_words_in_one_string_are_the_words(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [None, "", "  ", "?!", "Straße ÄÖ, x_y 1½ ² Ⅷ", "a\u0301b \U00010400 İ ß\u00a0z\tq\n",
+             "٣٤ 漢字カナ-x", "one", " one  two one "] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").orderBy("i")
+    rows = df.select(X.words("text").alias("w"), X.word_text("text").alias("t")).collect()
+    joined = pa.array([r.t for r in rows])
+    for a in range(len(rows)):  # parts of a batch too
+        lens, words, codes = X.split_words(joined.slice(a, 11))
+        flat = [w for r in rows[a:a + 11] for w in r.w or []]
+        assert lens.tolist() == [len(r.w or []) for r in rows[a:a + 11]]
+        assert [words[int(c)].as_py() for c in codes] == flat
+        assert X.hash_buckets(words, 97).tolist() == [X.hash_bucket_py(w, 97) for w in words.to_pylist()]
+    assert X.hash_buckets(pa.array([], pa.string()), 7).dtype == np.int64
