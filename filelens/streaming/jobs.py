@@ -11,19 +11,22 @@ counters beside the state.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelens.operators.common import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, materialized, row_bytes
+from filelens.operators.common import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, global_rank, materialized, row_bytes
 from filelens.operators.index import latest_per_key, path_ids
 from filelens.session import scratch_path
-from filelens.sources import store
+from filelens.sources import listing, store
 
-# Fixed schema of Spark's binaryFile source (a stream needs it up front).
-BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+# Fixed schema of Spark's binaryFile source (a stream needs it up front), and
+# of a listing without the bodies.
+LISTED_SCHEMA = "path string, modificationTime timestamp, length bigint"
+BINARY_FILE_SCHEMA = f"{LISTED_SCHEMA}, content binary"
 
 
 def upsert_newer(state: DataFrame | None, batch: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
@@ -147,6 +150,32 @@ def _many_files(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _arrivals(files: DataFrame, per_trigger: int | None) -> str:
+    """The folder in which listed files are rows of a few Parquet files, for a
+    stream to take. With ``per_trigger`` a Parquet file has the rows of one
+    trigger, the oldest files in the first."""
+    spark = files.sparkSession
+    path = scratch_path(spark, "arrivals")
+    if not per_trigger:
+        files.write.parquet(path)
+        return path
+    slots = spark.sparkContext.defaultParallelism
+    ranked = global_rank(files, ["modificationTime", "path"])
+    ranked.select(*files.columns, F.floor((F.col("rank") - 1) / per_trigger).cast("bigint").alias("trigger")) \
+        .repartition(4 * slots, "trigger").write.partitionBy("trigger").option("maxRecordsPerFile", 0).parquet(path)
+    # a file stream takes its files in the order of their times (where a store
+    # does not let them be set, the triggers come in any order)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = {int(f.getPath().getName().split("=")[1]): f.getPath() for f in fs.listStatus(top) if f.isDirectory()}
+    first = int(time.time() * 1000) - len(folders)
+    for n, folder in folders.items():
+        for part in fs.listStatus(folder):
+            fs.setTimes(part.getPath(), first + n, -1)
+    return path
+
+
 def quarantine_root(index_root: str) -> str:
     """Where :func:`stream_index` keeps the files that it could not index."""
     return index_root.rstrip("/") + "-quarantine"
@@ -159,22 +188,39 @@ def stream_index(spark: SparkSession, root: str, embed_fn, index_root: str | Non
     (DataFrame (file_id, text) -> (file_id, embedding)) and upserts by path
     with the strictly-newer rule; files that cannot be indexed go to
     :func:`quarantine_root`. New paths only: a file changed in place is
-    not re-emitted by the file source -- run the batch change job for that."""
+    not re-emitted by the file source -- run the batch change job for that.
+
+    Below a local root the stream's rows are the listing, made and written by
+    tasks, and a trigger's bodies are read by path: a stream over the files
+    themselves keeps every one of them in the driver."""
     from filelens.functions import paths as P
-    from filelens.sources.files import extract, with_path_parts
+    from filelens.sources.files import MAX_CONTENT_BYTES, extract, with_path_parts
 
     index_root = index_root or scratch_path(spark, "index-stream")
     ckpt = scratch_path(spark, "stream-ckpt")
-    r = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", "true")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    roots = listing.local_roots(spark, root)
+    r = spark.readStream.option("recursiveFileLookup", "true")
+    if roots is not None:
+        source = _arrivals(listing.listed(spark, roots, glob), max_files_per_trigger)
+        r = r.format("parquet").schema(LISTED_SCHEMA)
+        if max_files_per_trigger:
+            r = r.option("maxFilesPerTrigger", 1)
+    else:
+        source = root
+        r = r.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+        if glob:
+            r = r.option("pathGlobFilter", glob)
+        if max_files_per_trigger:
+            r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     # per-trigger counters, reported in StreamingQueryProgress.observedMetrics
-    src = r.load(root).observe("index_counters", F.count(F.lit(1)).alias("files_seen"),
+    src = r.load(source).observe("index_counters", F.count(F.lit(1)).alias("files_seen"),
                                F.sum("length").alias("bytes_seen"))
 
     def each(batch: DataFrame, batch_id: int):
+        if roots is not None:
+            # read once, as the counters count each time that it is
+            arrived = materialized(batch, "index-files")
+            batch = listing.with_bodies(arrived, MAX_CONTENT_BYTES, listing.total_bytes(arrived))
         b = with_path_parts(batch.select(P.strip_uri("path").alias("path"),
                                          F.unix_timestamp("modificationTime").cast("bigint").alias("last_modified"),
                                          F.col("length").cast("bigint").alias("size_bytes"), "content"))
