@@ -1,11 +1,13 @@
-"""File inventory and text extraction on Spark's binaryFile source.
+"""File inventory and text extraction by the rules of Spark's file source.
 
 Differences from a plain directory walk (documented, not hidden): the file
 source skips names starting with '.' or '_' (files and directories), skips
 zero-length files, follows directory symlinks and returns ``file:`` URIs
-(stripped here). ``sources.walk`` lists a tree exactly and reads bodies of
-any size in pieces; for an inventory from another listing, pass a DataFrame
-of path strings to :func:`inventory_from_paths`.
+(stripped here). Local trees are listed and read in tasks by the same rules
+(``sources.listing``), other stores by Spark's binaryFile source, whose driver
+holds the status of every file. ``sources.walk`` lists a tree exactly and reads
+bodies of any size in pieces; for an inventory from another listing, pass a
+DataFrame of path strings to :func:`inventory_from_paths`.
 """
 
 from __future__ import annotations
@@ -21,18 +23,15 @@ from pyspark.sql import functions as F
 from filelens.functions import paths as P
 from filelens.functions import text as X
 from filelens.schema import ALLOWED_EXTENSIONS, IMAGE_EXTENSIONS
+from filelens.sources import listing
 
 # A row of Spark's binary reader holds at most 2 GiB. Larger texts come whole
 # from ``walk.text_pieces``; only bodies for extractors are quarantined.
 MAX_CONTENT_BYTES = 2_000_000_000
 
 
-# Bytes of bodies that a task of a scan reads, in as many files as that takes.
-SCAN_BYTES = 64 << 20
-
-
 def _load(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
-    """The files below ``root``. Spark deals small files as if each were 4 MB
+    """The files below ``root`` by Spark's own source. Spark deals small files as if each were 4 MB
     (about 32 to a task); they are dealt by their own bytes instead, over all
     task slots."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -42,17 +41,18 @@ def _load(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
 
 
 def by_bytes(files: DataFrame) -> DataFrame:
-    """A scan of many small files in tasks of about ``SCAN_BYTES``; no file
-    moves between tasks."""
+    """A scan of many small files in tasks of about ``listing.SCAN_BYTES``; no
+    file moves between tasks."""
     size = int(files._jdf.queryExecution().analyzed().stats().sizeInBytes())
-    return files.coalesce(max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-size // SCAN_BYTES)))
+    return files.coalesce(max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-size // listing.SCAN_BYTES)))
 
 
 def inventory(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """(path, name, extension, last_modified, size_bytes) for every regular
-    file below ``root``. The content column is not selected, so no file body
-    is read -- only the listing (done in parallel by Spark for large trees)."""
-    df = _load(spark, root, glob)
+    file below ``root``. No file body is read -- only the listing, which tasks
+    make and write."""
+    roots = listing.local_roots(spark, root)
+    df = _load(spark, root, glob) if roots is None else listing.listed(spark, roots, glob)
     return with_path_parts(df.select(P.strip_uri("path").alias("path"),
                                      F.unix_timestamp("modificationTime").cast("bigint").alias("last_modified"),
                                      F.col("length").cast("bigint").alias("size_bytes")))

@@ -95,6 +95,12 @@ def _many(spark, root, n):
     S.write_corpus(spark.range(n).selectExpr("id AS doc_id", "'s' AS source", "'en' AS lang", "string(id) AS text"), root)
 
 
+def test_inventory_does_not_hold_the_files_in_the_driver(spark, tmp_path):
+    _many(spark, f"{tmp_path}/tree", 1000)
+    got = S.inventory(spark, f"{tmp_path}/tree")
+    assert got.count() == 1000 and len(got.inputFiles()) <= 8 * spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("per_trigger", [None, 300])
 def test_index_stream_does_not_hold_the_files_in_the_driver(spark, tmp_path, monkeypatch, per_trigger):
     from filelens.operators import embed
