@@ -75,16 +75,23 @@ def read_content(spark: SparkSession, root: str, wanted: DataFrame | None = None
     """(path, content, size_bytes, last_modified) for files below ``root``;
     restricted to the paths of ``wanted`` (a semi-join) when given. Files
     over ``max_bytes`` keep a NULL content and are never read."""
-    src = _load(spark, root, glob)
+    roots = listing.local_roots(spark, root)
+    src = _load(spark, root, glob) if roots is None else listing.listed(spark, roots, glob)
     meta = [P.strip_uri("path").alias("path"), F.col("length").cast("bigint").alias("size_bytes"),
             F.unix_timestamp("modificationTime").cast("bigint").alias("last_modified")]
-    # the length filter is pushed into the binaryFile reader, so a body is
-    # read only for files under the limit; larger files are listed without
-    # their body (reading one over the source's own maximum would fail the job)
-    small = src.where(F.col("length") <= max_bytes).select(*meta, "content")
+    total = 0 if roots is None else listing.total_bytes(src.where(F.col("length") <= max_bytes))
+    if wanted is not None and roots is not None:  # only their bodies are read
+        src = src.join(wanted.select("path"), "path", "left_semi")
+    # the length filter is pushed into the binaryFile reader or the scan of the
+    # listing, so a body is read only for files under the limit; larger files
+    # are listed without their body (reading one over the source's own maximum
+    # would fail the job)
+    small = src.where(F.col("length") <= max_bytes)
+    if roots is not None:
+        small = listing.with_bodies(small, max_bytes, total)
     large = src.where(F.col("length") > max_bytes).select(*meta, F.lit(None).cast("binary").alias("content"))
-    df = small.unionByName(large)
-    if wanted is not None:
+    df = small.select(*meta, "content").unionByName(large)
+    if wanted is not None and roots is None:
         df = df.join(wanted.select("path"), "path", "left_semi")
     return df
 

@@ -75,6 +75,11 @@ def test_roots_that_spark_itself_lists(spark, tree, tmp_path):
     assert [r.name for r in S.inventory(spark, out).collect() if r.name == "uncommitted.txt"] == []
 
 
+def test_names_beyond_ascii(spark, tmp_path):
+    (tmp_path / "été 中.txt").write_bytes(b"x")
+    assert [(r.name, bytes(r.content)) for r in S.with_path_parts(S.read_content(spark, str(tmp_path))).collect()] == [("été 中.txt", b"x")]
+
+
 def test_bodies_as_they_are_when_read(spark, tmp_path):
     for n in ("a", "b", "gone"):
         (tmp_path / n).write_bytes(b"1234")
@@ -91,6 +96,15 @@ def test_bodies_as_they_are_when_read(spark, tmp_path):
     assert sorted((os.path.basename(r.path), r.length, r.content) for r in rows) == [("a", 4, b"1234"), ("b", 9, None)]
 
 
+def test_only_wanted_bodies_are_read(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"{i}.txt").write_bytes(b"x" * (i + 1))
+    wanted = spark.createDataFrame([(f"{tmp_path}/1.txt",), (f"{tmp_path}/3.txt",), (f"{tmp_path}/other.txt",)], "path string")
+    got = S.read_content(spark, str(tmp_path), wanted)
+    os.remove(tmp_path / "4.txt")  # or the read would fail
+    assert sorted((r.path[-5:], r.size_bytes, len(r.content)) for r in got.collect()) == [("1.txt", 2, 2), ("3.txt", 4, 4)]
+
+
 def _many(spark, root, n):
     S.write_corpus(spark.range(n).selectExpr("id AS doc_id", "'s' AS source", "'en' AS lang", "string(id) AS text"), root)
 
@@ -101,6 +115,12 @@ def test_inventory_does_not_hold_the_files_in_the_driver(spark, tmp_path):
     assert got.count() == 1000 and len(got.inputFiles()) <= 8 * spark.sparkContext.defaultParallelism
 
 
+def test_content_does_not_hold_the_files_in_the_driver(spark, tmp_path):
+    _many(spark, f"{tmp_path}/tree", 1000)
+    got = S.read_content(spark, f"{tmp_path}/tree")
+    assert got.count() == 1000 and len(got.inputFiles()) <= 8 * spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("per_trigger", [None, 300])
 def test_index_stream_does_not_hold_the_files_in_the_driver(spark, tmp_path, monkeypatch, per_trigger):
     from filelens.operators import embed
