@@ -93,6 +93,19 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@contextmanager
+def few_rows_at_once(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """For the time of jobs that hand whole texts to Python: fewer rows in an
+    Arrow batch, which the JVM and the worker both hold (by default 10,000)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, rows: int | None = None,
                     width: int | None = None, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Broadcast ``df`` only when its counted rows are under ``max_rows`` and

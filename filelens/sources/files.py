@@ -14,14 +14,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filelens.functions import paths as P
 from filelens.functions import text as X
+from filelens.operators.common import few_rows_at_once, materialized, spread
 from filelens.schema import ALLOWED_EXTENSIONS, IMAGE_EXTENSIONS
 from filelens.sources import listing
 
@@ -184,21 +186,29 @@ def write_corpus(docs: DataFrame, root: str, id_col: str = "doc_id") -> None:
     source=/lang=/doc_<id>.txt, which holds the text and a final newline (rows
     of one source, language and id are the lines of one file). Tasks write the
     files: Spark's writer of partitions takes far longer over the folder and
-    the commit of each file than over its text."""
+    the commit of each file than over its text. Only texts that share a file
+    move between tasks."""
     from filelens.sources.walk import write_files
 
-    # an explicit partition count: AQE would coalesce this small shuffle into
-    # one task that then creates every file of the tree alone
-    n = 4 * docs.sparkSession.sparkContext.defaultParallelism
     line = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"))
-    keys = [F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
-            F.concat(F.lit("doc_"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(".txt")).alias("name")]
-    bodies = docs.select(*keys, line.alias("line")).repartition(n, "source", "lang", "name") \
-        .groupBy("source", "lang", "name").agg(F.array_join(F.collect_list("line"), "").cast("binary").alias("content"))
+    keys = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"),
+            "name": F.concat(F.lit("doc_"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(".txt"))}
+    named = [c.alias(k) for k, c in keys.items()]
+    shared = materialized(docs.select(*named).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                          .select(*[F.col(k).alias(f"_{k}") for k in keys]), "corpus-shared")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    lines = spread(docs.select(*named, line.alias("line")))
+    alone = lines.join(shared, same, "left_anti").withColumn("line", F.col("line").cast("binary"))
+    # an explicit partition count: AQE would coalesce a small shuffle into one
+    # task that then creates all of these files alone
+    n = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    joined = lines.join(shared, same, "left_semi").repartition(n, *keys) \
+        .groupBy(*keys).agg(F.array_join(F.collect_list("line"), "").cast("binary").alias("line"))
 
     def paths(batches):
         for b in batches:
             yield pd.DataFrame({"path": [f"{_folder('source', x)}/{_folder('lang', y)}/{z}" for x, y, z in
-                                         zip(b["source"], b["lang"], b["name"])], "content": b["content"]})
+                                         zip(b["source"], b["lang"], b["name"])], "content": b["line"]})
 
-    write_files(bodies.mapInPandas(paths, "path string, content binary"), root)
+    with few_rows_at_once(docs.sparkSession):
+        write_files(alone.unionByName(joined).mapInPandas(paths, "path string, content binary"), root)

@@ -18,7 +18,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelens.operators.common import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, global_rank, materialized, row_bytes
+from filelens.operators.common import (BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, few_rows_at_once, global_rank, materialized, recorded_tables,
+                                       remove_tables, row_bytes)
 from filelens.operators.index import latest_per_key, path_ids
 from filelens.session import scratch_path
 from filelens.sources import listing, store
@@ -176,6 +177,15 @@ def _arrivals(files: DataFrame, per_trigger: int | None) -> str:
     return path
 
 
+def _with_ids(files: DataFrame, index: DataFrame | None) -> DataFrame:
+    """``files`` with their ``file_id``: stored paths keep theirs, new paths get
+    a collision-checked hash. Only ids that are not the plain hash of their path
+    are joined, so that the texts stay where they are as a rule."""
+    plain = F.xxhash64("path")
+    other = materialized(path_ids(files, index).where(F.col("file_id") != plain).withColumnRenamed("file_id", "_id"), "index-ids")
+    return files.join(other, "path", "left").withColumn("file_id", F.coalesce("_id", plain)).drop("_id")
+
+
 def quarantine_root(index_root: str) -> str:
     """Where :func:`stream_index` keeps the files that it could not index."""
     return index_root.rstrip("/") + "-quarantine"
@@ -217,6 +227,16 @@ def stream_index(spark: SparkSession, root: str, embed_fn, index_root: str | Non
                                F.sum("length").alias("bytes_seen"))
 
     def each(batch: DataFrame, batch_id: int):
+        with recorded_tables([]) as used:
+            with recorded_tables([]) as texts:
+                meta, vec = embedded(batch, batch_id)
+            # written once: the merge reads the batch more than once
+            rows = materialized(meta.join(vec, "file_id"), "index-batch")
+            remove_tables(spark, texts)
+            commit_newer(rows, batch_id, index_root, "path", "last_modified", "file_id")
+        remove_tables(spark, used)
+
+    def embedded(batch: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
         if roots is not None:
             # read once, as the counters count each time that it is
             arrived = materialized(batch, "index-files")
@@ -228,21 +248,16 @@ def stream_index(spark: SparkSession, root: str, embed_fn, index_root: str | Non
         # each time it runs, also where it needs paths only
         b = materialized(extract(b).drop("content"), "index-texts")
         cur = store.read_current(batch.sparkSession, index_root)
-        # ids: stored paths keep theirs; new paths get a collision-checked hash
-        found = b.join(path_ids(b, cur), "path")
+        found = _with_ids(b, cur)
         good = F.col("status").isin("ok", "repaired")
         # rows that cannot be indexed are kept with their reason, one folder per
         # trigger (a replayed trigger writes it anew)
         found.where(~good).select("file_id", "path", "extension", "last_modified", "size_bytes", "status") \
             .write.mode("overwrite").parquet(f"{quarantine_root(index_root)}/batch={batch_id}")
         ex = found.where(good)
-        vec = embed_fn(ex.select("file_id", "text"))
-        # written once: the merge reads the batch more than once
-        rows = materialized(ex.select("file_id", "path", "name", "extension", "last_modified", "size_bytes")
-                            .join(vec, "file_id"), "index-batch")
-        commit_newer(rows, batch_id, index_root, "path", "last_modified", "file_id")
+        return ex.select("file_id", "path", "name", "extension", "last_modified", "size_bytes"), embed_fn(ex.select("file_id", "text"))
 
-    with _many_files(spark):
+    with _many_files(spark), few_rows_at_once(spark):
         q = (src.writeStream.foreachBatch(each).option("checkpointLocation", ckpt)
              .trigger(availableNow=True).start())
         q.awaitTermination()
